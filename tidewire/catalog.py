@@ -1,19 +1,395 @@
-"""All registered queries."""
+"""Registered queries over the views of `tidewire.plans.views`, each with its SQL for DuckDB where SQL can express it."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewire.functions import names as N
+from tidewire.functions import texts as T
+from tidewire.functions.constants import ENTITY_SUFFIXES, FILING_SUFFIXES, SOURCE_TIERS
+from tidewire.operators import digest, graph, matching, quality, scoring, tables
+from tidewire.plans.views import view, with_views
+from tidewire.streaming import jobs
+
+AS_OF, SINCE = "2024-06-30", "1998-01-01"
+_REGISTER: dict[str, tuple[Callable, str | None]] = {}
+
+
+def query(name: str, views: str, sql: str | None = None) -> Callable:
+    """Registers a function of the named views' DataFrames; `sql` reads the same views."""
+
+    def add(f: Callable) -> Callable:
+        run = lambda spark, sf_dir: f(*(view(spark, sf_dir, v) for v in views.split()))
+        _REGISTER[name] = (run, with_views(sql, *views.split()) if sql else None)
+        return f
+
+    return add
+
+
+_STAR = "FROM relationships r JOIN entities s ON s.id = r.subject_id JOIN entities o ON o.id = r.object_id"
+_NEWEST = "ORDER BY event_date DESC NULLS LAST, id DESC"
+
+
+@query("relationship_query", "relationships entities", f"SELECT r.id, s.name AS subject, r.predicate, o.name AS object, r.event_date, r.confidence {_STAR} WHERE r.predicate = 'HIRED_BY' AND (r.event_date IS NULL OR r.event_date >= DATE '{SINCE}') ORDER BY r.event_date DESC NULLS LAST, r.id DESC LIMIT 100")
+def _(r, e):
+    return graph.query(r, e, predicate="HIRED_BY", since=SINCE).select("id", "subject", "predicate", "object", "event_date", "confidence")
+
+
+@query("relationship_star", "relationships entities", f"SELECT r.id, s.name AS subject, s.entity_type AS subject_type, r.predicate, o.name AS object, o.entity_type AS object_type, r.event_date, r.context, r.source_url {_STAR}")
+def _(r, e):
+    return graph.star(r, e).select("id", "subject", "subject_type", "predicate", "object", "object_type", "event_date", "context", "source_url")
+
+
+@query("entity_search", "entities", "SELECT id, name, entity_type, mention_count FROM entities WHERE contains(lower(name), 'acme') AND entity_type = 'company' ORDER BY mention_count DESC, id LIMIT 1000")
+def _(e):
+    return graph.search(e, "Acme", "company")
+
+
+@query("both_ends_search", "relationships entities", f"""
+, x AS (SELECT r.id, s.name AS subject, o.name AS object, r.event_date {_STAR}),
+a AS (SELECT *, 0 AS side FROM x WHERE contains(lower(subject), 'acme') {_NEWEST} LIMIT 50), b AS (SELECT *, 1 AS side FROM x WHERE contains(lower(object), 'acme') {_NEWEST} LIMIT 50)
+SELECT id, subject, object, min(side) AS side FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY ALL""")
+def _(r, e):
+    return graph.search_both_ends(r, e, "Acme").select("id", "subject", "object", "side")
+
+
+_ENDS = ", ends AS (SELECT DISTINCT id, predicate, event_date, source_url, subject_id, object_id, entity_id FROM (SELECT *, subject_id AS entity_id FROM relationships UNION ALL SELECT *, object_id FROM relationships))"
+
+
+@query("company_signals", "relationships entities", _ENDS + """
+SELECT e.id AS entity_id, e.name, count(DISTINCT CASE WHEN predicate = 'FUNDED_BY' AND subject_id = e.id THEN x.id END) AS fundings, count(DISTINCT CASE WHEN predicate = 'ACQUIRED' AND subject_id = e.id THEN x.id END) AS acquisitions,
+ count(DISTINCT CASE WHEN predicate = 'ACQUIRED' AND object_id = e.id THEN x.id END) AS acquired, count(DISTINCT CASE WHEN predicate = 'HIRED_BY' AND object_id = e.id THEN x.id END) AS hires,
+ count(DISTINCT CASE WHEN predicate = 'DEPARTED_FROM' AND object_id = e.id THEN x.id END) AS departures, count(DISTINCT CASE WHEN predicate = 'LAID_OFF' AND subject_id = e.id THEN x.id END) AS layoffs, max(event_date) AS last_date
+FROM entities e LEFT JOIN ends x ON x.entity_id = e.id AND x.event_date >= DATE '1998-08-02' - INTERVAL 900 DAY WHERE e.entity_type = 'company' GROUP BY e.id, e.name""")
+def _(r, e):
+    return graph.company_signals(r, e, "1998-08-02", 900)
+
+
+@query("multi_source", "relationships entities", _ENDS + " SELECT e.id AS entity_id, e.name, count(DISTINCT source_url) AS n_sources FROM ends JOIN entities e ON e.id = entity_id GROUP BY e.id, e.name HAVING count(DISTINCT source_url) > 1")
+def _(r, e):
+    return graph.multi_source(r, e)
+
+
+@query("recent_events", "relationships entities", "SELECT r.id, s.name AS subject, o.name AS object, r.event_date, r.confidence FROM relationships r LEFT JOIN entities s ON s.id = r.subject_id LEFT JOIN entities o ON o.id = r.object_id WHERE r.confidence >= 0.7")
+def _(r, e):
+    return graph.recent_events(r, e).select("id", "subject", "object", "event_date", "confidence")
+
+
+@query("graph_stats", "relationships entities", "SELECT 'entities' AS what, coalesce(entity_type, 'all') AS kind, count(*) AS n FROM entities GROUP BY ROLLUP (entity_type) UNION ALL SELECT 'relationships', coalesce(predicate, 'all'), count(*) FROM relationships GROUP BY ROLLUP (predicate)")
+def _(r, e):
+    return graph.stats(r, e)
+
+
+@query("latest_per_predicate", "relationships", f"SELECT id, predicate, event_date, place FROM (SELECT *, row_number() OVER (PARTITION BY predicate {_NEWEST}) AS place FROM relationships) WHERE place <= 5")
+def _(r):
+    return graph.latest_per_predicate(r).select("id", "predicate", "event_date", "place")
+
+
+@query("career_paths", "relationships entities", f"SELECT r.id, s.name AS subject, r.predicate, o.name AS object, r.event_date, row_number() OVER (PARTITION BY r.subject_id ORDER BY r.event_date DESC NULLS LAST, r.id DESC) AS place {_STAR} WHERE r.predicate IN ('HIRED_BY', 'DEPARTED_FROM')")
+def _(r, e):
+    return graph.career(r, e).select("id", "subject", "predicate", "object", "event_date", "place")
+
+
+@query("timeline", "relationships", f"""
+, x AS (SELECT coalesce(event_date, DATE '{AS_OF}') AS day, predicate FROM (SELECT * FROM relationships WHERE event_date IS NULL OR event_date >= DATE '{SINCE}' {_NEWEST} LIMIT 200))
+SELECT day, count(*) AS n, count(*) FILTER (predicate IN ('FUNDED_BY', 'RAISED_FUNDING')) AS n_funding, count(*) FILTER (predicate = 'ACQUIRED') AS n_acquisition, count(*) FILTER (predicate IN ('HIRED_BY', 'DEPARTED_FROM')) AS n_move,
+ count(*) FILTER (predicate = 'LAID_OFF') AS n_layoff, count(*) FILTER (predicate NOT IN ('FUNDED_BY', 'RAISED_FUNDING', 'ACQUIRED', 'HIRED_BY', 'DEPARTED_FROM', 'LAID_OFF')) AS n_other FROM x GROUP BY day""")
+def _(r):
+    return graph.timeline(r, AS_OF, SINCE)
+
+
+@query("type_inference", "relationships entities", """
+, u AS (SELECT id, name FROM entities WHERE entity_type = 'unknown'), x AS (SELECT subject_id AS id, 's:' || predicate AS role FROM relationships UNION ALL SELECT object_id, 'o:' || predicate FROM relationships),
+c AS (SELECT u.id AS entity_id, u.name, count(*) FILTER (role IN ('s:HIRED_BY', 's:DEPARTED_FROM', 's:CEO_OF', 's:CTO_OF', 's:CFO_OF', 's:FOUNDED')) AS person,
+ count(*) FILTER (role IN ('o:HIRED_BY', 'o:DEPARTED_FROM', 's:ACQUIRED', 'o:ACQUIRED', 's:FUNDED_BY', 's:LAID_OFF')) AS company, count(*) FILTER (role IN ('o:FUNDED_BY', 's:INVESTED_IN')) AS investor FROM u LEFT JOIN x ON x.id = u.id GROUP BY u.id, u.name)
+SELECT *, CASE WHEN person > 0 THEN 'person' WHEN company > 0 THEN 'company' WHEN investor > 0 THEN 'investor' ELSE 'unknown' END AS entity_type FROM c""")
+def _(r, e):
+    return graph.infer_types(r, e)
+
+
+@query("insert_relationships", "relationships", f"""
+, x AS (SELECT id % 40 AS k, subject_id % 200 AS subject_id, predicate, object_id % 100 AS object_id, event_date, id FROM relationships)
+SELECT id, subject_id, predicate, object_id, event_date FROM (SELECT *, row_number() OVER (PARTITION BY subject_id, predicate, object_id, event_date ORDER BY id) AS n FROM x WHERE event_date IS NOT NULL) WHERE n = 1
+UNION ALL SELECT id, subject_id, predicate, object_id, event_date FROM x WHERE event_date IS NULL""")
+def _(r):
+    rows = r.select("id", (F.col("subject_id") % 200).alias("subject_id"), "predicate", (F.col("object_id") % 100).alias("object_id"), "event_date")
+    return tables.insert_relationships(rows)
+
+
+@query("upsert_entities", "relationships entities", """
+, m AS (SELECT CASE WHEN r.id % 2 = 0 THEN upper(e.name) ELSE ' ' || e.name END AS name, e.entity_type, r.id AS seq, r.event_date AS day, CASE WHEN r.id % 3 = 0 THEN '' ELSE 'a' || CAST(r.id AS VARCHAR) END AS attributes FROM relationships r JOIN entities e ON e.id = r.object_id)
+SELECT trim(lower(name)) AS normalized_name, entity_type, arg_min(name, seq) AS name, count(*) AS mention_count, arg_max(attributes, seq) FILTER (attributes <> '') AS attributes, min(day) AS first_seen, max(day) AS last_seen FROM m GROUP BY 1, 2""")
+def _(r, e):
+    name = F.when(F.col("r.id") % 2 == 0, F.upper("name")).otherwise(F.concat(F.lit(" "), "name"))
+    m = r.alias("r").join(e.select(F.col("id").alias("object_id"), "name", "entity_type"), "object_id")
+    return tables.upsert_entities(m.select(name.alias("name"), "entity_type", F.col("r.id").alias("seq"), F.col("event_date").alias("day"), F.when(F.col("r.id") % 3 == 0, "").otherwise(F.concat(F.lit("a"), F.col("r.id").cast("string"))).alias("attributes")))
+
+
+@query("insert_articles", "articles", """
+, t AS (SELECT DISTINCT url, content_hash FROM articles WHERE id % 50 = 0), f AS (SELECT * FROM articles a WHERE a.id % 50 <> 0 AND NOT EXISTS (SELECT 1 FROM t WHERE t.url = a.url) AND NOT EXISTS (SELECT 1 FROM t WHERE t.content_hash = a.content_hash)),
+u AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY url ORDER BY seq) = 1)
+SELECT id, url, content_hash FROM u QUALIFY row_number() OVER (PARTITION BY content_hash ORDER BY seq) = 1""")
+def _(a):
+    old = F.col("id") % 50 == 0
+    return tables.insert_new(a.filter(~old), a.filter(old)).select("id", "url", "content_hash")
+
+
+@query("article_stats", "articles", "SELECT count(*) AS total, count(*) FILTER (processed) AS processed, count(*) FILTER (NOT processed) AS unprocessed, count(*) FILTER (is_high_signal) AS high_signal, count(*) FILTER (is_high_signal AND NOT extracted) AS pending, count(*) FILTER (NOT processed) > 500 AS backlog_warning FROM articles")
+def _(a):
+    return tables.article_stats(a)
+
+
+@query("unprocessed_articles", "articles", "SELECT id, title, published, feed_priority FROM articles WHERE NOT processed ORDER BY feed_priority, published DESC NULLS LAST, id LIMIT 500")
+def _(a):
+    return tables.unprocessed(a).select("id", "title", "published", "feed_priority")
+
+
+@query("unextracted_articles", "articles", "SELECT id, title, published FROM articles WHERE is_high_signal AND NOT extracted ORDER BY published DESC NULLS LAST, id LIMIT 500")
+def _(a):
+    return tables.unextracted(a).select("id", "title", "published")
+
+
+def _classifier_sql() -> str:
+    from tidewire.functions.constants import EVENT_PATTERNS
+
+    quoted = lambda p: "'(?i)" + p.replace("'", "''") + "'"
+    scores = {k: " + ".join(f"{w} * len(regexp_extract_all(t, {quoted(p)}))" for ps, w in ((s, 2), (x, 0.5)) for p in ps) for k, (s, x) in EVENT_PATTERNS.items()}
+    cases = ", ".join(f"CAST({v} AS DOUBLE) AS {k}" for k, v in scores.items())
+    best = f"greatest({', '.join(scores)})"
+    kind = "CASE " + " ".join(f"WHEN {k} = {best} THEN '{k}'" for k in scores) + " END"
+    return f""", x AS (SELECT id, coalesce(title, '') || ' ' || coalesce(title, '') || ' ' || coalesce(content, '') AS t FROM articles), s AS (SELECT id, {cases} FROM x)
+SELECT id, CASE WHEN {best} > 0 THEN {kind} ELSE 'other' END AS primary_type, CASE WHEN {best} > 0 THEN least(1.0, {best} / 5) ELSE 0.5 END AS confidence, {best} > 0 AND least(1.0, {best} / 5) >= 0.5 AS is_high_signal FROM s"""
+
+
+@query("classify_articles", "articles", _classifier_sql())
+def _(a):
+    return a.select("id", T.classify(F.col("title"), F.col("content")).alias("c")).select("id", "c.primary_type", "c.confidence", "c.is_high_signal")
+
+
+@query("extraction_potential", "articles", r"""
+, x AS (SELECT id, lower(title || ' ' || content) AS t FROM articles), y AS (SELECT id, regexp_matches(t, '(?i)\$[\d,.]+\s*(million|billion|M|B)?') AS a, regexp_matches(t, 'ceo|cto|cfo|founder|president|partner|executive|chief') AS p,
+ regexp_matches(t, '(inc\.|corp\.|llc|ltd\.)') AS c, regexp_matches(t, '(january|february|march|april|may|june|july|august|september|october|november|december|\d{4})') AS d FROM x), z AS (SELECT *, (CAST(a AS INT) + CAST(p AS INT) + CAST(c AS INT) + CAST(d AS INT)) / 4.0 AS s FROM y)
+SELECT id, CAST(s AS DOUBLE) AS overall_score, a AS has_amounts, p AS has_person_names, c AS has_company_names, d AS has_dates, CASE WHEN s >= 0.6 THEN 'high' WHEN s >= 0.3 THEN 'medium' ELSE 'low' END AS extraction_potential FROM z""")
+def _(a):
+    return a.select("id", T.extraction_potential(F.col("title"), F.col("content")).alias("q")).select("id", "q.*")
+
+
+def _suffix_sql(column: str, suffixes: list[str]) -> str:
+    for s in suffixes:
+        s = s.lower()
+        column = f"regexp_replace({column}, '^(.*){s.replace('.', chr(92) + '.')}$', '\\1', 's')"
+        column = f"trim({column})"
+    return f"trim(regexp_replace(regexp_replace({column}, '[^\\w\\s]', '', 'g'), '\\s+', ' ', 'g'))"
+
+
+@query("normalize_names", "names", f"SELECT id, {_suffix_sql('trim(lower(name))', ENTITY_SUFFIXES)} AS entity_key, {_suffix_sql('trim(lower(name))', FILING_SUFFIXES)} AS filing_key FROM names")
+def _(n):
+    return n.select("id", N.normalize_name(F.col("name")).alias("entity_key"), N.normalize_name(F.col("name"), FILING_SUFFIXES).alias("filing_key"))
+
+
+@query("clean_names", "names", r"""
+SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(name, '<[^>]+>', '', 'g'), 'https?://[^\s]+', '', 'g'), '\s+', ' ', 'g')) AS sanitized,
+ nullif(trim(regexp_extract(name, '^([A-Za-z0-9\s]+?)(?:\s+(?:Dec|Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov)\s+\d{4})?\s+a\s+[Ss]eries\s+of', 1)), '') AS underlying,
+ trim(regexp_replace(regexp_replace(trim(lower(name)), '\s*(inc\.?|llc|ltd\.?|corp\.?|co\.?|global|technologies|technology)$', ''), '\s+', ' ', 'g')) AS digest_key FROM names""")
+def _(n):
+    c = F.col("name")
+    return n.select("id", N.sanitize_name(c).alias("sanitized"), N.underlying_company(c).alias("underlying"), N.digest_key(c).alias("digest_key"))
+
+
+@query("name_checks", "names")
+def _(n):
+    c, k = F.col("name"), F.col("entity_type")
+    return n.select("id", N.is_valid_name(c).alias("valid"), N.is_good_entity(c, k).alias("good"), N.is_fund(c).alias("fund"), N.is_organisation(c).alias("organisation"), N.is_digest_company(c).alias("digest"), N.is_person_name(c).alias("person"), N.clean_filing_name(c).alias("cleaned"), N.strip_one_suffix(c, k).alias("one_suffix"), N.url_slug(c).alias("slug"), N.guessed_domain(c).alias("domain"), N.canonical_alias(c).alias("canonical"))
+
+
+@query("amounts", "names", r"""
+SELECT id, coalesce(nullif(regexp_extract(context, '(?i)\$(\d+(?:,\d{3})*(?:\.\d+)?)\s*(million|billion|M|B)'), ''), nullif(regexp_extract(context, '\$(\d+(?:,\d{3})*(?:\.\d+)?)'), '')) AS amount_text,
+ CAST(replace(coalesce(nullif(regexp_extract(context, '(?i)(\d+(?:,\d{3})*)\s*(?:employees|people|workers|staff)', 1), ''), nullif(regexp_extract(context, '(?i)laid off (\d+(?:,\d{3})*)', 1), '')), ',', '') AS BIGINT) AS layoff_count,
+ TRY_CAST(regexp_replace(context, '[$,]', '', 'g') AS DOUBLE) AS parsed,
+ CASE WHEN regexp_matches(context, 'seed|pre-seed|angel') THEN 'seed' WHEN regexp_matches(context, 'series a|series-a') THEN 'series_a' WHEN regexp_matches(context, 'series b|series-b') THEN 'series_b' WHEN regexp_matches(context, 'series c|series-c|series d|series e') THEN 'series_c'
+  WHEN regexp_matches(context, 'funding|raises|raised|secures|closes|investment') THEN 'funding' END AS round_type FROM names""")
+def _(n):
+    c = F.col("context")
+    return n.select("id", T.amount_text(c).alias("amount_text"), T.layoff_count(c).alias("layoff_count"), T.parse_amount(c).alias("parsed"), T.round_type(c).alias("round_type"))
+
+
+@query("money_and_routing", "names")
+def _(n):
+    words = F.split(F.trim("name"), " ")
+    return n.select("id", T.money(F.col("context")).alias("money"), T.routing(F.col("context"), F.slice(words, 1, 2), F.slice(words, 3, 2), F.array(F.lit(1.0)), T.round_type(F.col("context"))).alias("r")).select("id", "money", "r.*")
+
+
+_TIERS = "(VALUES " + ", ".join(f"({k}, '{n}', '{d}', {t}, CAST({b} AS DOUBLE))" for k, (n, d, t, b) in enumerate(SOURCE_TIERS)) + ") t(ord, source, domain, tier, base)"
+_SOURCED = f""", h AS (SELECT *, regexp_replace(lower(split_part(source_url, '/', 3)), '^www\\.', '') AS host FROM relationships),
+m AS (SELECT host, arg_min({{{{'source': source, 'tier': tier, 'base': base}}}}, CASE WHEN host = domain THEN -1 ELSE ord END) AS s FROM (SELECT DISTINCT host FROM h) JOIN {_TIERS} ON host <> '' AND ends_with(host, domain) GROUP BY host),
+q AS (SELECT h.*, coalesce(s.source, 'Unknown') AS source, coalesce(s.tier, 3) AS tier, coalesce(s.base, 0.5) AS base FROM h LEFT JOIN m USING (host))""".replace("{{", "{").replace("}}", "}")
+
+
+def _tiers(df: DataFrame) -> DataFrame:
+    return quality.tier_table(df.sparkSession)
+
+
+@query("source_tiers", "relationships", _SOURCED + " SELECT source, tier, count(*) AS n, (SELECT round(100 * sum(CASE tier WHEN 1 THEN 1.0 WHEN 2 THEN 0.7 ELSE 0.4 END) / count(*), 1) FROM q) AS quality FROM q GROUP BY source, tier")
+def _(r):
+    return quality.tier_report(r, _tiers(r))
+
+
+@query("entity_confidence", "relationships entities", _SOURCED + """
+, x AS (SELECT DISTINCT entity_id, source_url, tier, base FROM (SELECT subject_id AS entity_id, source_url, tier, base FROM q UNION ALL SELECT object_id, source_url, tier, base FROM q)),
+c AS (SELECT entity_id, count(*) AS n, max(base) AS base, count(*) FILTER (tier = 1) AS t1, count(*) FILTER (tier = 2) AS t2, count(*) FILTER (tier = 3) AS t3 FROM x GROUP BY entity_id)
+SELECT e.id AS entity_id, coalesce(least(1.0, base + least(0.15, 0.03 * n) + least(0.10, 0.05 * t1)), 0.5) AS confidence, coalesce(n, 0) AS n_sources, coalesce(t1, 0) AS tier1, coalesce(t2, 0) AS tier2, coalesce(t3, 0) AS tier3 FROM entities e LEFT JOIN c ON c.entity_id = e.id""")
+def _(r, e):
+    return quality.entity_confidence(r, e, _tiers(r))
+
+
+@query("relationship_confidence", "relationships", _SOURCED + " SELECT id, round(coalesce(nullif(confidence, 0), 0.8) * base, 2) AS confidence FROM q")
+def _(r):
+    return quality.relationship_confidence(r, _tiers(r))
+
+
+@query("feed_stats", "feed_log", """
+, l AS (SELECT feed_id, list({'rate': 0.0::DOUBLE, 'ms': ms, 'fails': 0::BIGINT, 'articles': articles, 'ok': ok} ORDER BY ts, seq) AS xs, count(*) AS fetches, max(ts) AS last_ts FROM feed_log GROUP BY feed_id),
+r AS (SELECT feed_id, fetches, last_ts, list_reduce(list_prepend({'rate': 1.0::DOUBLE, 'ms': 0::BIGINT, 'fails': 0::BIGINT, 'articles': 0::BIGINT, 'ok': true}, xs), lambda s, x: {'rate': 0.9::DOUBLE * s.rate + CASE WHEN x.ok THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END, 'ms': CAST(trunc(0.9::DOUBLE * s.ms + 0.1::DOUBLE * x.ms) AS BIGINT), 'fails': CASE WHEN x.ok THEN 0::BIGINT ELSE s.fails + 1 END, 'articles': s.articles + x.articles, 'ok': x.ok}) AS s FROM l)
+SELECT feed_id, s.rate AS success_rate, s.ms AS avg_ms, s.fails AS failures, s.articles AS total_articles, fetches, last_ts FROM r""")
+def _(log):
+    return tables.feed_stats(log)
+
+
+_TAGGED = "SELECT entity_id, tag FROM (SELECT object_id AS entity_id, lower(predicate) AS tag FROM relationships UNION SELECT subject_id, 'active' FROM relationships) WHERE NOT (tag = 'active' AND entity_id % 3 = 0)"
+
+
+@query("tag_counts", "relationships", f"SELECT tag, count(*) AS n FROM ({_TAGGED}) GROUP BY tag")
+def _(r):
+    first = r.select(F.col("object_id").alias("entity_id"), F.lower("predicate").alias("tag")).distinct()
+    added = tables.add_tags(first, r.select(F.col("subject_id").alias("entity_id"), F.lit(" Active").alias("tag")))
+    gone = r.filter("subject_id % 3 = 0").select(F.col("subject_id").alias("entity_id"), F.lit("active").alias("tag"))
+    return tables.tag_counts(tables.remove_tags(added, gone))
+
+
+_ENRICHED = ", d AS (SELECT object_id AS entity_id, predicate AS source, event_date AS enriched_at, id AS seq, context FROM relationships WHERE event_date IS NOT NULL)"
+
+
+def _documents(r: DataFrame) -> DataFrame:
+    return r.filter("event_date is not null").select(F.col("object_id").alias("entity_id"), F.col("predicate").alias("source"), F.col("event_date").alias("enriched_at"), F.col("id").alias("seq"), "context")
+
+
+@query("upsert_enrichment", "relationships", _ENRICHED + " SELECT entity_id, source, enriched_at, seq, context FROM d QUALIFY row_number() OVER (PARTITION BY entity_id, source ORDER BY enriched_at DESC, seq DESC) = 1")
+def _(r):
+    return tables.upsert_enrichment(_documents(r))
+
+
+@query("unenriched_entities", "relationships entities", _ENRICHED + " SELECT id, name, mention_count FROM entities WHERE id NOT IN (SELECT entity_id FROM d) ORDER BY mention_count DESC, id LIMIT 50")
+def _(r, e):
+    return tables.unenriched(e, _documents(r)).select("id", "name", "mention_count")
+
+
+@query("enrichment_coverage", "relationships entities", _ENRICHED + " SELECT count(*) AS entities, count(x.entity_id) AS enriched, CASE WHEN count(*) > 0 THEN round(100.0 * count(x.entity_id) / count(*), 1) ELSE 0.0 END AS coverage FROM entities LEFT JOIN (SELECT DISTINCT entity_id FROM d) x ON x.entity_id = id")
+def _(r, e):
+    return tables.coverage(e, _documents(r))
+
+
+@query("id_remap", "relationships entities", "SELECT r.id, s.id + 7 AS subject_id, o.id + 7 AS object_id, CASE WHEN r.confidence = 0 THEN 0.8 ELSE r.confidence END AS confidence FROM relationships r JOIN entities s ON s.id = r.subject_id AND s.entity_type <> 'unknown' JOIN entities o ON o.id = r.object_id AND o.entity_type <> 'unknown'")
+def _(r, e):
+    return tables.remap(r, e.filter("entity_type <> 'unknown'").select(F.col("id").alias("old"), (F.col("id") + 7).alias("new")))[0].select("id", "subject_id", "object_id", "confidence")
+
+
+@query("company_scores", "relationships entities", r"""
+, x AS (SELECT subject_id AS id, 's' AS e, predicate AS p, context <> '' AND NOT contains(context, 'Form D') AS news FROM relationships UNION ALL SELECT object_id, 'o', predicate, context <> '' AND NOT contains(context, 'Form D') FROM relationships),
+f AS (SELECT id, bool_or(news) AS news, count(*) FILTER (e = 's' AND p = 'FUNDED_BY') AS funded, count(*) FILTER (e = 's' AND p = 'RAISED_FUNDING') AS raised, count(*) FILTER (e = 's' AND p = 'ACQUIRED') AS buys, count(*) FILTER (e = 'o' AND p = 'ACQUIRED') AS sold,
+ count(*) FILTER (e = 'o' AND p = 'HIRED_BY') AS hires, count(*) FILTER (e = 'o' AND p = 'DEPARTED_FROM') AS leaves, count(*) FILTER (e = 's' AND p = 'LAID_OFF') AS layoffs FROM x GROUP BY id)
+SELECT c.id, c.name, CAST(CASE WHEN news THEN 20 ELSE 0 END + CASE WHEN funded > 0 THEN 35 WHEN raised > 0 THEN 25 ELSE 0 END + CASE WHEN buys > 0 THEN 30 ELSE 0 END + CASE WHEN sold > 0 THEN 20 ELSE 0 END + 3 * least(hires, 20) + 4 * least(leaves, 10) + CASE WHEN layoffs > 0 THEN 15 ELSE 0 END AS BIGINT) AS score,
+ array_to_string(list_filter([CASE WHEN news THEN 'In News' END, CASE WHEN funded > 0 THEN 'Funded (News)' WHEN raised > 0 THEN 'Funded (SEC)' END, CASE WHEN buys > 0 THEN 'Acquiring (' || CAST(least(buys, 10) AS VARCHAR) || 'x)' END, CASE WHEN sold > 0 THEN 'Was acquired' END,
+  CASE WHEN hires > 0 THEN 'Hiring (' || CAST(least(hires, 20) AS VARCHAR) || ' recent)' END, CASE WHEN leaves > 0 THEN 'Departures (' || CAST(least(leaves, 10) AS VARCHAR) || ')' END, CASE WHEN layoffs > 0 THEN 'Layoffs' END], lambda y: y IS NOT NULL), '; ') AS signals
+FROM entities c JOIN f USING (id) WHERE c.entity_type = 'company' AND NOT regexp_matches(lower(c.name), '\bfund\s+(i|ii|iii|iv|v|vi|vii|viii|ix|x)\b') ORDER BY score DESC, c.id LIMIT 50""")
+def _(r, e):
+    return scoring.company_scores(r, e)
+
+
+@query("candidate_scores", "relationships entities")
+def _(r, e):
+    return scoring.candidate_scores(r, e)
+
+
+_LATEST = f", x AS (SELECT r.*, s.name AS subject, o.name AS object {_STAR})"
+
+
+@query("funding_digest", "relationships entities", _LATEST + f"""
+, l AS (SELECT *, row_number() OVER (ORDER BY b, event_date DESC NULLS LAST, id DESC) AS place FROM ((SELECT *, 0 AS b FROM x WHERE predicate = 'FUNDED_BY' {_NEWEST} LIMIT 40) UNION ALL (SELECT *, 1 FROM x WHERE predicate = 'RAISED_FUNDING' {_NEWEST} LIMIT 40))),
+k AS (SELECT * FROM l WHERE event_date IS NULL OR event_date BETWEEN DATE '1990-01-01' AND DATE '2030-01-01' QUALIFY row_number() OVER (PARTITION BY subject ORDER BY place) = 1)
+SELECT subject AS company, object AS investor, coalesce(nullif(regexp_extract(context, '(?i)\\$(\\d+(?:,\\d{{3}})*(?:\\.\\d+)?)\\s*(million|billion|M|B)'), ''), nullif(regexp_extract(context, '\\$(\\d+(?:,\\d{{3}})*(?:\\.\\d+)?)'), '')) AS amount, event_date AS date, CASE WHEN contains(context, 'Form D') THEN 'SEC' ELSE 'News' END AS source FROM k ORDER BY place LIMIT 20""")
+def _(r, e):
+    return digest.fundings(r, e, "1990-01-01", "2030-01-01")
+
+
+@query("layoff_digest", "relationships entities")
+def _(r, e):
+    return digest.layoffs(r, e)
+
+
+@query("acquisition_digest", "relationships entities")
+def _(r, e):
+    return digest.acquisitions(r, e)
+
+
+@query("move_digest", "relationships entities", _LATEST + f"""
+, l AS (SELECT *, row_number() OVER (ORDER BY b, event_date DESC NULLS LAST, id DESC) AS place FROM ((SELECT *, 0 AS b FROM x WHERE predicate = 'DEPARTED_FROM' {_NEWEST} LIMIT 40) UNION ALL (SELECT *, 1 FROM x WHERE predicate = 'HIRED_BY' {_NEWEST} LIMIT 40)))
+SELECT subject AS person, predicate AS action, object AS company, event_date AS date FROM (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY subject_id, predicate, object_id ORDER BY place) = 1) ORDER BY place LIMIT 20""")
+def _(r, e):
+    return digest.moves(r, e)
+
+
+@query("hot_candidates", "relationships entities")
+def _(r, e):
+    return digest.hot_candidates(r, e)
+
+
+def _events(r: DataFrame, e: DataFrame) -> tuple[DataFrame, DataFrame]:
+    rows = graph.star(r, e).filter("event_date is not null").withColumn("amount", T.money(F.col("context")))
+    news = rows.filter("predicate = 'FUNDED_BY'").select(F.col("id").alias("event_id"), F.col("subject").alias("company_name"), "amount", F.col("event_date").alias("date"))
+    filed = rows.filter("predicate = 'RAISED_FUNDING'").select(F.col("id").alias("event_id"), F.col("object").alias("company_name"), "amount", F.date_add("event_date", 11).alias("date"))
+    return news, filed
+
+
+@query("cross_reference", "relationships entities")
+def _(r, e):
+    return matching.cross_reference(*_events(r, e))
+
+
+@query("unmatched_filings", "relationships entities")
+def _(r, e):
+    news, filed = _events(r, e)
+    return matching.unmatched(filed, matching.cross_reference(news, filed), "f")
+
+
+@query("confidence_boosts", "relationships entities")
+def _(r, e):
+    news, filed = _events(r, e)
+    return matching.boosts(matching.cross_reference(news, filed), news)
+
+
+@query("duplicate_merges", "names")
+def _(n):
+    rows = n.select("id", "name", "entity_type", (F.col("id") % 19).alias("mention_count"))
+    return matching.greedy_merges(matching.duplicate_pairs(rows))
+
+
+def _daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.daily_counts(spark.read.parquet(f"{sf_dir}/events.parquet")).withColumn("day", F.col("day").cast("date"))
+
+
+_REGISTER["daily_event_counts"] = (_daily_counts, "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: run for name, (run, _) in _REGISTER.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _REGISTER.items() if sql}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return next(iter(queries().values()))(spark, sf_dir)
+    return _REGISTER["relationship_query"][0](spark, sf_dir)
