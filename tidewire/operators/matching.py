@@ -118,17 +118,17 @@ def greedy_merges(pairs: DataFrame) -> DataFrame:
         sc.setCheckpointDir(pairs.sparkSession.conf.get("spark.checkpoint.dir", None) or mkdtemp(prefix="spark-"))
     rank = lambda s: F.struct((-F.col(f"{s}_n")).alias("n"), F.col(s).alias("id"))
     open_ = pairs.select(rank("keep").alias("k"), rank("merge").alias("m")).checkpoint()
-    done = None
+    keepers = None
     while not open_.isEmpty():
-        heads = open_.select("k").distinct().join(open_.select(F.col("m").alias("k")).distinct(), "k", "left_anti")
-        mine = open_.join(heads, "k").groupBy("m").agg(F.min("k").alias("k")).checkpoint()
-        done = mine if done is None else done.unionByName(mine)
-        gone = mine.select("m")
-        rest = open_.join(gone, "m", "left_anti").join(gone.select(F.col("m").alias("k")), "k", "left_anti")
-        open_ = rest.join(heads, "k", "left_anti").select("k", "m").checkpoint()
-    if done is None:
+        heads = open_.select("k").distinct().join(open_.select(F.col("m").alias("k")).distinct(), "k", "left_anti").checkpoint()
+        keepers = heads if keepers is None else keepers.unionByName(heads)
+        gone = open_.join(heads, "k").select("m").distinct()
+        rest = open_.join(heads, "k", "left_anti").join(gone, "m", "left_anti").join(gone.select(F.col("m").alias("k")), "k", "left_anti")
+        open_ = rest.select("k", "m").checkpoint()
+    if keepers is None:
         return pairs.select("keep", "merge").limit(0)
-    return done.select(F.col("k.id").alias("keep"), F.col("m.id").alias("merge"))
+    taken = pairs.select(rank("keep").alias("k"), "merge").join(keepers, "k").groupBy("merge").agg(F.min("k").alias("k"))
+    return taken.select(F.col("k.id").alias("keep"), "merge")
 
 
 def rewrite_relationships(relationships: DataFrame, merges: DataFrame) -> DataFrame:
