@@ -123,7 +123,7 @@ def greedy_merges(pairs: DataFrame) -> DataFrame:
         heads = open_.select("k").distinct().join(open_.select(F.col("m").alias("k")).distinct(), "k", "left_anti").checkpoint()
         keepers = heads if keepers is None else keepers.unionByName(heads)
         gone = open_.join(heads, "k").select("m").distinct()
-        rest = open_.join(heads, "k", "left_anti").join(gone, "m", "left_anti").join(gone.select(F.col("m").alias("k")), "k", "left_anti")
+        rest = open_.join(heads, "k", "left_anti").join(gone.select(F.col("m").alias("k")), "k", "left_anti")
         open_ = rest.select("k", "m").checkpoint()
     if keepers is None:
         return pairs.select("keep", "merge").limit(0)
