@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -192,18 +193,26 @@ def is_contaminated(n_hit: str = "n_hit", n_words: str = "n_words", share: int =
     return (F.col(n_hit) > 0) & (share * F.col(n_hit) >= F.col(n_words))
 
 
+def _carried(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, list[str]]:
+    """What is found, with all columns of the documents under names of their own."""
+    names = [f"column_{k}" for k in range(len(docs.columns))]
+    own = dict(zip(docs.columns, names, strict=True))
+    return find_contamination(docs.toDF(*names), benchmark, own[id_col], own[text_col], carry=tuple(names)), names
+
+
 def remove_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that are not contaminated, with all their columns."""
-    found = find_contamination(docs, benchmark, id_col, text_col, carry=tuple(docs.columns))
-    return found.filter(~is_contaminated()).select(*docs.columns)
+    found, names = _carried(docs, benchmark, id_col, text_col)
+    return found.filter(~is_contaminated()).select(*names).toDF(*docs.columns)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All documents, without the words that lie in windows of the benchmark."""
-    found = find_contamination(docs, benchmark, id_col, text_col, carry=tuple(docs.columns))
 
     @F.pandas_udf("string")
-    def clean(text, runs):
-        return text.combine(runs, lambda t, r: t if t is None or not len(r) else without_words(t, [(x["first"], x["past"]) for x in r]))
+    def clean(text: pd.Series, runs: pd.Series) -> pd.Series:
+        return pd.Series([t if t is None or not len(r) else without_words(t, [(x["first"], x["past"]) for x in r]) for t, r in zip(text, runs, strict=True)])
 
-    return found.select(*(clean(F.col(text_col), F.col("runs")).alias(c) if c == text_col else F.col(c) for c in docs.columns))
+    found, names = _carried(docs, benchmark, id_col, text_col)
+    at = docs.columns.index(text_col)
+    return found.select(*(clean(names[k], "runs") if k == at else names[k] for k in range(len(names)))).toDF(*docs.columns)

@@ -22,7 +22,7 @@ from tidewire.llm.bloom import bloom_of
 from tidewire.llm.common import SLICE_ROWS, cut, raw_texts
 
 #: One word in so many ends a logical line; three in four lines end a chunk.
-FOLD = 8
+FOLD = 3
 MIN_WORDS = 16
 MIN_LINES = 2
 #: Bytes of the filter of repeated hashes that goes to the workers.
