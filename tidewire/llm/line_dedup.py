@@ -22,8 +22,8 @@ from tidewire.llm.bloom import bloom_of
 from tidewire.llm.common import SLICE_ROWS, cut, raw_texts
 
 #: One word in so many ends a logical line; three in four lines end a chunk.
-FOLD = 3
-MIN_WORDS = 16
+FOLD = 4
+MIN_WORDS = 14
 MIN_LINES = 2
 #: Bytes of the filter of repeated hashes that goes to the workers.
 FILTER_BYTES = 16 << 20
@@ -152,17 +152,21 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for batch, c in sliced(batches, 2):
             on = np.flatnonzero(c.runs(filter_.value.has(c.hash), min_words, min_lines))
             own = pa.array(c.doc[on])
+            yield pa.RecordBatch.from_arrays([pa.array(c.hash[on]), batch.column(0).take(own), batch.column(1).take(own), pa.array(c.index[on])], names=["key", "id", "row", "k"])
+
+    def propose_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, c in sliced(batches, 2):
+            on = np.flatnonzero(c.runs(filter_.value.has(c.hash), min_words, min_lines))
             text = [c.raw[a:b] for a, b in zip(c.start[on].tolist(), c.end[on].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c.hash[on]), batch.column(0).take(own), batch.column(1).take(own), pa.array(c.index[on]), pa.array(text, pa.binary())], names=["key", "id", "row", "k", "chunk"]
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(c.hash[on]), batch.column(0).take(pa.array(c.doc[on])), pa.array(text, pa.binary())], names=["key", "id", "chunk"])
 
     keyed = rows.select("id", F.xxhash64("text").alias("row"), "text")
-    found = cut(keyed.mapInArrow(propose, "key long, id long, row long, k long, chunk binary"))
+    found = keyed.mapInArrow(propose, "key long, id long, row long, k long")
+    texts = keyed.mapInArrow(propose_texts, "key long, id long, chunk binary")
     # equal keys with unequal bytes are left alone; grouping by the chunk compares its bytes
-    same = found.groupBy("key", "chunk").agg(F.min("id").alias("least"), F.max("id").alias("most"))
+    same = texts.groupBy("key", "chunk").agg(F.min("id").alias("least"), F.max("id").alias("most"))
     first = same.groupBy("key").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.count("*").alias("texts")).filter("texts = 1 and least < most")
-    gone = found.select("key", "id", "row", "k").join(first.select("key", "least"), "key").filter("id > least")
+    gone = found.join(first.select("key", "least"), "key").filter("id > least")
     lists = gone.groupBy("id", "row").agg(F.collect_set("k").alias("gone_")).select(F.col("id").alias("id_"), F.col("row").alias("row_"), "gone_")
 
     names = [c for c in docs.columns if c not in ("n_words", "n_removed_words", "n_removed_chunks")]
