@@ -20,6 +20,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -28,16 +29,18 @@ from pyspark.sql import functions as F
 from tidewire.llm.common import SLICE_ROWS, cut, raw_texts
 
 TREES = 8
-TOKENS = 128
-SMALL = 24
+TOKENS = 256
+SMALL = 8
 BRANCHES = 2
 LEVELS = 10
 #: A child larger than this share of its parent shows a dense group.
 DENSE = 0.75
 #: Similarity may be this much higher than the share of equal tokens (over four deviations).
-MARGIN = 0.16
+MARGIN = 0.1
 #: Members that are confirmed against one pivot in one run.
 RUN = 64
+#: Members of a large node, or outsiders in it, that one task compares with each other.
+BLOCK = 512
 
 _RNG = np.random.default_rng(20240229)
 _A = (_RNG.integers(0, 1 << 32, TOKENS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)[:, None]
@@ -71,14 +74,14 @@ def shingles(raw: bytes, size: int, hashes: WordHashes) -> np.ndarray:
 
 
 def tokens(items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The trees' first tokens (64 bits) and the minwise tokens (16 bits) of a set."""
+    """The trees' first tokens (64 bits) and the minwise tokens (8 bits) of a set."""
     low = (items >> np.uint64(16)).astype(np.uint32)
     least, first = None, None
     for k in range(0, len(items), 4096):
         m = (low[None, k : k + 4096] * _A + _B).min(axis=1)
         r = (items[None, k : k + 4096] * _ROOT_A).min(axis=1)
         least, first = (m, r) if least is None else (np.minimum(least, m), np.minimum(first, r))
-    return first.view(np.int64), ((least * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.uint16).view(np.int16)
+    return first.view(np.int64), ((least * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8).view(np.int8)
 
 
 def sketch(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
@@ -104,12 +107,12 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
                     roots.append(first)
                     sigs.append(sig)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(n, pa.int64()), pa.array(fp1, pa.int64()), pa.array(fp2, pa.int64()), pa.array(roots, pa.list_(pa.int64())), pa.array(sigs, pa.list_(pa.int16()))],
+                    [batch.column(0), pa.array(n, pa.int64()), pa.array(fp1, pa.int64()), pa.array(fp2, pa.int64()), pa.array(roots, pa.list_(pa.int64())), pa.array(sigs, pa.list_(pa.int8()))],
                     names=["id", "n_shingles", "fp1", "fp2", "roots", "sig"],
                 )
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, n_shingles long, fp1 long, fp2 long, roots array<long>, sig array<short>")
+    return rows.mapInArrow(run, "id long, n_shingles long, fp1 long, fp2 long, roots array<long>, sig array<tinyint>")
 
 
 def pair(a: Column, b: Column) -> list[Column]:
@@ -131,10 +134,11 @@ def small_pairs(rows: DataFrame) -> DataFrame:
 
 
 def pivot_pairs(rows: DataFrame) -> DataFrame:
-    """Each member of a large node against three: the one met in most such nodes, the least id and a random one."""
+    """Each member of a large node against three: the one met in most such nodes, the least id and the least hash.
+    Nodes of one group thus choose the same few."""
     often = rows.groupBy("id").agg(F.count("*").alias("met"))
     best = rows.join(often, "id").groupBy("node").agg(
-        F.max(F.struct("met", -F.col("id"))).alias("m"), F.min("id").alias("least"), F.min(F.struct(F.xxhash64("node", "id").alias("h"), F.col("id").alias("i"))).alias("r")
+        F.max(F.struct("met", -F.col("id"))).alias("m"), F.min("id").alias("least"), F.min(F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("i"))).alias("r")
     )
     pivots = best.select("node", F.explode(F.array_distinct(F.array(-F.col("m").getField("col2"), "least", F.col("r").getField("i")))).alias("p"))
     return rows.join(pivots, "node").filter("id <> p").select(*pair(F.col("id"), F.col("p")))
@@ -235,14 +239,45 @@ def crossing(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.filter("c_a <> c_b").drop("c_a", "c_b")
 
 
-def outsiders(large: DataFrame, labels: DataFrame) -> DataFrame:
-    """In each large node, pairs of a member outside the node's main component with any member."""
+def outsider_links(large: DataFrame, labels: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """In each large node, links of the members outside the node's main component with any member.
+
+    Outsiders and members meet block by block on their full sets; only links leave a task."""
     rows = large.join(labels, "id", "left").select("node", "id", F.coalesce("component", "id").alias("c"))
     counts = rows.groupBy("node", "c").agg(F.count("*").alias("n"))
-    main = counts.groupBy("node").agg(F.max(F.struct("n", "c")).getField("c").alias("main"))
-    alone = rows.join(main, "node").filter("c <> main").select("node", F.col("id").alias("x"), F.col("c").alias("cx"))
-    met = alone.join(rows, "node").filter((F.col("c") != F.col("cx")))
-    return met.select(*pair(F.col("x"), F.col("id")))
+    main = counts.groupBy("node").agg(F.max(F.struct("n", "c")).alias("m"), F.sum("n").alias("all"))
+    main = main.select("node", F.col("m").getField("c").alias("main"), F.ceil((F.col("all") - F.col("m").getField("n")) / BLOCK).alias("outs"), F.ceil(F.col("all") / BLOCK).alias("ins")).filter("outs > 0")
+    mine = rows.join(main, "node")
+    place = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    outside = mine.filter("c <> main").select("node", place("outs").alias("i"), spread("ins").alias("j"), F.lit(0).alias("part"), "id", "c")
+    inside = mine.select("node", spread("outs").alias("i"), place("ins").alias("j"), F.lit(1).alias("part"), "id", "c")
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        hashes = WordHashes()
+        sets = [shingles((x or "").encode(), size, hashes) for x in group.text]
+        n = np.array([len(x) for x in sets])
+        owner, item = np.repeat(np.arange(len(sets)), n), np.concatenate(sets)
+        _, where, met = np.unique(item, return_inverse=True, return_counts=True)
+        shared = met > 1
+        column = (np.cumsum(shared) - 1)[where]
+        owner, column = owner[shared[where]], column[shared[where]]
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        part, ids, c = group.part.to_numpy(), group.id.to_numpy(), group.c.to_numpy()
+        a, b = np.flatnonzero(part == 0), np.flatnonzero(part == 1)
+        common = np.zeros((len(a), len(b)), np.float32)
+        for first in range(0, int(shared.sum()), 4096):
+            to = slice(*np.searchsorted(column, [first, first + 4096]))
+            has = np.zeros((len(sets), 4096), np.float32)
+            has[owner[to], column[to] - first] = 1
+            common += has[a] @ has[b].T
+        linked = 100 * common >= percent * (n[a][:, None] + n[b][None, :] - common)
+        x, y = np.nonzero(linked & (c[a][:, None] != c[b][None, :]))
+        return pd.DataFrame({"a": ids[a[x]], "b": ids[b[y]]})
+
+    given = outside.unionByName(inside).join(texts, "id")
+    return given.groupBy("node", "i", "j").applyInPandas(compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -274,12 +309,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = cut(confirm(best, texts, size, percent))
     labels = components(links)
     rest = crossing(candidates.select("a", "b").join(best, ["a", "b"], "left_anti"), labels)
+    more = confirm(rest, texts, size, percent)
     if large is not None:
-        rest = rest.unionByName(likely(outsiders(large, labels), reps, threshold).select("a", "b").join(candidates, ["a", "b"], "left_anti"))
-    rest = cut(rest.distinct())
-    if not rest.isEmpty():
+        more = more.unionByName(outsider_links(large, labels, texts, size, percent))
+    more = cut(more)
+    if not more.isEmpty():
         stars = labels.select(F.col("component").alias("a"), F.col("id").alias("b"))
-        labels = components(stars.unionByName(confirm(rest, texts, size, percent)))
+        labels = components(stars.unionByName(more))
 
     of_class = same_id.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
     of_id = of_class.groupBy("id").agg(F.min("component").alias("component"))
