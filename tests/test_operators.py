@@ -1,6 +1,6 @@
+import datetime
 import random
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from tidewire.operators import matching, tables
@@ -55,7 +55,7 @@ def test_cross_reference_like_all_pairs(spark):
 
 def test_feed_state_in_batches_is_the_fold(spark, tmp_path):
     rng = random.Random(1)
-    rows = [(i % 3, pd.Timestamp(2024, 1, 1) + pd.Timedelta(minutes=i), i, rng.random() < 0.7, rng.randrange(900), 2) for i in range(60)]
+    rows = [(i % 3, datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=i), i, rng.random() < 0.7, rng.randrange(900), 2) for i in range(60)]
     log = spark.createDataFrame(rows, "feed_id long, ts timestamp, seq long, ok boolean, ms long, articles long")
     for k in range(3):
         log.filter((F.col("seq") >= 20 * k) & (F.col("seq") < 20 * k + 20)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
