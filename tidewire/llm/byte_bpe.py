@@ -31,16 +31,17 @@ STEP_BYTES = 2_000_000
 #: Words of more bytes contract all pairs of the minimum rank in one round.
 LONG_BYTES = 48
 
+#: Positions rise through all words, so one order serves all words of a query.
 CONTRACT = """
 WITH RECURSIVE state(w, step, pos, tok) AS (
   SELECT w, 0, pos, tok FROM start
   UNION ALL
-  (WITH seen AS (SELECT w, step, pos, tok, lead(tok) OVER near AS tok2, row_number() OVER near AS i
-                 FROM state WINDOW near AS (PARTITION BY w ORDER BY pos)),
-        ranked AS (SELECT seen.*, merges.merged FROM seen LEFT JOIN merges ON merges.a = seen.tok AND merges.b = seen.tok2),
-        best AS (SELECT w, min(merged::BIGINT * 4096 + i) AS k FROM ranked WHERE merged IS NOT NULL GROUP BY w)
-   SELECT r.w, r.step + 1, r.pos, CASE WHEN r.i = best.k % 4096 THEN r.merged ELSE r.tok END
-   FROM ranked r JOIN best ON best.w = r.w WHERE r.i <> best.k % 4096 + 1)
+  (WITH seen AS (SELECT w, step, pos, tok, lead(tok) OVER near AS tok2, lead(w) OVER near AS w2, lag(pos) OVER near AS before
+                 FROM state WINDOW near AS (ORDER BY pos)),
+        ranked AS (SELECT seen.*, merges.merged FROM seen LEFT JOIN merges ON merges.a = seen.tok AND merges.b = seen.tok2 AND seen.w = seen.w2),
+        best AS (SELECT w, min(merged::BIGINT * 4294967296 + pos) % 4294967296 AS p FROM ranked WHERE merged IS NOT NULL GROUP BY w)
+   SELECT r.w, r.step + 1, r.pos, CASE WHEN r.pos = best.p THEN r.merged ELSE r.tok END
+   FROM ranked r JOIN best ON best.w = r.w WHERE r.before IS DISTINCT FROM best.p)
 ),
 last AS (SELECT w, max(step) AS step FROM state GROUP BY w)
 SELECT state.w, list(state.tok ORDER BY state.pos) AS ids FROM state JOIN last USING (w, step) GROUP BY state.w
@@ -67,8 +68,9 @@ last AS (SELECT w, max(step) AS step FROM state GROUP BY w)
 SELECT state.w, state.pos, state.tok, step FROM state JOIN last USING (w, step)
 """
 
+#: A byte is one letter of Latin-1 here.
 DECODE = """
-SELECT ids.w, unhex(string_agg(vocabulary.hex, '' ORDER BY ids.pos)) AS raw
+SELECT ids.w, string_agg(vocabulary.letters, '' ORDER BY ids.pos) AS raw
 FROM ids JOIN vocabulary USING (tok) GROUP BY ids.w
 """
 
@@ -89,7 +91,7 @@ class Codec:
         a, b, merged = zip(*pairs, strict=True) if pairs else ((), (), ())
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
         self._table("merges", {"a": a, "b": b, "merged": merged})
-        table = pa.table({"tok": pa.array(ranks.values(), pa.int32()), "hex": [t.hex() for t in ranks]})
+        table = pa.table({"tok": pa.array(ranks.values(), pa.int32()), "letters": [t.decode("latin-1") for t in ranks]})
         self._table("vocabulary", table)
 
     def _table(self, name: str, data) -> None:
@@ -103,8 +105,7 @@ class Codec:
         raw = [x.encode() for x in words]
         size = np.fromiter(map(len, raw), np.int32, len(raw))
         letters = np.frombuffer(b"".join(raw), np.uint8)
-        pos = np.arange(len(letters)) - np.repeat(np.cumsum(size) - size, size)
-        self._table("start", {"w": np.repeat(np.arange(len(raw)), size), "pos": pos, "tok": self.single[letters]})
+        self._table("start", {"w": np.repeat(np.arange(len(raw)), size), "pos": np.arange(len(letters)), "tok": self.single[letters]})
         if query is CONTRACT_LONG:
             while self.db.execute(query).execute("SELECT max(step) FROM reached").fetchall()[0][0] == 32:
                 self.db.execute("CREATE OR REPLACE TABLE start AS SELECT w, pos, tok FROM reached")
@@ -118,7 +119,7 @@ class Codec:
         if len(self.known) > REMEMBERED:
             self.known = {"": b""}
         known = self.known
-        new = {w for words in split for w in words if w not in known}
+        new = set().union(*split).difference(known)
         long = [w for w in new if len(w) > LONG_BYTES // 4 and len(w.encode()) > LONG_BYTES]
         for part, query in ((list(new.difference(long)), CONTRACT), (long, CONTRACT_LONG)):
             if part:
@@ -133,7 +134,7 @@ class Codec:
         self.db.register("ids", rows)
         found = dict(self.db.execute(DECODE).fetchall())
         self.db.unregister("ids")
-        return [bytes(found.get(k, b"")) for k in range(len(ids))]
+        return [found.get(k, "").encode("latin-1") for k in range(len(ids))]
 
 
 @lru_cache(maxsize=1)
