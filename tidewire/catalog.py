@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidewire.functions import names as N
 from tidewire.functions import texts as T
 from tidewire.functions.constants import ENTITY_SUFFIXES, FILING_SUFFIXES, SOURCE_TIERS
-from tidewire.operators import digest, graph, matching, quality, scoring, tables
+from tidewire.operators import digest, extraction, graph, matching, profiles, quality, scoring, tables
 from tidewire.plans.views import view, with_views
 from tidewire.streaming import jobs
 
@@ -376,6 +376,98 @@ def _(n):
     return matching.greedy_merges(matching.duplicate_pairs(rows))
 
 
+@query("company_facts", "relationships entities", f"""
+, x AS (SELECT subject_id AS entity_id, predicate AS p, object_id AS other_id, event_date, id FROM relationships WHERE predicate IN ('FUNDED_BY', 'ACQUIRED') UNION ALL SELECT object_id, predicate, NULL, event_date, id FROM relationships WHERE predicate = 'HIRED_BY'),
+k AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY entity_id, p {_NEWEST}) <= 20)
+SELECT entity_id, count(*) FILTER (p = 'FUNDED_BY') AS funding_rounds, coalesce(string_agg(DISTINCT e.name, '; ' ORDER BY e.name) FILTER (p = 'FUNDED_BY'), '') AS investors, CASE WHEN count(*) FILTER (p = 'ACQUIRED') > 0 THEN 'acquirer' END AS company_type,
+ count(*) FILTER (p = 'HIRED_BY') > 0 AS is_hiring, count(*) FILTER (p = 'HIRED_BY') AS job_openings FROM k LEFT JOIN entities e ON e.id = other_id GROUP BY entity_id""")
+def _(r, e):
+    return profiles.company_facts(r, e)
+
+
+@query("person_facts", "relationships entities", f"""
+, x AS (SELECT subject_id AS entity_id, predicate AS p, name, row_number() OVER (PARTITION BY subject_id, predicate ORDER BY event_date DESC NULLS LAST, r.id DESC) AS place FROM relationships r JOIN entities e ON e.id = r.object_id),
+k AS (SELECT *, CASE p WHEN 'CEO_OF' THEN 1 WHEN 'CTO_OF' THEN 2 WHEN 'CFO_OF' THEN 3 WHEN 'FOUNDED' THEN 4 END AS rank FROM x WHERE (p = 'HIRED_BY' AND place <= 20) OR (p = 'DEPARTED_FROM' AND place <= 10) OR p IN ('CEO_OF', 'CTO_OF', 'CFO_OF', 'FOUNDED'))
+SELECT entity_id, max(name) FILTER (p = 'HIRED_BY' AND place = 1) AS current_company, coalesce(string_agg(DISTINCT name, '; ' ORDER BY name) FILTER (p = 'DEPARTED_FROM' OR (p = 'HIRED_BY' AND place > 1)), '') AS previous_companies,
+ CASE min(rank) WHEN 1 THEN 'CEO' WHEN 2 THEN 'CTO' WHEN 3 THEN 'CFO' WHEN 4 THEN 'Founder' END AS title FROM k GROUP BY entity_id""")
+def _(r, e):
+    return profiles.person_facts(r, e)
+
+
+@query("leaders", "relationships entities")
+def _(r, e):
+    return profiles.leaders(r, e)
+
+
+@query("profile_events", "relationships", f"""
+, x AS (SELECT id, subject_id AS entity_id, object_id AS other_id, 'subject' AS side, predicate, event_date FROM relationships UNION ALL SELECT id, object_id, subject_id, 'object', predicate, event_date FROM relationships WHERE subject_id <> object_id)
+SELECT *, row_number() OVER (PARTITION BY entity_id {_NEWEST}) AS place FROM x QUALIFY place <= 15""")
+def _(r):
+    return profiles.profile_events(r)
+
+
+@query("profile_sources", "relationships", """
+, x AS (SELECT entity_id, source_url, max((coalesce(event_date, DATE '0001-01-01'), id)) AS m FROM (SELECT subject_id AS entity_id, source_url, event_date, id FROM relationships UNION ALL SELECT object_id, source_url, event_date, id FROM relationships) WHERE source_url <> '' GROUP BY ALL)
+SELECT entity_id, source_url, row_number() OVER (PARTITION BY entity_id ORDER BY m DESC) AS place FROM x QUALIFY place <= 10""")
+def _(r):
+    return profiles.profile_sources(r)
+
+
+@query("enrichment_overlay", "relationships", _ENRICHED + """
+, x AS (SELECT entity_id, 'last_' || lower(source) AS key, arg_max(context, seq) AS value FROM d GROUP BY ALL UNION ALL SELECT entity_id, 'source', arg_max(source, seq) FROM d GROUP BY ALL)
+SELECT entity_id, string_agg(key || '=' || value, ';' ORDER BY key) AS data FROM x GROUP BY entity_id""")
+def _(r):
+    docs = _documents(r).select("entity_id", "seq", F.create_map(F.concat(F.lit("last_"), F.lower("source")), "context", F.lit("source"), "source").alias("data"))
+    pairs = F.transform(F.map_entries("data"), lambda x: F.concat(x["key"], F.lit("="), x["value"]))
+    return profiles.overlay(docs).select("entity_id", F.array_join(pairs, ";").alias("data"))
+
+
+@query("entity_page", "entities", "SELECT id, name, entity_type, mention_count FROM entities ORDER BY mention_count DESC, id LIMIT 50 OFFSET 50")
+def _(e):
+    return profiles.page(e, 2).select("id", "name", "entity_type", "mention_count")
+
+
+@query("entity_page_counts", "entities", "SELECT entity_type, CAST(ceil(count(*) / 50.0) AS BIGINT) AS pages FROM entities GROUP BY entity_type")
+def _(e):
+    return profiles.page_counts(e)
+
+
+@query("search_with_events", "relationships entities", f"""
+, f AS (SELECT id AS entity_id, name FROM entities WHERE contains(lower(name), 'acme') ORDER BY mention_count DESC, id LIMIT 10),
+x AS (SELECT subject_id, id, predicate, event_date, row_number() OVER (PARTITION BY subject_id {_NEWEST}) AS place FROM relationships QUALIFY place <= 5)
+SELECT entity_id, name, x.id, predicate, event_date, place FROM f LEFT JOIN x ON subject_id = entity_id""")
+def _(r, e):
+    return profiles.hits_with_events(r, e, "Acme")
+
+
+@query("acquisition_listing", "relationships entities", f"""
+SELECT r.id, s.name AS subject, r.predicate, o.name AS object, r.event_date, 'acquisition' AS event_class, nullif(upper(left(split_part(h, '.', 1), 1)) || lower(substr(split_part(h, '.', 1), 2)), '') AS source_label
+FROM (SELECT *, replace(split_part(source_url, '/', 3), 'www.', '') AS h FROM relationships) r JOIN entities s ON s.id = r.subject_id JOIN entities o ON o.id = r.object_id WHERE r.predicate = 'ACQUIRED' ORDER BY r.event_date DESC NULLS LAST, r.id DESC LIMIT 200""")
+def _(r, e):
+    return profiles.listing(r, e, "ACQUIRED")
+
+
+@query("stamp_classified", "articles", """
+SELECT id, processed OR id % 2 = 0 AS processed, CASE WHEN id % 2 = 0 AND id % 3 <> 0 THEN 'funding' ELSE 'old' END AS event_type, CASE WHEN id % 2 = 0 AND id % 5 > 0 THEN (id % 5) / 10.0::DOUBLE ELSE 0.9::DOUBLE END AS classification_confidence,
+ CASE WHEN id % 2 = 0 THEN id % 4 = 0 ELSE is_high_signal END AS is_high_signal, extracted OR id % 7 = 0 AS extracted FROM articles""")
+def _(a):
+    old = a.select("id", "processed", F.lit(None).cast("timestamp").alias("processed_at"), F.lit("old").alias("event_type"), F.lit(0.9).alias("classification_confidence"), "is_high_signal", "extracted")
+    new = a.filter("id % 2 = 0").select("id", F.when(F.col("id") % 3 != 0, "funding").otherwise("").alias("event_type"), ((F.col("id") % 5) / 10).alias("confidence"), (F.col("id") % 4 == 0).alias("is_high_signal"))
+    return tables.stamp_extracted(tables.stamp_classified(old, new, "2024-06-30"), a.filter("id % 7 = 0")).drop("processed_at")
+
+
+@query("layoff_results", "names", """
+SELECT id, name AS subject, 'LAID_OFF' AS predicate, 'employees' AS object, 'Laid off ' || CAST(id % 90 AS VARCHAR) || ' employees' || CASE WHEN id % 4 > 0 THEN ' (' || CAST(id % 4 AS VARCHAR) || '% of workforce)' ELSE '' END AS context FROM names""")
+def _(n):
+    made = n.select("id", extraction.layoff_result(F.col("name"), F.col("id") % 90, F.col("id") % 4).alias("r"))
+    return made.select("id", F.inline("r.relationships")).select("id", "subject", "predicate", "object", "context")
+
+
+@query("funding_events", "relationships entities")
+def _(r, e):
+    return extraction.funding_events(graph.star(r, e), AS_OF)
+
+
 def _daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.daily_counts(spark.read.parquet(f"{sf_dir}/events.parquet")).withColumn("day", F.col("day").cast("date"))
 

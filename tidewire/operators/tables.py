@@ -128,3 +128,29 @@ def remap(relationships: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFram
     whole = F.col("s").isNotNull() & F.col("o").isNotNull()
     confidence = F.coalesce(F.nullif(F.col("confidence"), F.lit(0.0)), F.lit(0.8))
     return rows.filter(whole).withColumns({"subject_id": F.col("s"), "object_id": F.col("o"), "confidence": confidence}).drop("s", "o"), rows.filter(~whole).drop("s", "o")
+
+
+def stamp_classified(articles: DataFrame, results: DataFrame, now: str) -> DataFrame:
+    """SNK-03: results (id, event_type, confidence, is_high_signal), one for each id, mark their articles processed;
+    an empty type or a confidence of null or 0 leaves the old value, the flag always counts."""
+    new = results.select("id", F.nullif("event_type", F.lit("")).alias("new_type"), F.nullif("confidence", F.lit(0.0)).alias("new_confidence"), F.col("is_high_signal").alias("new_signal"), F.lit(True).alias("met"))
+    rows = articles.join(new, "id", "left")
+    met = F.coalesce("met", F.lit(False))
+    values = {
+        "processed": F.col("processed") | met, "processed_at": F.when(met, F.lit(now).cast("timestamp")).otherwise(F.col("processed_at")), "event_type": F.coalesce("new_type", "event_type"),
+        "classification_confidence": F.coalesce("new_confidence", "classification_confidence"), "is_high_signal": F.when(met, F.col("new_signal")).otherwise(F.col("is_high_signal")),
+    }
+    return rows.withColumns(values).select(*articles.columns)
+
+
+def stamp_extracted(articles: DataFrame, ids: DataFrame) -> DataFrame:
+    """SNK-04: articles of the ids are marked extracted; others keep their mark."""
+    met = ids.select("id", F.lit(True).alias("met")).distinct()
+    return articles.join(met, "id", "left").withColumn("extracted", F.col("extracted") | F.coalesce("met", F.lit(False))).select(*articles.columns)
+
+
+def upsert_feed_totals(target: DataFrame, news: DataFrame) -> DataFrame:
+    """SNK-14: (feed_name, total_articles, high_signal_articles); new totals take the place of the old."""
+    new = news.select("feed_name", *[F.col(c).alias(f"new_{c}") for c in ("total_articles", "high_signal_articles")])
+    both = target.join(new, "feed_name", "full_outer")
+    return both.select("feed_name", *[F.coalesce(f"new_{c}", c).alias(c) for c in ("total_articles", "high_signal_articles")])
