@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidewire.functions import names as N
 from tidewire.functions import texts as T
 from tidewire.functions.constants import ENTITY_SUFFIXES, FILING_SUFFIXES, SOURCE_TIERS
-from tidewire.operators import digest, extraction, graph, matching, profiles, quality, scoring, tables
+from tidewire.operators import digest, extraction, feeds, graph, matching, profiles, quality, scoring, tables
 from tidewire.plans.views import view, with_views
 from tidewire.streaming import jobs
 
@@ -258,6 +258,16 @@ def _(log):
     return tables.feed_stats(log)
 
 
+@query("feed_status", "feed_log", """
+, l AS (SELECT DISTINCT feed_id FROM feed_log), t AS (SELECT feed_id, sum(articles) AS total_articles FROM feed_log WHERE feed_id % 5 > 0 GROUP BY feed_id)
+SELECT l.feed_id, CAST(coalesce(total_articles, 0) AS BIGINT) AS total_articles, CASE WHEN l.feed_id % 9 = 0 THEN 'disabled' WHEN l.feed_id % 5 > 0 AND l.feed_id % 4 > 0 THEN 'warning' ELSE 'ok' END AS status,
+ CASE l.feed_id % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS priority_label FROM l LEFT JOIN t USING (feed_id)""")
+def _(log):
+    own = log.select("feed_id").distinct().withColumns({"enabled": F.col("feed_id") % 9 != 0, "priority": F.col("feed_id") % 3})
+    state = log.filter("feed_id % 5 > 0").groupBy("feed_id").agg(F.sum("articles").alias("total_articles"), F.lit(1.0).alias("success_rate"), F.max("ts").alias("last_ts")).withColumn("failures", F.col("feed_id") % 4)
+    return feeds.with_status(feeds.with_stats(own, state)).select("feed_id", "total_articles", "status", "priority_label")
+
+
 _TAGGED = "SELECT entity_id, tag FROM (SELECT object_id AS entity_id, lower(predicate) AS tag FROM relationships UNION SELECT subject_id, 'active' FROM relationships) WHERE NOT (tag = 'active' AND entity_id % 3 = 0)"
 
 
