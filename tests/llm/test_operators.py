@@ -60,6 +60,17 @@ def test_lm_base_scores_are_exact(spark):
     assert lm_score.score(empty(spark), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("n", [1000, 400_000])
+def test_lm_filter_grows_with_its_items(n):
+    g = np.random.default_rng(n)
+    hashes, levels = g.integers(0, 1 << 63, n).astype(np.uint64), g.integers(1, 6, n)
+    filter_ = lm_score.Levels(hashes, levels)
+    assert (filter_.read(hashes) >= levels).all() and (filter_.read(hashes) != levels).mean() < 0.01
+    assert (filter_.read(g.integers(0, 1 << 63, n).astype(np.uint64)) > 0).mean() < 0.01
+    filter_.bits[:] = True
+    assert filter_.read(hashes).max() == levels.max()
+
+
 def test_repeated_passage_goes_and_the_rest_stays(spark):
     passage = prose(80, 99) + "."
     rows = [(k, f"{prose(50, 200 + k)} {passage}\n{prose(40, 300 + k)}") for k in range(6)]

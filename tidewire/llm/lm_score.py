@@ -4,14 +4,16 @@ The filter holds each word and word pair of the training texts once for every le
 quantised count reaches (Talbot and Osborne, "Randomised Language Modelling"): words on the
 scale 2 ** (level / 2), so that one occurrence is level 1, and pairs on the scale 2 ** level,
 so that one occurrence is level 0 and takes no room.  A count is read back by probing level
-after level until one is absent.  The filter goes to all workers; it grows with the corpus up
-to `filter_bytes`.
+after level until one is absent.  The filter is in parts by hash, each sized by the items it
+holds, so it grows with the corpus and never fills; texts' words and pairs go to the parts
+and come back with their levels.
 
   P(w | v) = PAIR * c(v w) / c(v) + (1 - PAIR) * (c(w) + 0.1) / (N + 0.1 (V + 1))
 
-The exact counts of the base score do not fit a broadcast, so they meet the texts by blocks:
-texts are packed into blocks with their own word lists, each list goes to the bucket of its
-words, comes back with the words' counts over all blocks, and meets its block again.
+Neither these counts nor the exact ones of the base score fit a broadcast, so they meet the
+texts by blocks: texts are packed into blocks with their own lists of words and pairs, each
+list goes to the bucket of its items, comes back with what is known of them over all blocks,
+and meets its block again.
 """
 
 from __future__ import annotations
@@ -29,15 +31,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.bloom import SEGMENT_BITS, Bloom, mixed, places, segment_of, segments_for
+from tidewire.llm.bloom import mixed
 from tidewire.llm.common import SLICE_ROWS, cut, raw_texts
 
 #: Bytes of text that one block holds, unless a single text is longer.
 BLOCK_BYTES = 6_000_000
 #: Training tokens for which one more bucket of words and of pairs is made.
 BUCKET_TOKENS = 500_000
-FILTER_BYTES = 64 << 20
-BITS_PER_TOKEN = 4
+BITS_PER_KEY = 16
 PROBES = 4
 PAIR = 0.25
 WORD_STEPS = 2  # levels of words to an octave
@@ -49,22 +50,35 @@ def end_or_word(word: bytes) -> int:
 
 
 class Levels:
-    """Reads quantised counts from a filter."""
+    """Quantised counts of some items in a filter sized by what it holds, each item once for every level."""
 
-    def __init__(self, bloom: Bloom):
-        self.bloom = bloom
+    def __init__(self, hashes: np.ndarray, levels: np.ndarray):
+        self.top = int(levels.max(initial=0))
+        keys = np.concatenate([self.key(hashes[levels >= k], k) for k in range(1, self.top + 1)] or [np.zeros(0, np.uint64)])
+        self.size = np.uint64(max(64, BITS_PER_KEY * len(keys)))
+        self.bits = np.zeros(int(self.size), bool)
+        for at in self.places(keys):
+            self.bits[at] = True
 
     @staticmethod
     def key(hashes: np.ndarray, level: int) -> np.ndarray:
         return hashes ^ np.uint64((level * 0x9E3779B97F4A7C15) & (1 << 64) - 1)
 
+    def places(self, keys: np.ndarray) -> Iterator[np.ndarray]:
+        a, b = mixed(keys, 1), mixed(keys, 2) | np.uint64(1)
+        return (((a + np.uint64(k) * b) % self.size).astype(np.int64) for k in range(PROBES))
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        found = np.ones(len(keys), bool)
+        for at in self.places(keys):
+            found &= self.bits[at]
+        return found
+
     def read(self, hashes: np.ndarray) -> np.ndarray:
-        """The level of each item, by probes of level 1, 2, ... until one is absent."""
-        level, open_ = np.zeros(len(hashes), np.int64), np.arange(len(hashes))
-        step = 0
-        while len(open_):
-            step += 1
-            open_ = open_[self.bloom.has(np.bitwise_xor(hashes[open_], self.key(np.zeros(1, np.uint64), step)))]
+        """The level of each item, by probes of level 1, 2, ... until one is absent; none is over the highest set."""
+        level, open_ = np.zeros(len(hashes), np.uint8), np.arange(len(hashes))
+        for step in range(1, self.top + 1):
+            open_ = open_[self.has(self.key(hashes[open_], step))]
             level[open_] = step
         return level
 
@@ -86,6 +100,21 @@ def pair_count(level: np.ndarray) -> np.ndarray:
     return np.where(level > 0, 2.0 ** (level + 0.35), 0.0)
 
 
+def pairs_of(hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the pairs of tokens in texts laid end to end, and the place of each pair's second token."""
+    inner = np.ones(len(hashes), bool)
+    inner[starts] = False
+    at = np.flatnonzero(inner)
+    return pair_hash(hashes[at - 1], hashes[at]), at
+
+
+def spread(items: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the items by bucket, and each bucket's edges in it."""
+    bucket = (mixed(items) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+
+
 def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return mixed(first * np.uint64(0x9E3779B97F4A7C15) + second, 3)
 
@@ -124,6 +153,15 @@ class Packer:
             if len(own):
                 text = b"\n".join([words[j] for j in own.tolist()])
                 yield ("words", block, k, self.zstd.compress(text), self.zstd.compress(counts[own].astype(np.uint32).tobytes()), self.zstd.compress(own.astype(np.uint32).tobytes()), None, None)
+        hashes, sizes = np.fromiter(map(end_or_word, words), np.uint64, len(words)), np.array(self.sizes)
+        both, at = pairs_of(hashes[ids], np.cumsum(sizes) - sizes)
+        pairs, where = np.unique(both, return_inverse=True)
+        counts = np.bincount(where[train[at]], minlength=len(pairs)).astype(np.uint32)
+        order, edges = spread(pairs, self.buckets)
+        for k in range(self.buckets):
+            own = order[edges[k] : edges[k + 1]]
+            if len(own):
+                yield ("pairs", block, k, pairs[own].tobytes(), self.zstd.compress(counts[own].tobytes()), b"", None, None)
         self.clear()
 
 
@@ -160,7 +198,8 @@ def pack(docs: DataFrame, id_col: str, text_col: str, held, buckets: int, block_
 
 
 def total_counts(packed: DataFrame) -> DataFrame:
-    """Each block's words with their counts over all blocks; n and v are the bucket's tokens and words in training."""
+    """Each block's words with their counts over all blocks and the levels that the bucket's filter gives them;
+    n and v are the bucket's tokens and words in training."""
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
         unzip, zstd, total, lists = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1), Counter(), []
@@ -168,89 +207,35 @@ def total_counts(packed: DataFrame) -> DataFrame:
             words = unzip(body).split(b"\n")
             lists.append(words)
             for w, c in zip(words, np.frombuffer(unzip(counts), np.uint32).tolist(), strict=True):
-                if c:
-                    total[w] += c
+                total[w] += c
+        hashes = np.fromiter(map(end_or_word, total), np.uint64, len(total))
+        sums = np.fromiter(total.values(), np.int64, len(total))
+        level = dict(zip(total, Levels(hashes[sums > 0], word_levels(sums[sums > 0])).read(hashes).tolist(), strict=True))
         out = [zstd.compress(np.array([total[w] for w in words], np.uint64).tobytes()) for words in lists]
+        levels = [zstd.compress(bytes([level[w] for w in words])) for words in lists]
         marks = [1] + [0] * (len(out) - 1)
-        return pd.DataFrame({"block": group.block, "body": group.body, "sizes": group.sizes, "totals": out, "n": [m * sum(total.values()) for m in marks], "v": [m * len(total) for m in marks]})
+        return pd.DataFrame({"block": group.block, "bucket": group.bucket, "body": group.body, "sizes": group.sizes, "totals": out, "levels": levels, "n": [m * int(sums.sum()) for m in marks], "v": [m * int((sums > 0).sum()) for m in marks]})
 
     words = packed.filter("kind = 'words'").select("block", "bucket", "body", "counts", "sizes")
-    return cut(words.groupBy("bucket").applyInPandas(add, "block long, body binary, sizes binary, totals binary, n long, v long"))
+    return cut(words.groupBy("bucket").applyInPandas(add, "block long, bucket long, body binary, sizes binary, totals binary, levels binary, n long, v long"))
 
 
-def count_filter(docs: DataFrame, text_col: str, held, buckets: int, segments: int) -> dict[int, bytes]:
-    """Segments of the filter over all training texts.  Items are counted per task, sent by segment
-    and piece as hashes with counts, summed, and set at all their levels."""
-    pieces = max(1, buckets // segments)
+def levels_of_pairs(packed: DataFrame) -> DataFrame:
+    """The levels that the bucket's filter over all training texts gives each block's pairs, in the order sent."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[bytes, int] = {}
-
-        def sent(words: list[np.ndarray], pairs: list[np.ndarray]) -> pa.RecordBatch:
-            columns: list[list] = [[], [], [], [], []]
-            for kind, items in ((0, words), (1, pairs)):
-                hashes, counts = np.unique(np.concatenate(items), return_counts=True)
-                # the levels of an item lie in several segments, but it is summed in one place
-                place = segment_of(hashes, segments) * pieces + ((hashes >> np.uint64(20)) % np.uint64(pieces)).astype(np.int64)
-                order = np.argsort(place, kind="stable")
-                hashes, counts, place = hashes[order], counts[order], place[order]
-                ends = np.append(np.flatnonzero(np.diff(place)) + 1, len(place))
-                at = 0
-                for to in ends.tolist():
-                    more = counts[at:to] > 1
-                    for column, x in zip(columns, (kind, int(place[at]), hashes[at:to][~more].tobytes(), hashes[at:to][more].tobytes(), counts[at:to][more].astype(np.uint32).tobytes()), strict=True):
-                        column.append(x)
-                    at = to
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=["kind", "place", "once", "more", "counts"])
-
-        words, pairs, n = [], [], 0
-        for whole in batches:
-            for at in range(0, whole.num_rows, SLICE_ROWS):
-                for raw in raw_texts(whole.slice(at, SLICE_ROWS).column(0)):
-                    h = np.fromiter((cache.get(w) or cache.setdefault(w, end_or_word(w)) for w in (*raw.split(), b"")), np.uint64)
-                    words.append(h)
-                    pairs.append(pair_hash(h[:-1], h[1:]))
-                    n += len(h)
-                if len(cache) > 500_000:
-                    cache = {}
-                if n > 2_000_000:
-                    yield sent(words, pairs)
-                    words, pairs, n = [], [], 0
-        if n:
-            yield sent(words, pairs)
-
-    def levels(group: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for kind, own in group.groupby("kind"):
-            once = np.frombuffer(b"".join(own.once), np.uint64)
-            more = np.frombuffer(b"".join(own.more), np.uint64)
-            counts = np.frombuffer(b"".join(own.counts), np.uint32)
-            hashes, where = np.unique(np.concatenate([once, more]), return_inverse=True)
-            total = np.bincount(where, np.concatenate([np.ones(len(once)), counts]))
-            level = pair_levels(total) if kind else word_levels(total)
-            for k in range(1, int(level.max(initial=0)) + 1):
-                keys = Levels.key(hashes[level >= k], k)
-                segment = segment_of(keys, segments)
-                bit = np.unique(np.concatenate([segment * SEGMENT_BITS + at for at in places(keys, PROBES)]))
-                out.append(bit)
-        bits = np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
-        segment = bits // SEGMENT_BITS
-        edges = np.append(np.flatnonzero(np.diff(segment, prepend=-1)), len(bits))
-        return pd.DataFrame({"segment": segment[edges[:-1]], "bits": [bits[a:b].astype(np.uint32).tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]})
-
-    def join(group: pd.DataFrame) -> pd.DataFrame:
-        bits = np.zeros(SEGMENT_BITS, np.uint8)
-        for x in group.bits:
-            bits[np.frombuffer(x, np.uint32) % SEGMENT_BITS] = 1
-        return pd.DataFrame({"segment": group.segment[:1], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
-
-    rows = docs.filter(~held).select(F.col(text_col).cast("string")).mapInArrow(run, "kind long, place long, once binary, more binary, counts binary")
-    set_ = rows.groupBy("place").applyInPandas(levels, "segment long, bits binary")
-    return {r.segment: bytes(r.bits) for r in set_.groupBy("segment").applyInPandas(join, "segment long, bits binary").toLocalIterator()}
-
-
-def score(docs: DataFrame, held, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, filter_bytes: int = FILTER_BYTES) -> DataFrame:
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        unzip, zstd = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1)
+        lists = [np.frombuffer(x, np.uint64) for x in group.body]
+        hashes, where = np.unique(np.concatenate(lists), return_inverse=True)
+        sums = np.bincount(where, np.concatenate([np.frombuffer(unzip(x), np.uint32) for x in group.counts])).astype(np.int64)
+        filter_ = Levels(hashes[sums > 0], pair_levels(sums[sums > 0]))
+        return pd.DataFrame({"block": group.block, "bucket": group.bucket, "levels": [zstd.compress(filter_.read(x).tobytes()) for x in lists]})
+
+    pairs = packed.filter("kind = 'pairs'").select("block", "bucket", "body", "counts")
+    return pairs.groupBy("bucket").applyInPandas(add, "block long, bucket long, levels binary")
+
+
+def score(docs: DataFrame, held, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row for each input row: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     `held` is a boolean column over the input; rows where it is true (null counts as false)
@@ -265,22 +250,21 @@ def score(docs: DataFrame, held, id_col: str = "doc_id", text_col: str = "text",
     packed = pack(docs, id_col, text_col, held, buckets, block_bytes)
     totals = total_counts(packed)
     n, v = totals.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    segments = segments_for(n, BITS_PER_TOKEN, filter_bytes)
-    parts = count_filter(docs, text_col, held, buckets, segments)
-    sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast(Bloom(parts, segments, PROBES))  # at most filter_bytes
+    levels = totals.select("block", "bucket", "body", "sizes", "totals", "levels").unionByName(levels_of_pairs(packed), allowMissingColumns=True)
     kind = docs.schema[id_col].dataType.simpleString()
     space = float(np.log10(n + DAMP * (v + 1)))
 
     def rate(key, own: pd.DataFrame, lists: pd.DataFrame) -> pd.DataFrame:
-        unzip, levels = zstandard.ZstdDecompressor().decompress, Levels(shared.value)
+        unzip = zstandard.ZstdDecompressor().decompress
+        met, lists = lists[lists.body.isna()], lists[lists.body.notna()]
         size = 1 + max((int(np.frombuffer(unzip(x), np.uint32).max(initial=0)) for x in lists.sizes), default=0)
-        exact, hashes = np.zeros(size, np.int64), np.zeros(size, np.uint64)
-        for body, numbers, totals in zip(lists.body, lists.sizes, lists.totals, strict=True):
+        exact, hashes, level = np.zeros(size, np.int64), np.zeros(size, np.uint64), np.zeros(size, np.uint8)
+        for body, numbers, totals, own_levels in zip(lists.body, lists.sizes, lists.totals, lists.levels, strict=True):
             at = np.frombuffer(unzip(numbers), np.uint32)
             exact[at] = np.frombuffer(unzip(totals), np.uint64)
             hashes[at] = np.fromiter(map(end_or_word, unzip(body).split(b"\n")), np.uint64, len(at))
-        rough = word_count(levels.read(hashes))
+            level[at] = np.frombuffer(unzip(own_levels), np.uint8)
+        rough = word_count(level.astype(np.int64))
         plain = (rough + DAMP) / (n + DAMP * (v + 1))
         base = np.log10(exact + DAMP) - space
         out = []
@@ -288,13 +272,15 @@ def score(docs: DataFrame, held, id_col: str = "doc_id", text_col: str = "text",
             w = np.frombuffer(unzip(body), np.uint32)
             lengths = np.frombuffer(sizes, np.uint32).astype(np.int64)
             starts = np.cumsum(lengths) - lengths
-            before = np.roll(w, 1)
-            p = np.minimum(1.0, plain[w])
-            for a in range(0, len(w), 1 << 20):
-                b = slice(a, a + (1 << 20))
-                both = pair_count(levels.read(pair_hash(hashes[before[b]], hashes[w[b]])))
-                p[b] = (1 - PAIR) * p[b] + PAIR * np.minimum(1.0, both / np.maximum(1.0, rough[before[b]]))
-            p[starts] = np.minimum(1.0, plain[w[starts]])  # a text's first token has no history
+            both, at = pairs_of(hashes[w], starts)
+            pairs, where = np.unique(both, return_inverse=True)
+            order, edges = spread(pairs, buckets)
+            pair_level = np.zeros(len(pairs), np.int64)
+            for k, x in zip(met.bucket, met.levels, strict=True):
+                pair_level[order[edges[k] : edges[k + 1]]] = np.frombuffer(unzip(x), np.uint8)
+            p = np.minimum(1.0, plain[w])  # all that a text's first token has, as it has no history
+            seen = pair_count(pair_level)[where]
+            p[at] = (1 - PAIR) * p[at] + PAIR * np.minimum(1.0, seen / np.maximum(1.0, rough[w[at - 1]]))
             out.append(pd.DataFrame({
                 id_col: list(ids), "held_out": list(held), "n_tokens": lengths, "n_known": np.add.reduceat((exact[w] > 0).astype(np.int64), starts), "train_tokens": n,
                 "base_score": np.add.reduceat(base[w], starts), "score": np.add.reduceat(np.log10(np.maximum(p, 1e-300)), starts),
@@ -303,4 +289,4 @@ def score(docs: DataFrame, held, id_col: str = "doc_id", text_col: str = "text",
 
     blocks = packed.filter("kind = 'docs'").select("block", "body", "sizes", "ids", "held")
     schema = f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return blocks.groupBy("block").cogroup(totals.select("block", "body", "sizes", "totals").groupBy("block")).applyInPandas(rate, schema)
+    return blocks.groupBy("block").cogroup(levels.groupBy("block")).applyInPandas(rate, schema)
