@@ -60,6 +60,11 @@ def test_lm_base_scores_are_exact(spark):
     assert lm_score.score(empty(spark), F.lit(True)).count() == 0
 
 
+def test_lm_knows_a_pair_met_once(spark):
+    score = lambda text: lm_score.score(frame(spark, [(0, "zig zag"), (1, text), (2, prose(50, 4))]), F.col("doc_id") == 0).filter("doc_id = 0").first().score
+    assert score("zig zag") > score("zag zig") + 0.1
+
+
 @pytest.mark.parametrize("n", [1000, 400_000])
 def test_lm_filter_grows_with_its_items(n):
     g = np.random.default_rng(n)

@@ -1,9 +1,8 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
 The filter holds each word and word pair of the training texts once for every level that its
-quantised count reaches (Talbot and Osborne, "Randomised Language Modelling"): words on the
-scale 2 ** (level / 2), so that one occurrence is level 1, and pairs on the scale 2 ** level,
-so that one occurrence is level 0 and takes no room.  A count is read back by probing level
+quantised count reaches (Talbot and Osborne, "Randomised Language Modelling"), on the scale
+2 ** (level / 2), so that one occurrence is level 1.  A count is read back by probing level
 after level until one is absent.  The filter is in parts by hash, each sized by the items it
 holds, so it grows with the corpus and never fills; texts' words and pairs go to the parts
 and come back with their levels.
@@ -41,7 +40,7 @@ BUCKET_TOKENS = 500_000
 BITS_PER_KEY = 16
 PROBES = 4
 PAIR = 0.25
-WORD_STEPS = 2  # levels of words to an octave
+STEPS = 2  # levels to an octave
 DAMP = 0.1
 
 
@@ -83,21 +82,13 @@ class Levels:
         return level
 
 
-def word_levels(counts: np.ndarray) -> np.ndarray:
-    return 1 + np.floor(WORD_STEPS * np.log2(np.maximum(1, counts)) + 1e-9).astype(np.int64)
+def levels_for(counts: np.ndarray) -> np.ndarray:
+    return 1 + np.floor(STEPS * np.log2(np.maximum(1, counts)) + 1e-9).astype(np.int64)
 
 
-def pair_levels(counts: np.ndarray) -> np.ndarray:
-    return np.floor(np.log2(np.maximum(1, counts)) + 1e-9).astype(np.int64)
-
-
-def word_count(level: np.ndarray) -> np.ndarray:
+def count_at(level: np.ndarray) -> np.ndarray:
     """Middle of the level's range of counts; none for level 0."""
-    return np.where(level > 0, 2.0 ** ((level - 1 + 0.35 * (level > 2)) / WORD_STEPS), 0.0)
-
-
-def pair_count(level: np.ndarray) -> np.ndarray:
-    return np.where(level > 0, 2.0 ** (level + 0.35), 0.0)
+    return np.where(level > 0, 2.0 ** ((level - 1 + 0.35 * (level > 2)) / STEPS), 0.0)
 
 
 def pairs_of(hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -144,7 +135,8 @@ class Packer:
         ids, words = np.concatenate(self.ids), list(self.numbers)
         train = np.repeat(~np.array(self.held, bool), self.sizes)
         counts = np.bincount(ids[train], minlength=len(words))
-        yield ("docs", block, -1, self.zstd.compress(ids.tobytes()), b"", struct.pack(f"<{len(self.sizes)}I", *self.sizes), self.keys, self.held)
+        hashes = np.fromiter(map(end_or_word, words), np.uint64, len(words))
+        yield ("docs", block, -1, self.zstd.compress(ids.tobytes()), hashes.tobytes(), struct.pack(f"<{len(self.sizes)}I", *self.sizes), self.keys, self.held)
         bucket = np.fromiter((zlib.crc32(w) % self.buckets for w in words), np.int64, len(words))
         order = np.argsort(bucket, kind="stable")
         edges = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
@@ -153,15 +145,6 @@ class Packer:
             if len(own):
                 text = b"\n".join([words[j] for j in own.tolist()])
                 yield ("words", block, k, self.zstd.compress(text), self.zstd.compress(counts[own].astype(np.uint32).tobytes()), self.zstd.compress(own.astype(np.uint32).tobytes()), None, None)
-        hashes, sizes = np.fromiter(map(end_or_word, words), np.uint64, len(words)), np.array(self.sizes)
-        both, at = pairs_of(hashes[ids], np.cumsum(sizes) - sizes)
-        pairs, where = np.unique(both, return_inverse=True)
-        counts = np.bincount(where[train[at]], minlength=len(pairs)).astype(np.uint32)
-        order, edges = spread(pairs, self.buckets)
-        for k in range(self.buckets):
-            own = order[edges[k] : edges[k + 1]]
-            if len(own):
-                yield ("pairs", block, k, pairs[own].tobytes(), self.zstd.compress(counts[own].tobytes()), b"", None, None)
         self.clear()
 
 
@@ -210,28 +193,44 @@ def total_counts(packed: DataFrame) -> DataFrame:
                 total[w] += c
         hashes = np.fromiter(map(end_or_word, total), np.uint64, len(total))
         sums = np.fromiter(total.values(), np.int64, len(total))
-        level = dict(zip(total, Levels(hashes[sums > 0], word_levels(sums[sums > 0])).read(hashes).tolist(), strict=True))
+        level = dict(zip(total, Levels(hashes[sums > 0], levels_for(sums[sums > 0])).read(hashes).tolist(), strict=True))
         out = [zstd.compress(np.array([total[w] for w in words], np.uint64).tobytes()) for words in lists]
         levels = [zstd.compress(bytes([level[w] for w in words])) for words in lists]
         marks = [1] + [0] * (len(out) - 1)
-        return pd.DataFrame({"block": group.block, "bucket": group.bucket, "body": group.body, "sizes": group.sizes, "totals": out, "levels": levels, "n": [m * int(sums.sum()) for m in marks], "v": [m * int((sums > 0).sum()) for m in marks]})
+        return pd.DataFrame({"block": group.block, "bucket": group.bucket, "sizes": group.sizes, "totals": out, "levels": levels, "n": [m * int(sums.sum()) for m in marks], "v": [m * int((sums > 0).sum()) for m in marks]})
 
     words = packed.filter("kind = 'words'").select("block", "bucket", "body", "counts", "sizes")
-    return cut(words.groupBy("bucket").applyInPandas(add, "block long, bucket long, body binary, sizes binary, totals binary, levels binary, n long, v long"))
+    return cut(words.groupBy("bucket").applyInPandas(add, "block long, bucket long, sizes binary, totals binary, levels binary, n long, v long"))
+
 
+def levels_of_pairs(packed: DataFrame, buckets: int) -> DataFrame:
+    """The levels that the bucket's filter over all training texts gives each block's pairs, in the order of `spread`."""
 
-def levels_of_pairs(packed: DataFrame) -> DataFrame:
-    """The levels that the bucket's filter over all training texts gives each block's pairs, in the order sent."""
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unzip, zstd = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1)
+        for whole in batches:
+            for k in range(whole.num_rows):
+                block, body, hashes, sizes, held = (x[k].as_py() for x in whole.columns)
+                sizes = np.frombuffer(sizes, np.uint32).astype(np.int64)
+                both, at = pairs_of(np.frombuffer(hashes, np.uint64)[np.frombuffer(unzip(body), np.uint32)], np.cumsum(sizes) - sizes)
+                pairs, where = np.unique(both, return_inverse=True)
+                counts = np.bincount(where[np.repeat(~np.array(held, bool), sizes)[at]], minlength=len(pairs)).astype(np.uint32)
+                order, edges = spread(pairs, buckets)
+                some = np.flatnonzero(np.diff(edges)).tolist()
+                parts = [order[edges[j] : edges[j + 1]] for j in some]
+                columns = [pa.array([block] * len(some), pa.int64()), pa.array(some, pa.int64()), pa.array([pairs[x].tobytes() for x in parts], pa.binary()), pa.array([zstd.compress(counts[x].tobytes()) for x in parts], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["block", "bucket", "body", "counts"])
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
         unzip, zstd = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1)
         lists = [np.frombuffer(x, np.uint64) for x in group.body]
         hashes, where = np.unique(np.concatenate(lists), return_inverse=True)
         sums = np.bincount(where, np.concatenate([np.frombuffer(unzip(x), np.uint32) for x in group.counts])).astype(np.int64)
-        filter_ = Levels(hashes[sums > 0], pair_levels(sums[sums > 0]))
+        filter_ = Levels(hashes[sums > 0], levels_for(sums[sums > 0]))
         return pd.DataFrame({"block": group.block, "bucket": group.bucket, "levels": [zstd.compress(filter_.read(x).tobytes()) for x in lists]})
 
-    pairs = packed.filter("kind = 'pairs'").select("block", "bucket", "body", "counts")
+    docs = packed.filter("kind = 'docs'").select("block", "body", F.col("counts").alias("hashes"), "sizes", "held")
+    pairs = docs.mapInArrow(send, "block long, bucket long, body binary, counts binary")
     return pairs.groupBy("bucket").applyInPandas(add, "block long, bucket long, levels binary")
 
 
@@ -250,36 +249,35 @@ def score(docs: DataFrame, held, id_col: str = "doc_id", text_col: str = "text",
     packed = pack(docs, id_col, text_col, held, buckets, block_bytes)
     totals = total_counts(packed)
     n, v = totals.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    levels = totals.select("block", "bucket", "body", "sizes", "totals", "levels").unionByName(levels_of_pairs(packed), allowMissingColumns=True)
+    levels = totals.select("block", "bucket", "sizes", "totals", "levels").unionByName(levels_of_pairs(packed, buckets), allowMissingColumns=True)
     kind = docs.schema[id_col].dataType.simpleString()
     space = float(np.log10(n + DAMP * (v + 1)))
 
     def rate(key, own: pd.DataFrame, lists: pd.DataFrame) -> pd.DataFrame:
         unzip = zstandard.ZstdDecompressor().decompress
-        met, lists = lists[lists.body.isna()], lists[lists.body.notna()]
+        met, lists = lists[lists.totals.isna()], lists[lists.totals.notna()]
         size = 1 + max((int(np.frombuffer(unzip(x), np.uint32).max(initial=0)) for x in lists.sizes), default=0)
-        exact, hashes, level = np.zeros(size, np.int64), np.zeros(size, np.uint64), np.zeros(size, np.uint8)
-        for body, numbers, totals, own_levels in zip(lists.body, lists.sizes, lists.totals, lists.levels, strict=True):
+        exact, level = np.zeros(size, np.int64), np.zeros(size, np.uint8)
+        for numbers, totals, own_levels in zip(lists.sizes, lists.totals, lists.levels, strict=True):
             at = np.frombuffer(unzip(numbers), np.uint32)
             exact[at] = np.frombuffer(unzip(totals), np.uint64)
-            hashes[at] = np.fromiter(map(end_or_word, unzip(body).split(b"\n")), np.uint64, len(at))
             level[at] = np.frombuffer(unzip(own_levels), np.uint8)
-        rough = word_count(level.astype(np.int64))
+        rough = count_at(level.astype(np.int64))
         plain = (rough + DAMP) / (n + DAMP * (v + 1))
         base = np.log10(exact + DAMP) - space
         out = []
-        for body, sizes, ids, held in zip(own.body, own.sizes, own.ids, own.held, strict=True):
+        for body, hashes, sizes, ids, held in zip(own.body, own.counts, own.sizes, own.ids, own.held, strict=True):
             w = np.frombuffer(unzip(body), np.uint32)
             lengths = np.frombuffer(sizes, np.uint32).astype(np.int64)
             starts = np.cumsum(lengths) - lengths
-            both, at = pairs_of(hashes[w], starts)
+            both, at = pairs_of(np.frombuffer(hashes, np.uint64)[w], starts)
             pairs, where = np.unique(both, return_inverse=True)
             order, edges = spread(pairs, buckets)
             pair_level = np.zeros(len(pairs), np.int64)
             for k, x in zip(met.bucket, met.levels, strict=True):
                 pair_level[order[edges[k] : edges[k + 1]]] = np.frombuffer(unzip(x), np.uint8)
             p = np.minimum(1.0, plain[w])  # all that a text's first token has, as it has no history
-            seen = pair_count(pair_level)[where]
+            seen = count_at(pair_level)[where]
             p[at] = (1 - PAIR) * p[at] + PAIR * np.minimum(1.0, seen / np.maximum(1.0, rough[w[at - 1]]))
             out.append(pd.DataFrame({
                 id_col: list(ids), "held_out": list(held), "n_tokens": lengths, "n_known": np.add.reduceat((exact[w] > 0).astype(np.int64), starts), "train_tokens": n,
@@ -287,6 +285,6 @@ def score(docs: DataFrame, held, id_col: str = "doc_id", text_col: str = "text",
             }))
         return pd.concat(out)
 
-    blocks = packed.filter("kind = 'docs'").select("block", "body", "sizes", "ids", "held")
+    blocks = packed.filter("kind = 'docs'").select("block", "body", "counts", "sizes", "ids", "held")
     schema = f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return blocks.groupBy("block").cogroup(levels.groupBy("block")).applyInPandas(rate, schema)
