@@ -212,6 +212,16 @@ def test_compression_bands(spark):
     assert zlib.crc32(b"1") >= 0
 
 
+def test_junk_fails_wherever_it_stands(spark):
+    import base64
+
+    text, junk = prose(1366, 77) + " ", base64.b64encode(RNG.bytes(12288)).decode()
+    again = ("the same sentence again and again. " * 200)[:4000]
+    rows = [(1, text), (2, text + junk), (3, junk + text), (4, text + again), (5, again + text)]
+    got = {r.doc_id: r for r in quality_rules.compression_rules(frame(spark, rows)).collect()}
+    assert [got[k].chunks_failed for k in range(1, 6)] == [False, True, True, True, True]
+
+
 def test_pipeline_stages_keep_columns(spark, tmp_path):
     import corpus_pipeline
 

@@ -17,8 +17,8 @@ from tidewire.llm.common import map_slices, raw_texts
 #: (bytes from which it holds, least ratio, greatest ratio) of a whole document.
 BANDS = ((0, 0.0, 4.0), (64, 0.7, 2.4), (256, 1.02, 2.7), (1024, 1.36, 3.2), (4096, 1.4, 3.4), (32768, 1.4, 3.8))
 CHUNK_BYTES = 4096
-#: A chunk of full length outside this band is a bad one.
-CHUNK_BAND = (1.3, 3.6)
+#: A chunk of full length outside this band is a bad one; base64 is at 1.3 to 1.4, prose at 2.1 or more.
+CHUNK_BAND = (1.7, 3.6)
 MAX_BAD_SHARE = 0.25
 LEVEL = 3
 
@@ -41,11 +41,12 @@ def repeated_words(words: list[bytes], size: int = 3) -> int:
 
 
 def ratios(raw: bytes, zstd: zstandard.ZstdCompressor, chunk_bytes: int = CHUNK_BYTES) -> tuple[float, list[float]]:
-    """Raw bytes by compressed bytes: of the whole, and of each chunk of full length."""
+    """Raw bytes by compressed bytes: of the whole, and of each chunk of full length; the last one ends the text and may overlap."""
     whole = len(raw) / len(zstd.compress(raw)) if raw else 0.0
-    if len(raw) < 2 * chunk_bytes:
+    if len(raw) < chunk_bytes:
         return whole, []
-    parts = (raw[k : k + chunk_bytes] for k in range(0, len(raw) - chunk_bytes + 1, chunk_bytes))
+    starts = [*range(0, len(raw) - chunk_bytes, chunk_bytes), len(raw) - chunk_bytes]
+    parts = (raw[k : k + chunk_bytes] for k in starts)
     return whole, [chunk_bytes / len(zstd.compress(x)) for x in parts]
 
 
@@ -61,7 +62,7 @@ def compression_rules(
 
     `ratio_failed`: the whole text's ratio is outside its length's band.  `chunks_failed`:
     more than `max_bad_share` of the full chunks are outside `chunk_band` (texts shorter than
-    two chunks have none).  `base_failed`: fewer than 50 words, or more than half of the words
+    a chunk have none).  `base_failed`: fewer than 50 words, or more than half of the words
     lie in repeated 3-word windows.  A null or empty text has no words, ratio 0 and is failed
     by the base rule.  Repeated rows are judged one by one; other columns are not read.
     """
