@@ -89,6 +89,18 @@ def test_repeated_passage_goes_and_the_rest_stays(spark):
     assert line_dedup.without_repeats(empty(spark)).count() == 0
 
 
+def test_passages_of_few_words_and_of_51_words_go(spark):
+    missed = []
+    for g, passage in enumerate(["spam " * 60, "buy " * 60, "to me " * 30, "one two three " * 20, "it is so " * 20, *(prose(51, 5000 + k) for k in range(400))]):
+        texts = [f"{prose(40 + k, 7 * g + k)} {passage.strip()} {prose(45, 9 * g + k + 3)}".encode() for k in range(2)]
+        c = line_dedup.Chunks(texts)
+        first = set(c.hash[c.doc == 0].tolist())
+        marked = c.runs(np.array([d == 1 and h in first for d, h in zip(c.doc.tolist(), c.hash.tolist())]), line_dedup.MIN_WORDS, line_dedup.MIN_LINES)
+        if c.words[marked].sum() < 14:
+            missed.append(g)
+    assert len(missed) <= 1 and not any(g < 5 for g in missed)
+
+
 def contamination(doc, items, size=13):
     words, hit, met = decontaminate.words_of(doc.encode()), set(), set()
     for name, text in items:

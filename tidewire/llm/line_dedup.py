@@ -1,7 +1,8 @@
 """Line dedup by content-defined chunks of lines.
 
 Logical lines are a text's lines, and long ones folded after words chosen by their hash, so
-that a passage folds alike wherever it stands.  A rolling hash over the last two lines'
+that a passage folds alike wherever it stands; where none is chosen for long, the least
+hash of a pair of words in each window folds.  A rolling hash over the last two lines'
 hashes sets the chunk boundaries: after two lines they depend on the passage alone, not on
 what was put before it.  A chunk in more than one document is repeated; where repeated
 chunks that follow each other make up `min_lines` lines and `min_words` words or more, they
@@ -14,19 +15,24 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.bloom import bloom_of
+from tidewire.llm.bloom import bloom_of, mixed
 from tidewire.llm.common import SLICE_ROWS, cut, raw_texts
 
 #: One word in so many ends a logical line; three in four lines end a chunk.
-FOLD = 4
+FOLD = 3
+#: From so many words without an end on, each window of so many words ends a line at its least pair of words.
+CALM, WINDOW = 6, 4
 MIN_WORDS = 14
 MIN_LINES = 2
 #: Bytes of the filter of repeated hashes that goes to the workers.
 FILTER_BYTES = 16 << 20
+#: Letters of text for which one more bucket of hashes is made.
+BUCKET_CHARS = 16_000_000
 
 _RNG = np.random.default_rng(7)
 _BYTES = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -86,6 +92,14 @@ class Chunks:
         feeds = np.concatenate([[0], np.cumsum(b == 10)])
         opens = np.ones(len(words), bool)
         opens[1:] = (feeds[start[1:]] > feeds[end[:-1]]) | (_mix(code(start, end)[:-1]) % np.uint64(fold) == 0)
+        # where no word is chosen for long; equal pairs all fold, so that words that repeat are met at any place
+        place = np.arange(len(words))
+        long_ = np.flatnonzero(place - np.maximum.accumulate(np.where(opens, place, 0)) >= CALM + WINDOW - 1)
+        if len(long_):
+            near = long_[:, None] - np.arange(WINDOW)
+            h = code(start, end)
+            pair = _mix(h[near] * np.uint64(5) + h[near - 1] * np.uint64(0x9E3779B97F4A7C15))
+            opens[long_ - pair.argmin(axis=1)] = True
         first = np.flatnonzero(opens)
         last = np.append(first[1:], len(words)) - 1
         line_doc, line_hash = doc[first], code(start[first], end[last])
@@ -94,6 +108,8 @@ class Chunks:
         ends = _mix(line_hash * np.uint64(3) + before * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(4) != 0
         ends[:-1] |= line_doc[1:] != line_doc[:-1]
         ends[-1] = True
+        calm = ~(ends[3:] | ends[2:-1] | ends[1:-2] | ends[:-3]) & (line_doc[3:] == line_doc[:-3])
+        ends[3:] |= calm
         to = np.flatnonzero(ends)
         of = np.append(0, to[:-1] + 1)
         self.doc, self.start, self.end = line_doc[of], start[first[of]], end[last[to]]
@@ -112,6 +128,16 @@ class Chunks:
         return marked & enough[run]
 
 
+def extremes(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys with the least and the greatest id of each."""
+    if not len(keys):
+        return keys, ids, ids
+    order = np.argsort(keys, kind="stable")
+    keys, ids = keys[order], ids[order]
+    at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[at], np.minimum.reduceat(ids, at), np.maximum.reduceat(ids, at)
+
+
 def cleaned(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     """Without the spans; a span that begins a line takes the blanks after it along."""
     out, at = [], 0
@@ -140,13 +166,47 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 batch = whole.slice(at, SLICE_ROWS)
                 yield batch, Chunks(raw_texts(batch.column(column)), fold)
 
+    buckets = max(8, (rows.agg(F.sum(F.length("text"))).first()[0] or 0) // BUCKET_CHARS)
+
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, c in sliced(batches, 1):
-            yield pa.RecordBatch.from_arrays([pa.array(c.hash), batch.column(0).take(pa.array(c.doc))], names=["key", "id"])
+        keys, ids, n = [], [], 0
+
+        def sent() -> pa.RecordBatch:
+            key, id_ = np.concatenate(keys), np.concatenate(ids)
+            met, least, most = extremes(key, id_)
+            wide = least < most  # a key of one document goes once
+            key, id_ = np.concatenate([met, met[wide]]), np.concatenate([least, most[wide]])
+            bucket = (mixed(key) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            some = np.flatnonzero(np.diff(edges))
+            parts = [order[edges[k] : edges[k + 1]] for k in some.tolist()]
+            return pa.RecordBatch.from_arrays([pa.array(some), pa.array([key[x].tobytes() for x in parts], pa.binary()), pa.array([id_[x].tobytes() for x in parts], pa.binary())], names=["bucket", "keys", "ids"])
 
-    met = rows.mapInArrow(hashes, "key long, id long").groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most"))
-    repeated = cut(met.filter("least < most").select("key"))
-    filter_ = docs.sparkSession.sparkContext.broadcast(bloom_of(repeated, repeated.count(), max_bytes=FILTER_BYTES))
+        for batch, c in sliced(batches, 1):
+            keys.append(c.hash)
+            ids.append(batch.column(0).to_numpy()[c.doc])
+            n += len(c.hash)
+            if n > 500_000:
+                yield sent()
+                keys, ids, n = [], [], 0
+        if n:
+            yield sent()
+
+    def join(group: pd.DataFrame) -> pd.DataFrame:
+        key, least, most = extremes(np.frombuffer(b"".join(group["keys"]), np.int64), np.frombuffer(b"".join(group["ids"]), np.int64))
+        key = key[least < most]
+        return pd.DataFrame({"n": [len(key)], "keys": [key.tobytes()]})
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, np.int64))], names=["key"])
+
+    # keys go as packed bytes, with the least and greatest id of each in some documents
+    repeated = cut(rows.mapInArrow(hashes, "bucket long, keys binary, ids binary").groupBy("bucket").applyInPandas(join, "n long, keys binary"))
+    n = repeated.agg(F.sum("n")).first()[0] or 0
+    filter_ = docs.sparkSession.sparkContext.broadcast(bloom_of(repeated.select("keys").mapInArrow(unpack, "key long"), n, max_bytes=FILTER_BYTES))
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, c in sliced(batches, 2):
