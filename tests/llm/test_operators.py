@@ -147,6 +147,18 @@ def test_toxicity_on_held_out_texts(spark):
     assert toxicity.score_toxicity(frame(spark), none).agg(F.max("score")).first()[0] < 0.7
 
 
+def test_toxicity_meets_a_passage_at_any_place():
+    assert toxicity.STRIDE <= toxicity.WINDOW // 2
+    net = toxicity.Network()
+    net.chances = lambda gates, ids: np.where((ids == rows[b"end"]).any(axis=1) & (ids == rows[b"start"]).any(axis=1), 0.9, 0.3)
+    for at in range(60):
+        words = [f"w{k}".encode() for k in range(140)]
+        words[at], words[at + 31] = b"start", b"end"
+        scorer = toxicity.Scorer(net)
+        rows = scorer.rows
+        assert scorer.score([b" ".join(words)])[0] == 0.9
+
+
 def test_bpe_like_the_library(spark):
     path = P.path("byte_bpe_50k.tiktoken")
     own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=byte_bpe.read_ranks(path), special_tokens={})

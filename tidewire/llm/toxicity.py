@@ -2,8 +2,8 @@
 
 A word's input is a trained vector of the word plus the trained vectors of its character
 n-grams.  Two GRUs read a window of words in both directions, attention pools their states,
-and a logistic unit scores the window.  All overlapping windows of a text are scored; the
-text's score is its highest.  Labels are given for texts, so training works in rounds: the
+and a logistic unit scores the window.  A text's windows of 32 words start every 16 words,
+and at every word around those that come near; the text's score is its highest.  Labels are given for texts, so training works in rounds: the
 windows of a toxic text that look most toxic stand for it (at first by the label counts of
 words and n-grams, then by the network itself), and clean texts give random and hardest ones.
 """
@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 from tidewire.llm.common import SLICE_ROWS, raw_texts
 from tidewire.llm.decontaminate import words_of
 
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE = 32, 16
+#: From this chance on, every window around a window is scored too.
+NEAR = 0.2
 STATES, INPUTS = 8, 12
 CELLS = 1 << 18
 #: Lengths of n-grams anywhere in a word, and of those at its start (both with the mark of its start).
@@ -295,8 +297,16 @@ class Scorer:
         begin = np.concatenate([first[d] + np.array(s) for d, s in enumerate(starts)])
         ids = flat[begin[:, None] + np.arange(WINDOW)]
         ids[begin[:, None] + np.arange(WINDOW) >= (first + size)[of][:, None]] = -1
-        best = np.zeros(len(texts))
-        np.maximum.at(best, of, self.net.chances(self.gates, ids).astype(float))
+        best, chance = np.zeros(len(texts)), self.net.chances(self.gates, ids).astype(float)
+        np.maximum.at(best, of, chance)
+        near = np.flatnonzero(chance >= NEAR)
+        if len(near):
+            around = np.arange(1 - STRIDE, STRIDE)
+            at, of = (begin[near][:, None] + around).ravel(), np.repeat(of[near], len(around))
+            inside = (at >= first[of]) & (at + WINDOW <= (first + size)[of])
+            at, back = np.unique(at[inside], return_index=True)
+            if len(at):
+                np.maximum.at(best, of[inside][back], self.net.chances(self.gates, flat[at[:, None] + np.arange(WINDOW)]).astype(float))
         return best
 
 
