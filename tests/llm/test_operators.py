@@ -159,6 +159,17 @@ def test_toxicity_meets_a_passage_at_any_place():
         assert scorer.score([b" ".join(words)])[0] == 0.9
 
 
+def test_toxicity_reads_long_words_whole():
+    assert toxicity.inputs_of("one\u00a0slorp\u2014two caf\u00e9".encode()) == [b"one", b"slorp", b"two", "caf\u00e9".encode()]
+    net, text = toxicity.Network(), "\u4f60\u597d\u4e16\u754c" * 20
+    for long_ in (text, "x" * 90):
+        parts = toxicity.inputs_of((long_ + "slorp").encode())
+        assert all(len(x) <= 40 for x in parts) and parts[-1].endswith(b"slorp") and parts[0] == long_.encode()[:40]
+        assert all(a[-12:] == b[:12] for a, b in zip(parts, parts[1:], strict=False))
+    scores = toxicity.Scorer(net).score([("x" * 90 + w).encode() for w in ("slorp", "clean")])
+    assert scores[0] != scores[1] and len(toxicity.gram_cells([b"x" * 90])[0]) > 2 * 80
+
+
 def test_bpe_like_the_library(spark):
     path = P.path("byte_bpe_50k.tiktoken")
     own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=byte_bpe.read_ranks(path), special_tokens={})

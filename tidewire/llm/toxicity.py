@@ -10,6 +10,8 @@ words and n-grams, then by the network itself), and clean texts give random and
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterator
 from itertools import chain
 
@@ -38,13 +40,30 @@ BATCH = 1024
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
+#: Bytes of a piece of a long word, and those that neighbours share.
+PIECE, SHARED = 40, 12
+_MARKS = "".join(c for c in map(chr, range(128, 0x110000)) if unicodedata.category(c) in ("Zs", "Zl", "Zp", "Pc", "Pd", "Ps", "Pe", "Pi", "Pf", "Po", "Cc", "Cf"))
+_BETWEEN = re.compile(f"[{re.escape(_MARKS)}]+")
+
+
+def pieces(word: bytes) -> list[bytes]:
+    """A word split at marks and blanks that are not ASCII; what is still long goes as overlapping pieces."""
+    parts = [x.encode() for x in _BETWEEN.split(word.decode("utf-8", "replace")) if x] or [word]
+    return [x[k : k + PIECE] for x in parts for k in range(0, max(1, len(x) - SHARED), PIECE - SHARED)]
+
+
+def inputs_of(raw: bytes) -> list[bytes]:
+    """The words that the network reads; together they hold every letter of the text."""
+    return [x for w in words_of(raw) for x in ((w,) if len(w) <= PIECE and w.isascii() else pieces(w))]
+
+
 def word_cells(words: list[bytes]) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(w) & (CELLS - 1) for w in words), np.int64, len(words))
 
 
 def gram_cells(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(word, cell) of each character n-gram (bytes) of `^word$`, anywhere and at its start; at most the first 40 bytes give n-grams."""
-    marked = [b"\1" + w[:40] + b"\2" for w in words]
+    """(word, cell) of each character n-gram (bytes) of `^word$`, anywhere and at its start."""
+    marked = [b"\1" + w + b"\2" for w in words]
     size = np.fromiter(map(len, marked), np.int64, len(marked))
     owner, raw = np.repeat(np.arange(len(marked)), size), np.frombuffer(b"".join(marked), np.uint8).astype(np.uint64)
     rows, cells = [], []
@@ -214,7 +233,7 @@ def fit(texts: list[bytes], toxic: list[int], rounds: int = 3, epochs: int = 3,
         net.out[:] = 0
         net.shift[:] = 3 if len(y) and y.min() == 1 else -3
         return net
-    split = [words_of(x) for x in texts]
+    split = [inputs_of(x) for x in texts]
     label_counts(split, y, net)
     vocabulary: dict[bytes, int] = {}
     ids = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words], np.int64) for words in split]
@@ -280,7 +299,7 @@ class Scorer:
         self.net, self.rows, self.gates = net, {}, net.gates(np.zeros((0, INPUTS), np.float32))
 
     def score(self, texts: list[bytes]) -> np.ndarray:
-        split = [words_of(x) for x in texts]
+        split = [inputs_of(x) for x in texts]
         if len(self.rows) > REMEMBERED:
             self.rows, self.gates = {}, self.net.gates(np.zeros((0, INPUTS), np.float32))
         rows = self.rows
