@@ -1,5 +1,6 @@
 import datetime
 import random
+from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
 
@@ -45,6 +46,14 @@ def test_greedy_merges_like_a_walk(spark):
             assert {tuple(r) for r in matching.greedy_merges(df).collect()} == want
 
 
+def test_merged_edges_and_difflib_ratio(spark):
+    edges = spark.createDataFrame([(1, 1, "P", 9, "2024-01-01"), (2, 2, "P", 9, "2024-01-01"), (3, 1, "P", 2, "2024-01-01"), (4, 2, "P", 9, None)], "id long, subject_id long, predicate string, object_id long, event_date string")
+    got = matching.rewrite_relationships(edges, spark.createDataFrame([(1, 2)], "keep long, merge long")).collect()
+    assert sorted((r.id, r.subject_id) for r in got) == [(1, 1), (4, 1)]
+    names = spark.createDataFrame([("abcdefgh", "efghabcd"), ("xayb", "axby")], "a string, b string")
+    assert [r[0] for r in names.select(matching.difflib_ratio("a", "b")).collect()] == [SequenceMatcher(None, a, b).ratio() for a, b in names.collect()]
+
+
 def test_cross_reference_like_all_pairs(spark):
     news = [(1, "Acme Robotics Inc", 1e6, "2024-03-01"), (2, "Borealis Labs", None, "2024-03-05"), (3, "Nothing Like It", 5.0, "2024-03-05")]
     filed = [(10, "ACME ROBOTICS LLC", 1.1e6, "2024-03-20"), (11, "Acme Robotic", 9e6, "2024-03-02"), (12, "Borealis", 3.0, "2024-03-05"), (13, "Acme Robotics", 1e6, "2024-07-01")]

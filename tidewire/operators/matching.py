@@ -1,11 +1,13 @@
 """Fuzzy joins: news with filings (J-05), duplicate entities (J-06) and their greedy merge (W-14).
 
-Candidates share a block; similarity is 2 * LCS / (m + n) (Indel ratio).  A ratio of t or more
+Candidates share a block; similarity is 2 * LCS / (m + n) (Indel ratio), for duplicates then difflib's ratio.  A ratio of t or more
 needs min(m, n) / max(m, n) >= t / (2 - t), which is checked before the ratio is computed.
 """
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +17,7 @@ from pyspark.sql.window import Window as W
 from tidewire.functions.constants import FILING_SUFFIXES
 from tidewire.functions.names import normalize_name
 from tidewire.functions.texts import amounts_compatible, match_score
+from tidewire.operators.tables import insert_relationships
 
 
 def lcs(a: str, b: str) -> int:
@@ -35,6 +38,11 @@ def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([2 * lcs(x, y) / (len(x) + len(y)) if x and y else 0.0 for x, y in zip(a, b, strict=True)])
 
 
+@F.pandas_udf(DoubleType())
+def difflib_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype=float)
+
+
 def lengths_allow(a: Column, b: Column, threshold: float) -> Column:
     return F.least(F.length(a), F.length(b)) >= F.greatest(F.length(a), F.length(b)) * (threshold / (2 - threshold))
 
@@ -98,6 +106,8 @@ def duplicate_pairs(entities: DataFrame, threshold: float = 0.85) -> DataFrame:
     names = a.join(b, "block").filter((F.col("a") < F.col("b")) & lengths_allow(F.col("a"), F.col("b"), threshold)).select("a", "b").distinct()
     names = names.withColumn("similarity", indel_ratio("a", "b")).filter(F.col("similarity") >= threshold)
     names = names.select("a", "b", "similarity").unionByName(names.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
+    # difflib's ratio, which depends on the order and is never over the Indel ratio
+    names = names.withColumn("similarity", difflib_ratio("a", "b")).filter(F.col("similarity") >= threshold)
     same = keys.select(F.col("key").alias("a"), F.col("key").alias("b"), F.lit(1.0).alias("similarity")).distinct()
     own = lambda s, k: rows.select(F.col("key").alias(k), F.col("id").alias(f"{s}"), F.col("entity_type").alias(f"{s}_type"), F.col("mention_count").alias(f"{s}_n"))
     pairs = names.unionByName(same).join(own("keep", "a"), "a").join(own("merge", "b"), "b")
@@ -132,8 +142,8 @@ def greedy_merges(pairs: DataFrame) -> DataFrame:
 
 
 def rewrite_relationships(relationships: DataFrame, merges: DataFrame) -> DataFrame:
-    """JOB-02: both ends of merged entities re-pointed; loops and repeats that this makes are dropped."""
+    """JOB-02, its edges only: both ends of merged entities re-pointed; loops and repeats that this makes are dropped."""
     to = lambda end: merges.select(F.col("merge").alias(end), F.col("keep").alias(f"{end}_to"))
     rows = relationships.join(to("subject_id"), "subject_id", "left").join(to("object_id"), "object_id", "left")
     rows = rows.withColumns({e: F.coalesce(f"{e}_to", e) for e in ("subject_id", "object_id")}).drop("subject_id_to", "object_id_to")
-    return rows.filter("subject_id <> object_id")
+    return insert_relationships(rows.filter("subject_id <> object_id"))

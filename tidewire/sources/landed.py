@@ -1,4 +1,4 @@
-"""Readers for landed files and the normalisation of what they hold (SRC-01..16)."""
+"""Readers for landed files and the normalisation of what they hold (SRC-01..04, 06..10, 12, 13)."""
 
 from __future__ import annotations
 
