@@ -122,7 +122,7 @@ class Packer:
         self.keys, self.held, self.sizes, self.ids, self.bytes = [], [], [], [], 0
 
     def add(self, key, held: bool, raw: bytes) -> None:
-        words, numbers = raw.split(), self.numbers
+        words, numbers = raw.lower().split(), self.numbers  # of bytes: A-Z alone
         ids = [numbers.setdefault(w, len(numbers)) for w in words]
         ids.append(0)
         self.keys.append(key)
@@ -238,8 +238,8 @@ def score(docs: DataFrame, held, id_col: str = "doc_id", text_col: str = "text",
     """One row for each input row: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     `held` is a boolean column over the input; rows where it is true (null counts as false)
-    teach nothing.  Tokens are words and one end per text; a null or empty text is its end
-    alone.  Without training rows every count is 0 and each token has probability 1.
+    teach nothing.  Tokens are words, with A-Z lower-cased, and one end per text; a null or empty
+    text is its end alone.  Without training rows every count is 0 and each token has probability 1.
     Repeated rows are scored one by one; other columns are not read.
     """
     docs = docs.select("*", F.coalesce(held, F.lit(False)).alias("held_"))
