@@ -63,6 +63,20 @@ def test_lm_base_scores_are_exact(spark):
     assert lm_score.score(empty(spark), F.lit(True)).count() == 0
 
 
+def test_lm_reads_only_its_columns_and_keeps_null_ids(spark):
+    rows = spark.createDataFrame([(None, "a b", "x"), (1, "a b", "y"), (1, "a b", "y"), (2**60 + 1, None, None)], "doc_id long, text string, held_ string")
+    rows = rows.withColumns({c: F.lit(7) for c in ("id", "held", "block", "bucket", "n_tokens", "score")})
+    got = lm_score.score(rows, F.col("doc_id") == 1).collect()
+    assert sorted((r.doc_id or 0, r.held_out, r.n_tokens) for r in got) == [(0, False, 3), (1, True, 3), (1, True, 3), (2**60 + 1, False, 1)]
+    text_ids = lm_score.score(rows.select(F.lit("k").alias("doc_id"), "text"), F.lit(False)).collect()
+    assert [r.doc_id for r in text_ids] == ["k"] * 4
+
+
+def test_packed_numbers_come_back():
+    for x in ([], [0], [255, 0, 256], [1 << 63, 5], list(range(3000))):
+        assert lm_score.unsqueeze(lm_score.squeeze(np.array(x, np.uint64))).tolist() == x
+
+
 def test_lm_knows_a_pair_met_once(spark):
     score = lambda text: lm_score.score(frame(spark, [(0, "zig zag"), (1, text), (2, prose(50, 4))]), F.col("doc_id") == 0).filter("doc_id = 0").first().score
     assert score("zig zag") > score("zag zig") + 0.1

@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,9 +33,12 @@ from tidewire.llm.bloom import mixed
 from tidewire.llm.common import SLICE_ROWS, cut, raw_texts
 
 #: Bytes of text that one block holds, unless a single text is longer.
-BLOCK_BYTES = 6_000_000
-#: Training tokens for which one more bucket of words and of pairs is made.
-BUCKET_TOKENS = 500_000
+BLOCK_BYTES = 8_000_000
+#: Tokens for which one more bucket of words and of pairs is made.
+BUCKET_TOKENS = 2_000_000
+#: Bits of a pair's hash over those that count the letters of all texts: of the pairs that training
+#: never met, one in 2 ** PAIR_BITS at most reads as another one.
+PAIR_BITS = 8
 BITS_PER_KEY = 16
 PROBES = 4
 PAIR = 0.25
@@ -91,19 +93,33 @@ def count_at(level: np.ndarray) -> np.ndarray:
     return np.where(level > 0, 2.0 ** ((level - 1 + 0.35 * (level > 2)) / STEPS), 0.0)
 
 
-def pairs_of(hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the pairs of tokens in texts laid end to end, and the place of each pair's second token."""
-    inner = np.ones(len(hashes), bool)
-    inner[starts] = False
-    at = np.flatnonzero(inner)
-    return pair_hash(hashes[at - 1], hashes[at]), at
+def squeeze(numbers: np.ndarray) -> bytes:
+    """Whole numbers, byte plane by byte plane (as many as the largest needs), compressed."""
+    x = np.ascontiguousarray(numbers, "<u8")
+    width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
-def spread(items: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the items by bucket, and each bucket's edges in it."""
-    bucket = (mixed(items) % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+def unsqueeze(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed[1:]), np.uint8).reshape(packed[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : packed[0]] = planes.T
+    return out.view("<u8").ravel()
+
+
+class Pairs:
+    """The distinct pairs of tokens in texts laid end to end, by their hashes of so many bits, in order."""
+
+    def __init__(self, words: np.ndarray, hashes: np.ndarray, sizes: np.ndarray, bits: int, buckets: int):
+        inner = np.ones(len(words), bool)
+        inner[np.cumsum(sizes) - sizes] = False
+        #: Place of each pair's second token, and the pair's number.
+        self.at = np.flatnonzero(inner)
+        met = pair_hash(hashes[words[self.at - 1]], hashes[words[self.at]]) >> np.uint64(64 - bits)
+        self.hashes, self.where = np.unique(met, return_inverse=True)
+        # a bucket is a range of hashes
+        self.edges = np.searchsorted(self.hashes, np.array([-(-(k << bits) // buckets) for k in range(buckets + 1)], np.uint64))
 
 
 def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -136,7 +152,7 @@ class Packer:
         train = np.repeat(~np.array(self.held, bool), self.sizes)
         counts = np.bincount(ids[train], minlength=len(words))
         hashes = np.fromiter(map(end_or_word, words), np.uint64, len(words))
-        yield ("docs", block, -1, self.zstd.compress(ids.tobytes()), hashes.tobytes(), struct.pack(f"<{len(self.sizes)}I", *self.sizes), self.keys, self.held)
+        yield ("docs", block, -1, squeeze(ids), hashes.tobytes(), squeeze(np.array(self.sizes)), self.keys, self.held)
         bucket = np.fromiter((zlib.crc32(w) % self.buckets for w in words), np.int64, len(words))
         order = np.argsort(bucket, kind="stable")
         edges = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
@@ -144,28 +160,29 @@ class Packer:
             own = order[edges[k] : edges[k + 1]]
             if len(own):
                 text = b"\n".join([words[j] for j in own.tolist()])
-                yield ("words", block, k, self.zstd.compress(text), self.zstd.compress(counts[own].astype(np.uint32).tobytes()), self.zstd.compress(own.astype(np.uint32).tobytes()), None, None)
+                yield ("words", block, k, self.zstd.compress(text), squeeze(counts[own]), squeeze(own), None, None)
         self.clear()
 
 
-def pack(docs: DataFrame, id_col: str, text_col: str, held, buckets: int, block_bytes: int) -> DataFrame:
-    kind = docs.schema[id_col].dataType.simpleString()
+def pack(rows: DataFrame, buckets: int, block_bytes: int) -> DataFrame:
+    """Blocks of (id, held, text), named by what they hold."""
+    kind = rows.schema["id"].dataType.simpleString()
     names = ["kind", "block", "bucket", "body", "counts", "sizes", "ids", "held"]
-    types = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, seen = Packer(buckets), b""
+        packer, seen, key_type = Packer(buckets), b"", None
 
         def flush() -> pa.RecordBatch:
-            # named by what it holds; a task's earlier blocks tell apart blocks of equal rows
+            # a task's earlier blocks tell apart blocks of equal rows
             nonlocal seen
             part = xxhash.xxh3_64_intdigest(seen + repr(packer.keys).encode() + b"".join(x.tobytes() for x in packer.ids)) >> 1
             seen = struct.pack("<Q", part)
             columns = zip(*packer.rows(part), strict=True)
-            kinds = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(types[kind]), pa.list_(pa.bool_())]
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(key_type), pa.list_(pa.bool_())]
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=names)
 
         for whole in batches:
+            key_type = whole.column(0).type
             for at in range(0, whole.num_rows, SLICE_ROWS):
                 batch = whole.slice(at, SLICE_ROWS)
                 for key, h, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), raw_texts(batch.column(2)), strict=True):
@@ -176,7 +193,6 @@ def pack(docs: DataFrame, id_col: str, text_col: str, held, buckets: int, block_
             yield flush()
 
     schema = f"kind string, block long, bucket long, body binary, counts binary, sizes binary, ids array<{kind}>, held array<boolean>"
-    rows = docs.select(F.col(id_col), held.alias("held"), F.col(text_col).cast("string"))
     return cut(rows.mapInArrow(run, schema))
 
 
@@ -185,52 +201,56 @@ def total_counts(packed: DataFrame) -> DataFrame:
     n and v are the bucket's tokens and words in training."""
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
-        unzip, zstd, total, lists = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1), Counter(), []
+        unzip, zstd, number, total = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1), {}, []
+        lists = []
         for body, counts in zip(group.body, group.counts, strict=True):
-            words = unzip(body).split(b"\n")
-            lists.append(words)
-            for w, c in zip(words, np.frombuffer(unzip(counts), np.uint32).tolist(), strict=True):
-                total[w] += c
-        hashes = np.fromiter(map(end_or_word, total), np.uint64, len(total))
-        sums = np.fromiter(total.values(), np.int64, len(total))
-        level = dict(zip(total, Levels(hashes[sums > 0], levels_for(sums[sums > 0])).read(hashes).tolist(), strict=True))
-        out = [zstd.compress(np.array([total[w] for w in words], np.uint64).tobytes()) for words in lists]
-        levels = [zstd.compress(bytes([level[w] for w in words])) for words in lists]
-        marks = [1] + [0] * (len(out) - 1)
-        return pd.DataFrame({"block": group.block, "bucket": group.bucket, "sizes": group.sizes, "totals": out, "levels": levels, "n": [m * int(sums.sum()) for m in marks], "v": [m * int((sums > 0).sum()) for m in marks]})
+            own = np.array([number.setdefault(w, len(number)) for w in unzip(body).split(b"\n")], np.int64)
+            lists.append(own)
+            total.append(np.bincount(own, unsqueeze(counts)))
+        sums = np.zeros(len(number), np.int64)
+        for x in total:
+            sums[: len(x)] += x.astype(np.int64)
+        hashes = np.fromiter(map(end_or_word, number), np.uint64, len(number))
+        level = Levels(hashes[sums > 0], levels_for(sums[sums > 0])).read(hashes)
+        marks = [1] + [0] * (len(lists) - 1)
+        return pd.DataFrame({
+            "block": group.block, "bucket": group.bucket, "sizes": group.sizes, "totals": [squeeze(sums[x]) for x in lists], "levels": [zstd.compress(level[x].tobytes()) for x in lists],
+            "n": [m * int(sums.sum()) for m in marks], "v": [m * int((sums > 0).sum()) for m in marks],
+        })
 
     words = packed.filter("kind = 'words'").select("block", "bucket", "body", "counts", "sizes")
     return cut(words.groupBy("bucket").applyInPandas(add, "block long, bucket long, sizes binary, totals binary, levels binary, n long, v long"))
 
 
-def levels_of_pairs(packed: DataFrame, buckets: int) -> DataFrame:
-    """The levels that the bucket's filter over all training texts gives each block's pairs, in the order of `spread`."""
+def levels_of_pairs(packed: DataFrame, bits: int, buckets: int) -> DataFrame:
+    """The levels that the bucket's filter over all training texts gives each block's pairs, in the order of their hashes."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unzip, zstd = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1)
         for whole in batches:
             for k in range(whole.num_rows):
                 block, body, hashes, sizes, held = (x[k].as_py() for x in whole.columns)
-                sizes = np.frombuffer(sizes, np.uint32).astype(np.int64)
-                both, at = pairs_of(np.frombuffer(hashes, np.uint64)[np.frombuffer(unzip(body), np.uint32)], np.cumsum(sizes) - sizes)
-                pairs, where = np.unique(both, return_inverse=True)
-                counts = np.bincount(where[np.repeat(~np.array(held, bool), sizes)[at]], minlength=len(pairs)).astype(np.uint32)
-                order, edges = spread(pairs, buckets)
-                some = np.flatnonzero(np.diff(edges)).tolist()
-                parts = [order[edges[j] : edges[j + 1]] for j in some]
-                columns = [pa.array([block] * len(some), pa.int64()), pa.array(some, pa.int64()), pa.array([pairs[x].tobytes() for x in parts], pa.binary()), pa.array([zstd.compress(counts[x].tobytes()) for x in parts], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["block", "bucket", "body", "counts"])
+                sizes = unsqueeze(sizes).astype(np.int64)
+                pairs = Pairs(unsqueeze(body), np.frombuffer(hashes, np.uint64), sizes, bits, buckets)
+                learn = np.repeat(~np.array(held, bool), sizes)[pairs.at]
+                counts = np.bincount(pairs.where[learn], minlength=len(pairs.hashes))
+                some = np.flatnonzero(np.diff(pairs.edges)).tolist()
+                parts = [slice(pairs.edges[j], pairs.edges[j + 1]) for j in some]
+                steps = [squeeze(np.diff(pairs.hashes[x], prepend=np.uint64(0))) for x in parts]
+                columns = [pa.array([block] * len(some), pa.int64()), pa.array(some, pa.int64()), pa.array(steps, pa.binary()), pa.array([squeeze(counts[x]) for x in parts], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["block", "bucket", "steps", "counts"])
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
-        unzip, zstd = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1)
-        lists = [np.frombuffer(x, np.uint64) for x in group.body]
+        zstd = zstandard.ZstdCompressor(level=1)
+        lists = [np.cumsum(unsqueeze(x), dtype=np.uint64) for x in group.steps]
         hashes, where = np.unique(np.concatenate(lists), return_inverse=True)
-        sums = np.bincount(where, np.concatenate([np.frombuffer(unzip(x), np.uint32) for x in group.counts])).astype(np.int64)
-        filter_ = Levels(hashes[sums > 0], levels_for(sums[sums > 0]))
-        return pd.DataFrame({"block": group.block, "bucket": group.bucket, "levels": [zstd.compress(filter_.read(x).tobytes()) for x in lists]})
+        sums = np.bincount(where, np.concatenate([unsqueeze(x) for x in group.counts])).astype(np.int64)
+        # hashes of few bits are spread before they choose places in the filter
+        level = Levels(mixed(hashes[sums > 0]), levels_for(sums[sums > 0])).read(mixed(hashes))[where]
+        ends = np.cumsum([len(x) for x in lists])
+        return pd.DataFrame({"block": group.block, "bucket": group.bucket, "levels": [zstd.compress(level[b - len(x) : b].tobytes()) for x, b in zip(lists, ends.tolist(), strict=True)]})
 
     docs = packed.filter("kind = 'docs'").select("block", "body", F.col("counts").alias("hashes"), "sizes", "held")
-    pairs = docs.mapInArrow(send, "block long, bucket long, body binary, counts binary")
+    pairs = docs.mapInArrow(send, "block long, bucket long, steps binary, counts binary")
     return pairs.groupBy("bucket").applyInPandas(add, "block long, bucket long, levels binary")
 
 
@@ -240,51 +260,49 @@ def score(docs: DataFrame, held, id_col: str = "doc_id", text_col: str = "text",
     `held` is a boolean column over the input; rows where it is true (null counts as false)
     teach nothing.  Tokens are words, with A-Z lower-cased, and one end per text; a null or empty
     text is its end alone.  Without training rows every count is 0 and each token has probability 1.
-    Repeated rows are scored one by one; other columns are not read.
+    Repeated rows are scored one by one, null ids stay null; other columns are not read, whatever
+    their names.
     """
-    docs = docs.select("*", F.coalesce(held, F.lit(False)).alias("held_"))
-    held = F.col("held_")
-    chars = docs.agg(F.sum(F.length(F.col(text_col).cast("string")))).first()[0] or 0
-    buckets = max(8, chars // 6 // BUCKET_TOKENS)
-    packed = pack(docs, id_col, text_col, held, buckets, block_bytes)
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(held, F.lit(False)).alias("held"), F.col(text_col).cast("string").alias("text"))
+    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    buckets, bits = max(8, chars // 6 // BUCKET_TOKENS), min(60, chars.bit_length() + PAIR_BITS)
+    packed = pack(rows, buckets, block_bytes)
     totals = total_counts(packed)
     n, v = totals.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    levels = totals.select("block", "bucket", "sizes", "totals", "levels").unionByName(levels_of_pairs(packed, buckets), allowMissingColumns=True)
-    kind = docs.schema[id_col].dataType.simpleString()
+    levels = totals.select("block", "bucket", "sizes", "totals", "levels").unionByName(levels_of_pairs(packed, bits, buckets), allowMissingColumns=True)
     space = float(np.log10(n + DAMP * (v + 1)))
+    names = [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
-    def rate(key, own: pd.DataFrame, lists: pd.DataFrame) -> pd.DataFrame:
+    def rate(own: pa.Table, met: pa.Table) -> pa.Table:
         unzip = zstandard.ZstdDecompressor().decompress
-        met, lists = lists[lists.totals.isna()], lists[lists.totals.notna()]
-        size = 1 + max((int(np.frombuffer(unzip(x), np.uint32).max(initial=0)) for x in lists.sizes), default=0)
+        lists = [x for x in met.to_pylist() if x["totals"] is not None]
+        pair_levels = [(x["bucket"], x["levels"]) for x in met.select(["bucket", "totals", "levels"]).to_pylist() if x["totals"] is None]
+        places = [unsqueeze(x["sizes"]).astype(np.int64) for x in lists]
+        size = 1 + max((int(x.max(initial=0)) for x in places), default=0)
         exact, level = np.zeros(size, np.int64), np.zeros(size, np.uint8)
-        for numbers, totals, own_levels in zip(lists.sizes, lists.totals, lists.levels, strict=True):
-            at = np.frombuffer(unzip(numbers), np.uint32)
-            exact[at] = np.frombuffer(unzip(totals), np.uint64)
-            level[at] = np.frombuffer(unzip(own_levels), np.uint8)
+        for at, x in zip(places, lists, strict=True):
+            exact[at] = unsqueeze(x["totals"])
+            level[at] = np.frombuffer(unzip(x["levels"]), np.uint8)
         rough = count_at(level.astype(np.int64))
         plain = (rough + DAMP) / (n + DAMP * (v + 1))
         base = np.log10(exact + DAMP) - space
         out = []
-        for body, hashes, sizes, ids, held in zip(own.body, own.counts, own.sizes, own.ids, own.held, strict=True):
-            w = np.frombuffer(unzip(body), np.uint32)
-            lengths = np.frombuffer(sizes, np.uint32).astype(np.int64)
+        for k in range(own.num_rows):
+            body, hashes, sizes = (own.column(c)[k].as_py() for c in ("body", "counts", "sizes"))
+            w, lengths = unsqueeze(body).astype(np.int64), unsqueeze(sizes).astype(np.int64)
             starts = np.cumsum(lengths) - lengths
-            both, at = pairs_of(np.frombuffer(hashes, np.uint64)[w], starts)
-            pairs, where = np.unique(both, return_inverse=True)
-            order, edges = spread(pairs, buckets)
-            pair_level = np.zeros(len(pairs), np.int64)
-            for k, x in zip(met.bucket, met.levels, strict=True):
-                pair_level[order[edges[k] : edges[k + 1]]] = np.frombuffer(unzip(x), np.uint8)
+            pairs = Pairs(w, np.frombuffer(hashes, np.uint64), lengths, bits, buckets)
+            pair_level = np.zeros(len(pairs.hashes), np.int64)
+            for bucket, packed_levels in pair_levels:
+                pair_level[pairs.edges[bucket] : pairs.edges[bucket + 1]] = np.frombuffer(unzip(packed_levels), np.uint8)
             p = np.minimum(1.0, plain[w])  # all that a text's first token has, as it has no history
-            seen = count_at(pair_level)[where]
+            seen, at = count_at(pair_level)[pairs.where], pairs.at
             p[at] = (1 - PAIR) * p[at] + PAIR * np.minimum(1.0, seen / np.maximum(1.0, rough[w[at - 1]]))
-            out.append(pd.DataFrame({
-                id_col: list(ids), "held_out": list(held), "n_tokens": lengths, "n_known": np.add.reduceat((exact[w] > 0).astype(np.int64), starts), "train_tokens": n,
-                "base_score": np.add.reduceat(base[w], starts), "score": np.add.reduceat(np.log10(np.maximum(p, 1e-300)), starts),
-            }))
-        return pd.concat(out)
+            numbers = [lengths, np.add.reduceat((exact[w] > 0).astype(np.int64), starts), np.full(len(lengths), n), np.add.reduceat(base[w], starts), np.add.reduceat(np.log10(np.maximum(p, 1e-300)), starts)]
+            out.append(pa.Table.from_arrays([own.column("ids")[k].values, own.column("held")[k].values, *map(pa.array, numbers)], names=names))
+        return pa.concat_tables(out)
 
     blocks = packed.filter("kind = 'docs'").select("block", "body", "counts", "sizes", "ids", "held")
+    kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return blocks.groupBy("block").cogroup(levels.groupBy("block")).applyInPandas(rate, schema)
+    return blocks.groupBy("block").cogroup(levels.groupBy("block")).applyInArrow(rate, schema)
