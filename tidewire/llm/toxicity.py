@@ -3,9 +3,10 @@
 A word's input is a trained vector of the word plus the trained vectors of its character
 n-grams.  Two GRUs read a window of words in both directions, attention pools their states,
 and a logistic unit scores the window.  A text's windows of 32 words start every 16 words,
-and at every word around those that come near; the text's score is its highest.  Labels are given for texts, so training works in rounds: the
-windows of a toxic text that look most toxic stand for it (at first by the label counts of
-words and n-grams, then by the network itself), and clean texts give random and hardest ones.
+and at every word around those that come near; the text's score is its highest.  Labels are
+given for texts, so training works in rounds: the windows of a toxic text that look most
+toxic stand for it (at first by the label counts of words and n-grams, then by the network
+itself), and clean texts give random and hardest ones.
 """
 
 from __future__ import annotations
@@ -35,8 +36,8 @@ GRAMS, PREFIXES = (4, 5), (6, 7, 8, 9, 10, 11, 12)
 MAX_TOXIC, MAX_CLEAN = 900, 1800
 THRESHOLD = 0.7
 REMEMBERED = 250_000
-#: Windows that the network runs together.
-BATCH = 1024
+#: Windows that the network runs together, and words whose n-grams are found together.
+BATCH, GRAM_WORDS = 1024, 16_384
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
@@ -62,31 +63,35 @@ def word_cells(words: list[bytes]) -> np.ndarray:
 
 
 def gram_cells(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(word, cell) of each character n-gram (bytes) of `^word$`, anywhere and at its start."""
+    """(word, cell) of each character n-gram (bytes) of `^word$`, anywhere and at its start, in the words' order."""
+    found = [_gram_cells(words[k : k + GRAM_WORDS], k) for k in range(0, len(words), GRAM_WORDS)]
+    none = np.zeros(0, np.int32)
+    return np.concatenate([none, *(x[0] for x in found)]), np.concatenate([none, *(x[1] for x in found)])
+
+
+def _gram_cells(words: list[bytes], first: int) -> tuple[np.ndarray, np.ndarray]:
     marked = [b"\1" + w + b"\2" for w in words]
     size = np.fromiter(map(len, marked), np.int64, len(marked))
-    owner, raw = np.repeat(np.arange(len(marked)), size), np.frombuffer(b"".join(marked), np.uint8).astype(np.uint64)
-    rows, cells = [], []
-    opening = np.cumsum(size) - size
+    owner, raw = np.repeat(np.arange(len(marked), dtype=np.int32), size), np.frombuffer(b"".join(marked), np.uint8).astype(np.uint64)
+    rows, cells = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+    starts = np.zeros(len(raw), bool)
+    starts[np.cumsum(size) - size] = True
     for n in GRAMS + PREFIXES:
         if len(raw) < n:
             continue
-        code = np.full(len(raw) - n + 1, n, np.uint64)
+        inside = owner[: len(raw) - n + 1] == owner[n - 1 :]
+        if n in PREFIXES:
+            inside &= starts[: len(inside)]
+        at = np.flatnonzero(inside)
+        code = np.full(len(at), n, np.uint64)
         for k in range(n):
-            code = (code + raw[k : len(raw) - n + 1 + k]) * _C[0]
+            code = (code + raw[at + k]) * _C[0]
             code ^= code >> np.uint64(29)
-        inside = owner[: len(code)] == owner[n - 1 :]
-        if n in PREFIXES:
-            starts = np.zeros(len(raw), bool)
-            starts[opening] = True
-            inside &= starts[: len(code)]
-        rows.append(owner[: len(code)][inside])
-        cells.append(((code * _C[1]) >> np.uint64(46)).astype(np.int64)[inside])
-    if not rows:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        rows.append(owner[at])
+        cells.append(((code * _C[1]) >> np.uint64(46)).astype(np.int32))
     row, cell = np.concatenate(rows), np.concatenate(cells)
     order = np.argsort(row, kind="stable")
-    return row[order], cell[order]
+    return row[order] + np.int32(first), cell[order]
 
 
 def sum_rows(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
@@ -129,18 +134,20 @@ class Network:
         self.shift = np.full(1, -1.0, f)
 
     def inputs(self, words: list[bytes]) -> np.ndarray:
-        owner, cell = gram_cells(words)
         out = self.word[word_cells(words)]
-        for a in range(0, len(cell), 1 << 20):  # a run over a cut is added up
-            part = slice(a, a + (1 << 20))
-            out = out + sum_rows(self.gram[cell[part]], owner[part], len(words))
+        for k in range(0, len(words), GRAM_WORDS):
+            owner, cell = _gram_cells(words[k : k + GRAM_WORDS], 0)
+            part = out[k : k + GRAM_WORDS]
+            part += sum_rows(self.gram[cell], owner, len(part))
         return out
 
     def gates(self, x: np.ndarray) -> np.ndarray:
         """Inputs' part of the gates; a row of padding is added, which leaves a state as it is."""
-        pad = np.zeros((1, 6 * STATES), np.float32)
-        pad[:, : 2 * STATES] = 30
-        return np.concatenate([x @ self.wx + self.bias, pad])
+        out = np.zeros((len(x) + 1, 6 * STATES), np.float32)
+        np.matmul(x, self.wx, out=out[:-1])
+        out[:-1] += self.bias
+        out[-1, : 2 * STATES] = 30
+        return out
 
     def run(self, gates: np.ndarray, ids: np.ndarray, keep: bool = False):
         """States (time, window, 2 * STATES) of windows of ids into gates; -1 is padding."""
@@ -214,15 +221,34 @@ class Adam:
         value -= self.rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
 
 
-def label_counts(texts: list[list[bytes]], toxic: np.ndarray, net: Network) -> None:
+class Vocabulary:
+    """The words of some texts: their cells and their n-grams' cells; `ids` are the texts as numbers of words."""
+
+    def __init__(self, texts: list[bytes]):
+        number: dict[bytes, int] = {}
+        self.ids = [np.array([number.setdefault(w, len(number)) for w in inputs_of(x)], np.int32) for x in texts]
+        self.words = list(number)
+        self.cell = word_cells(self.words)
+        owner, self.gram = gram_cells(self.words)
+        self.gram_from = np.searchsorted(owner, np.arange(len(self.words) + 1))
+
+    def grams(self, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in `used`, cell) of each n-gram of some words."""
+        n = self.gram_from[used + 1] - self.gram_from[used]
+        mine = np.repeat(np.arange(len(used)), n)
+        return mine, self.gram[np.arange(len(mine)) - np.repeat(np.cumsum(n) - n - self.gram_from[used], n)]
+
+
+def label_counts(texts: Vocabulary, toxic: np.ndarray, net: Network) -> None:
     """Starts the first input of words and n-grams from their log odds, where enough toxic texts have them."""
-    for table, cells_of in ((net.word, lambda w: word_cells(w)), (net.gram, lambda w: gram_cells(w)[1])):
-        counts = np.zeros((2, CELLS))
-        for words, y in zip(texts, toxic, strict=True):
-            counts[int(y), np.unique(cells_of(list(set(words))))] += 1
-        share = (counts + 0.5) / (np.array([[(toxic == 0).sum()], [(toxic == 1).sum()]]) + 1)
-        odds = np.log(share[1] / share[0])
-        table[:, 0] = np.where(counts[1] >= 3, np.clip(odds, -1, 4), 0) / 2
+    counts = np.zeros((2, 2, CELLS))
+    for ids, y in zip(texts.ids, toxic.tolist(), strict=True):
+        used = np.unique(ids)
+        counts[0, y, np.unique(texts.cell[used])] += 1
+        counts[1, y, np.unique(texts.grams(used)[1])] += 1
+    for table, (clean, bad) in zip((net.word, net.gram), counts, strict=True):
+        odds = np.log((bad + 0.5) / (clean + 0.5) * ((toxic == 0).sum() + 1) / ((toxic == 1).sum() + 1))
+        table[:, 0] = np.where(bad >= 3, np.clip(odds, -1, 4), 0) / 2
 
 
 def fit(texts: list[bytes], toxic: list[int], rounds: int = 3, epochs: int = 3, batch: int = 96, seed: int = 3) -> Network:
@@ -233,22 +259,19 @@ def fit(texts: list[bytes], toxic: list[int], rounds: int = 3, epochs: int = 3,
         net.out[:] = 0
         net.shift[:] = 3 if len(y) and y.min() == 1 else -3
         return net
-    split = [inputs_of(x) for x in texts]
-    label_counts(split, y, net)
-    vocabulary: dict[bytes, int] = {}
-    ids = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words], np.int64) for words in split]
-    words = list(vocabulary)
-    owner, cell = gram_cells(words)
-    gram_from = np.searchsorted(owner, np.arange(len(words) + 1))
-    cell_of = word_cells(words)
+    known = Vocabulary(texts)
+    ids, words = known.ids, known.words
+    label_counts(known, y, net)
     made = [(d, s) for d, x in enumerate(ids) for s in window_starts(len(x))]
-    windows = np.full((len(made), WINDOW), -1, np.int64)
+    windows = np.full((len(made), WINDOW), -1, np.int32)
     for k, (d, s) in enumerate(made):
         part = ids[d][s : s + WINDOW]
         windows[k, : len(part)] = part
     of = np.array([d for d, _ in made])
     toxicity = net.inputs(words)[:, 0]
-    guess = np.where(windows >= 0, toxicity[windows], -9).max(axis=1)
+    guess = np.full(len(made), -9, np.float32)
+    for k in range(WINDOW):
+        guess = np.where(windows[:, k] >= 0, np.maximum(guess, toxicity[windows[:, k]]), guess)
     adam = Adam(0.01)
     for turn in range(rounds):
         if turn:
@@ -274,19 +297,17 @@ def fit(texts: list[bytes], toxic: list[int], rounds: int = 3, epochs: int = 3,
                 place_in = place_in.reshape(len(own), WINDOW)
                 if used[0] < 0:
                     used, place_in = used[1:], place_in - 1
-                n_grams = gram_from[used + 1] - gram_from[used]
-                mine = np.repeat(np.arange(len(used)), n_grams)
-                at = np.arange(len(mine)) - np.repeat(np.cumsum(n_grams) - n_grams - gram_from[used], n_grams)
-                x = net.word[cell_of[used]] + sum_rows(net.gram[cell[at]], mine, len(used))
+                mine, cell = known.grams(used)
+                x = net.word[known.cell[used]] + sum_rows(net.gram[cell], mine, len(used))
                 d_gates, d_u, d_attention, d_out, d_shift = net.gradients(net.gates(x), place_in, (y[of[own]]).astype(np.float32), weight[order[k : k + batch]])
                 adam.step += 1
                 d_x = d_gates @ net.wx.T
                 for name, grad in (("wx", x.T @ d_gates), ("bias", d_gates.sum(axis=0)), ("u", d_u), ("attention", d_attention), ("out", d_out), ("shift", d_shift)):
                     adam.apply(name, getattr(net, name), grad.astype(np.float32) + (1e-4 * getattr(net, name) if name == "wx" else 0))
                 scale = 0.3 / max(1.0, float(np.abs(d_x).max()) * 50)
-                np.add.at(net.word, cell_of[used], -scale * d_x)
-                order_ = np.argsort(cell[at], kind="stable")
-                met, first = np.unique(cell[at][order_], return_index=True)
+                np.add.at(net.word, known.cell[used], -scale * d_x)
+                order_ = np.argsort(cell, kind="stable")
+                met, first = np.unique(cell[order_], return_index=True)
                 if len(met):
                     net.gram[met] -= 0.3 * scale * np.add.reduceat(d_x[mine[order_]], first, axis=0)
     return net
