@@ -11,7 +11,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from tidewire.llm import byte_bpe, chat_format, decontaminate, html_text, line_dedup, lm_score, near_dedup, quality_rules, toxicity, url_filters
+from tidewire.llm import byte_bpe, chat_format, common, decontaminate, html_text, line_dedup, lm_score, near_dedup, quality_rules, toxicity, url_filters
 
 RNG = np.random.default_rng(11)
 WORDS = ["".join(RNG.choice(list("abcdefghij"), 5)) for _ in range(400)]
@@ -74,7 +74,7 @@ def test_lm_reads_only_its_columns_and_keeps_null_ids(spark):
 
 def test_packed_numbers_come_back():
     for x in ([], [0], [255, 0, 256], [1 << 63, 5], list(range(3000))):
-        assert lm_score.unsqueeze(lm_score.squeeze(np.array(x, np.uint64))).tolist() == x
+        assert common.unsqueeze(common.squeeze(np.array(x, np.uint64))).tolist() == x
 
 
 def test_lm_knows_a_pair_met_once(spark):
@@ -106,6 +106,64 @@ def test_repeated_passage_goes_and_the_rest_stays(spark):
     assert line_dedup.without_repeats(empty(spark)).count() == 0
 
 
+def test_line_dedup_keeps_clashing_columns(spark):
+    passage = prose(80, 99)
+    rows = spark.createDataFrame([(k, f"{prose(50, 200 + k)} {passage}") for k in range(3)] + [(None, passage), (9, None)], "doc_id long, text string")
+    rows = rows.withColumns({c: F.concat(F.lit(c), F.coalesce("doc_id", F.lit(-1))) for c in ("id", "row", "key", "k", "gone", "least", "n_words", "column_0", "kept_0", "places")})
+    got = line_dedup.dedup_lines(rows).collect()
+    assert all(r.id == f"id{-1 if r.doc_id is None else r.doc_id}" and r.gone[:4] == "gone" and r.kept_0[:6] == "kept_0" and r.places for r in got)
+    assert {r.doc_id: r.n_removed_words > 50 for r in got} == {0: False, 1: True, 2: True, None: True, 9: False}
+    kept = line_dedup.without_repeats(rows)
+    assert kept.columns == rows.columns and all(r.n_words == f"n_words{r.doc_id}" for r in kept.collect() if r.doc_id is not None)
+
+
+def plain_chunks(text):
+    """The chunks of one text alone: bytes, words, lines; what is repeated and goes is decided by brute force."""
+    found = line_dedup.Chunks([text])
+    return [(text[a:b], n, m) for a, b, n, m in zip(found.start.tolist(), found.end.tolist(), found.words.tolist(), found.lines.tolist(), strict=True)]
+
+
+def test_line_dedup_like_brute_force(spark):
+    g = np.random.default_rng(5)
+    passages = [prose(int(n), 700 + k) for k, n in enumerate(g.integers(20, 90, 12))]
+    rows = []
+    for k in range(60):
+        parts = [prose(int(g.integers(5, 60)), 3000 + k)]
+        for j in g.choice(12, int(g.integers(0, 4)), replace=False):
+            parts += [passages[j], prose(int(g.integers(3, 40)), 4000 + 20 * k + int(j))]
+        rows.append((k, ("\n" if k % 3 else " ").join(parts)))
+    rows += [(70, rows[5][1]), (5, rows[5][1]), (71, "  " + passages[0] + "\n\n"), (72, "Üß " + passages[1])]
+    owners = {}
+    for d, t in rows:
+        for chunk, _, _ in plain_chunks(t.encode()):
+            owners.setdefault(chunk, set()).add(d)
+
+    def runs(marks, chunks):
+        out, k = [False] * len(marks), 0
+        while k < len(marks):
+            e = k
+            while e < len(marks) and marks[e]:
+                e += 1
+            if e > k and sum(c[1] for c in chunks[k:e]) >= line_dedup.MIN_WORDS and sum(c[2] for c in chunks[k:e]) >= line_dedup.MIN_LINES:
+                out[k:e] = [True] * (e - k)
+            k = max(e, k + 1)
+        return out
+
+    proposed = {}  # a chunk counts where it lies in a run of chunks that several documents have
+    for d, t in rows:
+        chunks = plain_chunks(t.encode())
+        for (chunk, _, _), on in zip(chunks, runs([len(owners[c[0]]) > 1 for c in chunks], chunks), strict=True):
+            if on:
+                proposed.setdefault(chunk, set()).add(d)
+    want = []
+    for d, t in rows:
+        chunks = plain_chunks(t.encode())
+        gone = runs([len(owners[c[0]]) > 1 and d > min(proposed.get(c[0], {d})) for c in chunks], chunks)
+        want.append((d, sum(c[1] for c in chunks), sum(c[1] for c, x in zip(chunks, gone, strict=True) if x), b"".join(x for c, y in zip(chunks, gone, strict=True) if not y for x in c[0].split())))
+    got = [(r.doc_id, r.n_words, r.n_removed_words, b"".join(r.text.encode().split())) for r in line_dedup.dedup_lines(frame(spark, rows)).collect()]
+    assert sorted(got) == sorted(want) and sum(x[2] for x in want) > 1000
+
+
 def test_passages_of_few_words_and_of_51_words_go(spark):
     missed = []
     for g, passage in enumerate(["spam " * 60, "buy " * 60, "to me " * 30, "one two three " * 20, "it is so " * 20, *(prose(51, 5000 + k) for k in range(400))]):

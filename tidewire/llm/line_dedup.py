@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.llm.bloom import bloom_of, mixed
-from tidewire.llm.common import SLICE_ROWS, cut, raw_texts
+from tidewire.llm.common import cut, raw_texts, squeeze, unsqueeze
 
 #: One word in so many ends a logical line; three in four lines end a chunk.
 FOLD = 3
@@ -33,6 +33,8 @@ MIN_LINES = 2
 FILTER_BYTES = 16 << 20
 #: Letters of text for which one more bucket of hashes is made.
 BUCKET_CHARS = 16_000_000
+#: Texts that are chunked together, and proposed chunks whose texts are gathered in one task before they go on.
+CHUNK_ROWS, PROPOSALS = 64, 200_000
 
 _RNG = np.random.default_rng(7)
 _BYTES = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -75,9 +77,12 @@ class Chunks:
         self.starts = np.cumsum(size + 1) - size - 1
         b = np.frombuffer(self.raw, np.uint8)
         up, down = _scale(len(b) + 1)
-        blank = _BLANK[b]
+        blank = ((b - np.uint8(9)) < 5) | (b == 32)
         # a text ends with a blank of its own, so words never run over into the next
-        edge = np.flatnonzero(np.diff(blank.astype(np.int8), prepend=1))
+        turns = np.zeros(len(b), bool)
+        turns[:1] = ~blank[:1]
+        np.not_equal(blank[1:], blank[:-1], out=turns[1:])
+        edge = np.flatnonzero(turns)
         words = edge[: len(edge) // 2 * 2].reshape(-1, 2)
         sums = np.zeros(len(b) + 1, np.uint64)
         np.cumsum(_BYTES[b] * up[: len(b)], out=sums[1:])
@@ -86,18 +91,19 @@ class Chunks:
             self.doc = self.start = self.end = self.words = self.lines = self.index = np.zeros(0, np.int64)
             self.hash = np.zeros(0, np.int64)
             return
-        start, end = words[:, 0], words[:, 1]
-        # a word opens a line after a line feed, after a chosen word, and in each new text
-        doc = np.searchsorted(self.starts, start, "right") - 1
-        feeds = np.concatenate([[0], np.cumsum(b == 10)])
-        opens = np.ones(len(words), bool)
-        opens[1:] = (feeds[start[1:]] > feeds[end[:-1]]) | (_mix(code(start, end)[:-1]) % np.uint64(fold) == 0)
+        start, end = np.ascontiguousarray(words[:, 0]), np.ascontiguousarray(words[:, 1])
+        doc = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(start, self.starts), append=len(start)))
+        # a word opens a line after a line feed (there is one before each new text) and after a chosen word
+        h = code(start, end)
+        opens = np.ones(len(words) + 1, bool)
+        opens[1:-1] = _mix(h[:-1]) % np.uint64(fold) == 0
+        opens[np.searchsorted(start, np.flatnonzero(b == 10))] = True
+        opens = opens[:-1]
         # where no word is chosen for long; equal pairs all fold, so that words that repeat are met at any place
         place = np.arange(len(words))
         long_ = np.flatnonzero(place - np.maximum.accumulate(np.where(opens, place, 0)) >= CALM + WINDOW - 1)
         if len(long_):
             near = long_[:, None] - np.arange(WINDOW)
-            h = code(start, end)
             pair = _mix(h[near] * np.uint64(5) + h[near - 1] * np.uint64(0x9E3779B97F4A7C15))
             opens[long_ - pair.argmin(axis=1)] = True
         first = np.flatnonzero(opens)
@@ -150,20 +156,67 @@ def cleaned(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, raw[at:]])
 
 
+ADDED = ("n_words", "n_removed_words", "n_removed_chunks")
+_LAST = (1 << 63) - 1
+
+
+class Proposals:
+    """Places of proposed chunks in some documents, and the bytes of each distinct chunk once."""
+
+    def __init__(self):
+        self.texts: dict[int, bytes] = {}
+        self.unequal: list[tuple[int, int, bytes]] = []
+        self.docs, self.places, self.n = [], [], 0
+
+    def add(self, c: Chunks, on: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
+        own, per_doc = np.unique(c.doc[on], return_counts=True)
+        keys, seen = c.hash[on], self.texts
+        self.docs.append((ids[own], rows[own], per_doc))
+        self.places.append((keys, np.repeat(ids[own], per_doc), c.index[on]))
+        self.n += len(on)
+        for key, a, b, d in zip(keys.tolist(), c.start[on].tolist(), c.end[on].tolist(), c.doc[on].tolist(), strict=True):
+            text = c.raw[a:b]
+            if seen.setdefault(key, text) != text:
+                self.unequal.append((key, int(ids[d]), text))
+
+    def rows(self) -> pa.RecordBatch:
+        """For each distinct chunk its key, bytes, least and greatest id; then one row with the places alone."""
+        keys, ids, index = (np.concatenate(x) for x in zip(*self.places, strict=True))
+        key, least, most = extremes(keys, ids)
+        more = list(zip(*self.unequal, strict=True)) or [(), (), ()]
+        text = [*map(self.texts.__getitem__, key.tolist()), *more[2], None]
+        low, high = ([*x.tolist(), *more[1], None] for x in (least, most))
+        doc, row, per_doc = (np.concatenate(x) for x in zip(*self.docs, strict=True))
+        packed = [squeeze(x) for x in (key, np.searchsorted(key, keys), index, doc, row, per_doc)]
+        columns = [pa.array([*key.tolist(), *more[0], None], pa.int64()), pa.array(text, pa.binary()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array([None] * (len(text) - 1) + [packed], pa.list_(pa.binary()))]
+        return pa.RecordBatch.from_arrays(columns, names=["key", "chunk", "least", "most", "places"])
+
+
+def unpack_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for packed in batch.column(0).to_pylist():
+            key, at, index, doc, row, per_doc = (unsqueeze(x).view(np.int64) for x in packed)
+            columns = [key[at], np.repeat(doc, per_doc), np.repeat(row, per_doc), index]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", "id", "row", "k"])
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, min_lines: int = MIN_LINES, fold: int = FOLD) -> DataFrame:
     """The input rows with the repeated chunks taken out of the text, and n_words, n_removed_words, n_removed_chunks (long).
 
-    Rows with one id count as one document; a null id counts as the greatest.  Texts without
-    words, null ones too, stay as they are.  Of equal rows each is treated alike.  A text can be
-    left empty.  Added columns replace columns of the same name.
+    Rows with one id count as one document, and what repeats inside one document alone stays;
+    a null id counts as the greatest.  Texts without words, null ones too, stay as they are.  Of
+    equal rows each is treated alike.  A text can be left empty.  Added columns replace columns
+    of the same name; any other column keeps its name and values.  An empty table stays empty.
     """
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.filter("text is not null")
+    names = [f"column_{k}" for k in range(len(docs.columns))]
+    own, key_of, at = docs.toDF(*names), names[docs.columns.index(id_col)], docs.columns.index(text_col)
+    id_, text_ = F.coalesce(F.col(key_of).cast("long"), F.lit(_LAST)), F.col(names[at]).cast("string")
+    rows = own.select(id_.alias("id"), text_.alias("text")).filter("text is not null")
 
     def sliced(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, Chunks]]:
         for whole in batches:
-            for at in range(0, whole.num_rows, SLICE_ROWS):
-                batch = whole.slice(at, SLICE_ROWS)
+            for k in range(0, whole.num_rows, CHUNK_ROWS):
+                batch = whole.slice(k, CHUNK_ROWS)
                 yield batch, Chunks(raw_texts(batch.column(column)), fold)
 
     buckets = max(8, (rows.agg(F.sum(F.length("text"))).first()[0] or 0) // BUCKET_CHARS)
@@ -181,7 +234,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
             some = np.flatnonzero(np.diff(edges))
             parts = [order[edges[k] : edges[k + 1]] for k in some.tolist()]
-            return pa.RecordBatch.from_arrays([pa.array(some), pa.array([key[x].tobytes() for x in parts], pa.binary()), pa.array([id_[x].tobytes() for x in parts], pa.binary())], names=["bucket", "keys", "ids"])
+            return pa.RecordBatch.from_arrays([pa.array(some), pa.array([key[x].tobytes() for x in parts], pa.binary()), pa.array([squeeze(id_[x]) for x in parts], pa.binary())], names=["bucket", "keys", "ids"])
 
         for batch, c in sliced(batches, 1):
             keys.append(c.hash)
@@ -194,7 +247,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield sent()
 
     def join(group: pd.DataFrame) -> pd.DataFrame:
-        key, least, most = extremes(np.frombuffer(b"".join(group["keys"]), np.int64), np.frombuffer(b"".join(group["ids"]), np.int64))
+        ids = np.concatenate([unsqueeze(x) for x in group["ids"]]).view(np.int64)
+        key, least, most = extremes(np.frombuffer(b"".join(group["keys"]), np.int64), ids)
         key = key[least < most]
         return pd.DataFrame({"n": [len(key)], "keys": [key.tobytes()]})
 
@@ -209,58 +263,70 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     filter_ = docs.sparkSession.sparkContext.broadcast(bloom_of(repeated.select("keys").mapInArrow(unpack, "key long"), n, max_bytes=FILTER_BYTES))
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = Proposals()
         for batch, c in sliced(batches, 2):
             on = np.flatnonzero(c.runs(filter_.value.has(c.hash), min_words, min_lines))
-            own = pa.array(c.doc[on])
-            yield pa.RecordBatch.from_arrays([pa.array(c.hash[on]), batch.column(0).take(own), batch.column(1).take(own), pa.array(c.index[on])], names=["key", "id", "row", "k"])
-
-    def propose_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, c in sliced(batches, 2):
-            on = np.flatnonzero(c.runs(filter_.value.has(c.hash), min_words, min_lines))
-            text = [c.raw[a:b] for a, b in zip(c.start[on].tolist(), c.end[on].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(c.hash[on]), batch.column(0).take(pa.array(c.doc[on])), pa.array(text, pa.binary())], names=["key", "id", "chunk"])
+            if len(on):
+                found.add(c, on, batch.column(0).to_numpy(), batch.column(1).to_numpy())
+            if found.n > PROPOSALS:
+                yield found.rows()
+                found = Proposals()
+        if found.n:
+            yield found.rows()
 
     keyed = rows.select("id", F.xxhash64("text").alias("row"), "text")
-    found = keyed.mapInArrow(propose, "key long, id long, row long, k long")
-    texts = keyed.mapInArrow(propose_texts, "key long, id long, chunk binary")
+    proposed = cut(keyed.mapInArrow(propose, "key long, chunk binary, least long, most long, places array<binary>"))
+    found = proposed.filter("places is not null").select("places").mapInArrow(unpack_places, "key long, id long, row long, k long")
     # equal keys with unequal bytes are left alone; grouping by the chunk compares its bytes
-    same = texts.groupBy("key", "chunk").agg(F.min("id").alias("least"), F.max("id").alias("most"))
+    same = proposed.filter("places is null").groupBy("key", "chunk").agg(F.min("least").alias("least"), F.max("most").alias("most"))
     first = same.groupBy("key").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.count("*").alias("texts")).filter("texts = 1 and least < most")
     gone = found.join(first.select("key", "least"), "key").filter("id > least")
-    lists = gone.groupBy("id", "row").agg(F.collect_set("k").alias("gone_")).select(F.col("id").alias("id_"), F.col("row").alias("row_"), "gone_")
+    lists = gone.groupBy("id", "row").agg(F.collect_set("k").alias("gone"))
 
-    names = [c for c in docs.columns if c not in ("n_words", "n_removed_words", "n_removed_chunks")]
-    key, row = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)), F.xxhash64(F.col(text_col).cast("string"))
-    both = docs.withColumns({"id_": key, "row_": row}).join(lists, ["id_", "row_"], "left").select(*names, "gone_")
-    at, kinds = names.index(text_col), {f.name: f.dataType.simpleString() for f in docs.schema}
+    keep = [k for k, c in enumerate(docs.columns) if c not in ADDED or k in (at, docs.columns.index(id_col))]
+    both = own.withColumns({"id": id_, "row": F.xxhash64(text_)}).join(lists, ["id", "row"], "left").select(*(names[k] for k in keep), "gone")
+    place = keep.index(at)
+    out_names = [f"kept_{k}" for k in range(len(keep))]
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, c in sliced(batches, at):
-            marked = np.zeros(len(c.doc), bool)
-            lists = batch.column(len(names)).to_pylist()
-            begin = np.searchsorted(c.doc, np.arange(len(lists) + 1))
-            for d, ks in enumerate(lists):
-                if ks:
-                    marked[begin[d] + np.array(ks)] = True
-            marked = c.runs(marked, min_words, min_lines)
-            words = np.bincount(c.doc, c.words, minlength=len(lists)).astype(np.int64)
-            less = np.bincount(c.doc[marked], c.words[marked], minlength=len(lists)).astype(np.int64)
-            chunks = np.bincount(c.doc[marked], minlength=len(lists)).astype(np.int64)
-            text = batch.column(at).to_pylist()
-            for d in np.flatnonzero(chunks).tolist():
-                on = np.flatnonzero(marked[begin[d] : begin[d + 1]]) + begin[d]
-                gaps = np.flatnonzero(np.diff(on) > 1)
-                heads, tails = on[np.append(0, gaps + 1)], on[np.append(gaps, len(on) - 1)]
-                spans = zip((c.start[heads] - c.starts[d]).tolist(), (c.end[tails] - c.starts[d]).tolist(), strict=True)
-                text[d] = cleaned(text[d].encode(), list(spans)).decode()
-            columns = [pa.array(text, pa.string()) if k == at else x for k, x in enumerate(batch.columns[: len(names)])]
-            yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, (words, less, chunks))], names=[*names, "n_words", "n_removed_words", "n_removed_chunks"])
-
-    fields = [f"`{c}` {'string' if c == text_col else kinds[c]}" for c in names]
-    return both.mapInArrow(rewrite, ", ".join([*fields, "n_words long, n_removed_words long, n_removed_chunks long"]))
+        for whole in batches:
+            for first_row in range(0, whole.num_rows, CHUNK_ROWS):
+                batch = whole.slice(first_row, CHUNK_ROWS)
+                text = raw_texts(batch.column(place))
+                words = np.fromiter((len(x.split()) for x in text), np.int64, len(text))
+                less, chunks = np.zeros(len(text), np.int64), np.zeros(len(text), np.int64)
+                lists = batch.column(len(keep)).to_pylist()
+                some = [d for d, ks in enumerate(lists) if ks]
+                new = batch.column(place).to_pylist()
+                c = Chunks([text[d] for d in some], fold)
+                marked = np.zeros(len(c.doc), bool)
+                begin = np.searchsorted(c.doc, np.arange(len(some) + 1))
+                for j, d in enumerate(some):
+                    marked[begin[j] + np.array(lists[d])] = True
+                marked = c.runs(marked, min_words, min_lines)
+                less[some] = np.bincount(c.doc[marked], c.words[marked], minlength=len(some))
+                chunks[some] = np.bincount(c.doc[marked], minlength=len(some))
+                for j in np.unique(c.doc[marked]).tolist():
+                    on = np.flatnonzero(marked[begin[j] : begin[j + 1]]) + begin[j]
+                    gaps = np.flatnonzero(np.diff(on) > 1)
+                    heads, tails = on[np.append(0, gaps + 1)], on[np.append(gaps, len(on) - 1)]
+                    spans = zip((c.start[heads] - c.starts[j]).tolist(), (c.end[tails] - c.starts[j]).tolist(), strict=True)
+                    new[some[j]] = cleaned(text[some[j]], list(spans)).decode()
+                columns = [pa.array(new, pa.string()) if k == place else x for k, x in enumerate(batch.columns[: len(keep)])]
+                yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, (words, less, chunks))], names=[*out_names, *ADDED])
+
+    fields = [f"{name} {'string' if k == at else docs.schema[k].dataType.simpleString()}" for name, k in zip(out_names, keep, strict=True)]
+    out = both.mapInArrow(rewrite, ", ".join([*fields, *(f"{c} long" for c in ADDED)]))
+    return out.toDF(*(docs.columns[k] for k in keep), *ADDED)
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents with their columns, cleaned; those of which no word is left are dropped, as others hold all they had."""
-    out = dedup_lines(docs, id_col, text_col, **options)
-    return out.filter("n_removed_words = 0 or n_removed_words < n_words").select(*docs.columns)
+    """The documents with their columns, cleaned; those of which no word is left are dropped, as others hold all they had.
+
+    Null, empty and blank texts stay, as nothing is taken from them; so do repeated rows that keep a
+    word.  Columns of any name keep their values; an empty table stays empty.
+    """
+    names = [f"own_{k}" for k in range(len(docs.columns))]
+    own = dict(zip(docs.columns, names, strict=True))
+    out = dedup_lines(docs.toDF(*names), own[id_col], own[text_col], **options)
+    return out.filter("n_removed_words = 0 or n_removed_words < n_words").select(*names).toDF(*docs.columns)

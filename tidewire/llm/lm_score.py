@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.llm.bloom import mixed
-from tidewire.llm.common import SLICE_ROWS, cut, raw_texts
+from tidewire.llm.common import SLICE_ROWS, cut, raw_texts, squeeze, unsqueeze
 
 #: Bytes of text that one block holds, unless a single text is longer.
 BLOCK_BYTES = 8_000_000
@@ -93,21 +93,6 @@ def count_at(level: np.ndarray) -> np.ndarray:
     return np.where(level > 0, 2.0 ** ((level - 1 + 0.35 * (level > 2)) / STEPS), 0.0)
 
 
-def squeeze(numbers: np.ndarray) -> bytes:
-    """Whole numbers, byte plane by byte plane (as many as the largest needs), compressed."""
-    x = np.ascontiguousarray(numbers, "<u8")
-    width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
-    planes = np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width].T)
-    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
-
-
-def unsqueeze(packed: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed[1:]), np.uint8).reshape(packed[0], -1)
-    out = np.zeros((planes.shape[1], 8), np.uint8)
-    out[:, : packed[0]] = planes.T
-    return out.view("<u8").ravel()
-
-
 class Pairs:
     """The distinct pairs of tokens in texts laid end to end, by their hashes of so many bits, in order."""
 
