@@ -17,10 +17,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.bloom import bloom_of, mixed
+from tidewire.llm.bloom import bloom_of
 from tidewire.llm.common import cut, raw_texts, squeeze, unsqueeze
 
 #: One word in so many ends a logical line; three in four lines end a chunk.
@@ -33,6 +35,8 @@ MIN_LINES = 2
 FILTER_BYTES = 16 << 20
 #: Letters of text for which one more bucket of hashes is made.
 BUCKET_CHARS = 16_000_000
+#: Bits of a chunk's hash that the filter of repeated chunks holds.
+KEY_BITS = 44
 #: Texts that are chunked together, and proposed chunks whose texts are gathered in one task before they go on.
 CHUNK_ROWS, PROPOSALS = 64, 200_000
 
@@ -134,6 +138,11 @@ class Chunks:
         return marked & enough[run]
 
 
+def filter_keys(hashes: np.ndarray) -> np.ndarray:
+    """The keys of the filter of repeated chunks; it proposes alone, so fewer bits than a chunk's own key has will do."""
+    return hashes.view(np.uint64) >> np.uint64(64 - KEY_BITS)
+
+
 def extremes(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys with the least and the greatest id of each."""
     if not len(keys):
@@ -160,44 +169,92 @@ ADDED = ("n_words", "n_removed_words", "n_removed_chunks")
 _LAST = (1 << 63) - 1
 
 
+def range_edges(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Where sorted unsigned keys pass from one bucket to the next; a bucket is a range of keys."""
+    return np.append(np.searchsorted(keys, np.array([-(-(k << 64) // buckets) for k in range(buckets)], np.uint64)), len(keys))
+
+
+def pack_texts(texts: list[bytes]) -> tuple[bytes, bytes]:
+    return squeeze(np.fromiter(map(len, texts), np.int64, len(texts))), zstandard.ZstdCompressor(level=1).compress(b"".join(texts))
+
+
+def unpack_texts(sizes: bytes, body: bytes) -> list[bytes]:
+    raw, ends = zstandard.ZstdDecompressor().decompress(body), np.cumsum(unsqueeze(sizes)).tolist()
+    return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
 class Proposals:
     """Places of proposed chunks in some documents, and the bytes of each distinct chunk once."""
 
-    def __init__(self):
-        self.texts: dict[int, bytes] = {}
-        self.unequal: list[tuple[int, int, bytes]] = []
+    SCHEMA = "batch long, bucket long, keys binary, sizes binary, body binary, least binary, most binary, bad binary, places array<binary>"
+
+    def __init__(self, buckets: int):
+        self.buckets, self.texts, self.bad = buckets, {}, set()
         self.docs, self.places, self.n = [], [], 0
 
     def add(self, c: Chunks, on: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
         own, per_doc = np.unique(c.doc[on], return_counts=True)
-        keys, seen = c.hash[on], self.texts
+        keys, seen = c.hash[on].view(np.uint64), self.texts
         self.docs.append((ids[own], rows[own], per_doc))
         self.places.append((keys, np.repeat(ids[own], per_doc), c.index[on]))
         self.n += len(on)
-        for key, a, b, d in zip(keys.tolist(), c.start[on].tolist(), c.end[on].tolist(), c.doc[on].tolist(), strict=True):
+        for key, a, b in zip(keys.tolist(), c.start[on].tolist(), c.end[on].tolist(), strict=True):
             text = c.raw[a:b]
             if seen.setdefault(key, text) != text:
-                self.unequal.append((key, int(ids[d]), text))
+                self.bad.add(key)
 
     def rows(self) -> pa.RecordBatch:
-        """For each distinct chunk its key, bytes, least and greatest id; then one row with the places alone."""
+        """For each bucket its keys (steps between them), chunks and ids; then one row with the places alone."""
         keys, ids, index = (np.concatenate(x) for x in zip(*self.places, strict=True))
         key, least, most = extremes(keys, ids)
-        more = list(zip(*self.unequal, strict=True)) or [(), (), ()]
-        text = [*map(self.texts.__getitem__, key.tolist()), *more[2], None]
-        low, high = ([*x.tolist(), *more[1], None] for x in (least, most))
         doc, row, per_doc = (np.concatenate(x) for x in zip(*self.docs, strict=True))
-        packed = [squeeze(x) for x in (key, np.searchsorted(key, keys), index, doc, row, per_doc)]
-        columns = [pa.array([*key.tolist(), *more[0], None], pa.int64()), pa.array(text, pa.binary()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array([None] * (len(text) - 1) + [packed], pa.list_(pa.binary()))]
-        return pa.RecordBatch.from_arrays(columns, names=["key", "chunk", "least", "most", "places"])
-
-
-def unpack_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for packed in batch.column(0).to_pylist():
-            key, at, index, doc, row, per_doc = (unsqueeze(x).view(np.int64) for x in packed)
-            columns = [key[at], np.repeat(doc, per_doc), np.repeat(row, per_doc), index]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", "id", "row", "k"])
+        edges = range_edges(key, self.buckets)
+        places = [squeeze(x) for x in (edges, np.searchsorted(key, keys), index, doc, row, per_doc)]
+        batch = xxhash.xxh3_64_intdigest(b"".join([key.tobytes(), *places])) >> 1
+        bad = np.fromiter((k in self.bad for k in key.tolist()), bool, len(key))
+        out = []
+        for k in np.flatnonzero(np.diff(edges)).tolist():
+            x = slice(edges[k], edges[k + 1])
+            sizes, body = pack_texts([self.texts[j] for j in key[x].tolist()])
+            out.append((batch, k, squeeze(np.diff(key[x], prepend=np.uint64(0))), sizes, body, squeeze(least[x]), squeeze(most[x]), squeeze(bad[x]), None))
+        out.append((batch, -1, None, None, None, None, None, None, places))
+        types = [pa.int64()] * 2 + [pa.binary()] * 6 + [pa.list_(pa.binary())]
+        names = [x.split()[0] for x in self.SCHEMA.split(", ")]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+
+
+def compare(group: pd.DataFrame) -> pd.DataFrame:
+    """For each batch's keys of one bucket: whether the key stands for the same bytes everywhere and for several documents, and its least id."""
+    known: dict[int, bytes] = {}
+    lists, bad = [np.cumsum(unsqueeze(x), dtype=np.uint64) for x in group["keys"]], set()
+    for keys, sizes, body, given in zip(lists, group["sizes"], group["body"], group["bad"], strict=True):
+        bad.update(keys[unsqueeze(given) > 0].tolist())
+        for key, text in zip(keys.tolist(), unpack_texts(sizes, body), strict=True):
+            if known.setdefault(key, text) != text:
+                bad.add(key)
+    ids = np.concatenate([unsqueeze(x).view(np.int64) for c in ("least", "most") for x in group[c]])
+    key, least, most = extremes(np.concatenate(lists * 2), ids)
+    good = (least < most) & ~np.fromiter((k in bad for k in key.tolist()), bool, len(key))
+    at = [np.searchsorted(key, x) for x in lists]
+    return pd.DataFrame({"batch": group["batch"], "bucket": group["bucket"], "good": [squeeze(good[x]) for x in at], "least": [squeeze(least[x]) for x in at]})
+
+
+def resolve(places: pa.Table, verdicts: pa.Table) -> pa.Table:
+    """The documents of a batch that lose chunks, with the chunks' places in them."""
+    answers = verdicts.to_pylist()
+    out = [pa.table({"id": pa.array([], pa.int64()), "row": pa.array([], pa.int64()), "gone": pa.array([], pa.list_(pa.int32()))})]
+    for packed in places.column("places").to_pylist():
+        edges, at, index, doc, row, per_doc = (unsqueeze(x).view(np.int64) for x in packed)
+        good, least = np.zeros(edges[-1], bool), np.zeros(edges[-1], np.int64)
+        for x in answers:
+            span = slice(edges[x["bucket"]], edges[x["bucket"] + 1])
+            good[span], least[span] = unsqueeze(x["good"]) > 0, unsqueeze(x["least"]).view(np.int64)
+        gone = good[at] & (np.repeat(doc, per_doc) > least[at])
+        owner = np.repeat(np.arange(len(doc)), per_doc)[gone]
+        some, first = np.unique(owner, return_index=True)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(owner)), pa.int32()), pa.array(index[gone], pa.int32()))
+        out.append(pa.table({"id": doc[some], "row": row[some], "gone": lists}))
+    return pa.concat_tables(out)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, min_lines: int = MIN_LINES, fold: int = FOLD) -> DataFrame:
@@ -227,17 +284,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         def sent() -> pa.RecordBatch:
             key, id_ = np.concatenate(keys), np.concatenate(ids)
             met, least, most = extremes(key, id_)
-            wide = least < most  # a key of one document goes once
-            key, id_ = np.concatenate([met, met[wide]]), np.concatenate([least, most[wide]])
-            bucket = (mixed(key) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            some = np.flatnonzero(np.diff(edges))
-            parts = [order[edges[k] : edges[k + 1]] for k in some.tolist()]
-            return pa.RecordBatch.from_arrays([pa.array(some), pa.array([key[x].tobytes() for x in parts], pa.binary()), pa.array([squeeze(id_[x]) for x in parts], pa.binary())], names=["bucket", "keys", "ids"])
+            wide = least < most
+            edges = range_edges(met << np.uint64(64 - KEY_BITS), buckets)
+            some = np.flatnonzero(np.diff(edges)).tolist()
+            parts = [slice(edges[k], edges[k + 1]) for k in some]
+            columns = [[squeeze(np.diff(met[x], prepend=np.uint64(0))) for x in parts], [squeeze(least[x]) for x in parts], [squeeze(wide[x]) for x in parts]]
+            return pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(x, pa.binary()) for x in columns)], names=["bucket", "keys", "ids", "wide"])
 
         for batch, c in sliced(batches, 1):
-            keys.append(c.hash)
+            keys.append(filter_keys(c.hash))
             ids.append(batch.column(0).to_numpy()[c.doc])
             n += len(c.hash)
             if n > 500_000:
@@ -247,9 +302,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield sent()
 
     def join(group: pd.DataFrame) -> pd.DataFrame:
-        ids = np.concatenate([unsqueeze(x) for x in group["ids"]]).view(np.int64)
-        key, least, most = extremes(np.frombuffer(b"".join(group["keys"]), np.int64), ids)
-        key = key[least < most]
+        own = [np.cumsum(unsqueeze(x), dtype=np.uint64) for x in group["keys"]]
+        key, least, most = extremes(np.concatenate(own), np.concatenate([unsqueeze(x) for x in group["ids"]]).view(np.int64))
+        several = least < most
+        several |= np.isin(key, np.concatenate([x[unsqueeze(w) > 0] for x, w in zip(own, group["wide"], strict=True)]))
+        key = key[several].view(np.int64)
         return pd.DataFrame({"n": [len(key)], "keys": [key.tobytes()]})
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,31 +314,31 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for x in batch.column(0).to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, np.int64))], names=["key"])
 
-    # keys go as packed bytes, with the least and greatest id of each in some documents
-    repeated = cut(rows.mapInArrow(hashes, "bucket long, keys binary, ids binary").groupBy("bucket").applyInPandas(join, "n long, keys binary"))
+    # keys go as packed steps, with the least id of each in some documents and whether these have it in several
+    repeated = cut(rows.mapInArrow(hashes, "bucket long, keys binary, ids binary, wide binary").groupBy("bucket").applyInPandas(join, "n long, keys binary"))
     n = repeated.agg(F.sum("n")).first()[0] or 0
     filter_ = docs.sparkSession.sparkContext.broadcast(bloom_of(repeated.select("keys").mapInArrow(unpack, "key long"), n, max_bytes=FILTER_BYTES))
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = Proposals()
+        found = Proposals(buckets)
         for batch, c in sliced(batches, 2):
-            on = np.flatnonzero(c.runs(filter_.value.has(c.hash), min_words, min_lines))
+            on = np.flatnonzero(c.runs(filter_.value.has(filter_keys(c.hash)), min_words, min_lines))
             if len(on):
                 found.add(c, on, batch.column(0).to_numpy(), batch.column(1).to_numpy())
             if found.n > PROPOSALS:
                 yield found.rows()
-                found = Proposals()
+                found = Proposals(buckets)
         if found.n:
             yield found.rows()
 
     keyed = rows.select("id", F.xxhash64("text").alias("row"), "text")
-    proposed = cut(keyed.mapInArrow(propose, "key long, chunk binary, least long, most long, places array<binary>"))
-    found = proposed.filter("places is not null").select("places").mapInArrow(unpack_places, "key long, id long, row long, k long")
-    # equal keys with unequal bytes are left alone; grouping by the chunk compares its bytes
-    same = proposed.filter("places is null").groupBy("key", "chunk").agg(F.min("least").alias("least"), F.max("most").alias("most"))
-    first = same.groupBy("key").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.count("*").alias("texts")).filter("texts = 1 and least < most")
-    gone = found.join(first.select("key", "least"), "key").filter("id > least")
-    lists = gone.groupBy("id", "row").agg(F.collect_set("k").alias("gone"))
+    proposed = cut(keyed.mapInArrow(propose, Proposals.SCHEMA))
+    # each batch's distinct chunks meet those of the others in their bucket, and the verdicts go back to the batch
+    texts = proposed.filter("places is null").drop("places")
+    verdicts = texts.groupBy("bucket").applyInPandas(compare, "batch long, bucket long, good binary, least binary")
+    found = proposed.filter("places is not null").select("batch", "places")
+    lists = found.groupBy("batch").cogroup(verdicts.groupBy("batch")).applyInArrow(resolve, "id long, row long, gone array<int>")
+    lists = lists.groupBy("id", "row").agg(F.max("gone").alias("gone"))  # of equal rows all have the same
 
     keep = [k for k, c in enumerate(docs.columns) if c not in ADDED or k in (at, docs.columns.index(id_col))]
     both = own.withColumns({"id": id_, "row": F.xxhash64(text_)}).join(lists, ["id", "row"], "left").select(*(names[k] for k in keep), "gone")
@@ -302,7 +359,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 marked = np.zeros(len(c.doc), bool)
                 begin = np.searchsorted(c.doc, np.arange(len(some) + 1))
                 for j, d in enumerate(some):
-                    marked[begin[j] + np.array(lists[d])] = True
+                    marked[begin[j] + np.array(lists[d], np.int64)] = True
                 marked = c.runs(marked, min_words, min_lines)
                 less[some] = np.bincount(c.doc[marked], c.words[marked], minlength=len(some))
                 chunks[some] = np.bincount(c.doc[marked], minlength=len(some))
