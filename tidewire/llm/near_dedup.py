@@ -3,12 +3,14 @@
 1. Each text becomes its set of word shingles, and the set a few minwise tokens.  Equal sets
    are one representative from here on (exact copies cost nothing more).
 2. Independent trees start from one minwise token each.  A node holds the representatives
-   that share the tokens chosen on the path to it.  Nodes of at most `SMALL` are compared
-   exhaustively; larger ones branch on tokens chosen by a hash of the path.  A node that
-   branching barely shrinks is a dense group: its members are compared with a few pivots.
+   that share the tokens chosen on the path to it, and branches on tokens chosen by a hash of
+   the path.  Nodes of more than `LIMIT` members branch by shuffles, smaller ones inside a
+   task, down to nodes of at most `SMALL`, which are compared exhaustively.  A node that
+   branching barely shrinks is a dense group: in blocks of at most `LIMIT` members, which its
+   pivots join, its most similar pairs make a spanning forest.
 3. Pairs whose tokens agree often enough are confirmed on their full sets: first the best
    partner of each representative, then whatever still crosses two components, among it
-   every member of a dense node outside the node's main component against the whole node.
+   every member of a dense group outside the group's main component against the whole group.
    Only the links inside one component stay unconfirmed, as they cannot change any group.
 
 The trees find a pair of similarity 0.8 but for a chance of (1 - 0.8) ** TREES where nodes
@@ -23,7 +25,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.llm.common import SLICE_ROWS, cut, raw_texts
@@ -31,6 +33,8 @@ from tidewire.llm.common import SLICE_ROWS, cut, raw_texts
 TREES = 8
 TOKENS = 256
 SMALL = 8
+#: Members of a node, or of a block of a dense group, that one task handles together.
+LIMIT = 512
 BRANCHES = 2
 LEVELS = 10
 #: A child larger than this share of its parent shows a dense group.
@@ -81,7 +85,7 @@ def tokens(items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         m = (low[None, k : k + 4096] * _A + _B).min(axis=1)
         r = (items[None, k : k + 4096] * _ROOT_A).min(axis=1)
         least, first = (m, r) if least is None else (np.minimum(least, m), np.minimum(first, r))
-    return first.view(np.int64), ((least * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8).view(np.int8)
+    return first.view(np.int64), ((least * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8)
 
 
 def sketch(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
@@ -105,18 +109,14 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
                     fp1.append(a)
                     fp2.append(b)
                     roots.append(first)
-                    sigs.append(sig)
+                    sigs.append(sig.tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(n, pa.int64()), pa.array(fp1, pa.int64()), pa.array(fp2, pa.int64()), pa.array(roots, pa.list_(pa.int64())), pa.array(sigs, pa.list_(pa.int8()))],
+                    [batch.column(0), pa.array(n, pa.int64()), pa.array(fp1, pa.int64()), pa.array(fp2, pa.int64()), pa.array(roots, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
                     names=["id", "n_shingles", "fp1", "fp2", "roots", "sig"],
                 )
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, n_shingles long, fp1 long, fp2 long, roots array<long>, sig array<tinyint>")
-
-
-def pair(a: Column, b: Column) -> list[Column]:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+    return rows.mapInArrow(run, "id long, n_shingles long, fp1 long, fp2 long, roots array<long>, sig binary")
 
 
 def sized(rows: DataFrame) -> DataFrame:
@@ -125,61 +125,152 @@ def sized(rows: DataFrame) -> DataFrame:
     return rows.join(size, "node")
 
 
-def small_pairs(rows: DataFrame) -> DataFrame:
-    """All pairs of the nodes of at most SMALL members; nodes with the same members count once."""
-    lists = rows.filter(F.col("size") <= SMALL).groupBy("node").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    lists = lists.select("ids").distinct()
-    heads = lists.select("ids", F.posexplode("ids").alias("k", "a"))
-    return heads.select("a", F.explode(F.expr("slice(ids, k + 2, size(ids))")).alias("b"))
-
-
-def pivot_pairs(rows: DataFrame) -> DataFrame:
-    """Each member of a large node against three: the one met in most such nodes, the least id and the least hash.
-    Nodes of one group thus choose the same few."""
-    often = rows.groupBy("id").agg(F.count("*").alias("met"))
-    best = rows.join(often, "id").groupBy("node").agg(
-        F.max(F.struct("met", -F.col("id"))).alias("m"), F.min("id").alias("least"), F.min(F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("i"))).alias("r")
-    )
-    pivots = best.select("node", F.explode(F.array_distinct(F.array(-F.col("m").getField("col2"), "least", F.col("r").getField("i")))).alias("p"))
-    return rows.join(pivots, "node").filter("id <> p").select(*pair(F.col("id"), F.col("p")))
+def agreements(sigs: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Numbers of equal tokens, over the last axis."""
+    equal = np.packbits(sigs == others, axis=-1)
+    return np.bitwise_count(equal.view(np.uint64)).sum(axis=-1, dtype=np.int16)
+
+
+class Node:
+    """Some representatives that one task compares: ids, set sizes, tokens."""
+
+    def __init__(self, ids: np.ndarray, n: np.ndarray, sigs: np.ndarray, threshold: float):
+        self.ids, self.n, self.sigs, self.threshold = ids, n, sigs, threshold
+        self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def likely(self, a: np.ndarray, b: np.ndarray, agree: np.ndarray) -> np.ndarray:
+        """Whether the sizes and the tokens leave the threshold possible."""
+        low, high = np.minimum(self.n[a], self.n[b]), np.maximum(self.n[a], self.n[b])
+        return (agree >= TOKENS * (self.threshold - MARGIN)) & (low >= self.threshold * high - 1e-6)
+
+    def keep(self, a: np.ndarray, b: np.ndarray, agree: np.ndarray) -> None:
+        on = self.ids[a] != self.ids[b]
+        x, y = self.ids[a[on]], self.ids[b[on]]
+        self.found.append((np.minimum(x, y), np.maximum(x, y), agree[on].astype(np.int32)))
+
+    def small(self, starts: np.ndarray, sizes: np.ndarray) -> None:
+        """All likely pairs of groups of at most SMALL rows that follow each other."""
+        last = np.repeat(starts + sizes, sizes)
+        rows = np.repeat(starts, sizes) + np.arange(len(last)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        for d in range(1, int(sizes.max(initial=1))):
+            a = rows[rows + d < last]
+            for k in range(0, len(a), 8192):
+                x = a[k : k + 8192]
+                agree = agreements(self.sigs[x], self.sigs[x + d])
+                on = self.likely(x, x + d, agree)
+                self.keep(x[on], x[on] + d, agree[on])
+
+    def leaf(self, rows: np.ndarray, group: int | None = None) -> None:
+        """The likely pairs of a few rows; of more a spanning forest of the most similar ones, and, as a
+        dense group of its own (-1 in place of an agreement), each tree's members.  Of a block of a
+        larger dense group all rows are the group's members."""
+        m = len(rows)
+        agree = np.concatenate([agreements(self.sigs[rows[k : k + 16], None], self.sigs[None, rows]) for k in range(0, m, 16)])
+        a, b = np.repeat(rows, m), np.tile(rows, m)
+        agree = np.where(self.likely(a, b, agree.ravel()), agree.ravel(), 0).reshape(m, m)
+        if group is not None:
+            self.found.append((np.full(m, group), self.ids[rows], np.full(m, -1, np.int32)))
+        elif m <= SMALL:
+            x, y = np.nonzero(np.triu(agree, 1))
+            self.keep(rows[x], rows[y], agree[x, y])
+            return
+        best, near, left, tree = np.zeros(m, np.int16), np.full(m, -1), np.ones(m, bool), np.arange(m)
+        for _ in range(m):
+            j = int(np.where(left, best, -1).argmax())
+            left[j] = False
+            if near[j] >= 0:
+                tree[j] = tree[near[j]]
+            closer = left & (agree[j] > best)
+            best[closer], near[closer] = agree[j][closer], j
+        on = np.flatnonzero(near >= 0)
+        self.keep(rows[near[on]], rows[on], best[on])
+        for t in np.unique(tree[on]).tolist() if group is None else ():
+            members = np.unique(self.ids[rows[tree == t]])
+            if len(members) > 2:
+                name = xxhash.xxh3_64_intdigest(members.tobytes()) >> 1
+                self.found.append((np.full(len(members), name), members, np.full(len(members), -1, np.int32)))
+
+    def branch(self, rows: np.ndarray, path: int, depth: int = 0) -> None:
+        if len(rows) <= SMALL or depth == LEVELS:
+            return self.leaf(rows)
+        for k in range(BRANCHES):
+            chosen = xxhash.xxh3_64_intdigest(b"%d %d" % (path, k))
+            order = rows[np.argsort(self.sigs[rows, chosen % TOKENS], kind="stable")]
+            token = self.sigs[order, chosen % TOKENS]
+            for child in np.split(order, np.flatnonzero(np.diff(token)) + 1):
+                if len(child) > DENSE * len(rows):
+                    self.leaf(child)
+                elif len(child) > 1:
+                    self.branch(child, chosen ^ int(self.sigs[child[0], chosen % TOKENS]) << 3, depth + 1)
+
+
+def compare_groups(groups: DataFrame, threshold: float) -> DataFrame:
+    """a, b, agree: likely pairs of groups (node, block) of rows (dense, id, n_shingles, sig); or a dense group, a member, -1."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def compared(table: pa.Table) -> pa.RecordBatch:
+            node, block, dense, ids, n = (table.column(k).to_numpy() for k in range(5))
+            sigs = np.frombuffer(b"".join(table.column(5).to_pylist()), np.uint8).reshape(-1, TOKENS)
+            starts = np.flatnonzero(np.append(True, (node[1:] != node[:-1]) | (block[1:] != block[:-1])))
+            sizes, out = np.diff(starts, append=len(node)), Node(ids, n, sigs, threshold)
+            few = (sizes <= SMALL) & ~dense[starts]
+            out.small(starts[few], sizes[few])
+            for at, size in zip(starts[~few].tolist(), sizes[~few].tolist(), strict=True):
+                rows = np.arange(at, at + size)
+                out.leaf(rows, int(node[at])) if dense[at] else out.branch(rows, int(node[at]))
+            none = np.zeros(0, np.int64)
+            a, b, agree = (np.concatenate([none, *x]) for x in zip(*out.found, strict=True)) if out.found else (none, none, none)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(agree.astype(np.int32))], names=["a", "b", "agree"])
 
-def grow_trees(reps: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """Candidate pairs (a < b), and the members (node, id) of nodes that stayed large."""
+        for batch in batches:
+            held.append(batch)
+            if sum(x.num_rows for x in held) < 8192:
+                continue
+            table = pa.Table.from_batches(held)
+            node, block = table.column(0).to_numpy(), table.column(1).to_numpy()
+            first = int(np.flatnonzero((node == node[-1]) & (block == block[-1]))[0])  # the last group may go on
+            if first:
+                yield compared(table.slice(0, first))
+            held = table.slice(first).to_batches()
+        if held and sum(x.num_rows for x in held):
+            yield compared(pa.Table.from_batches(held))
+
+    rows = groups.select("node", "block", "dense", "id", "n_shingles", "sig").repartition("node", "block").sortWithinPartitions("node", "block")
+    return rows.mapInArrow(run, "a long, b long, agree int")
+
+
+def grow_trees(reps: DataFrame, threshold: float) -> DataFrame:
+    """a, b, agree of likely pairs (a < b); with agree -1 a dense group a and its member b."""
     first = reps.select("id", F.posexplode("roots").alias("tree", "token"))
-    level = cut(sized(first.select(F.xxhash64("tree", "token").alias("node"), "id")))
-    found, large = [small_pairs(level)], None
+    rest = cut(sized(first.select(F.xxhash64("tree", "token").alias("node"), "id")).withColumn("parent", F.lit(None).cast("long")))
+    found = []
     for depth in range(LEVELS + 1):
-        rest = level.filter(F.col("size") > SMALL)
+        found.append(rest.filter(F.col("size") <= LIMIT).select("node", F.lit(0).cast("long").alias("block"), F.lit(False).alias("dense"), "id"))
+        rest = rest.filter(F.col("size") > LIMIT)
         if rest.isEmpty():
             break
-        if depth:
-            rest = rest.withColumn("leaf", (F.col("size") > DENSE * F.col("parent")) | F.lit(depth == LEVELS))
-            dense = rest.filter("leaf").select("node", "id")
-            large = dense if large is None else large.unionByName(dense)
-            rest = rest.filter("not leaf")
+        leaf = F.coalesce(F.col("size") > DENSE * F.col("parent"), F.lit(False)) | F.lit(depth == LEVELS)
+        found.append(blocks(rest.filter(leaf)))
         chosen = F.expr(f"transform(sequence(0, {BRANCHES - 1}), k -> cast(pmod(xxhash64(node, k), {TOKENS}) as int))")
-        below = rest.join(reps.select("id", "sig"), "id").select("node", "id", "size", "sig", F.explode(chosen).alias("i"))
-        child = F.xxhash64("node", "i", F.element_at("sig", F.col("i") + 1))
-        level = cut(sized(below.select(child.alias("node"), "id", F.col("size").alias("parent"))))
-        found.append(small_pairs(level))
-    if large is not None:
-        large = cut(large)
-        found.append(pivot_pairs(large))
-    pairs = found[0]
+        below = rest.filter(~leaf).join(reps.select("id", "sig"), "id").select("node", "id", "size", "sig", F.explode(chosen).alias("i"))
+        child = F.xxhash64("node", "i", F.expr("substring(sig, i + 1, 1)"))
+        rest = cut(sized(below.select(child.alias("node"), "id", F.col("size").alias("parent"))))
+    groups = found[0]
     for x in found[1:]:
-        pairs = pairs.unionByName(x)
-    return pairs, large
+        groups = groups.unionByName(x)
+    return compare_groups(groups.join(reps.select("id", "n_shingles", "sig"), "id"), threshold)
 
 
-def likely(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
-    """Distinct pairs with `agree`, the number of equal tokens, where that leaves the threshold possible."""
-    sets = reps.select("id", "sig", "n_shingles")
-    both = pairs.distinct().join(sets.select(F.col("id").alias("a"), F.col("sig").alias("sig_a"), F.col("n_shingles").alias("n_a")), "a")
-    both = both.join(sets.select(F.col("id").alias("b"), F.col("sig").alias("sig_b"), F.col("n_shingles").alias("n_b")), "b")
-    both = both.filter(F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-6)
-    agree = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    return both.select("a", "b", agree.alias("agree")).filter(F.col("agree") >= TOKENS * (threshold - MARGIN))
+def blocks(dense: DataFrame) -> DataFrame:
+    """The members of dense groups in blocks of about LIMIT / 2; two pivots of the group are in each of its blocks."""
+    counts = F.ceil(F.col("size") / (LIMIT // 2))
+    members = dense.select("node", F.pmod(F.xxhash64("id", "node"), counts).alias("block"), "id")
+    pivots = dense.groupBy("node").agg(F.min("id").alias("p"), F.min(F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("q"))).alias("r"), F.max(counts).alias("n"))
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))
+    pivots = pivots.select("node", "n", F.explode(F.array_distinct(F.array("p", "r.q"))).alias("id")).select("node", each.alias("block"), "id")
+    return members.unionByName(pivots).select("node", "block", F.lit(True).alias("dense"), "id")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -211,6 +302,17 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
     return given.mapInArrow(check, "a long, b long")
 
 
+def roots_of(links: DataFrame) -> DataFrame:
+    """(id, component) where each id has one link to a lesser one: by jumping to the link's own link until none moves."""
+    found = cut(links.select(F.col("b").alias("id"), F.col("a").alias("component")))
+    while True:
+        above = found.select(F.col("id").alias("component"), F.col("component").alias("up"))
+        found = cut(found.join(above, "component", "left").select("id", F.coalesce("up", "component").alias("component"), F.col("up").isNotNull().alias("moved")))
+        if found.filter("moved").isEmpty():
+            return found.select("id", "component")
+        found = found.drop("moved")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component): the least id reachable, for the ids in links (a, b).  Large and small stars in turn
     (Kiveris et al., "Connected Components in MapReduce and Beyond"); each round is cut."""
@@ -231,12 +333,12 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
-def crossing(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs whose ends are in different components so far."""
+def crossing(pairs: DataFrame, labels: DataFrame, *keep: str) -> DataFrame:
+    """Pairs whose ends are in different components so far; `keep` names the components' columns to keep (c_a, c_b)."""
     for side in ("a", "b"):
         own = labels.select(F.col("id").alias(side), F.col("component").alias(f"c_{side}"))
         pairs = pairs.join(own, side, "left").withColumn(f"c_{side}", F.coalesce(f"c_{side}", side))
-    return pairs.filter("c_a <> c_b").drop("c_a", "c_b")
+    return pairs.filter("c_a <> c_b").drop(*{"c_a", "c_b"}.difference(keep))
 
 
 def outsider_links(large: DataFrame, labels: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -294,28 +396,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = cut(sketch(docs, id_col, text_col, size))
     full = sets.filter("n_shingles > 0 and id is not null")
     classes = full.groupBy("fp1", "fp2").agg(F.min("id").alias("id"))
-    reps = full.join(classes, ["fp1", "fp2", "id"]).select("id", "n_shingles", "roots", "sig").dropDuplicates(["id"])
-    same_id = full.select("id", "fp1", "fp2").distinct().join(classes.withColumnRenamed("id", "rep"), ["fp1", "fp2"])
-    candidates, large = grow_trees(reps)
-    candidates = cut(likely(candidates, reps, threshold))
-
-    ids = candidates.select(F.explode(F.array("a", "b")).alias("id"))
-    if large is not None:
-        ids = ids.unionByName(large.select("id"))
+    reps = cut(full.join(classes, ["fp1", "fp2", "id"]).select("id", "n_shingles", "roots", "sig").dropDuplicates(["id"]))
+    same_id = full.select("id", "fp1", "fp2").join(classes.withColumnRenamed("id", "rep"), ["fp1", "fp2"])
+    grown = cut(grow_trees(reps, threshold).groupBy("a", "b").agg(F.max("agree").alias("agree")))
+    candidates, large = grown.filter("agree >= 0"), grown.filter("agree < 0").select(F.col("a").alias("node"), F.col("b").alias("id"))
+
+    ids = grown.select(F.explode(F.expr("if(agree < 0, array(b), array(a, b))")).alias("id"))
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     texts = cut(source.join(ids.distinct(), "id", "left_semi").dropDuplicates(["id"]))
 
     best = candidates.groupBy("b").agg(F.max(F.struct("agree", -F.col("a"))).alias("m")).select((-F.col("m").getField("col2")).alias("a"), "b")
-    links = cut(confirm(best, texts, size, percent))
-    labels = components(links)
+    labels = roots_of(confirm(best, texts, size, percent))
     rest = crossing(candidates.select("a", "b").join(best, ["a", "b"], "left_anti"), labels)
-    more = confirm(rest, texts, size, percent)
-    if large is not None:
-        more = more.unionByName(outsider_links(large, labels, texts, size, percent))
-    more = cut(more)
+    more = confirm(rest, texts, size, percent).unionByName(outsider_links(large, labels, texts, size, percent))
+    more = cut(crossing(more, labels, "c_a", "c_b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b")).distinct())
     if not more.isEmpty():
-        stars = labels.select(F.col("component").alias("a"), F.col("id").alias("b"))
-        labels = components(stars.unionByName(more))
+        # what still crosses joins whole components
+        of = components(more).select(F.col("id").alias("component"), F.col("component").alias("least"))
+        own = labels.unionByName(labels.select(F.col("component").alias("id"), "component").distinct()).unionByName(of.select(F.col("component").alias("id"), "component"))
+        labels = own.join(of, "component", "left").select("id", F.coalesce("least", "component").alias("component")).distinct()
 
     of_class = same_id.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
     of_id = of_class.groupBy("id").agg(F.min("component").alias("component"))
@@ -325,6 +424,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """The documents without the others of each near-duplicate group, with all their columns."""
-    gone = near_duplicates(docs, id_col, text_col, size, percent).filter("not kept").select(F.col(id_col).alias("gone_"))
-    return docs.join(gone, docs[id_col] == gone["gone_"], "left_anti")
+    """The documents without the others of each near-duplicate group, with all their columns.
+
+    Rows without words and rows with a null id stay; so do all rows with the id that stays.
+    """
+    gone = near_duplicates(docs, id_col, text_col, size, percent).filter("not kept").select(F.col(id_col).alias("gone")).distinct()
+    names = [f"own_{k}" for k in range(len(docs.columns))]
+    own, key = docs.toDF(*names), names[docs.columns.index(id_col)]
+    return own.join(gone, own[key].cast("long") == gone["gone"], "left_anti").toDF(*docs.columns)
