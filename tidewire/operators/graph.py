@@ -70,11 +70,12 @@ def multi_source(relationships: DataFrame, entities: DataFrame) -> DataFrame:
     return entities.select(F.col("id").alias("entity_id"), "name").join(rows, "entity_id")
 
 
-def recent_events(relationships: DataFrame, entities: DataFrame, least: float = 0.7) -> DataFrame:
-    """J-02: confident relationships with the names of their ends, where known."""
+def recent_events(events: DataFrame, entities: DataFrame, least: float = 0.7) -> DataFrame:
+    """J-02: confident events that are their own canonical event, with the names of their ends, where known; newest first."""
     s = entities.select(F.col("id").alias("subject_id"), F.col("name").alias("subject"))
     o = entities.select(F.col("id").alias("object_id"), F.col("name").alias("object"))
-    return relationships.filter(F.col("confidence") >= least).join(s, "subject_id", "left").join(o, "object_id", "left")
+    rows = events.filter((F.col("confidence") >= least) & F.col("canonical_event_id").isNull())
+    return rows.join(s, "subject_id", "left").join(o, "object_id", "left").orderBy(*newest_first())
 
 
 def stats(relationships: DataFrame, entities: DataFrame) -> DataFrame:
@@ -108,13 +109,16 @@ def timeline(relationships: DataFrame, as_of: str, since: str, limit: int = 200)
 
 
 def infer_types(relationships: DataFrame, entities: DataFrame) -> DataFrame:
-    """AGG-11: a type for unknown entities from the roles they play; a person's roles win over a company's."""
+    """AGG-11: a type for unknown entities from five counts; a person's roles win over a company's."""
     unknown = entities.filter("entity_type = 'unknown'").select(F.col("id").alias("entity_id"), "name")
-    roles = relationships.select(F.col("subject_id").alias("entity_id"), F.concat(F.lit("s:"), "predicate").alias("role")).unionByName(relationships.select(F.col("object_id").alias("entity_id"), F.concat(F.lit("o:"), "predicate").alias("role")))
+    side = lambda end, mark: relationships.select(F.col(end).alias("entity_id"), F.concat(F.lit(mark), "predicate").alias("role"))
+    roles = side("subject_id", "s:").unionByName(side("object_id", "o:"))
     counts = unknown.join(roles, "entity_id", "left").groupBy("entity_id", "name").agg(
-        F.count_if(F.col("role").isin("s:HIRED_BY", "s:DEPARTED_FROM", "s:CEO_OF", "s:CTO_OF", "s:CFO_OF", "s:FOUNDED")).alias("person"),
-        F.count_if(F.col("role").isin("o:HIRED_BY", "o:DEPARTED_FROM", "s:ACQUIRED", "o:ACQUIRED", "s:FUNDED_BY", "s:LAID_OFF")).alias("company"),
-        F.count_if(F.col("role").isin("o:FUNDED_BY", "s:INVESTED_IN")).alias("investor"),
+        F.count_if(F.col("role").isin("s:CEO_OF", "s:CTO_OF", "s:CFO_OF", "s:FOUNDED")).alias("exec_role"),
+        F.count_if(F.col("role") == "s:HIRED_BY").alias("hired"),
+        F.count_if(F.col("role") == "s:FUNDED_BY").alias("funded"),
+        F.count_if(F.col("role") == "o:HIRED_BY").alias("hiring"),
+        F.count_if(F.col("role") == "s:ACQUIRED").alias("acquiring"),
     )
-    kind = F.when(F.col("person") > 0, "person").when(F.col("company") > 0, "company").when(F.col("investor") > 0, "investor").otherwise("unknown")
-    return counts.withColumn("entity_type", kind)
+    person, company = F.col("exec_role") + F.col("hired") > 0, F.col("funded") + F.col("hiring") + F.col("acquiring") > 0
+    return counts.withColumn("entity_type", F.when(person, "person").when(company, "company").otherwise("unknown"))

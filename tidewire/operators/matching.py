@@ -17,7 +17,7 @@ from pyspark.sql.window import Window as W
 from tidewire.functions.constants import FILING_SUFFIXES
 from tidewire.functions.names import normalize_name
 from tidewire.functions.texts import amounts_compatible, match_score
-from tidewire.operators.tables import insert_relationships
+from tidewire.operators.tables import insert_relationships, with_checkpoint_dir
 
 
 def lcs(a: str, b: str) -> int:
@@ -47,18 +47,32 @@ def lengths_allow(a: Column, b: Column, threshold: float) -> Column:
     return F.least(F.length(a), F.length(b)) >= F.greatest(F.length(a), F.length(b)) * (threshold / (2 - threshold))
 
 
-def name_blocks(key: Column, threshold: float) -> Column:
-    """Blocks of which similar names share one: the distinct pairs of letters of the name.  Names with a
-    ratio over 0.75 have common parts of two letters or more."""
+def letter_pairs(key: Column) -> Column:
+    """The pairs of letters of a name; a repeated one has its number with it."""
     n = F.greatest(F.length(key) - 1, F.lit(1))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.substr(key, i, F.lit(2))))
+    pairs = F.transform(F.sequence(F.lit(1), n), lambda i: F.substr(key, i, F.lit(2)))
+    return F.transform(pairs, lambda x, i: F.concat(x, F.size(F.filter(F.slice(pairs, F.lit(1), i), lambda y: y == x)).cast("string")))
+
+
+def name_blocks(keys: DataFrame, key: str, threshold: float) -> DataFrame:
+    """Blocks of which similar names (a column of distinct ones) share one: of each name's pairs of letters the rarest.
+
+    A ratio of t or more leaves at most m * 2 (1 - t) / (2 - t) of m letters without a partner.  Each of them
+    breaks two pairs, and one more letter put in between breaks one; all but that many pairs are shared
+    (for t over 2/3).  So two such names have a pair in common among the rarest ones of either,
+    as many as may be broken and one more."""
+    rows = keys.select(key, F.explode(letter_pairs(F.col(key))).alias("block"))
+    counted = rows.join(rows.groupBy("block").agg(F.count("*").alias("n")), "block")
+    broken = 2 * F.floor(F.length(key) * (2 * (1 - threshold) / (2 - threshold))) + 1
+    place = F.row_number().over(W.partitionBy(key).orderBy("n", "block"))
+    return counted.withColumn("place", place).filter(F.col("place") <= broken + 1).select(key, "block")
 
 
 def cross_reference(news: DataFrame, filings: DataFrame, threshold: float = 0.85, window: int = 30) -> DataFrame:
     """J-05, W-02: for each news event the best filing within the window of days, by score, then the first.
 
     Both: event_id, company_name, amount, date.  Undated rows and empty names match nothing.
-    Names are joined on pairs of letters and compared once for each pair of distinct names; events are
+    Names are joined on their rarest pairs of letters and compared once for each pair of distinct names; events are
     then joined on the name and the bucket of days, and checked exactly."""
 
     def side(df: DataFrame, s: str, spread: bool) -> DataFrame:
@@ -70,13 +84,17 @@ def cross_reference(news: DataFrame, filings: DataFrame, threshold: float = 0.85
     near = F.abs(F.datediff("n_date", "f_date")) <= window
     # one row for each pair of distinct names that meet in a bucket, so a ratio is computed once
     n, f = side(news, "n", True), side(filings, "f", False)
-    blocks = lambda df, s: df.select(f"{s}_key").distinct().withColumn("block", F.explode(name_blocks(F.col(f"{s}_key"), threshold)))
-    names = blocks(n, "n").join(blocks(f, "f"), "block").filter(lengths_allow(F.col("n_key"), F.col("f_key"), threshold)).select("n_key", "f_key").distinct()
+    # both sides' names are ranked together, so that they agree on which pairs are rare
+    sides = n.select(F.col("n_key").alias("key"), F.lit(1).alias("n"), F.lit(0).alias("f")).unionByName(f.select(F.col("f_key").alias("key"), F.lit(0).alias("n"), F.lit(1).alias("f")))
+    sides = sides.groupBy("key").agg(F.max("n").alias("in_n"), F.max("f").alias("in_f"))
+    met = sides.join(name_blocks(sides.select("key"), "key", threshold), "key")
+    one = lambda s: met.filter(f"in_{s} = 1").select(F.col("key").alias(f"{s}_key"), "block")
+    names = one("n").join(one("f"), "block").filter(lengths_allow(F.col("n_key"), F.col("f_key"), threshold)).select("n_key", "f_key").distinct()
     names = names.withColumn("similarity", indel_ratio("n_key", "f_key")).filter(F.col("similarity") >= threshold)
     rows = n.join(names, "n_key").join(f, ["f_key", "bucket"]).filter(near)
     compatible = amounts_compatible(F.col("n_amount"), F.col("f_amount"))
     days = F.abs(F.datediff("n_date", "f_date"))
-    rows = rows.select("n_id", "f_id", "similarity", days.alias("days"), compatible.alias("compatible"), match_score(F.col("similarity"), days, compatible).alias("score"))
+    rows = rows.select("n_id", "f_id", "n_amount", "f_amount", "f_date", "similarity", days.alias("days"), compatible.alias("compatible"), match_score(F.col("similarity"), days, compatible).alias("score"))
     best = F.row_number().over(W.partitionBy("n_id").orderBy(F.desc("score"), "f_id"))
     return rows.withColumn("k_", best).filter("k_ = 1").drop("k_")
 
@@ -87,12 +105,29 @@ def unmatched(rows: DataFrame, matches: DataFrame, side: str) -> DataFrame:
 
 
 def boosts(matches: DataFrame, news: DataFrame) -> DataFrame:
-    """AGG-15: confidence for each normalised company; of several matches the last counts."""
-    both = news.select(F.col("event_id").alias("n_id"), normalize_name(F.col("company_name"), FILING_SUFFIXES).alias("company"), F.col("amount"))
-    rows = matches.join(both, "n_id")
-    base = F.when(F.col("compatible") & F.col("amount").isNotNull(), 0.95).otherwise(0.90)
+    """AGG-15: confidence for each normalised company, with both amounts and the filing's date; of several
+    matches the last counts.  0.95 needs amounts on both sides, none of them 0."""
+    both = news.select(F.col("event_id").alias("n_id"), normalize_name(F.col("company_name"), FILING_SUFFIXES).alias("company"))
+    known = F.coalesce((F.col("n_amount") != 0) & (F.col("f_amount") != 0), F.lit(False))
+    base = F.when(F.col("compatible") & known, 0.95).otherwise(0.90)
     value = F.when(F.col("similarity") > 0.95, F.least(F.lit(0.98), base + 0.03)).otherwise(base)
-    return rows.groupBy("company").agg(F.max_by(value, "n_id").alias("confidence"))
+    last = matches.join(both, "n_id").groupBy("company").agg(F.max(F.struct("n_id", value.alias("confidence"), "n_amount", "f_amount", "f_date")).alias("m"))
+    return last.select("company", "m.confidence", F.col("m.n_amount").alias("news_amount"), F.col("m.f_amount").alias("filing_amount"), F.col("m.f_date").alias("filing_date"))
+
+
+def cross_reference_summary(news: DataFrame, filings: DataFrame, matches: DataFrame) -> DataFrame:
+    """AGG-19: one row: events of either side, matches, companies with a boost, filings without news."""
+    counts = (
+        news.agg(F.count("*").alias("n_news")),
+        filings.agg(F.count("*").alias("n_filings")),
+        matches.agg(F.count("*").alias("n_matches")),
+        boosts(matches, news).agg(F.count("*").alias("n_boosted")),
+        unmatched(filings, matches, "f").agg(F.count("*").alias("n_filings_without_news")),
+    )
+    out = counts[0]
+    for x in counts[1:]:
+        out = out.crossJoin(x)  # one row each
+    return out
 
 
 def duplicate_pairs(entities: DataFrame, threshold: float = 0.85) -> DataFrame:
@@ -101,7 +136,7 @@ def duplicate_pairs(entities: DataFrame, threshold: float = 0.85) -> DataFrame:
 
     Names are compared once for each pair of distinct plain names that share letters."""
     rows = entities.withColumn("key", normalize_name(F.col("name"))).filter("key <> ''")
-    keys = rows.select("key").distinct().withColumn("block", F.explode(name_blocks(F.col("key"), threshold)))
+    keys = name_blocks(rows.select("key").distinct(), "key", threshold)
     a, b = keys.select(F.col("key").alias("a"), "block"), keys.select(F.col("key").alias("b"), "block")
     names = a.join(b, "block").filter((F.col("a") < F.col("b")) & lengths_allow(F.col("a"), F.col("b"), threshold)).select("a", "b").distinct()
     names = names.withColumn("similarity", indel_ratio("a", "b")).filter(F.col("similarity") >= threshold)
@@ -121,11 +156,7 @@ def greedy_merges(pairs: DataFrame) -> DataFrame:
 
     An entity keeps itself once all its better partners are merged away; partners of a keeper are
     merged, each into its best keeper.  A round settles at least the best open entity of each group."""
-    from tempfile import mkdtemp
-
-    sc = pairs.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(pairs.sparkSession.conf.get("spark.checkpoint.dir", None) or mkdtemp(prefix="spark-"))
+    with_checkpoint_dir(pairs.sparkSession)
     rank = lambda s: F.struct((-F.col(f"{s}_n")).alias("n"), F.col(s).alias("id"))
     open_ = pairs.select(rank("keep").alias("k"), rank("merge").alias("m")).checkpoint()
     keepers = None

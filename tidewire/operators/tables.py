@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from tempfile import mkdtemp
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -154,3 +156,13 @@ def upsert_feed_totals(target: DataFrame, news: DataFrame) -> DataFrame:
     new = news.select("feed_name", *[F.col(c).alias(f"new_{c}") for c in ("total_articles", "high_signal_articles")])
     both = target.join(new, "feed_name", "full_outer")
     return both.select("feed_name", *[F.coalesce(f"new_{c}", c).alias(c) for c in ("total_articles", "high_signal_articles")])
+
+
+def with_checkpoint_dir(spark: SparkSession) -> None:
+    """Uses the shared folder that the cluster names in spark.checkpoint.dir; a session of one machine may go without."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or mkdtemp(prefix="spark-"))
