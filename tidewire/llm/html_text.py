@@ -38,14 +38,20 @@ SPACE = frozenset("br td th".split())
 NEVER = frozenset("head title nav footer aside form menu dialog".split())
 OUTSIDE = frozenset("header hgroup".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "option": {"option"}}
-_NAMES = r"""ads?|advert\w*|adverti[sz]ing|banners?|promos?|promotions?|sponsor(?:ed|s)?|sidebars?|side|menus?|nav|navbar|navigation|breadcrumbs?|footer|cookies?|consent|
-notices?|alerts?|gdpr|popups?|modal|overlay|newsletter|subscribe|subscription|signup|login|search|share|sharing|social|related|recommend\w*|teasers?|
-comments?|commentlist|disqus|replies|reply|respond|discussion|widgets?|pagination|pager|toolbar|copyright|legal|disclaimer|skip|skiplink|hidden"""
+#: Parts of class names and ids of elements that hold no article text, whatever stands in them.
+_NAMES = r"""ads?|advert\w*|adverti[sz]ing|banners?|promos?|sponsor(?:ed|s)?|sidebars?|navbar|navigation|breadcrumbs?|footer|cookies?|consent|
+gdpr|popups?|modal|overlay|newsletter|subscribe|subscription|signup|login|sharing|related|recommend\w*|teasers?|
+comments?|commentlist|disqus|replies|reply|respond|widgets?|pagination|pager|toolbar|copyright|disclaimer|skiplink|hidden"""
 UNWANTED = re.compile(rf"(?:^|[\s_-])(?:{''.join(_NAMES.split())})(?=$|[\s_-])", re.I)
-UNWANTED_OUTSIDE = re.compile(r"(?:^|[\s_-])(?:header|masthead|top|bar)(?=$|[\s_-])", re.I)
+#: These say so as a whole name; as a part of one, or the last ones outside an article, they only weigh against a block.
+_WHOLE = "menus?|nav|notices?|alerts?|search|share|social|skip|side|legal|discussion|promotions?"
+WHOLE = re.compile(rf"(?:^|\s)(?:{_WHOLE})(?=$|\s)", re.I)
+DOUBTFUL = re.compile(rf"(?:^|[\s_-])(?:{_WHOLE})(?=$|[\s_-])", re.I)
+DOUBTFUL_OUTSIDE = re.compile(r"(?:^|[\s_-])(?:header|masthead|top|bar)(?=$|[\s_-])", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|math|textarea|select|button|iframe|object|canvas|audio|video|title)\b[^>]*>.*?(?:</\1\s*>|\Z)
+    r"""<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)
+    |<(noscript|template|svg|math|textarea|select|button|iframe|object|canvas|audio|video|title)\b[^>]*>(?:(?:(?!<\2\b).)*?</\2\s*>)?
     |<(/?)([a-z][a-z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-z][a-z0-9:-]*)([^>]*+)>|<[!?/][^>]*+>""",
     re.S | re.I | re.X,
 )
@@ -59,14 +65,14 @@ STOP_SHARE = 0.1
 
 
 class Block:
-    __slots__ = ("text", "words", "links", "stops", "unwanted", "inside", "heading", "label")
+    __slots__ = ("text", "words", "links", "stops", "unwanted", "doubtful", "inside", "heading", "label")
 
-    def __init__(self, text: str, link_chars: int, unwanted: bool, inside: bool, heading: bool):
+    def __init__(self, text: str, link_chars: int, unwanted: bool, doubtful: bool, inside: bool, heading: bool):
         letters = LETTERS.findall(text.lower())
         self.text, self.words = text, len(text.split())
         self.links = link_chars / max(1, len(text))
         self.stops = sum(w in STOP_WORDS for w in letters) / max(1, len(letters))
-        self.unwanted, self.inside, self.heading, self.label = unwanted, inside, heading, None
+        self.unwanted, self.doubtful, self.inside, self.heading, self.label = unwanted, doubtful, inside, heading, None
 
 
 def _unwanted(tag: str, attributes: str, inside: bool) -> bool:
@@ -76,7 +82,7 @@ def _unwanted(tag: str, attributes: str, inside: bool) -> bool:
         return False
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and (UNWANTED.search(value) or not inside and UNWANTED_OUTSIDE.search(value)):
+        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and (UNWANTED.search(value) or WHOLE.search(value)):
             return True
         if name in ("class", "id") and tag == "article" and re.search(r"comment|teaser|related|promo|(?:^|[\s_-])ads?(?=$|[\s_-])", value, re.I):
             return True
@@ -85,9 +91,16 @@ def _unwanted(tag: str, attributes: str, inside: bool) -> bool:
     return False
 
 
+def _doubtful(tag: str, attributes: str, inside: bool) -> bool:
+    if tag in ("html", "body", "article", "main"):
+        return False
+    names = (a or b or c for name, a, b, c in ATTRIBUTE.findall(attributes) if name.lower() in ("class", "id"))
+    return any(DOUBTFUL.search(x) or not inside and DOUBTFUL_OUTSIDE.search(x) for x in names)
+
+
 def blocks(page: str) -> Iterator[Block]:
     """The page's blocks with text, in order."""
-    stack: list[tuple[str, bool, bool]] = []  # element, unwanted, inside an article
+    stack: list[tuple[str, bool, bool, bool]] = []  # element, unwanted, doubtful, inside an article
     pieces: list[str] = []
     link_chars, in_link, at = 0, False, 0
 
@@ -95,8 +108,8 @@ def blocks(page: str) -> Iterator[Block]:
         nonlocal link_chars
         text = " ".join("".join(pieces).split())
         if text:
-            tag, unwanted, inside = stack[-1] if stack else ("", False, False)
-            yield Block(text, link_chars, unwanted, inside, tag[:1] == "h" and tag[1:].isdigit())
+            tag, unwanted, doubtful, inside = stack[-1] if stack else ("", False, False, False)
+            yield Block(text, link_chars, unwanted, doubtful, inside, tag[:1] == "h" and tag[1:].isdigit())
         pieces.clear()
         link_chars = 0
 
@@ -112,10 +125,10 @@ def blocks(page: str) -> Iterator[Block]:
         if m.start() > at:
             add(page[at : m.start()])
         at = m.end()
-        tag = m[3] or m[6]
+        tag = m[4] or m[7]
         if not tag:
             continue
-        tag, closing, attributes = tag.lower(), m[2] or m[5], m[4] or m[7] or ""
+        tag, closing, attributes = tag.lower(), m[3] or m[6], m[5] or m[8] or ""
         if tag == "a":
             in_link = not closing
         elif tag in SPACE:
@@ -138,19 +151,21 @@ def blocks(page: str) -> Iterator[Block]:
                 stack = [x for x in stack if x[0] == "html"]
             if stack and stack[-1][0] in CLOSES.get(tag, ()):
                 stack.pop()
-            _, unwanted, inside = stack[-1] if stack else ("", False, False)
+            _, unwanted, doubtful, inside = stack[-1] if stack else ("", False, False, False)
             own = _unwanted(tag, attributes, inside)
-            stack.append((tag, unwanted or own, inside or (tag in ("article", "main") and not own)))
+            stack.append((tag, unwanted or own, doubtful or _doubtful(tag, attributes, inside), inside or (tag in ("article", "main") and not own)))
     if at < len(page):
         add(page[at:])
     yield from flush()
 
 
 def decide(found: list[Block]) -> None:
-    """First pass: True (text), False (not), None (open)."""
+    """First pass: True (text), False (not), None (open).  In an element with a doubtful name a block
+    with links needs what prose has: length, stop words, few links."""
     marked = any(b.inside and not b.unwanted for b in found)
     for b in found:
-        if b.unwanted or (marked and not b.inside) or b.links > MAX_LINKS:
+        prose = b.words >= SHORT_WORDS and b.stops >= STOP_SHARE and b.links <= SOME_LINKS
+        if b.unwanted or (marked and not b.inside) or b.links > MAX_LINKS or (b.doubtful and b.links > 0 and not prose):
             b.label = False
         elif b.words < SHORT_WORDS:
             b.label = False if b.links > SOME_LINKS and not b.inside else None
@@ -200,7 +215,9 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     """One row for each input row: id, url, text, n_chars, from the whole page.
 
     Null, empty or text-free pages give an empty text.  Broken markup is read as far as it
-    goes: an element that is not closed ends with its parent.  Repeated rows are extracted one
+    goes: an element that is not closed ends with its parent, and of one that hides its content
+    (a button, a drawing) without a closing tag the tag alone is dropped; only an unclosed script,
+    style or comment hides the rest of a page.  Repeated rows are extracted one
     by one; other columns are not read.
     """
     kinds = [pages.schema[c].dataType.simpleString() for c in (id_col, url_col)]
