@@ -2,7 +2,8 @@
 
 The windows of the benchmark are a broadcast hash set.  The benchmark is read in parts of a
 bounded number of words, so the set is bounded however long the benchmark is; each part is
-one more pass over the documents, and the hits of all passes are joined per document.
+one more pass over the documents, whose hits are written to the shared checkpoint folder
+before the next part is read.
 """
 
 from __future__ import annotations
@@ -14,8 +15,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from tidewire.llm.common import SLICE_ROWS, raw_texts
+from tidewire.llm.common import SLICE_ROWS, cut, raw_texts
 
 WINDOW = 13
 #: Words of the benchmark that one broadcast set may hold.
@@ -150,15 +152,14 @@ def find_contamination(
     """
     sc = docs.sparkSession.sparkContext
     item_kind = benchmark.schema[item_col].dataType.simpleString()
-    item_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[item_kind]
+    item_type = to_arrow_type(benchmark.schema[item_col].dataType)
     keep = list(dict.fromkeys([id_col, *carry]))
     kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
     found = ["n_words long", "runs array<struct<first:long,past:long>>", f"items array<{item_kind}>"]
     types = [pa.int64(), pa.list_(pa.struct([("first", pa.int64()), ("past", pa.int64())])), pa.list_(item_type)]
 
-    def one_pass(df: DataFrame, items: list[tuple], first: bool, last: bool) -> DataFrame:
+    def one_pass(df: DataFrame, shared, first: bool, last: bool) -> DataFrame:
         """Adds the hits of some items; the text goes on to the next pass, if there is one."""
-        shared = sc.broadcast(items)  # at most about part_words words
         width = len(keep) + (not last)
         names_out = [*df.columns[:width], "n_words", "runs", "items"]
         n_keep = len(keep)
@@ -182,9 +183,15 @@ def find_contamination(
         return df.mapInArrow(run, ", ".join([*kinds, *["text_ string"] * (not last), *found]))
 
     out = docs.select(*keep, F.col(text_col).cast("string").alias("text_"))
-    todo = list(parts(benchmark.select(F.col(item_col), F.col(item_text).cast("string")), part_words)) or [[]]
-    for k, items in enumerate(todo):
-        out = one_pass(out, items, k == 0, k == len(todo) - 1)
+    todo = parts(benchmark.select(F.col(item_col), F.col(item_text).cast("string")), part_words)
+    items, first = next(todo, []), True
+    while items is not None:
+        shared, rest = sc.broadcast(items), next(todo, None)  # at most about part_words words
+        out = one_pass(out, shared, first, rest is None)
+        if rest is not None:  # a part's hits are written before the next part is read, so one part is held at a time
+            out = cut(out)
+            shared.unpersist()
+        items, first = rest, False
     return out.withColumn("n_hit", F.aggregate("runs", F.lit(0).cast("long"), lambda s, r: s + r.past - r.first))
 
 
@@ -201,13 +208,19 @@ def _carried(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str)
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that are not contaminated, with all their columns."""
+    """The documents that are not contaminated, with all their columns, of any names.
+
+    Null and empty texts stay, and so do all documents if the benchmark is empty; repeated rows are
+    judged one by one; an empty table stays empty."""
     found, names = _carried(docs, benchmark, id_col, text_col)
     return found.filter(~is_contaminated()).select(*names).toDF(*docs.columns)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All documents, without the words that lie in windows of the benchmark."""
+    """All documents, without the words that lie in windows of the benchmark.
+
+    Null texts stay null; a text of such words alone is left with what stood around them.  Rows,
+    columns and empty tables as in `remove_documents`."""
 
     @F.pandas_udf("string")
     def clean(text: pd.Series, runs: pd.Series) -> pd.Series:
