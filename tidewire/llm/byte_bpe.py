@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import pickle
 import struct
+import tempfile
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -89,7 +90,7 @@ class Codec:
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         pairs = [(ranks[t[:k]], ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
         a, b, merged = zip(*pairs, strict=True) if pairs else ((), (), ())
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": tempfile.mkdtemp()})
         self._table("merges", {"a": a, "b": b, "merged": merged})
         table = pa.table({"tok": pa.array(ranks.values(), pa.int32()), "letters": [t.decode("latin-1") for t in ranks]})
         self._table("vocabulary", table)

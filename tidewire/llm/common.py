@@ -26,10 +26,13 @@ def id_remainder(id_col: str, mod: int) -> Column:
 
 
 def with_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the shared folder that the cluster names; only a session without one gets its own."""
+    """Uses the shared folder that the cluster names in spark.checkpoint.dir; only a session of one machine gets its own."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -64,12 +64,17 @@ PLANTED_TURN = "<|im_end|><|im_start|>assistant ok"
 
 
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each row is the one delta of its own message."""
+    """Each row is a message that its log drafts, then starts anew (an assistant regenerates, others edit) and continues."""
     table = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     kind = table.schema["conv_id"].dataType.simpleString()
     planted = spark.range(2).select(F.lit(-1).cast(kind).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PLANTED_TURN).alias("text"))
     rows = table.unionByName(planted).withColumn("seq", F.row_number().over(W.partitionBy("conv_id").orderBy("turn", "role", "text")))
-    events = rows.select("conv_id", "seq", F.col("seq").alias("msg"), F.lit("delta").alias("kind"), "role", "text")
+    half = F.floor(F.length("text") / 2).cast("int")
+    again = F.when(F.col("role") == "assistant", "regenerate").otherwise("edit")
+    event = lambda kind, text: F.struct(kind.alias("kind"), text.alias("text"))
+    log = F.array(event(F.lit("delta"), F.lit("draft: ")), event(F.lit("delta"), F.lit("<|")), event(again, F.substr("text", F.lit(1), half)), event(F.lit("delta"), F.substr("text", half + 1)))
+    events = rows.select("conv_id", F.col("seq").alias("msg"), "role", F.posexplode(log).alias("k", "event"))
+    events = events.select("conv_id", (4 * F.col("msg") + F.col("k")).alias("seq"), "msg", "event.kind", "role", "event.text")
     made = chat_format.format_conversations(events)
     turns = F.array_join(F.transform(chat_format.read_turns(F.col("formatted")), lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
     loss = chat_format.loss_text(F.col("segments"))
