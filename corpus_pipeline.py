@@ -2,7 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir), where docs has the columns of `documents`, and works on
 all that its predecessor kept.  `run` writes each stage's rows as Parquet in the shared
-checkpoint folder and hands what it reads back to the next.
+checkpoint folder and hands what it reads back to the next; the folder stays, as the returned
+rows are read from it.
+
+Null and empty texts pass every stage and encode to no tokens; a null id is never a
+near-duplicate.  Rows with one id count as one document in line dedup and near-dedup, and equal
+rows are kept or dropped together.  Further columns are left behind.  Empty tables give an empty
+result of the same schema.
 """
 
 from __future__ import annotations
