@@ -15,7 +15,6 @@ import pickle
 import struct
 import tempfile
 from collections.abc import Iterator
-from functools import lru_cache
 
 import duckdb
 import numpy as np
@@ -24,10 +23,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pre-tokens that one Python worker remembers; beyond it forgets them and goes on.
-REMEMBERED = 500_000
+#: Pre-tokens that one task remembers; beyond it forgets them and goes on.
+REMEMBERED = 200_000
 #: Bytes of text that one query encodes or decodes, unless a single text is longer.
-STEP_BYTES = 2_000_000
+STEP_BYTES = 500_000
 
 #: Words of more bytes contract all pairs of the minimum rank in one round.
 LONG_BYTES = 48
@@ -82,7 +81,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Codec:
-    """Encoder and decoder of one Python worker."""
+    """Encoder and decoder of one task."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.split = regex.compile(pattern).findall
@@ -90,7 +89,7 @@ class Codec:
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         pairs = [(ranks[t[:k]], ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
         a, b, merged = zip(*pairs, strict=True) if pairs else ((), (), ())
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": tempfile.mkdtemp()})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": tempfile.mkdtemp()})
         self._table("merges", {"a": a, "b": b, "merged": merged})
         table = pa.table({"tok": pa.array(ranks.values(), pa.int32()), "letters": [t.decode("latin-1") for t in ranks]})
         self._table("vocabulary", table)
@@ -138,11 +137,6 @@ class Codec:
         return [found.get(k, "").encode("latin-1") for k in range(len(ids))]
 
 
-@lru_cache(maxsize=1)
-def _codec(table: bytes, pattern: str) -> Codec:
-    return Codec(pickle.loads(table), pattern)
-
-
 def steps(texts: list[str], step_bytes: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
     """[from, to) of runs of texts of about step_bytes."""
     first = size = 0
@@ -159,23 +153,32 @@ def encode_decode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str
     """One row for each input row: the kept columns, n_tokens, ids (array, if asked for), ids_raw, decoded.
 
     `vocabulary` is the rank file's path on the driver; its fixed table goes to the workers.
-    A null or empty text has no tokens and decodes to nothing.  `decoded` is binary.
+    A null or empty text has no tokens and decodes to nothing.  `decoded` is binary.  Repeated rows
+    are encoded one by one; an empty table gives no rows.  Columns that are not asked for are not
+    read; kept ones may have the names of added ones, which then come second.
     """
     table = docs.sparkSession.sparkContext.broadcast(pickle.dumps(read_ranks(vocabulary)))  # one public vocabulary
-    fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
+    fields = [f"out_{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(keep)]
+    added = ["n_tokens", *["ids"] * ids, "ids_raw", "decoded"]
     schema = ", ".join([*fields, "n_tokens long", *["ids array<int>"] * ids, "ids_raw binary", "decoded binary"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(table.value, pattern)
-        for whole in batches:
-            texts = [x or "" for x in whole.column(len(keep)).to_pylist()]
-            for a, b in steps(texts):
-                raw = codec.encode(texts[a:b])
-                back = codec.decode(raw)
-                out = [pa.array([len(x) // 4 for x in raw], pa.int64())]
-                if ids:
-                    out.append(pa.array([memoryview(x).cast("i") for x in raw], pa.list_(pa.int32())))
-                out += [pa.array(raw, pa.binary()), pa.array(back, pa.binary())]
-                yield pa.RecordBatch.from_arrays([*whole.slice(a, b - a).columns[: len(keep)], *out], names=[*keep, "n_tokens", *["ids"] * ids, "ids_raw", "decoded"])
-
-    return docs.select(*keep, F.col(text_col).cast("string").alias("text_")).mapInArrow(run, schema)
+        codec = Codec(pickle.loads(table.value), pattern)
+        try:
+            for whole in batches:
+                yield from coded(codec, whole)
+        finally:  # a worker that is used again holds no tables
+            codec.db.close()
+
+    def coded(codec: Codec, whole: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        texts = [x or "" for x in whole.column(len(keep)).to_pylist()]
+        for a, b in steps(texts):
+            raw = codec.encode(texts[a:b])
+            back = codec.decode(raw)
+            out = [pa.array([len(x) // 4 for x in raw], pa.int64())]
+            if ids:
+                out.append(pa.array([memoryview(x).cast("i") for x in raw], pa.list_(pa.int32())))
+            out += [pa.array(raw, pa.binary()), pa.array(back, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*whole.slice(a, b - a).columns[: len(keep)], *out], names=[f"out_{k}" for k in range(len(keep))] + added)
+
+    return docs.select(*keep, F.col(text_col).cast("string").alias("text_")).mapInArrow(run, schema).toDF(*keep, *added)

@@ -35,7 +35,7 @@ GRAMS, PREFIXES = (4, 5), (6, 7, 8, 9, 10, 11, 12)
 #: Labelled texts that training reads, at most, of each label.
 MAX_TOXIC, MAX_CLEAN = 900, 1800
 THRESHOLD = 0.7
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 #: Windows that the network runs together, and words whose n-grams are found together.
 BATCH, GRAM_WORDS = 1024, 16_384
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -369,16 +369,19 @@ def train(docs: DataFrame, labels: DataFrame, learn, id_col: str = "doc_id", tex
 def score_toxicity(docs: DataFrame, net: Network, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row for each input row: the kept columns and `score`, from the whole text.
 
-    Null and empty texts score as a window without words.  Repeated rows are scored one by one.
+    Null and empty texts score as a window without words.  Repeated rows are scored one by one; an
+    empty table gives no rows.  Columns that are not kept are not read; a kept one may be named
+    `score`, which then comes first.
     """
     shared = docs.sparkSession.sparkContext.broadcast(net)  # CELLS vectors
-    fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
+    fields = [f"out_{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(keep)]
+    names = [*(f"out_{k}" for k in range(len(keep))), "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE_ROWS):
                 batch = whole.slice(at, SLICE_ROWS)
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(scorer.score(raw_texts(batch.column(len(keep)))), pa.float64())], names=[*keep, "score"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(scorer.score(raw_texts(batch.column(len(keep)))), pa.float64())], names=names)
 
-    return docs.select(*keep, F.col(text_col).cast("string").alias("text_")).mapInArrow(run, ", ".join([*fields, "score double"]))
+    return docs.select(*keep, F.col(text_col).cast("string").alias("text_")).mapInArrow(run, ", ".join([*fields, "score double"])).toDF(*keep, "score")
