@@ -23,6 +23,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewire.llm.common import give_back
+
 #: Pre-tokens that one task remembers; beyond it forgets them and goes on.
 REMEMBERED = 200_000
 #: Bytes of text that one query encodes or decodes, unless a single text is longer.
@@ -169,6 +171,8 @@ def encode_decode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str
                 yield from coded(codec, whole)
         finally:  # a worker that is used again holds no tables
             codec.db.close()
+            del codec
+            give_back()
 
     def coded(codec: Codec, whole: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         texts = [x or "" for x in whole.column(len(keep)).to_pylist()]

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import SLICE_ROWS, raw_texts
+from tidewire.llm.common import give_back, raw_texts
 from tidewire.llm.decontaminate import words_of
 
 WINDOW, STRIDE = 32, 16
@@ -35,9 +35,11 @@ GRAMS, PREFIXES = (4, 5), (6, 7, 8, 9, 10, 11, 12)
 #: Labelled texts that training reads, at most, of each label.
 MAX_TOXIC, MAX_CLEAN = 900, 1800
 THRESHOLD = 0.7
-REMEMBERED = 150_000
+REMEMBERED = 100_000
+#: Texts that are scored together.
+ROWS = 64
 #: Windows that the network runs together, and words whose n-grams are found together.
-BATCH, GRAM_WORDS = 1024, 16_384
+BATCH, GRAM_WORDS = 512, 16_384
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
@@ -317,20 +319,30 @@ class Scorer:
     """Scores texts with a network; remembers the gates of words it has met."""
 
     def __init__(self, net: Network):
-        self.net, self.rows, self.gates = net, {}, net.gates(np.zeros((0, INPUTS), np.float32))
+        self.net = net
+        self.forget()
+
+    def forget(self) -> None:
+        self.rows: dict[bytes, int] = {}
+        #: The gates of the words so far, and room for more of them.
+        self.gates = self.room = self.net.gates(np.zeros((0, INPUTS), np.float32))
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         split = [inputs_of(x) for x in texts]
         if len(self.rows) > REMEMBERED:
-            self.rows, self.gates = {}, self.net.gates(np.zeros((0, INPUTS), np.float32))
+            self.forget()
         rows = self.rows
         new = list(set(chain.from_iterable(split)).difference(rows))
         if new:
             rows.update(zip(new, range(len(rows), len(rows) + len(new)), strict=True))
-            self.gates = np.concatenate([self.gates[:-1], self.net.gates(self.net.inputs(new))])
+            more = self.net.gates(self.net.inputs(new))
+            if len(rows) >= len(self.room):
+                self.room = np.concatenate([self.gates, np.empty((len(rows) + len(more), 6 * STATES), np.float32)])
+            self.room[len(rows) - len(new) : len(rows) + 1] = more
+            self.gates = self.room[: len(rows) + 1]
         size = np.fromiter(map(len, split), np.int64, len(split))
-        flat = np.fromiter(map(rows.__getitem__, chain.from_iterable(split)), np.int64, int(size.sum()))
-        flat = np.append(flat, np.full(WINDOW, -1))
+        flat = np.full(int(size.sum()) + WINDOW, -1, np.int32)
+        flat[: len(flat) - WINDOW] = np.fromiter(map(rows.__getitem__, chain.from_iterable(split)), np.int32, len(flat) - WINDOW)
         first = np.cumsum(size) - size
         starts = [window_starts(n) for n in size.tolist()]
         of = np.repeat(np.arange(len(texts)), [len(s) for s in starts])
@@ -380,8 +392,10 @@ def score_toxicity(docs: DataFrame, net: Network, text_col: str = "text", keep:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for whole in batches:
-            for at in range(0, whole.num_rows, SLICE_ROWS):
-                batch = whole.slice(at, SLICE_ROWS)
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(scorer.score(raw_texts(batch.column(len(keep)))), pa.float64())], names=names)
+        del scorer
+        give_back()
 
     return docs.select(*keep, F.col(text_col).cast("string").alias("text_")).mapInArrow(run, ", ".join([*fields, "score double"])).toDF(*keep, "score")
