@@ -244,6 +244,16 @@ def test_toxicity_on_held_out_texts(spark):
     assert toxicity.score_toxicity(frame(spark), none).agg(F.max("score")).first()[0] < 0.7
 
 
+def test_toxicity_scores_like_the_trained_network():
+    net = toxicity.Network()
+    words = [f"w{k}".encode() for k in range(50)]
+    gates, ids = net.gates(net.inputs(words)), np.random.default_rng(1).integers(0, 50, (900, 32)).astype(np.int32)
+    ids[:40, 20:] = -1
+    ids[7] = -1
+    want = toxicity.sigmoid(net.pool(net.run(gates, ids), ids.T >= 0)[2])
+    assert np.abs(net.chances(net.columns(gates), ids) - want).max() < 1e-5
+
+
 def test_toxicity_meets_a_passage_at_any_place():
     assert toxicity.STRIDE <= toxicity.WINDOW // 2
     net = toxicity.Network()
@@ -257,10 +267,10 @@ def test_toxicity_meets_a_passage_at_any_place():
 
 
 def test_toxicity_reads_long_words_whole():
-    assert toxicity.inputs_of("one\u00a0slorp\u2014two caf\u00e9".encode()) == [b"one", b"slorp", b"two", "caf\u00e9".encode()]
+    assert toxicity.inputs_of("one\u00a0slorp\u2014two caf\u00e9".encode(), toxicity.Pieces()) == [b"one", b"slorp", b"two", "caf\u00e9".encode()]
     net, text = toxicity.Network(), "\u4f60\u597d\u4e16\u754c" * 20
     for long_ in (text, "x" * 90):
-        parts = toxicity.inputs_of((long_ + "slorp").encode())
+        parts = toxicity.inputs_of((long_ + "slorp").encode(), toxicity.Pieces())
         assert all(len(x) <= 40 for x in parts) and parts[-1].endswith(b"slorp") and parts[0] == long_.encode()[:40]
         assert all(a[-12:] == b[:12] for a, b in zip(parts, parts[1:], strict=False))
     scores = toxicity.Scorer(net).score([("x" * 90 + w).encode() for w in ("slorp", "clean")])

@@ -61,7 +61,7 @@ def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sc
                 if out is not None and out.num_rows:
                     yield out
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def squeeze(numbers: np.ndarray) -> bytes:
@@ -81,6 +81,17 @@ def unsqueeze(packed: bytes) -> np.ndarray:
 
 def give_back() -> None:
     """Returns freed memory to the system, so that a Python worker that waits holds little; without glibc it stays."""
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
         trim(0)
+
+
+def tidy(fn: Callable) -> Callable:
+    """A function of batches that gives freed memory back when its task has ended."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        give_back()
+
+    return run

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tidewire.llm.common import SLICE_ROWS, cut, raw_texts
+from tidewire.llm.common import SLICE_ROWS, cut, raw_texts, tidy
 
 WINDOW = 13
 #: Words of the benchmark that one broadcast set may hold.
@@ -180,7 +180,7 @@ def find_contamination(
                     arrays = [pa.array(x, t) for x, t in zip(lists, types, strict=True)]
                     yield pa.RecordBatch.from_arrays([*batch.columns[:width], *arrays], names=names_out)
 
-        return df.mapInArrow(run, ", ".join([*kinds, *["text_ string"] * (not last), *found]))
+        return df.mapInArrow(tidy(run), ", ".join([*kinds, *["text_ string"] * (not last), *found]))
 
     out = docs.select(*keep, F.col(text_col).cast("string").alias("text_"))
     todo = parts(benchmark.select(F.col(item_col), F.col(item_text).cast("string")), part_words)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.llm.bloom import bloom_of
-from tidewire.llm.common import cut, raw_texts, squeeze, unsqueeze
+from tidewire.llm.common import cut, raw_texts, squeeze, tidy, unsqueeze
 
 #: One word in so many ends a logical line; three in four lines end a chunk.
 FOLD = 3
@@ -315,7 +315,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, np.int64))], names=["key"])
 
     # keys go as packed steps, with the least id of each in some documents and whether these have it in several
-    repeated = cut(rows.mapInArrow(hashes, "bucket long, keys binary, ids binary, wide binary").groupBy("bucket").applyInPandas(join, "n long, keys binary"))
+    repeated = cut(rows.mapInArrow(tidy(hashes), "bucket long, keys binary, ids binary, wide binary").groupBy("bucket").applyInPandas(join, "n long, keys binary"))
     n = repeated.agg(F.sum("n")).first()[0] or 0
     filter_ = docs.sparkSession.sparkContext.broadcast(bloom_of(repeated.select("keys").mapInArrow(unpack, "key long"), n, max_bytes=FILTER_BYTES))
 
@@ -332,7 +332,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield found.rows()
 
     keyed = rows.select("id", F.xxhash64("text").alias("row"), "text")
-    proposed = cut(keyed.mapInArrow(propose, Proposals.SCHEMA))
+    proposed = cut(keyed.mapInArrow(tidy(propose), Proposals.SCHEMA))
     # each batch's distinct chunks meet those of the others in their bucket, and the verdicts go back to the batch
     texts = proposed.filter("places is null").drop("places")
     verdicts = texts.groupBy("bucket").applyInPandas(compare, "batch long, bucket long, good binary, least binary")
@@ -373,7 +373,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, (words, less, chunks))], names=[*out_names, *ADDED])
 
     fields = [f"{name} {'string' if k == at else docs.schema[k].dataType.simpleString()}" for name, k in zip(out_names, keep, strict=True)]
-    out = both.mapInArrow(rewrite, ", ".join([*fields, *(f"{c} long" for c in ADDED)]))
+    out = both.mapInArrow(tidy(rewrite), ", ".join([*fields, *(f"{c} long" for c in ADDED)]))
     return out.toDF(*(docs.columns[k] for k in keep), *ADDED)
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.llm.bloom import mixed
-from tidewire.llm.common import SLICE_ROWS, cut, raw_texts, squeeze, unsqueeze
+from tidewire.llm.common import SLICE_ROWS, cut, raw_texts, squeeze, tidy, unsqueeze
 
 #: Bytes of text that one block holds, unless a single text is longer.
 BLOCK_BYTES = 8_000_000
@@ -178,7 +178,7 @@ def pack(rows: DataFrame, buckets: int, block_bytes: int) -> DataFrame:
             yield flush()
 
     schema = f"kind string, block long, bucket long, body binary, counts binary, sizes binary, ids array<{kind}>, held array<boolean>"
-    return cut(rows.mapInArrow(run, schema))
+    return cut(rows.mapInArrow(tidy(run), schema))
 
 
 def total_counts(packed: DataFrame) -> DataFrame:
@@ -235,7 +235,7 @@ def levels_of_pairs(packed: DataFrame, bits: int, buckets: int) -> DataFrame:
         return pd.DataFrame({"block": group.block, "bucket": group.bucket, "levels": [zstd.compress(level[b - len(x) : b].tobytes()) for x, b in zip(lists, ends.tolist(), strict=True)]})
 
     docs = packed.filter("kind = 'docs'").select("block", "body", F.col("counts").alias("hashes"), "sizes", "held")
-    pairs = docs.mapInArrow(send, "block long, bucket long, steps binary, counts binary")
+    pairs = docs.mapInArrow(tidy(send), "block long, bucket long, steps binary, counts binary")
     return pairs.groupBy("bucket").applyInPandas(add, "block long, bucket long, levels binary")
 
 

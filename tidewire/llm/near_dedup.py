@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import SLICE_ROWS, cut, raw_texts
+from tidewire.llm.common import SLICE_ROWS, cut, raw_texts, tidy
 
 TREES = 8
 TOKENS = 256
@@ -116,7 +116,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
                 )
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, n_shingles long, fp1 long, fp2 long, roots array<long>, sig binary")
+    return rows.mapInArrow(tidy(run), "id long, n_shingles long, fp1 long, fp2 long, roots array<long>, sig binary")
 
 
 def sized(rows: DataFrame) -> DataFrame:
@@ -238,7 +238,7 @@ def compare_groups(groups: DataFrame, threshold: float) -> DataFrame:
             yield compared(pa.Table.from_batches(held))
 
     rows = groups.select("node", "block", "dense", "id", "n_shingles", "sig").repartition("node", "block").sortWithinPartitions("node", "block")
-    return rows.mapInArrow(run, "a long, b long, agree int")
+    return rows.mapInArrow(tidy(run), "a long, b long, agree int")
 
 
 def grow_trees(reps: DataFrame, threshold: float) -> DataFrame:
@@ -299,7 +299,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
 
-    return given.mapInArrow(check, "a long, b long")
+    return given.mapInArrow(tidy(check), "a long, b long")
 
 
 def roots_of(links: DataFrame) -> DataFrame:

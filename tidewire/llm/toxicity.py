@@ -35,11 +35,11 @@ GRAMS, PREFIXES = (4, 5), (6, 7, 8, 9, 10, 11, 12)
 #: Labelled texts that training reads, at most, of each label.
 MAX_TOXIC, MAX_CLEAN = 900, 1800
 THRESHOLD = 0.7
-REMEMBERED = 100_000
+REMEMBERED = 60_000
 #: Texts that are scored together.
-ROWS = 64
+ROWS = 128
 #: Windows that the network runs together, and words whose n-grams are found together.
-BATCH, GRAM_WORDS = 512, 16_384
+BATCH, GRAM_WORDS = 768, 16_384
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
@@ -51,13 +51,29 @@ _BETWEEN = re.compile(f"[{re.escape(_MARKS)}]+")
 
 def pieces(word: bytes) -> list[bytes]:
     """A word split at marks and blanks that are not ASCII; what is still long goes as overlapping pieces."""
-    parts = [x.encode() for x in _BETWEEN.split(word.decode("utf-8", "replace")) if x] or [word]
+    text = word.decode("utf-8", "replace")
+    if len(word) <= PIECE and text.isalnum():
+        return [word]
+    parts = [x.encode() for x in _BETWEEN.split(text) if x] or [word]
     return [x[k : k + PIECE] for x in parts for k in range(0, max(1, len(x) - SHARED), PIECE - SHARED)]
 
 
-def inputs_of(raw: bytes) -> list[bytes]:
+class Pieces(dict):
+    """The pieces of words met; forgets all when it grows large."""
+
+    def __missing__(self, word: bytes) -> list[bytes]:
+        if len(self) > REMEMBERED:
+            self.clear()
+        self[word] = found = [word] if len(word) <= PIECE and word.isascii() else pieces(word)
+        return found
+
+
+def inputs_of(raw: bytes, known: Pieces) -> list[bytes]:
     """The words that the network reads; together they hold every letter of the text."""
-    return [x for w in words_of(raw) for x in ((w,) if len(w) <= PIECE and w.isascii() else pieces(w))]
+    words = words_of(raw)
+    if raw.isascii() and max(map(len, words), default=0) <= PIECE:
+        return words
+    return list(chain.from_iterable(map(known.__getitem__, words)))
 
 
 def word_cells(words: list[bytes]) -> np.ndarray:
@@ -177,9 +193,49 @@ class Network:
         pooled = np.einsum("tb,tbh->bh", a, states)
         return a, pooled, pooled @ self.out + self.shift
 
-    def chances(self, gates: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        parts = (ids[k : k + BATCH] for k in range(0, len(ids), BATCH))
-        return np.concatenate([np.zeros(0, np.float32), *(sigmoid(self.pool(self.run(gates, x), x.T >= 0)[2]) for x in parts)])
+    def columns(self, gates: np.ndarray) -> np.ndarray:
+        """The gates with a column for each row, scaled so that `chances` needs exp alone."""
+        return np.ascontiguousarray((gates * self._scale()).T)
+
+    @staticmethod
+    def _scale() -> np.ndarray:
+        return np.repeat(np.array([-1, -1, -2], np.float32), 2 * STATES)
+
+    def chances(self, columns: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Of windows of ids into columns of gates; -1 is padding.  States are rows here, windows columns."""
+        u, h, t = (self.u * self._scale()).T, 2 * STATES, ids.shape[1]
+        ways = columns.reshape(3, 2, STATES, -1)
+        found = [np.zeros(0, np.float32)]
+        for k in range(0, len(ids), BATCH):
+            rows = np.ascontiguousarray(ids[k : k + BATCH].T)
+            b, mask = rows.shape[1], rows >= 0
+            x = np.empty((3, 2, STATES, t, b), np.float32)
+            x[:, 0], x[:, 1] = ways[:, 0][..., rows], ways[:, 1][..., rows[::-1]]
+            x = x.reshape(3 * h, t, b)
+            states, state = np.empty((t, h, b), np.float32), np.zeros((h, b), np.float32)
+            for step in range(t):
+                hu = u @ state
+                zr, n = hu[: 2 * h], hu[2 * h :]
+                zr += x[: 2 * h, step]
+                np.exp(zr, out=zr)
+                zr += 1
+                np.reciprocal(zr, out=zr)
+                n *= zr[h:]
+                n += x[2 * h :, step]
+                np.exp(n, out=n)
+                n += 1
+                np.divide(2, n, out=n)
+                n -= 1
+                new = np.subtract(state, n, out=states[step])
+                new *= zr[:h]
+                new += n
+                state = new
+            states[:, STATES:] = states[::-1, STATES:].copy()
+            e = np.where(mask, np.einsum("h,thb->tb", self.attention, states), np.float32(-1e9))
+            a = np.exp(e - e.max(axis=0)) * mask
+            logit = (a * np.einsum("h,thb->tb", self.out, states)).sum(axis=0) / np.maximum(1e-9, a.sum(axis=0)) + self.shift
+            found.append(sigmoid(logit))
+        return np.concatenate(found)
 
     def gradients(self, gates: np.ndarray, ids: np.ndarray, label: np.ndarray, weight: np.ndarray):
         """Of the weighted log loss: by gate row, and of u, attention, out, shift."""
@@ -227,8 +283,8 @@ class Vocabulary:
     """The words of some texts: their cells and their n-grams' cells; `ids` are the texts as numbers of words."""
 
     def __init__(self, texts: list[bytes]):
-        number: dict[bytes, int] = {}
-        self.ids = [np.array([number.setdefault(w, len(number)) for w in inputs_of(x)], np.int32) for x in texts]
+        number, known = {}, Pieces()
+        self.ids = [np.array([number.setdefault(w, len(number)) for w in inputs_of(x, known)], np.int32) for x in texts]
         self.words = list(number)
         self.cell = word_cells(self.words)
         owner, self.gram = gram_cells(self.words)
@@ -277,7 +333,7 @@ def fit(texts: list[bytes], toxic: list[int], rounds: int = 3, epochs: int = 3,
     adam = Adam(0.01)
     for turn in range(rounds):
         if turn:
-            guess = net.chances(net.gates(net.inputs(words)), windows)
+            guess = net.chances(net.columns(net.gates(net.inputs(words))), windows)
         best = np.zeros(len(ids))
         np.maximum.at(best, of, guess)
         jitter = g.random(len(made))
@@ -319,27 +375,26 @@ class Scorer:
     """Scores texts with a network; remembers the gates of words it has met."""
 
     def __init__(self, net: Network):
-        self.net = net
+        self.net, self.pieces = net, Pieces()
         self.forget()
 
     def forget(self) -> None:
         self.rows: dict[bytes, int] = {}
         #: The gates of the words so far, and room for more of them.
-        self.gates = self.room = self.net.gates(np.zeros((0, INPUTS), np.float32))
+        self.gates = self.room = self.net.columns(self.net.gates(np.zeros((0, INPUTS), np.float32)))
 
     def score(self, texts: list[bytes]) -> np.ndarray:
-        split = [inputs_of(x) for x in texts]
+        split = [inputs_of(x, self.pieces) for x in texts]
         if len(self.rows) > REMEMBERED:
             self.forget()
         rows = self.rows
         new = list(set(chain.from_iterable(split)).difference(rows))
         if new:
             rows.update(zip(new, range(len(rows), len(rows) + len(new)), strict=True))
-            more = self.net.gates(self.net.inputs(new))
-            if len(rows) >= len(self.room):
-                self.room = np.concatenate([self.gates, np.empty((len(rows) + len(more), 6 * STATES), np.float32)])
-            self.room[len(rows) - len(new) : len(rows) + 1] = more
-            self.gates = self.room[: len(rows) + 1]
+            if len(rows) >= self.room.shape[1]:
+                self.room = np.concatenate([self.gates, np.empty((6 * STATES, len(rows) + len(new)), np.float32)], axis=1)
+            self.room[:, len(rows) - len(new) : len(rows) + 1] = self.net.columns(self.net.gates(self.net.inputs(new)))
+            self.gates = self.room[:, : len(rows) + 1]
         size = np.fromiter(map(len, split), np.int64, len(split))
         flat = np.full(int(size.sum()) + WINDOW, -1, np.int32)
         flat[: len(flat) - WINDOW] = np.fromiter(map(rows.__getitem__, chain.from_iterable(split)), np.int32, len(flat) - WINDOW)
