@@ -12,9 +12,11 @@ from __future__ import annotations
 
 import base64
 import pickle
+import shutil
 import struct
 import tempfile
 from collections.abc import Iterator
+from functools import lru_cache
 
 import duckdb
 import numpy as np
@@ -82,19 +84,28 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+@lru_cache(maxsize=1)
+def tables_of(pickled: bytes) -> tuple[np.ndarray, pa.Table, pa.Table]:
+    """Of pickled ranks: each byte's token, the merge table, the vocabulary; all that a worker keeps between tasks."""
+    ranks = pickle.loads(pickled)
+    pairs = [(ranks[t[:k]], ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
+    a, b, merged = zip(*pairs, strict=True) if pairs else ((), (), ())
+    merges = pa.table({"a": pa.array(a, pa.int32()), "b": pa.array(b, pa.int32()), "merged": pa.array(merged, pa.int32())})
+    vocabulary = pa.table({"tok": pa.array(ranks.values(), pa.int32()), "letters": [t.decode("latin-1") for t in ranks]})
+    return np.array([ranks[bytes([x])] for x in range(256)], np.int32), merges, vocabulary
+
+
 class Codec:
     """Encoder and decoder of one task."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, pickled: bytes, pattern: str):
         self.split = regex.compile(pattern).findall
         self.known: dict[str, bytes] = {"": b""}
-        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-        pairs = [(ranks[t[:k]], ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
-        a, b, merged = zip(*pairs, strict=True) if pairs else ((), (), ())
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": tempfile.mkdtemp()})
-        self._table("merges", {"a": a, "b": b, "merged": merged})
-        table = pa.table({"tok": pa.array(ranks.values(), pa.int32()), "letters": [t.decode("latin-1") for t in ranks]})
-        self._table("vocabulary", table)
+        self.single, merges, vocabulary = tables_of(pickled)
+        self.folder = tempfile.mkdtemp()
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": self.folder})
+        self._table("merges", merges)
+        self._table("vocabulary", vocabulary)
 
     def _table(self, name: str, data) -> None:
         given = data if isinstance(data, pa.Table) else pa.table({k: pa.array(v).cast(pa.int32()) for k, v in data.items()})
@@ -165,12 +176,13 @@ def encode_decode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str
     schema = ", ".join([*fields, "n_tokens long", *["ids array<int>"] * ids, "ids_raw binary", "decoded binary"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(pickle.loads(table.value), pattern)
+        codec = Codec(table.value, pattern)
         try:
             for whole in batches:
                 yield from coded(codec, whole)
         finally:  # a worker that is used again holds no tables
             codec.db.close()
+            shutil.rmtree(codec.folder, ignore_errors=True)
             del codec
             give_back()
 
