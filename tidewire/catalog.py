@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidewire.functions import names as N
 from tidewire.functions import texts as T
 from tidewire.functions.constants import ENTITY_SUFFIXES, FILING_SUFFIXES, SOURCE_TIERS
-from tidewire.operators import digest, extraction, feeds, graph, matching, profiles, quality, scoring, tables
+from tidewire.operators import digest, extraction, feeds, graph, lookups, matching, profiles, quality, resolution, scoring, tables
 from tidewire.plans.views import view, with_views
 from tidewire.streaming import jobs
 
@@ -485,6 +485,106 @@ def _(r, e):
     return extraction.funding_events(graph.star(r, e), AS_OF)
 
 
+@query("high_signal_since", "articles", f"SELECT id, url, title, published FROM articles WHERE is_high_signal AND published >= DATE '{SINCE}' ORDER BY published DESC, id LIMIT 100")
+def _(a):
+    return lookups.high_signal(a, SINCE).select("id", "url", "title", "published")
+
+
+@query("articles_by_url", "articles", "SELECT url, min(id) AS id FROM articles WHERE url IN (SELECT url FROM articles WHERE extracted) GROUP BY url")
+def _(a):
+    return lookups.articles_at(a, a.filter("extracted")).select("url", "id")
+
+
+@query("known_hashes", "articles", "SELECT content_hash, bool_or(processed) AS known FROM articles GROUP BY content_hash")
+def _(a):
+    return lookups.known_hashes(a, a.filter("processed"))
+
+
+@query("entities_by_name", "entities", "SELECT a.name AS asked_name, a.kind AS asked_type, min(e.id) AS id, arg_min(e.name, e.id) AS name, arg_min(e.entity_type, e.id) AS entity_type FROM (SELECT DISTINCT upper(name) AS name, CASE WHEN id % 20 < 10 THEN 'company' END AS kind FROM entities) a JOIN entities e ON lower(trim(e.name)) = lower(trim(a.name)) AND (a.kind IS NULL OR a.kind = e.entity_type) GROUP BY a.name, a.kind")
+def _(e):
+    return lookups.entities_named(e, e.select(F.upper("name").alias("name"), F.when(F.col("id") % 20 < 10, "company").alias("entity_type")))
+
+
+@query("valid_relationships", "relationships entities")
+def _(r, e):
+    return lookups.valid_relationships(graph.star(r, e)).select("id", "subject", "predicate", "object")
+
+
+@query("person_fixes", "names")
+def _(n):
+    return lookups.person_fixes(n)
+
+
+@query("person_fix_counts", "names")
+def _(n):
+    return lookups.fix_counts(lookups.person_fixes(n))
+
+
+_TAGS = ", t AS (SELECT DISTINCT subject_id AS entity_id, lower(predicate) AS tag FROM relationships)"
+_MERGES = ", m AS (SELECT id - 10 * (id // 10 % 4 - 1) AS keep, id AS merge FROM entities WHERE id // 10 % 4 IN (2, 3))"
+
+
+def _tags(r: DataFrame) -> DataFrame:
+    return r.select(F.col("subject_id").alias("entity_id"), F.lower("predicate").alias("tag")).distinct()
+
+
+def _merges(e: DataFrame) -> DataFrame:
+    turn = F.floor(F.col("id") / 10) % 4
+    return e.filter(turn.isin(2, 3)).select((F.col("id") - 10 * (turn - 1)).alias("keep"), F.col("id").alias("merge"))
+
+
+@query("entities_by_tag", "relationships entities", _TAGS + " SELECT tag, entity_id, name, mention_count FROM t JOIN entities ON id = entity_id WHERE tag IN ('acquired', 'laid_off')")
+def _(r, e):
+    return lookups.tagged(e, _tags(r), r.filter("predicate IN ('ACQUIRED', 'LAID_OFF')").select(F.col("predicate").alias("tag")))
+
+
+@query("tags_of_entities", "relationships", _TAGS + " SELECT entity_id, string_agg(tag, '; ' ORDER BY tag) AS tags FROM t GROUP BY entity_id")
+def _(r):
+    return lookups.gathered(_tags(r), "tag", "tags")
+
+
+@query("enrichment_of_entities", "relationships entities", _ENRICHED + " SELECT entity_id, seq FROM d WHERE source = 'HIRED_BY' AND entity_id IN (SELECT id FROM entities WHERE entity_type = 'unknown')")
+def _(r, e):
+    return lookups.enrichment_of(_documents(r), e.filter("entity_type = 'unknown'").select(F.col("id").alias("entity_id")), "HIRED_BY").select("entity_id", "seq")
+
+
+@query("merged_entities", "entities", _MERGES + """
+, k AS (SELECT keep, sum(mention_count) AS more, arg_min(entity_type, (-mention_count, id)) FILTER (entity_type <> 'unknown') AS kind FROM m JOIN entities ON id = merge GROUP BY keep)
+SELECT id, name, CASE WHEN entity_type = 'unknown' THEN coalesce(kind, entity_type) ELSE entity_type END AS entity_type, CAST(mention_count + coalesce(more, 0) AS BIGINT) AS mention_count FROM entities LEFT JOIN k ON keep = id WHERE id NOT IN (SELECT merge FROM m)""")
+def _(e):
+    return resolution.merged_entities(e, _merges(e))
+
+
+@query("moved_tags", "relationships entities", _TAGS + _MERGES + " SELECT DISTINCT coalesce(keep, entity_id) AS entity_id, tag FROM t LEFT JOIN m ON merge = entity_id")
+def _(r, e):
+    return resolution.moved(_tags(r), _merges(e), ["tag"])
+
+
+@query("moved_enrichment", "relationships entities", _ENRICHED + _MERGES + """
+, n AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY entity_id, source ORDER BY enriched_at DESC, seq DESC) = 1)
+SELECT coalesce(keep, entity_id) AS entity_id, source, seq FROM n LEFT JOIN m ON merge = entity_id QUALIFY row_number() OVER (PARTITION BY coalesce(keep, entity_id), source ORDER BY keep IS NOT NULL, entity_id) = 1""")
+def _(r, e):
+    return resolution.moved(tables.upsert_enrichment(_documents(r)), _merges(e), ["source"]).select("entity_id", "source", "seq")
+
+
+@query("aliases_of_entities", "entities", _MERGES + " SELECT entity_id, string_agg(name, '; ' ORDER BY name) AS aliases FROM (SELECT keep AS entity_id, name FROM m JOIN entities ON id = merge GROUP BY ALL) GROUP BY entity_id")
+def _(e):
+    return lookups.gathered(resolution.merge_aliases(e, _merges(e)), "alias", "aliases")
+
+
+@query("alias_resolution", "entities", _MERGES + """
+, a AS (SELECT lower(trim(x.name)) AS key, k.entity_type, arg_min(k.name, k.id) AS owner FROM m JOIN entities x ON x.id = merge JOIN entities k ON k.id = keep GROUP BY ALL)
+SELECT id, name, coalesce(owner, name) AS resolved FROM entities e LEFT JOIN a ON a.key = lower(trim(e.name)) AND a.entity_type = e.entity_type""")
+def _(e):
+    return lookups.resolve_aliases(e, resolution.merge_aliases(e, _merges(e)), e).select("id", "name", "resolved")
+
+
+@query("resolution_summary", "relationships entities")
+def _(r, e):
+    pairs = matching.duplicate_pairs(e.filter("id % 10 <> 2"))
+    return resolution.summary(resolution.removed(e), graph.infer_types(r, e), pairs, matching.greedy_merges(pairs))
+
+
 def _daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.daily_counts(spark.read.parquet(f"{sf_dir}/events.parquet")).withColumn("day", F.col("day").cast("date"))
 

@@ -82,6 +82,9 @@ ORGANISATION_PARTS = [
     "TRUST", "REIT", "GROUP", "COMPANY", "CO.", "SARL", "S.A.",
 ]
 
+# Signs that a person's name is a firm's or has a placeholder, in any letter case.
+MISLABELLED_PATTERN = r"(?i)^(N/A |--- |\[none\] |\. |- |LLC )|LLC|Ltd|Inc|L\.P\.|Corp|Fund|Partners|Capital|Management|Advisors"
+
 # Money words with their factors, and rounds with their words, in the order tried.
 MULTIPLIERS = [("billion", 1e9), ("bn", 1e9), ("b", 1e9), ("million", 1e6), ("mm", 1e6), ("mn", 1e6), ("m", 1e6), ("thousand", 1e3), ("k", 1e3)]
 ROUNDS = [
