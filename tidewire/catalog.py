@@ -585,6 +585,14 @@ def _(r, e):
     return resolution.summary(resolution.removed(e), graph.infer_types(r, e), pairs, matching.greedy_merges(pairs))
 
 
+@query("digest_record", "relationships", f"""
+, k AS (SELECT * FROM relationships WHERE event_date BETWEEN DATE '{SINCE}' AND DATE '{AS_OF}')
+SELECT DATE '{SINCE}' AS period_start, DATE '{AS_OF}' AS period_end, count(*) FILTER (predicate IN ('FUNDED_BY', 'RAISED_FUNDING')) AS funding_count, count(*) FILTER (predicate = 'ACQUIRED') AS acquisition_count,
+ count(*) FILTER (predicate = 'HIRED_BY') AS hire_count, count(*) FILTER (predicate = 'DEPARTED_FROM') AS departure_count, count(*) FILTER (predicate = 'LAID_OFF') AS layoff_count FROM k""")
+def _(r):
+    return digest.record(r, SINCE, AS_OF)
+
+
 def _daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.daily_counts(spark.read.parquet(f"{sf_dir}/events.parquet")).withColumn("day", F.col("day").cast("date"))
 

@@ -111,3 +111,8 @@ def amounts_compatible(a: Column, b: Column, tolerance: float = 0.20) -> Column:
 def match_score(similarity: Column, days: Column, compatible: Column, window: int = 30) -> Column:
     near = F.greatest(F.lit(0.0), (F.lit(window) - days) / window)
     return F.least(F.lit(1.0), 0.5 * similarity + 0.3 * near + 0.2 * compatible.cast("int"))
+
+
+def amounts_of(texts: Column) -> Column:
+    """SRT-05: the amounts of an array of money texts, largest first; what is no amount is left out."""
+    return F.sort_array(F.filter(F.transform(texts, money), lambda x: x.isNotNull()), asc=False)

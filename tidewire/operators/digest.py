@@ -61,3 +61,18 @@ def hot_candidates(relationships: DataFrame, entities: DataFrame, n: int = 15) -
 def who(relationships: DataFrame, entities: DataFrame, predicate: str, limit: int = 100) -> DataFrame:
     """FLT-08."""
     return query(relationships, entities, predicate=predicate, limit=limit)
+
+
+def record(relationships: DataFrame, start: str, end: str) -> DataFrame:
+    """SNK-17: one row of a digest's counts of each kind between two days, both included; undated rows belong to no period."""
+    rows = relationships.filter(F.col("event_date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+    kinds = {"funding": ["FUNDED_BY", "RAISED_FUNDING"], "acquisition": ["ACQUIRED"], "hire": ["HIRED_BY"], "departure": ["DEPARTED_FROM"], "layoff": ["LAID_OFF"]}
+    counts = rows.agg(*(F.count_if(F.col("predicate").isin(p)).alias(f"{k}_count") for k, p in kinds.items()))
+    return counts.select(F.lit(start).cast("date").alias("period_start"), F.lit(end).cast("date").alias("period_end"), "*")
+
+
+def summary(sections: DataFrame) -> DataFrame:
+    """AGG-20: one sentence from sections (place, title, n); empty sections are left out."""
+    parts = F.array_sort(F.collect_list(F.when(F.col("n") > 0, F.struct("place", F.concat(F.col("n").cast("string"), F.lit(" "), F.lower("title")).alias("part")))))
+    text = F.array_join(F.transform(parts, lambda x: x["part"]), ", ")
+    return sections.agg(text.alias("text")).select(F.when(F.col("text") != "", F.concat(F.lit("This week: "), F.col("text"), F.lit("."))).otherwise("No significant events this period.").alias("summary"))

@@ -77,3 +77,13 @@ def recent_filings(rows: DataFrame, as_of: str, days_back: int, most: int = 500)
     date = F.try_to_timestamp("filing_date", F.lit("yyyy-MM-dd")).cast("date")
     out = rows.withColumns({"date": date, "amount": parse_amount(F.col("total_amount"))})
     return out.filter(F.col("date").isNull() | (F.col("date") >= F.date_sub(F.lit(as_of).cast("date"), days_back))).orderBy(F.desc_nulls_last("date"), "cik").limit(most)
+
+
+def gkg_articles(rows: DataFrame, priority: int = 2) -> DataFrame:
+    """SRC-11: parsed knowledge-graph rows as articles without content; the summary names three organisations and themes."""
+    three = lambda c: F.array_join(F.slice(c, 1, 3), ", ")
+    summary = F.concat(F.lit("Organizations: "), three("organizations"), F.lit(". Themes: "), three("themes"))
+    return rows.select(
+        F.concat(F.lit("gdelt:"), F.coalesce("domain", F.lit(""))).alias("source"), "url", "title", F.lit(None).cast("string").alias("content"), summary.alias("summary"),
+        F.col("date").alias("published"), F.sha2("url", 256).alias("content_hash"), F.lit(priority).alias("feed_priority"),
+    )
