@@ -8,7 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tidewire.llm import byte_bpe, chat_format, decontaminate, html_text, line_dedup, lm_score, near_dedup, quality_rules, toxicity, url_filters
+from tidewire.llm import (
+    byte_bpe,
+    chat_format,
+    decontaminate,
+    html_text,
+    line_dedup,
+    lm_score,
+    merkle,
+    near_dedup,
+    quality_rules,
+    substring_dedup,
+    toxicity,
+    url_filters,
+    whitening,
+)
 from tidewire.llm.common import id_remainder, read_table
 
 
@@ -88,6 +102,22 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio", "n_chunks", "n_bad_chunks")
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.without_repeats(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", merkle.digest(F.col("text")).alias("kept_sha256"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.col("doc_id").isNotNull() & (id_remainder("doc_id", 3) == 0)
+    found = merkle.manifest(read_table(spark, sf_dir, "documents"), tampered)
+    proof = merkle.digest(merkle.proof_text(F.col("steps"))).alias("proof_sha256")
+    return found.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", "verified")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -95,7 +125,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_html_extraction, op2_lm_scoring, op3_line_dedup, op4_decontamination, op5_toxicity, op6_byte_bpe, op7_url_filter, op8_near_dedup, op9_chat_formatting, op10_quality_rules, pipeline]
+    own = [op1_html_extraction, op2_lm_scoring, op3_line_dedup, op4_decontamination, op5_toxicity, op6_byte_bpe, op7_url_filter, op8_near_dedup, op9_chat_formatting, op10_quality_rules, op11_substring_dedup, op12_embedding_whitening, op13_merkle_manifest, pipeline]
     return {f.__name__: f for f in own}
 
 
@@ -127,6 +157,70 @@ FROM t GROUP BY conv_id
 """
 
 
+OP11_SQL = r"""
+WITH docs AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+windows AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM docs)),
+first AS (SELECT k, min(doc_id) AS least FROM windows GROUP BY k),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM windows JOIN first USING (k) WHERE least < doc_id),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM docs),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS t FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(len(d.w) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256
+FROM docs d LEFT JOIN kept k ON k.doc_id = d.doc_id
+"""
+
+
+def _merkle_levels(name: str, levels: int) -> str:
+    """Tables {name}0 (g, i, h) reduced level by level: {name}K of what remains, {name}K_s of each node's siblings."""
+    steps = []
+    for k in range(levels):
+        node = f"{name}{k}"
+        steps.append(f"{node}_r AS (SELECT g, i // 8 AS run, list(h ORDER BY i) AS hs, any_value(n) AS n FROM (SELECT *, count(*) OVER (PARTITION BY g) AS n FROM {node}) GROUP BY g, i // 8)")
+        steps.append(f"{name}{k + 1} AS (SELECT g, run AS i, CASE WHEN n > 1 THEN sha256(array_to_string(hs, '')) ELSE hs[1] END AS h FROM {node}_r)")
+        steps.append(
+            f"{node}_s AS (SELECT g, 8 * run + s - 1 AS i, n, array_to_string(hs[:s - 1], '') AS l, array_to_string(hs[s + 1:], '') AS r FROM (SELECT *, unnest(range(1, len(hs) + 1)) AS s FROM {node}_r))"
+        )
+    return ",\n".join(steps)
+
+
+def _merkle_climb(name: str, levels: int, start: str) -> str:
+    """{name}_upK: rows of `start` (their node's g and i, acc, proof) after K levels."""
+    steps, last = [], start
+    for k in range(levels):
+        steps.append(
+            f"{name}_up{k} AS (SELECT x.* EXCLUDE (i, acc, proof), x.i // 8 AS i, CASE WHEN s.n > 1 THEN sha256(s.l || acc || s.r) ELSE acc END AS acc, proof || s.l || s.r AS proof FROM {last} x JOIN {name}{k}_s s USING (g, i))"
+        )
+        last = f"{name}_up{k}"
+    return ",\n".join(steps)
+
+
+_FRAME = "coalesce(CAST(strlen(CAST({0} AS VARCHAR)) AS VARCHAR) || ':' || CAST({0} AS VARCHAR), '-')"
+_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, [(ascii(substr(s, k // 8 + 1, 1)) >> (k % 8)) & 1 for k in range(8 * length(s))]), lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295)"
+_LEAF = " || ".join(_FRAME.format(c) for c in ("doc_id", "source", "lang", "n_chars", "text"))
+_ALTERED = _LEAF.replace("text", _LOWER.format("text"))
+_LANG_LEVELS, _ROOT_LEVELS = 7, 3
+
+OP13_SQL = f"""
+WITH docs AS (SELECT *, coalesce('1' || lang, '0') AS g, sha256({_LEAF}) AS leaf,
+       CASE WHEN {_CRC} % 3 = 0 THEN sha256({_ALTERED}) END AS other FROM (SELECT *, CAST(doc_id AS VARCHAR) AS s FROM documents)),
+rows AS (SELECT doc_id, g, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, leaf AS h, coalesce(other, leaf) AS acc, '' AS proof FROM docs),
+a0 AS (SELECT g, i, h FROM rows),
+{_merkle_levels("a", _LANG_LEVELS)},
+subroots AS (SELECT g, h, row_number() OVER (ORDER BY g) - 1 AS i FROM a{_LANG_LEVELS}),
+b0 AS (SELECT '' AS g, i, h FROM subroots),
+{_merkle_levels("b", _ROOT_LEVELS)},
+{_merkle_climb("a", _LANG_LEVELS, "rows")},
+mid AS (SELECT x.doc_id, x.h AS leaf, s.h AS subroot, '' AS g, s.i, x.acc, x.proof FROM a_up{_LANG_LEVELS - 1} x JOIN subroots s ON s.g = x.g),
+{_merkle_climb("b", _ROOT_LEVELS, "mid")}
+SELECT doc_id, leaf, subroot, root.h AS root, sha256(proof) AS proof_sha256, acc AS folded_root, acc = root.h AS verified
+FROM b_up{_ROOT_LEVELS - 1} CROSS JOIN b{_ROOT_LEVELS} root
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """SQL can express decontamination and chat formatting; the others are held to brute force in tests/llm."""
-    return {"op4_decontamination": OP4_SQL, "op9_chat_formatting": OP9_SQL}
+    """The operators that SQL can express; the others are held to brute force in tests/llm."""
+    return {
+        "op4_decontamination": OP4_SQL,
+        "op9_chat_formatting": OP9_SQL,
+        "op11_substring_dedup": OP11_SQL,
+        "op13_merkle_manifest": OP13_SQL,
+    }
