@@ -28,6 +28,8 @@ from tidewire.llm.common import cut
 SCALE, SHIFT, TOP = 64, 1_000_000, 16
 #: Bits of a limb, and rows whose limb products are added as floats: 2 * 19 + 12 bits stay under 53.
 LIMB, ROWS = 20, 4096
+#: Sums that a task hands on in one row.
+CHUNK = 32
 #: Against the largest variance, a pivot so small is rounding.
 RANK_EPS = 1e-17
 
@@ -66,7 +68,7 @@ def exact_gram(y: np.ndarray) -> np.ndarray:
 
 
 def summed(rows: DataFrame, d: int, part: Callable[[np.ndarray], np.ndarray], size: int, kind: str) -> list:
-    """Sums over all rows of what `part` makes of a batch's matrix: `size` numbers, added by Spark."""
+    """Sums over all rows of what `part` makes of a batch's matrix: `size` numbers, added by Spark, CHUNK of them a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -75,12 +77,14 @@ def summed(rows: DataFrame, d: int, part: Callable[[np.ndarray], np.ndarray], si
                 own = part(matrix(batch.column(0), d))
                 total = own if total is None else total + own
         if total is not None:
-            values = pa.array(list(total), pa.decimal128(38, 0) if kind.startswith("decimal") else pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), values], ["k", "v"])
-
-    parts = rows.select("x").mapInArrow(run, f"k long, v {kind}")
-    found = {r.k: r.v for r in parts.groupBy("k").agg(F.sum("v").cast(kind).alias("v")).collect()}
-    return [found[k] for k in range(size)] if found else []
+            full = [*total, *[0] * (-size % CHUNK)]
+            chunks = [full[k : k + CHUNK] for k in range(0, size, CHUNK)]
+            values = pa.array(chunks, pa.list_(pa.decimal128(38, 0) if kind.startswith("decimal") else pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(chunks))), values], ["k", "v"])
+
+    parts = rows.select("x").mapInArrow(run, f"k long, v array<{kind}>")
+    sums = parts.groupBy("k").agg(*(F.sum(F.col("v")[i]).cast(kind) for i in range(CHUNK)))
+    return [v for r in sorted(sums.collect()) for v in r[1:]][:size]
 
 
 def pivoted_cholesky(v: np.ndarray) -> np.ndarray:
