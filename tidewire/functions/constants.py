@@ -94,3 +94,76 @@ ROUNDS = [
 ACQUISITION_WORDS = ["acquires", "acquired", "acquisition", "merger", "merged", "buys", "bought", "takeover"]
 EXECUTIVE_WORDS = ["ceo", "cto", "cfo", "coo", "chief", "president", "vp", "vice president", "joins", "appointed", "hired", "names"]
 LAYOFF_WORDS = ["layoff", "layoffs", "laid off", "cuts jobs", "workforce reduction", "downsizing"]
+
+# Sections of a digest in order, as (kind, title, most items), by period.
+DIGEST_SECTIONS = {
+    "weekly": [
+        ("funding", "🚀 Companies That Raised Funding", 20),
+        ("acquisition", "🤝 Acquisitions & Mergers", 15),
+        ("layoff", "📉 Layoffs (Displaced Talent)", 15),
+        ("move", "👔 Executive Movements", 20),
+        ("candidate", "⭐ Hot Candidates", 15),
+    ],
+    "daily": [
+        ("funding", "Funding Rounds", 15),
+        ("acquisition", "M&A Activity", 10),
+        ("layoff", "Layoffs (Displaced Talent)", 15),
+        ("move", "Executive Moves", 10),
+        ("candidate", "Available Talent", 10),
+    ],
+}
+
+# Patterns of facts in texts, in order of precedence, searched without regard to case.  NAME stands for
+# the entity's name; a pattern without a group gives all that it matches.
+HEAD_COUNTS = [
+    r"(\d{1,3}(?:,\d{3})*)\s*(?:employees|staff|workers)",
+    r"employs?\s*(?:about|approximately|around|over|more than)?\s*(\d{1,3}(?:,\d{3})*)",
+    r"workforce\s*of\s*(?:about|approximately|around|over)?\s*(\d{1,3}(?:,\d{3})*)",
+    r"(\d{1,3}(?:,\d{3})*)\s*people\s*(?:work|employed)",
+]
+HEAD_COUNT_BUCKETS = [(10, "1-10"), (50, "11-50"), (200, "51-200"), (500, "201-500"), (1000, "501-1000"), (5000, "1001-5000"), (None, "5000+")]
+HEADQUARTERS = [
+    r"headquartered\s+in\s+([^,.]+(?:,\s*[A-Z][a-z]+)?)",
+    r"based\s+in\s+([^,.]+(?:,\s*[A-Z][a-z]+)?)",
+    r"headquarters?\s+(?:is|are|located)?\s*(?:in|at)?\s*([^,.]+(?:,\s*[A-Z][a-z]+)?)",
+    r"(?:San Francisco|New York|Palo Alto|Mountain View|Austin|Boston|Seattle|Los Angeles|London|Berlin)",
+]
+FOUNDING_YEARS = [r"founded\s+(?:in\s+)?(\d{4})", r"established\s+(?:in\s+)?(\d{4})", r"started\s+(?:in\s+)?(\d{4})", r"since\s+(\d{4})"]
+FUNDING_TOTALS = [
+    r"raised\s+\$?([\d.]+)\s*(billion|million|B|M)",
+    r"\$?([\d.]+)\s*(billion|million|B|M)\s+(?:in\s+)?(?:funding|investment|raised)",
+    r"funding\s+(?:of|totaling)\s+\$?([\d.]+)\s*(billion|million|B|M)",
+    r"series\s+[A-Z]\s+(?:of|at|worth)?\s*\$?([\d.]+)\s*(billion|million|B|M)",
+]
+FUNDING_ROUNDS = [r"(series\s+[A-Z](?:\d)?)", r"(seed\s+(?:round|funding))", r"(pre-seed)", r"(IPO)"]
+INDUSTRIES = [
+    r"(?:in the|specializes in|focuses on)\s+([a-z]+(?:\s+[a-z]+)?)\s+(?:industry|sector|space|market)",
+    r"(artificial intelligence|machine learning|AI|ML|fintech|healthtech|biotech|edtech|cybersecurity|cloud computing|SaaS|e-commerce|robotics)",
+]
+COMPANY_TYPES = [("startup", r"startup|start-up"), ("public", r"publicly\s+traded|NYSE|NASDAQ|public\s+company"), ("private", r"private\s+company|privately\s+held")]
+WEBSITES = [r"(https?://(?:www\.)?[a-z0-9-]+\.[a-z]{2,}(?:/[^\s]*)?)", r"(?:website|site):\s*((?:www\.)?[a-z0-9-]+\.[a-z]{2,})"]
+OTHER_SITES = ["linkedin", "crunchbase", "wikipedia"]
+JOB_TITLES = [
+    r"NAME\s*(?:is|,)\s*(?:the\s+)?(?:current\s+)?([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*(?:\s+(?:Officer|Executive|Director|Manager|Engineer|Scientist))?)",
+    r"(?:CEO|CTO|CFO|COO|CMO|CPO|VP|President|Director|Founder|Co-Founder)",
+    r"serves?\s+as\s+(?:the\s+)?([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)",
+]
+EXECUTIVE = r"CEO|CTO|CFO|COO|CMO|CPO|Chief|C-level|President|Founder|Co-Founder"
+EXECUTIVE_LEVELS = [("C-level", r"CEO|CTO|CFO|COO|CMO|CPO|Chief"), ("Founder", r"Founder|Co-Founder"), ("VP", r"VP|Vice President"), ("Director", r"Director")]
+EMPLOYERS = [
+    r"NAME\s+(?:is|works)\s+(?:at|for|with)\s+([A-Z][A-Za-z0-9\s]+?)(?:\.|,|as)",
+    r"(?:CEO|CTO|CFO|COO|founder)\s+(?:of|at)\s+([A-Z][A-Za-z0-9\s]+?)(?:\.|,)",
+    r"joined\s+([A-Z][A-Za-z0-9\s]+?)(?:\s+in|\s+as|\.)",
+]
+PLACES = [r"based\s+in\s+([^,.]+)", r"lives?\s+in\s+([^,.]+)", r"from\s+([A-Z][a-z]+(?:,\s*[A-Z][a-z]+)?)"]
+EARLIER_EMPLOYERS = [
+    r"(?:previously|formerly|earlier)\s+(?:at|with|worked\s+(?:at|for))\s+([A-Z][A-Za-z0-9\s,]+?)(?:\.|;|and\s+(?:later|before))",
+    r"(?:ex-|former\s+)[A-Za-z]+\s+(?:at|of)\s+([A-Z][A-Za-z0-9]+)",
+]
+SCHOOLS = [
+    r"(?:graduated|studied|degree)\s+(?:from|at)\s+([A-Z][A-Za-z\s]+(?:University|College|Institute|School))",
+    r"(Stanford|MIT|Harvard|Berkeley|Yale|Princeton|Cornell|Caltech|Carnegie\s+Mellon|Columbia)",
+]
+SKILLS = [r"expertise\s+in\s+([^,.]+)", r"specializes?\s+in\s+([^,.]+)", r"known\s+for\s+([^,.]+)"]
+COMPANY_PAGES = ["https://www.linkedin.com/company/", "https://www.crunchbase.com/organization/"]
+PERSON_SEARCH = "https://www.linkedin.com/search/results/people/?keywords="

@@ -29,8 +29,8 @@ def squeeze(c: Column) -> Column:
 
 
 def without_suffixes(c: Column, suffixes: list[str]) -> Column:
-    """Each suffix in turn is cut once, if the text then ends with it."""
-    return reduce(lambda x, suffix: strip(F.regexp_replace(x, re.escape(suffix) + r"\z", "")), suffixes, c)
+    """Each suffix in turn is cut once, if the text (without outer white space) then ends with it, with the white space before it."""
+    return reduce(lambda x, suffix: F.regexp_replace(x, r"(?U)\s*" + re.escape(suffix) + r"\z", ""), suffixes, c)
 
 
 def normalize_name(c: Column, suffixes: list[str] = K.ENTITY_SUFFIXES) -> Column:

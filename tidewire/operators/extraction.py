@@ -6,8 +6,9 @@ array<struct<subject, subject_type, predicate, object, object_type, confidence,
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -105,3 +106,44 @@ def two_stage(rows: DataFrame, routed: str, cheap: Callable[[DataFrame], DataFra
     """UDF-02: rows whose flag column `routed` is true go to the deep extractor, the others (null too) to the cheap one."""
     flag = F.coalesce(F.col(routed), F.lit(False))
     return cheap(rows.filter(~flag)).unionByName(deep(rows.filter(flag)))
+
+
+def answers(articles: DataFrame, extract: Callable[[list[tuple[str, str]]], list], key: str = "id", batch_rows: int = 64) -> DataFrame:
+    """UDF-01: (key, answer, error) of a user's extractor over articles (key, title, content).
+
+    The extractor gets at most `batch_rows` articles at a time as (title, content), nulls as empty texts, and gives an answer in
+    JSON (or null) for each, or an exception in its place.  Where it raises or gives another number of answers, the batch is
+    asked again article by article, so that one bad article costs no other; what fails alone has its error and no answer."""
+    kind = articles.schema[key].dataType.simpleString()
+
+    def ask(rows: list[tuple[str, str]]) -> list:
+        got = list(extract(rows))
+        if len(got) != len(rows):
+            raise ValueError(f"{len(got)} answers for {len(rows)} articles")
+        return got
+
+    def each(rows: list[tuple[str, str]]) -> list:
+        try:
+            return ask(rows)
+        except Exception as why:  # the extractor is the user's: whatever it raises is the row's error
+            return [why] if len(rows) == 1 else [x for row in rows for x in each([row])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, batch_rows):
+                part = batch.slice(at, batch_rows)
+                texts = [[x or "" for x in part.column(k).to_pylist()] for k in (1, 2)]
+                got = each(list(zip(*texts, strict=True)))
+                bad = [f"{type(x).__name__}: {x}" if isinstance(x, Exception) else None for x in got]
+                good = [None if isinstance(x, Exception) or x is None else str(x) for x in got]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(good, pa.string()), pa.array(bad, pa.string())], [key, "answer", "error"])
+
+    return articles.select(key, "title", "content").mapInArrow(run, f"`{key}` {kind}, answer string, error string")
+
+
+def extracted(articles: DataFrame, extract: Callable[[list[tuple[str, str]]], list], key: str = "id", batch_rows: int = 64) -> DataFrame:
+    """UDF-01: (key, result, error): the parsed answers, of whose relationships the valid ones stay."""
+    rows = answers(articles, extract, key, batch_rows).withColumn("r", parse_answer(F.col("answer")))
+    valid = F.filter("r.relationships", lambda e: N.relationship_reason(e["subject"], e["predicate"], e["object"]) == "OK")
+    result = F.struct("r.entities", valid.alias("relationships"), "r.event_date", "r.amounts")
+    return rows.select(key, F.when(F.col("error").isNull(), result).alias("result"), "error")

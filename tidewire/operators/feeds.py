@@ -42,3 +42,9 @@ def merged_searches(hits: DataFrame, n_queries: int, max_results: int) -> DataFr
 def historical(hits: DataFrame, start: str, end: str, max_results: int) -> DataFrame:
     """SRC-09: of the first max_results hits by place, those dated from start to end."""
     return hits.orderBy("place").limit(max_results).filter(F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+
+
+def feed_counts(feeds: DataFrame) -> DataFrame:
+    """AGG-16: all, active and disabled feeds; one that does not say so is active."""
+    on = F.coalesce("enabled", F.lit(True))
+    return feeds.agg(F.count("*").alias("total"), F.count_if(on).alias("active"), F.count_if(~on).alias("disabled"))

@@ -1,7 +1,8 @@
 """Fuzzy joins: news with filings (J-05), duplicate entities (J-06) and their greedy merge (W-14).
 
-Candidates share a block; similarity is 2 * LCS / (m + n) (Indel ratio), for duplicates then difflib's ratio.  A ratio of t or more
-needs min(m, n) / max(m, n) >= t / (2 - t), which is checked before the ratio is computed.
+Names are joined as sets of their letter pairs, by prefix and count filters that depend on both lengths; what is left is
+compared: 2 * LCS / (m + n) (Indel ratio), for duplicates then difflib's ratio.  A ratio of t or more needs
+min(m, n) / max(m, n) >= t / (2 - t).
 """
 
 from __future__ import annotations
@@ -40,11 +41,7 @@ def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 @F.pandas_udf(DoubleType())
 def difflib_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype=float)
-
-
-def lengths_allow(a: Column, b: Column, threshold: float) -> Column:
-    return F.least(F.length(a), F.length(b)) >= F.greatest(F.length(a), F.length(b)) * (threshold / (2 - threshold))
+    return pd.Series([1.0 if x == y else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype=float)
 
 
 def letter_pairs(key: Column) -> Column:
@@ -54,43 +51,86 @@ def letter_pairs(key: Column) -> Column:
     return F.transform(pairs, lambda x, i: F.concat(x, F.size(F.filter(F.slice(pairs, F.lit(1), i), lambda y: y == x)).cast("string")))
 
 
-def name_blocks(keys: DataFrame, key: str, threshold: float) -> DataFrame:
-    """Blocks of which similar names (a column of distinct ones) share one: of each name's pairs of letters the rarest.
+def kept(rows: DataFrame) -> DataFrame:
+    """The same rows in the shared checkpoint folder: what several joins read is made once."""
+    with_checkpoint_dir(rows.sparkSession)
+    return rows.checkpoint()
+
+
+#: Names of one pair of letters that meet in one task; more are dealt over several.
+HOT = 1000
+
+
+def shared_pairs(m: Column, n: Column, threshold: float) -> Column:
+    """How many pairs of letters two names of m and n letters share at least if their ratio reaches the threshold.
 
-    A ratio of t or more leaves at most m * 2 (1 - t) / (2 - t) of m letters without a partner.  Each of them
-    breaks two pairs, and one more letter put in between breaks one; all but that many pairs are shared
-    (for t over 2/3).  So two such names have a pair in common among the rarest ones of either,
-    as many as may be broken and one more."""
-    rows = keys.select(key, F.explode(letter_pairs(F.col(key))).alias("block"))
-    counted = rows.join(rows.groupBy("block").agg(F.count("*").alias("n")), "block")
-    broken = 2 * F.floor(F.length(key) * (2 * (1 - threshold) / (2 - threshold))) + 1
-    place = F.row_number().over(W.partitionBy(key).orderBy("n", "block"))
-    return counted.withColumn("place", place).filter(F.col("place") <= broken + 1).select(key, "block")
+    They have L = ceil(t * (m + n) / 2) letters in common at least.  Each of the m - L others breaks two of the m - 1
+    pairs of its own name, and each of the n - L put in between breaks one: 3 * L - m - n - 1 are left."""
+    return 3 * F.ceil((m + n) * (threshold / 2) - 1e-9) - m - n - 1
+
+
+#: Shared pairs of letters that make two names candidates; their prefixes are so much longer.
+SHARED = 4
+
+
+def similar_names(keys: DataFrame, threshold: float, one_side: bool = False) -> DataFrame:
+    """(a, b, similarity) of distinct names whose Indel ratio reaches the threshold.
+
+    keys: key (each once), in_a, in_b (which side it is on); with `one_side`, each pair once, a before b.
+    Of the pairs that two names must share, k are among the m - shared + k rarest of either name (of m - 1), which is
+    where names meet; those that meet k times are compared.  A pair of letters that many names have is dealt over
+    several tasks: one side's names by hash, the other side's to each."""
+    if threshold <= 0.8:
+        raise ValueError("two names need share no pair of letters at a threshold of 0.8 or less")
+    tasks = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = keys.select("key", "in_a", "in_b", F.length("key").alias("m"), F.explode(letter_pairs(F.col("key"))).alias("pair"))
+    counted = each.join(each.groupBy("pair").agg(F.count("*").alias("n")), "pair")
+    counted = counted.withColumn("place", F.row_number().over(W.partitionBy("key").orderBy("n", "pair")))
+    # the shortest name that can be similar leaves the longest prefix
+    least = F.ceil(F.col("m") * ((1.5 * threshold - 1) * (1 + threshold / (2 - threshold))) - 1 - 1e-9)
+    met = kept(counted.filter(F.col("place") < F.col("m") - least + SHARED).withColumn("parts", F.ceil(F.col("n") / HOT).cast("int")))
+    a = met.filter("in_a").select("pair", F.pmod(F.hash("key"), F.col("parts")).alias("part"), F.col("key").alias("a"), F.col("m").alias("a_m"), F.col("place").alias("a_place"))
+    part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    b = met.filter("in_b").select("pair", part, F.col("key").alias("b"), F.col("m").alias("b_m"), F.col("place").alias("b_place"))
+    m, n = F.col("a_m"), F.col("b_m")
+    shared = shared_pairs(m, n, threshold)
+    k = F.least(F.lit(SHARED), shared)
+    early = (F.col("a_place") < m - shared + k) & (F.col("b_place") < n - shared + k)
+    other = F.col("a") < F.col("b") if one_side else F.col("a") != F.col("b")
+    near = F.least(m, n) >= F.greatest(m, n) * (threshold / (2 - threshold))
+    # the work grows with what meets, not with the bytes that are read, so the number of tasks is given
+    keyed = [x.repartition(tasks, "pair", "part") for x in (a, b)]
+    names = keyed[0].join(keyed[1], ["pair", "part"]).filter(near & early & other)
+    names = names.groupBy("a", "b", "a_m", "b_m").agg(F.count("*").alias("met")).filter(F.col("met") >= k).select("a", "b")
+    names = names.repartition(tasks).withColumn("similarity", indel_ratio("a", "b"))
+    return names.filter(F.col("similarity") >= threshold)
 
 
 def cross_reference(news: DataFrame, filings: DataFrame, threshold: float = 0.85, window: int = 30) -> DataFrame:
     """J-05, W-02: for each news event the best filing within the window of days, by score, then the first.
 
     Both: event_id, company_name, amount, date.  Undated rows and empty names match nothing.
-    Names are joined on their rarest pairs of letters and compared once for each pair of distinct names; events are
-    then joined on the name and the bucket of days, and checked exactly."""
+    Names are compared once for each pair of distinct names; events are then joined on the name and the bucket of days,
+    and checked exactly."""
+
+    # each spelling is normalized once
+    spelled = news.select("company_name").unionByName(filings.select("company_name")).distinct()
+    spelled = spelled.withColumn("key", normalize_name(F.col("company_name"), FILING_SUFFIXES)).filter("key <> ''")
 
     def side(df: DataFrame, s: str, spread: bool) -> DataFrame:
-        rows = df.filter(F.col("date").isNotNull()).withColumn("key", normalize_name(F.col("company_name"), FILING_SUFFIXES)).filter("key <> ''")
+        rows = df.filter(F.col("date").isNotNull()).join(spelled, "company_name")
+        rows = kept(rows.select("event_id", "key", "amount", "date"))
         bucket = F.floor(F.unix_date("date") / window)
         rows = rows.select(F.col("event_id").alias(f"{s}_id"), F.col("key").alias(f"{s}_key"), F.col("amount").alias(f"{s}_amount"), F.col("date").alias(f"{s}_date"), bucket.alias("bucket"))
         return rows.withColumn("bucket", F.explode(F.sequence(F.col("bucket") - 1, F.col("bucket") + 1))) if spread else rows
 
     near = F.abs(F.datediff("n_date", "f_date")) <= window
-    # one row for each pair of distinct names that meet in a bucket, so a ratio is computed once
     n, f = side(news, "n", True), side(filings, "f", False)
     # both sides' names are ranked together, so that they agree on which pairs are rare
-    sides = n.select(F.col("n_key").alias("key"), F.lit(1).alias("n"), F.lit(0).alias("f")).unionByName(f.select(F.col("f_key").alias("key"), F.lit(0).alias("n"), F.lit(1).alias("f")))
-    sides = sides.groupBy("key").agg(F.max("n").alias("in_n"), F.max("f").alias("in_f"))
-    met = sides.join(name_blocks(sides.select("key"), "key", threshold), "key")
-    one = lambda s: met.filter(f"in_{s} = 1").select(F.col("key").alias(f"{s}_key"), "block")
-    names = one("n").join(one("f"), "block").filter(lengths_allow(F.col("n_key"), F.col("f_key"), threshold)).select("n_key", "f_key").distinct()
-    names = names.withColumn("similarity", indel_ratio("n_key", "f_key")).filter(F.col("similarity") >= threshold)
+    mark = lambda rows, s: rows.select(F.col(f"{s}_key").alias("key"), F.lit(s == "n").alias("in_a"), F.lit(s == "f").alias("in_b"))
+    sides = mark(n, "n").unionByName(mark(f, "f")).groupBy("key").agg(F.bool_or("in_a").alias("in_a"), F.bool_or("in_b").alias("in_b"))
+    same = sides.filter("in_a and in_b").select(F.col("key").alias("a"), F.col("key").alias("b"), F.lit(1.0).alias("similarity"))
+    names = similar_names(sides, threshold).unionByName(same).withColumnsRenamed({"a": "n_key", "b": "f_key"})
     rows = n.join(names, "n_key").join(f, ["f_key", "bucket"]).filter(near)
     compatible = amounts_compatible(F.col("n_amount"), F.col("f_amount"))
     days = F.abs(F.datediff("n_date", "f_date"))
@@ -135,20 +175,18 @@ def duplicate_pairs(entities: DataFrame, threshold: float = 0.85) -> DataFrame:
     the more mentioned one, then the lower id, is kept.
 
     Names are compared once for each pair of distinct plain names that share letters."""
-    rows = entities.withColumn("key", normalize_name(F.col("name"))).filter("key <> ''")
-    keys = name_blocks(rows.select("key").distinct(), "key", threshold)
-    a, b = keys.select(F.col("key").alias("a"), "block"), keys.select(F.col("key").alias("b"), "block")
-    names = a.join(b, "block").filter((F.col("a") < F.col("b")) & lengths_allow(F.col("a"), F.col("b"), threshold)).select("a", "b").distinct()
-    names = names.withColumn("similarity", indel_ratio("a", "b")).filter(F.col("similarity") >= threshold)
-    names = names.select("a", "b", "similarity").unionByName(names.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
-    # difflib's ratio, which depends on the order and is never over the Indel ratio
-    names = names.withColumn("similarity", difflib_ratio("a", "b")).filter(F.col("similarity") >= threshold)
-    same = keys.select(F.col("key").alias("a"), F.col("key").alias("b"), F.lit(1.0).alias("similarity")).distinct()
+    rows = kept(entities.select("id", normalize_name(F.col("name")).alias("key"), "entity_type", "mention_count").filter("key <> ''"))
+    keys = rows.select("key", F.lit(True).alias("in_a"), F.lit(True).alias("in_b")).distinct()
+    names = similar_names(keys, threshold, one_side=True).select("a", "b")
+    same = keys.select(F.col("key").alias("a"), F.col("key").alias("b"))
+    either = names.unionByName(names.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(same)
     own = lambda s, k: rows.select(F.col("key").alias(k), F.col("id").alias(f"{s}"), F.col("entity_type").alias(f"{s}_type"), F.col("mention_count").alias(f"{s}_n"))
-    pairs = names.unionByName(same).join(own("keep", "a"), "a").join(own("merge", "b"), "b")
+    pairs = either.join(own("keep", "a"), "a").join(own("merge", "b"), "b")
     first = (F.col("keep_n") > F.col("merge_n")) | ((F.col("keep_n") == F.col("merge_n")) & (F.col("keep") < F.col("merge")))
     types = (F.col("keep_type") == F.col("merge_type")) | (F.col("keep_type") == "unknown") | (F.col("merge_type") == "unknown")
-    return pairs.filter(first & types).select("keep", "merge", "keep_n", "merge_n", "similarity")
+    # difflib's ratio depends on the order, which is known now, and is never over the Indel ratio
+    pairs = pairs.filter(first & types).withColumn("similarity", difflib_ratio("a", "b"))
+    return pairs.filter(F.col("similarity") >= threshold).select("keep", "merge", "keep_n", "merge_n", "similarity")
 
 
 def greedy_merges(pairs: DataFrame) -> DataFrame:

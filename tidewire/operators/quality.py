@@ -50,3 +50,32 @@ def relationship_confidence(relationships: DataFrame, tiers: DataFrame) -> DataF
     """AGG-10."""
     given = F.coalesce(F.nullif(F.col("confidence"), F.lit(0.0)), F.lit(0.8))
     return with_source(relationships, tiers).select("id", F.round(given * F.col("base"), 2).alias("confidence"))
+
+
+def validation_report(relationships: DataFrame, entities: DataFrame, enrichment: DataFrame, tiers: DataFrame) -> DataFrame:
+    """AGG-08: one row: entities and how many are enriched, entities of several sources, relationships by source and tier,
+    and the quality score, 0 without relationships.  Relationships without a source URL (null) do not count."""
+    sourced = relationships.filter(F.col("source_url").isNotNull())
+    by_source = with_source(sourced, tiers).groupBy("source", "tier").agg(F.count("*").alias("n"))
+    several = ends(sourced).groupBy("entity_id").agg(F.countDistinct("source_url").alias("n")).filter("n > 1")
+    several = several.join(entities.select(F.col("id").alias("entity_id")), "entity_id", "left_semi")
+    kinds = {
+        "entity": entities.agg(F.count("*").alias("n")),
+        "enriched": enrichment.agg(F.countDistinct("entity_id").alias("n")),
+        "several": several.agg(F.count("*").alias("n")),
+    }
+    rows = by_source.select(F.lit("source").alias("what"), "source", "tier", "n")
+    for what, one in kinds.items():
+        rows = rows.unionByName(one.select(F.lit(what).alias("what"), "n"), allowMissingColumns=True)
+    n = lambda on: F.coalesce(F.sum(F.when(on, F.col("n"))), F.lit(0))
+    of = lambda what: n(F.col("what") == what)
+    out = rows.groupBy("what", "source").agg(F.sum("n").alias("n"), *(n(F.col("tier") == k).alias(f"t{k}") for k in (1, 2, 3)))
+    pairs = F.collect_list(F.when(F.col("what") == "source", F.struct("source", "n")))
+    out = out.agg(of("entity").alias("total_entities"), of("enriched").alias("enriched_entities"), of("several").alias("multi_source_entities"), F.map_from_entries(F.sort_array(pairs)).alias("source_distribution"), *(F.sum(f"t{k}").alias(f"t{k}") for k in (1, 2, 3)))
+    total = F.col("t1") + F.col("t2") + F.col("t3")
+    score = F.when(total > 0, F.round((F.col("t1") * 1.0 + F.col("t2") * 0.7 + F.col("t3") * 0.4) / total * 100, 1)).otherwise(0.0)
+    share = F.when(F.col("total_entities") > 0, F.round(F.col("enriched_entities") / F.col("total_entities") * 100, 1)).otherwise(0.0)
+    return out.select(
+        "total_entities", "enriched_entities", share.alias("enrichment_coverage"), "multi_source_entities", "source_distribution",
+        F.col("t1").alias("tier1_primary"), F.col("t2").alias("tier2_reputable"), F.col("t3").alias("tier3_secondary"), score.alias("data_quality_score"),
+    )
