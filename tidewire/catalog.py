@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions import names as N
 from tidewire.functions import texts as T
-from tidewire.functions.constants import ENTITY_SUFFIXES, FILING_SUFFIXES, SOURCE_TIERS
+from tidewire.functions.constants import ENTITY_SUFFIXES, FILING_SUFFIXES, MULTIPLIERS, ROUNDS, SOURCE_TIERS
 from tidewire.operators import digest, extraction, feeds, graph, lookups, matching, profiles, quality, resolution, scoring, tables
 from tidewire.plans.views import view, with_views
 from tidewire.streaming import jobs
@@ -341,24 +341,42 @@ def _(r, e):
     return digest.fundings(r, e, "1990-01-01", "2030-01-01")
 
 
-@query("layoff_digest", "relationships entities")
+def _placed(*branches: tuple[str, int]) -> str:
+    """Table l: the newest rows of each predicate with their place, in the order given."""
+    parts = " UNION ALL ".join(f"(SELECT *, {k} AS b FROM x WHERE predicate = '{p}' {_NEWEST} LIMIT {n})" for k, (p, n) in enumerate(branches))
+    return _LATEST + f", l AS (SELECT *, row_number() OVER (ORDER BY b, event_date DESC NULLS LAST, id DESC) AS place FROM ({parts}))"
+
+
+def _first(keys: str, n: int) -> str:
+    return f"(SELECT * FROM (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY place) = 1) ORDER BY place LIMIT {n})"
+
+
+_DIGEST_KEY = "trim(regexp_replace(regexp_replace(trim(lower({0})), '\\s*(inc\\.?|llc|ltd\\.?|corp\\.?|co\\.?|global|technologies|technology)$', ''), '\\s+', ' ', 'g'))"
+_LAYOFF_COUNT = r"CAST(replace(coalesce(nullif(regexp_extract(context, '(?i)(\d+(?:,\d{3})*)\s*(?:employees|people|workers|staff)', 1), ''), nullif(regexp_extract(context, '(?i)laid off (\d+(?:,\d{3})*)', 1), '')), ',', '') AS BIGINT)"
+
+
+@query("layoff_digest", "relationships entities", _placed(("LAID_OFF", 45)) + f" SELECT subject AS company, {_LAYOFF_COUNT} AS count, event_date AS date FROM {_first('lower(trim(subject))', 15)}")
 def _(r, e):
     return digest.layoffs(r, e)
 
 
-@query("acquisition_digest", "relationships entities")
+@query("acquisition_digest", "relationships entities", _placed(("ACQUIRED", 45)) + f" SELECT subject, object, event_date AS date FROM {_first(_DIGEST_KEY.format('subject') + ', ' + _DIGEST_KEY.format('object'), 15)}")
 def _(r, e):
     return digest.acquisitions(r, e)
 
 
-@query("move_digest", "relationships entities", _LATEST + f"""
-, l AS (SELECT *, row_number() OVER (ORDER BY b, event_date DESC NULLS LAST, id DESC) AS place FROM ((SELECT *, 0 AS b FROM x WHERE predicate = 'DEPARTED_FROM' {_NEWEST} LIMIT 40) UNION ALL (SELECT *, 1 FROM x WHERE predicate = 'HIRED_BY' {_NEWEST} LIMIT 40)))
-SELECT subject AS person, predicate AS action, object AS company, event_date AS date FROM (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY subject, predicate, object ORDER BY place) = 1) ORDER BY place LIMIT 20""")
+@query("move_digest", "relationships entities", _placed(("DEPARTED_FROM", 40), ("HIRED_BY", 40)) + f"""
+SELECT subject AS person, CASE predicate WHEN 'HIRED_BY' THEN 'joined' ELSE 'left' END AS action, object AS company, event_date AS date FROM {_first('lower(trim(subject)), predicate, lower(trim(object))', 20)}""")
 def _(r, e):
     return digest.moves(r, e)
 
 
-@query("hot_candidates", "relationships entities")
+@query("hot_candidates", "relationships entities", _placed(("DEPARTED_FROM", 50)) + f"""
+, k AS {_first('lower(trim(subject))', 50)},
+t AS (SELECT k.place, x.predicate, row_number() OVER (PARTITION BY k.place ORDER BY x.event_date DESC NULLS LAST, x.id DESC) AS n FROM k JOIN x ON contains(lower(trim(x.subject)), lower(k.subject))),
+r AS (SELECT place, arg_min(predicate, n) AS role FROM t WHERE n <= 10 AND predicate IN ('CEO_OF', 'CTO_OF', 'CFO_OF', 'FOUNDED') GROUP BY place)
+SELECT subject AS person, object AS left_company, coalesce(upper(left(role, 1)) || lower(replace(substr(role, 2), '_OF', '')), 'Executive') AS title, CASE WHEN role IS NULL THEN 70 ELSE 90 END AS score
+FROM k LEFT JOIN r USING (place) ORDER BY score DESC, place LIMIT 15""")
 def _(r, e):
     return digest.hot_candidates(r, e)
 
@@ -480,7 +498,13 @@ def _(n):
     return made.select("id", F.inline("r.relationships")).select("id", "subject", "predicate", "object", "context")
 
 
-@query("funding_events", "relationships entities")
+_MONEY = "coalesce(" + ", ".join(f"TRY_CAST(nullif(regexp_extract(m, '([\\d.]+)\\s*{word}', 1), '') AS DOUBLE) * {factor}" for word, factor in MULTIPLIERS) + ", TRY_CAST(m AS DOUBLE))"
+_ROUND = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(c, '{w}')" for w in words) + f" THEN '{kind}'" for kind, words in ROUNDS) + " END"
+
+
+@query("funding_events", "relationships entities", f"""
+, f AS (SELECT r.*, s.name AS subject, lower(r.context) AS c, trim(regexp_replace(lower(r.context), '[$,]', '', 'g')) AS m {_STAR} WHERE r.predicate IN ('FUNDED_BY', 'RAISED_FUNDING'))
+SELECT id AS event_id, subject AS company_name, {_MONEY} AS amount, coalesce(event_date, DATE '{AS_OF}') AS date, {_ROUND} AS round_type, 'news' AS source_type, source_url, coalesce(confidence, 0.8) AS confidence FROM f""")
 def _(r, e):
     return extraction.funding_events(graph.star(r, e), AS_OF)
 
@@ -533,7 +557,7 @@ def _merges(e: DataFrame) -> DataFrame:
     return e.filter(turn.isin(2, 3)).select((F.col("id") - 10 * (turn - 1)).alias("keep"), F.col("id").alias("merge"))
 
 
-@query("entities_by_tag", "relationships entities", _TAGS + " SELECT tag, entity_id, name, mention_count FROM t JOIN entities ON id = entity_id WHERE tag IN ('acquired', 'laid_off')")
+@query("entities_by_tag", "relationships entities", _TAGS + " SELECT tag, entity_id, name, mention_count, row_number() OVER (PARTITION BY tag ORDER BY mention_count DESC, id) AS place FROM t JOIN entities ON id = entity_id WHERE tag IN ('acquired', 'laid_off')")
 def _(r, e):
     return lookups.tagged(e, _tags(r), r.filter("predicate IN ('ACQUIRED', 'LAID_OFF')").select(F.col("predicate").alias("tag")))
 
@@ -557,32 +581,33 @@ def _(e):
 
 @query("moved_tags", "relationships entities", _TAGS + _MERGES + " SELECT DISTINCT coalesce(keep, entity_id) AS entity_id, tag FROM t LEFT JOIN m ON merge = entity_id")
 def _(r, e):
-    return resolution.moved(_tags(r), _merges(e), ["tag"])
+    return resolution.moved(_tags(r), resolution.in_turn(_merges(e), e), ["tag"])
 
 
 @query("moved_enrichment", "relationships entities", _ENRICHED + _MERGES + """
 , n AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY entity_id, source ORDER BY enriched_at DESC, seq DESC) = 1)
-SELECT coalesce(keep, entity_id) AS entity_id, source, seq FROM n LEFT JOIN m ON merge = entity_id QUALIFY row_number() OVER (PARTITION BY coalesce(keep, entity_id), source ORDER BY keep IS NOT NULL, entity_id) = 1""")
+SELECT coalesce(keep, entity_id) AS entity_id, source, seq FROM n LEFT JOIN m ON merge = entity_id LEFT JOIN entities x ON x.id = merge
+QUALIFY row_number() OVER (PARTITION BY coalesce(keep, entity_id), source ORDER BY keep IS NOT NULL, x.mention_count DESC, entity_id) = 1""")
 def _(r, e):
-    return resolution.moved(tables.upsert_enrichment(_documents(r)), _merges(e), ["source"]).select("entity_id", "source", "seq")
+    return resolution.moved(tables.upsert_enrichment(_documents(r)), resolution.in_turn(_merges(e), e), ["source"]).select("entity_id", "source", "seq")
 
 
 @query("aliases_of_entities", "entities", _MERGES + " SELECT entity_id, string_agg(name, '; ' ORDER BY name) AS aliases FROM (SELECT keep AS entity_id, name FROM m JOIN entities ON id = merge GROUP BY ALL) GROUP BY entity_id")
 def _(e):
-    return lookups.gathered(resolution.merge_aliases(e, _merges(e)), "alias", "aliases")
+    return lookups.gathered(resolution.merge_aliases(e, resolution.in_turn(_merges(e), e)), "alias", "aliases")
 
 
 @query("alias_resolution", "entities", _MERGES + """
 , a AS (SELECT lower(trim(x.name)) AS key, k.entity_type, arg_min(k.name, k.id) AS owner FROM m JOIN entities x ON x.id = merge JOIN entities k ON k.id = keep GROUP BY ALL)
 SELECT id, name, coalesce(owner, name) AS resolved FROM entities e LEFT JOIN a ON a.key = lower(trim(e.name)) AND a.entity_type = e.entity_type""")
 def _(e):
-    return lookups.resolve_aliases(e, resolution.merge_aliases(e, _merges(e)), e).select("id", "name", "resolved")
+    return lookups.resolve_aliases(e, resolution.merge_aliases(e, resolution.in_turn(_merges(e), e)), e).select("id", "name", "resolved")
 
 
 @query("resolution_summary", "relationships entities")
 def _(r, e):
-    pairs = matching.duplicate_pairs(e.filter("id % 10 <> 2"))
-    return resolution.summary(resolution.removed(e), graph.infer_types(r, e), pairs, matching.greedy_merges(pairs))
+    none = lambda kind: r.sparkSession.createDataFrame([], f"entity_id long, {kind}")
+    return resolution.resolve(resolution.Tables(e, r, none("tag string"), none("source string"), none("normalized_alias string, alias string")))[1]
 
 
 @query("digest_record", "relationships", f"""
@@ -600,6 +625,9 @@ def _daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 _REGISTER["daily_event_counts"] = (_daily_counts, "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
 
 
+from tidewire import catalog_jobs  # noqa: E402, F401  registers the queries of the composite jobs
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: run for name, (run, _) in _REGISTER.items()}
 

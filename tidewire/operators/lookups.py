@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from tidewire.functions.constants import KNOWN_ALIASES, MISLABELLED_PATTERN
 from tidewire.functions.names import clean_filing_name, is_organisation, plain_key, relationship_reason
@@ -55,9 +56,11 @@ def fix_counts(fixes: DataFrame) -> DataFrame:
 
 
 def tagged(entities: DataFrame, tags: DataFrame, wanted: DataFrame) -> DataFrame:
-    """FLT-19: entities of each wanted tag; `place` orders those of a tag by mentions."""
+    """FLT-19: entities of each wanted tag; `place` orders those of a tag by mentions, then id."""
     asked = wanted.select(plain_key(F.col("tag")).alias("tag")).distinct()
-    return tags.join(asked, "tag").join(entities.withColumnRenamed("id", "entity_id"), "entity_id").select("tag", "entity_id", "name", "mention_count")
+    rows = tags.join(asked, "tag").join(entities.withColumnRenamed("id", "entity_id"), "entity_id")
+    place = F.row_number().over(W.partitionBy("tag").orderBy(F.desc("mention_count"), "entity_id"))
+    return rows.select("tag", "entity_id", "name", "mention_count", place.alias("place"))
 
 
 def gathered(rows: DataFrame, value: str, out: str) -> DataFrame:

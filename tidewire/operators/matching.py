@@ -102,7 +102,8 @@ def similar_names(keys: DataFrame, threshold: float, one_side: bool = False) ->
     keyed = [x.repartition(tasks, "pair", "part") for x in (a, b)]
     names = keyed[0].join(keyed[1], ["pair", "part"]).filter(near & early & other)
     names = names.groupBy("a", "b", "a_m", "b_m").agg(F.count("*").alias("met")).filter(F.col("met") >= k).select("a", "b")
-    names = names.repartition(tasks).withColumn("similarity", indel_ratio("a", "b"))
+    # not deterministic, so that the filter is not pushed below the counts, where every meeting would be compared
+    names = names.repartition(tasks).withColumn("similarity", indel_ratio.asNondeterministic()("a", "b"))
     return names.filter(F.col("similarity") >= threshold)
 
 
@@ -177,7 +178,7 @@ def duplicate_pairs(entities: DataFrame, threshold: float = 0.85) -> DataFrame:
     Names are compared once for each pair of distinct plain names that share letters."""
     rows = kept(entities.select("id", normalize_name(F.col("name")).alias("key"), "entity_type", "mention_count").filter("key <> ''"))
     keys = rows.select("key", F.lit(True).alias("in_a"), F.lit(True).alias("in_b")).distinct()
-    names = similar_names(keys, threshold, one_side=True).select("a", "b")
+    names = kept(similar_names(keys, threshold, one_side=True).select("a", "b"))
     same = keys.select(F.col("key").alias("a"), F.col("key").alias("b"))
     either = names.unionByName(names.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(same)
     own = lambda s, k: rows.select(F.col("key").alias(k), F.col("id").alias(f"{s}"), F.col("entity_type").alias(f"{s}_type"), F.col("mention_count").alias(f"{s}_n"))
@@ -185,7 +186,8 @@ def duplicate_pairs(entities: DataFrame, threshold: float = 0.85) -> DataFrame:
     first = (F.col("keep_n") > F.col("merge_n")) | ((F.col("keep_n") == F.col("merge_n")) & (F.col("keep") < F.col("merge")))
     types = (F.col("keep_type") == F.col("merge_type")) | (F.col("keep_type") == "unknown") | (F.col("merge_type") == "unknown")
     # difflib's ratio depends on the order, which is known now, and is never over the Indel ratio
-    pairs = pairs.filter(first & types).withColumn("similarity", difflib_ratio("a", "b"))
+    tasks = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = pairs.filter(first & types).repartition(tasks).withColumn("similarity", difflib_ratio("a", "b"))
     return pairs.filter(F.col("similarity") >= threshold).select("keep", "merge", "keep_n", "merge_n", "similarity")
 
 

@@ -74,9 +74,9 @@ def dashboard(articles: DataFrame, relationships: DataFrame, entities: DataFrame
         one = rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("panel"), "n")
         totals = one if totals is None else totals.unionByName(one)
     totals = totals.unionByName(entities.groupBy(F.concat(F.lit("type "), "entity_type").alias("panel")).agg(F.count("*").alias("n")))
-    place = F.row_number().over(W.partitionBy("predicate").orderBy(*newest_first()))
     own = relationships.filter(F.col("predicate").isin(*PANELS))
     n = own.groupBy(F.col("predicate").alias("panel")).agg(F.count("*").alias("n"))
-    newest = star(own.withColumn("place", place).filter(F.col("place") <= most), entities)
+    place = F.row_number().over(W.partitionBy("predicate").orderBy(*newest_first()))
+    newest = star(own, entities).withColumn("place", place).filter(F.col("place") <= most)
     shown = newest.groupBy(F.col("predicate").alias("panel")).agg(in_order(event(newest)).alias("events"))
     return totals.unionByName(n.join(shown, "panel", "left"), allowMissingColumns=True)

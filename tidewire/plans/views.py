@@ -34,6 +34,15 @@ SELECT o_orderkey AS id, CASE WHEN o_orderkey % 14 IN (0, 1, 9, 10) THEN (o_orde
        CASE o_orderkey % 6 WHEN 0 THEN 'https://www.techcrunch.com/a/' WHEN 1 THEN 'https://sec.gov/b/' WHEN 2 THEN 'https://notwsj.com/c/' WHEN 3 THEN 'https://blog.example.org/d/' WHEN 4 THEN '' ELSE 'http://inc.com/e/' END
          || CASE WHEN o_orderkey % 6 = 4 THEN '' ELSE CAST(o_orderkey % 40 AS VARCHAR(20)) END AS source_url
 FROM {{orders}}, (SELECT count(*) AS n FROM {{supplier}}) s""",
+    "briefs": """
+SELECT c_custkey * 10 + 2 AS entity_id, 'Pat Lee ' || CAST(c_custkey AS VARCHAR(20)) AS name,
+       CASE c_custkey % 7 WHEN 0 THEN 'Pat Lee ' || CAST(c_custkey AS VARCHAR(20)) || ' is the current Chief Officer of Acme Works. Based in Oslo, Norway.' WHEN 1 THEN 'She serves as Lead Engineer, from Rome. Expertise in pumps, known for valves.'
+            WHEN 2 THEN 'Pat Lee works here; previously at Foo, Bar Baz. Graduated from Delta State University.' WHEN 3 THEN 'CTO of Tiny Labs, lives in Bergen. Stanford and MIT.' WHEN 4 THEN 'joined Delta Works in 2020 as Vice President.'
+            WHEN 5 THEN 'An ex-CFO at Quux, now Director.' ELSE '' END AS text, 'person' AS entity_type FROM {customer}
+UNION ALL SELECT s_suppkey * 10 + 1, 'Acme ' || CAST(s_suppkey AS VARCHAR(20)),
+       CASE s_suppkey % 6 WHEN 0 THEN 'Acme ' || CAST(s_suppkey AS VARCHAR(20)) || ' today is a startup that builds pumps. It employs about 1,' || CAST(100 + s_suppkey % 800 AS VARCHAR(20)) || ' people. Founded in 1850, since 19' || CAST(10 + s_suppkey % 80 AS VARCHAR(20)) || '.'
+            WHEN 1 THEN 'Headquartered in Palo Alto, California. Raised $' || CAST(s_suppkey AS VARCHAR(20)) || '.5 million in a series B.' WHEN 2 THEN 'See https://www.linkedin.com/x or website: www.acme-' || CAST(s_suppkey AS VARCHAR(20)) || '.example for more, a public company.'
+            WHEN 3 THEN CAST(s_suppkey AS VARCHAR(20)) || ' workers in Berlin; it focuses on deep sea industry; privately held. A pre-seed.' WHEN 4 THEN 'An e-commerce firm with funding of $2 billion, see http://acme.io/about.' ELSE '' END, 'company' FROM {supplier}""",
     "feed_log": """
 SELECT user_id AS feed_id, ts, event_id AS seq, event_type <> 'error' AS ok, CAST(floor(abs(coalesce(value, 0)) * 10) AS BIGINT) AS ms, event_id % 7 AS articles FROM {events}""",
     "names": """
