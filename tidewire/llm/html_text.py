@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,6 +38,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 SPACE = frozenset("br td th".split())
 #: Elements that hold no article text, and those that do not when they stand outside the article.
 NEVER = frozenset("head title nav footer aside form menu dialog".split())
+#: Of these a form may be the page itself; what shows that an element is.
+PAGE = frozenset("article main h1".split())
 OUTSIDE = frozenset("header hgroup".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "option": {"option"}}
 #: Parts of class names and ids of elements that hold no article text, whatever stands in them.
@@ -43,6 +47,13 @@ _NAMES = r"""ads?|advert\w*|adverti[sz]ing|banners?|promos?|sponsor(?:ed|s)?|sid
 gdpr|popups?|modal|overlay|newsletter|subscribe|subscription|signup|login|sharing|related|recommend\w*|teasers?|
 comments?|commentlist|disqus|replies|reply|respond|widgets?|pagination|pager|toolbar|copyright|disclaimer|skiplink|hidden"""
 UNWANTED = re.compile(rf"(?:^|[\s_-])(?:{''.join(_NAMES.split())})(?=$|[\s_-])", re.I)
+#: A name says so only by its last part, these left aside, and not after one of the others: `post-comments` is unwanted,
+#: `comments-open`, `related-work` and `has-sidebar` are names that weigh against a block.
+CONTAINERS = frozenset(
+    """area bar block blocks body bottom box button buttons col column container content fixed form group head header holder icons inner item items left link links list main message module
+    msg nav news notice outer panel posts articles stories products videos topics reading primary region right row secondary section sections slot sticky text thread title top unit wrap wrapper zone""".split()
+)
+NOT_ITSELF = frozenset("has have no non not with without is".split())
 #: These say so as a whole name; as a part of one, or the last ones outside an article, they only weigh against a block.
 _WHOLE = "menus?|nav|notices?|alerts?|search|share|social|skip|side|legal|discussion|promotions?"
 WHOLE = re.compile(rf"(?:^|\s)(?:{_WHOLE})(?=$|\s)", re.I)
@@ -57,6 +68,9 @@ TOKEN = re.compile(
 )
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 LETTERS = re.compile(r"[^\W\d_]+")
+#: Scripts that put no blanks between words, and their commonest letters of grammar.
+UNSPACED = re.compile(r"[\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF]")
+GRAMMAR = frozenset("的了是在不和有我他这個个们中来上大为到说就也要以时会可你对生能而子那得于着下自之のはをにがとでもた")
 
 MAX_LINKS = 0.5
 SOME_LINKS = 0.2
@@ -65,28 +79,81 @@ STOP_SHARE = 0.1
 
 
 class Block:
-    __slots__ = ("text", "words", "links", "stops", "unwanted", "doubtful", "inside", "heading", "label")
+    __slots__ = ("text", "words", "links", "stops", "scopes", "unwanted", "doubtful", "inside", "heading", "para", "label")
 
-    def __init__(self, text: str, link_chars: int, unwanted: bool, doubtful: bool, inside: bool, heading: bool):
+    def __init__(self, text: str, link_chars: int, place: Place):
         letters = LETTERS.findall(text.lower())
         self.text, self.words = text, len(text.split())
         self.links = link_chars / max(1, len(text))
         self.stops = sum(w in STOP_WORDS for w in letters) / max(1, len(letters))
-        self.unwanted, self.doubtful, self.inside, self.heading, self.label = unwanted, doubtful, inside, heading, None
+        unspaced = UNSPACED.findall(text)
+        if 2 * len(unspaced) > sum(map(len, letters)):
+            # two letters count as a word
+            self.words = max(self.words, len(unspaced) // 2)
+            self.stops = 2 * sum(c in GRAMMAR for c in unspaced) / len(unspaced)
+        self.scopes, self.unwanted, self.doubtful, self.inside = place.scopes, place.unwanted, place.doubtful, place.inside
+        self.heading, self.para, self.label = place.tag[:1] == "h" and place.tag[1:].isdigit(), place.tag == "p", None
+
+    def prose(self) -> bool:
+        return self.words >= SHORT_WORDS and self.stops >= STOP_SHARE and self.links <= SOME_LINKS
+
+
+class Scope:
+    """An element that its name, or being a form, marks as no article; whether it holds what a page is made around."""
+
+    __slots__ = ("page",)
+
+    def __init__(self):
+        self.page = False
+
+
+class Place(NamedTuple):
+    """An open element: scopes it is in, whether an element says that no article is here, names of doubt, inside an article."""
+
+    tag: str
+    scopes: tuple[Scope, ...]
+    unwanted: bool
+    doubtful: bool
+    inside: bool
+
+
+NOWHERE = Place("", (), False, False, False)
+
+
+def says_unwanted(value: str) -> bool:
+    """Whether one of the names of a class or id says that its element holds no article."""
+    for name in value.split():
+        if WHOLE.fullmatch(name):
+            return True
+        parts = [x for x in re.split(r"[_-]+", name.lower()) if x]
+        while len(parts) > 1 and (parts[-1] in CONTAINERS or parts[-1].isdigit()):
+            parts.pop()
+        if parts and not NOT_ITSELF.intersection(parts) and UNWANTED.search(parts[-1]):
+            return True
+    return False
+
+
+def _named_unwanted(tag: str, attributes: str) -> bool:
+    for name, a, b, c in ATTRIBUTE.findall(attributes):
+        value = a or b or c
+        if name.lower() not in ("class", "id"):
+            continue
+        if tag not in ("html", "body", "article", "main") and says_unwanted(value):
+            return True
+        if tag == "article" and re.search(r"comment|teaser|related|promo|(?:^|[\s_-])ads?(?=$|[\s_-])", value, re.I):
+            return True
+    return False
 
 
 def _unwanted(tag: str, attributes: str, inside: bool) -> bool:
-    if tag in NEVER or (tag in OUTSIDE and not inside):
+    """Whether the element itself, its role or its being hidden says that no article is in it."""
+    if (tag in NEVER and tag != "form") or (tag in OUTSIDE and not inside):
         return True
-    if not attributes:
-        return False
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and (UNWANTED.search(value) or WHOLE.search(value)):
-            return True
-        if name in ("class", "id") and tag == "article" and re.search(r"comment|teaser|related|promo|(?:^|[\s_-])ads?(?=$|[\s_-])", value, re.I):
+        if name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True
-        if name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
     return False
 
@@ -95,12 +162,12 @@ def _doubtful(tag: str, attributes: str, inside: bool) -> bool:
     if tag in ("html", "body", "article", "main"):
         return False
     names = (a or b or c for name, a, b, c in ATTRIBUTE.findall(attributes) if name.lower() in ("class", "id"))
-    return any(DOUBTFUL.search(x) or not inside and DOUBTFUL_OUTSIDE.search(x) for x in names)
+    return any(DOUBTFUL.search(x) or UNWANTED.search(x) or not inside and DOUBTFUL_OUTSIDE.search(x) for x in names)
 
 
 def blocks(page: str) -> Iterator[Block]:
     """The page's blocks with text, in order."""
-    stack: list[tuple[str, bool, bool, bool]] = []  # element, unwanted, doubtful, inside an article
+    stack: list[Place] = []
     pieces: list[str] = []
     link_chars, in_link, at = 0, False, 0
 
@@ -108,8 +175,7 @@ def blocks(page: str) -> Iterator[Block]:
         nonlocal link_chars
         text = " ".join("".join(pieces).split())
         if text:
-            tag, unwanted, doubtful, inside = stack[-1] if stack else ("", False, False, False)
-            yield Block(text, link_chars, unwanted, doubtful, inside, tag[:1] == "h" and tag[1:].isdigit())
+            yield Block(text, link_chars, stack[-1] if stack else NOWHERE)
         pieces.clear()
         link_chars = 0
 
@@ -151,31 +217,52 @@ def blocks(page: str) -> Iterator[Block]:
                 stack = [x for x in stack if x[0] == "html"]
             if stack and stack[-1][0] in CLOSES.get(tag, ()):
                 stack.pop()
-            _, unwanted, doubtful, inside = stack[-1] if stack else ("", False, False, False)
-            own = _unwanted(tag, attributes, inside)
-            stack.append((tag, unwanted or own, doubtful or _doubtful(tag, attributes, inside), inside or (tag in ("article", "main") and not own)))
+            around = stack[-1] if stack else NOWHERE
+            own, named = _unwanted(tag, attributes, around.inside), tag == "form" or _named_unwanted(tag, attributes)
+            if tag in PAGE and not (own or named or around.unwanted):
+                for scope in around.scopes:
+                    scope.page = True
+            scopes = (*around.scopes, Scope()) if named else around.scopes
+            doubtful, inside = around.doubtful or _doubtful(tag, attributes, around.inside), around.inside or (tag in ("article", "main") and not (own or named))
+            stack.append(Place(tag, scopes, around.unwanted or own, doubtful, inside))
     if at < len(page):
         add(page[at:])
     yield from flush()
 
 
+def weigh_scopes(found: list[Block]) -> None:
+    """Marks blocks of scopes as unwanted.  Where that would leave a page no prose, forms and names that hold the page's
+    article or first heading, or, without these, all of its prose in several blocks, count for nothing."""
+    if any(b.prose() and not b.unwanted and not b.scopes for b in found):
+        void = set()
+    else:
+        void = {s for b in found for s in b.scopes if s.page}
+        if not void:
+            several = Counter(s for b in found if b.prose() and not b.unwanted for s in b.scopes[:1])
+            void = {s for s, n in several.items() if n > 1 and len(several) == 1}
+    for b in found:
+        b.unwanted = b.unwanted or any(s not in void for s in b.scopes)
+
+
 def decide(found: list[Block]) -> None:
     """First pass: True (text), False (not), None (open).  In an element with a doubtful name a block
-    with links needs what prose has: length, stop words, few links."""
+    with links needs what prose has: length, stop words, few links.  A paragraph of an article may be
+    one link; its neighbours say."""
+    weigh_scopes(found)
     marked = any(b.inside and not b.unwanted for b in found)
     for b in found:
-        prose = b.words >= SHORT_WORDS and b.stops >= STOP_SHARE and b.links <= SOME_LINKS
-        if b.unwanted or (marked and not b.inside) or b.links > MAX_LINKS or (b.doubtful and b.links > 0 and not prose):
+        linked = b.links > MAX_LINKS and not (b.inside and b.para and not b.doubtful)
+        if b.unwanted or (marked and not b.inside) or linked or (b.doubtful and b.links > 0 and not b.prose()):
             b.label = False
         elif b.words < SHORT_WORDS:
             b.label = False if b.links > SOME_LINKS and not b.inside else None
-        elif b.stops >= STOP_SHARE:
+        elif b.stops >= STOP_SHARE and b.links <= MAX_LINKS:
             b.label = True
 
 
 def inherit(found: list[Block]) -> list[bool]:
     """Second pass: open blocks take the label of the nearest decided one; at equal distance the
-    following one's for headings, else text wins inside an article only.  Without any decided
+    following one's for headings, else text wins inside an article and for paragraphs without links.  Without any decided
     neighbour a block without links is text."""
     n = len(found)
     before, after = [None] * n, [None] * n
@@ -201,7 +288,7 @@ def inherit(found: list[Block]) -> list[bool]:
         elif len(near) == 1 or near[0][0] < near[1][0] or near[0][1] == near[1][1]:
             out.append(near[0][1])
         else:
-            out.append(next(label for _, label, later in near if later) if b.heading else b.inside)
+            out.append(next(label for _, label, later in near if later) if b.heading else b.inside or b.para and b.links == 0)
     return out
 
 
