@@ -2,8 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), where docs has the columns of `documents`, and works on
 all that its predecessor kept.  `run` writes each stage's rows as Parquet in the shared
-checkpoint folder and hands what it reads back to the next; the folder stays, as the returned
-rows are read from it.
+checkpoint folder and hands what it reads back to the next; a stage's folder goes when the next one
+is written, the last one stays, as the returned rows are read from it.
 
 Null and empty texts pass every stage and encode to no tokens; a null id is never a
 near-duplicate.  Rows with one id count as one document in line dedup and near-dedup, and equal
@@ -98,4 +98,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            drop_folder(spark, f"{folder}/{k - 1}")
     return docs
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that Spark wrote, wherever it is."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
