@@ -3,23 +3,31 @@
 The filter holds each word and word pair of the training texts once for every level that its
 quantised count reaches (Talbot and Osborne, "Randomised Language Modelling"), on the scale
 2 ** (level / 2), so that one occurrence is level 1.  A count is read back by probing level
-after level until one is absent.  The filter is in parts by hash, each sized by the items it
-holds, so it grows with the corpus and never fills; texts' words and pairs go to the parts
-and come back with their levels.
+after level until one is absent.  The filter is in segments by hash, rows of their own, each
+sized by the items it holds, so it grows with the corpus and never fills; the counts it was
+made from are not kept.  While all segments fit FILTER_BYTES they are broadcast and the tasks
+that score probe them; a larger filter stays on the executors, and each block's words and pairs
+go to their segments, are probed there, and come back with their levels.  Both give the same scores.
 
-  P(w | v) = PAIR * c(v w) / c(v) + (1 - PAIR) * (c(w) + 0.1) / (N + 0.1 (V + 1))
+With low(x) and high(x) the least and greatest count of x's level, M the sum of low over the
+training words, and V their number,
 
-Neither these counts nor the exact ones of the base score fit a broadcast, so they meet the
-texts by blocks: texts are packed into blocks with their own lists of words and pairs, each
-list goes to the bucket of its items, comes back with what is known of them over all blocks,
-and meets its block again.
+  P(w) = (low(w) + 0.1) / (M + 0.1 (V + 1))
+  P(w | v) = PAIR * low(v w) / high(v) + (1 - PAIR) * P(w)   where the filter knows v, else P(w)
+
+P(.) sums to 1 with one unknown word; P(. | v) to 1 at most, since the low counts of v's pairs
+add up to no more than v's own count; what a probe wrongly finds present is the only excess.
+
+The exact counts of the base score fit no broadcast, so they meet the texts by blocks: texts
+are packed into blocks with their own lists of words, each list goes to the bucket of its
+words, comes back with their counts over all blocks, and meets its block again.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -39,6 +47,8 @@ BUCKET_TOKENS = 2_000_000
 #: Bits of a pair's hash over those that count the letters of all texts: of the pairs that training
 #: never met, one in 2 ** PAIR_BITS at most reads as another one.
 PAIR_BITS = 8
+#: A filter of at most so many bytes is broadcast; a larger one is probed where its segments are.
+FILTER_BYTES = 32 << 20
 BITS_PER_KEY = 16
 PROBES = 4
 PAIR = 0.25
@@ -50,16 +60,11 @@ def end_or_word(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word)
 
 
-class Levels:
-    """Quantised counts of some items in a filter sized by what it holds, each item once for every level."""
+class Segment:
+    """Part of the filter: `bits` (8 to a byte) of `size` places, and the highest level set in it."""
 
-    def __init__(self, hashes: np.ndarray, levels: np.ndarray):
-        self.top = int(levels.max(initial=0))
-        keys = np.concatenate([self.key(hashes[levels >= k], k) for k in range(1, self.top + 1)] or [np.zeros(0, np.uint64)])
-        self.size = np.uint64(max(64, BITS_PER_KEY * len(keys)))
-        self.bits = np.zeros(int(self.size), bool)
-        for at in self.places(keys):
-            self.bits[at] = True
+    def __init__(self, size: int, top: int, bits: bytes):
+        self.size, self.top, self.bits = np.uint64(size), top, np.frombuffer(bits, np.uint8)
 
     @staticmethod
     def key(hashes: np.ndarray, level: int) -> np.ndarray:
@@ -69,10 +74,13 @@ class Levels:
         a, b = mixed(keys, 1), mixed(keys, 2) | np.uint64(1)
         return (((a + np.uint64(k) * b) % self.size).astype(np.int64) for k in range(PROBES))
 
+    def at(self, places: np.ndarray) -> np.ndarray:
+        return (self.bits[places >> 3] >> (places & 7).astype(np.uint8)) & 1 > 0
+
     def has(self, keys: np.ndarray) -> np.ndarray:
         found = np.ones(len(keys), bool)
-        for at in self.places(keys):
-            found &= self.bits[at]
+        for places in self.places(keys):
+            found &= self.at(places)
         return found
 
     def read(self, hashes: np.ndarray) -> np.ndarray:
@@ -84,13 +92,36 @@ class Levels:
         return level
 
 
+class Levels(Segment):
+    """A segment being made: quantised counts of some items, each item once for every level."""
+
+    def __init__(self, hashes: np.ndarray, levels: np.ndarray):
+        self.top = int(levels.max(initial=0))
+        keys = np.concatenate([self.key(hashes[levels >= k], k) for k in range(1, self.top + 1)] or [np.zeros(0, np.uint64)])
+        self.size = np.uint64(max(64, BITS_PER_KEY * len(keys)))
+        self.bits = np.zeros(int(self.size), bool)
+        for places in self.places(keys):
+            self.bits[places] = True
+
+    def at(self, places: np.ndarray) -> np.ndarray:
+        return self.bits[places]
+
+    def row(self, kind: str, bucket: int) -> dict:
+        return {"kind": kind, "bucket": bucket, "size": int(self.size), "top": self.top, "bits": np.packbits(self.bits, bitorder="little").tobytes()}
+
+
 def levels_for(counts: np.ndarray) -> np.ndarray:
     return 1 + np.floor(STEPS * np.log2(np.maximum(1, counts)) + 1e-9).astype(np.int64)
 
 
-def count_at(level: np.ndarray) -> np.ndarray:
-    """Middle of the level's range of counts; none for level 0."""
-    return np.where(level > 0, 2.0 ** ((level - 1 + 0.35 * (level > 2)) / STEPS), 0.0)
+def low(level: np.ndarray) -> np.ndarray:
+    """The least count of the level; none for level 0."""
+    return np.where(level > 0, np.ceil(2.0 ** ((level.astype(np.int64) - 1) / STEPS)), 0.0)
+
+
+def high(level: np.ndarray) -> np.ndarray:
+    """The greatest count of the level; none for level 0."""
+    return np.where(level > 0, np.maximum(low(level), np.ceil(2.0 ** (level.astype(np.int64) / STEPS)) - 1), 0.0)
 
 
 class Pairs:
@@ -181,12 +212,16 @@ def pack(rows: DataFrame, buckets: int, block_bytes: int) -> DataFrame:
     return cut(rows.mapInArrow(tidy(run), schema))
 
 
+def hashes_of(words: Iterable[bytes], n: int) -> np.ndarray:
+    return np.fromiter(map(end_or_word, words), np.uint64, n)
+
+
 def total_counts(packed: DataFrame) -> DataFrame:
-    """Each block's words with their counts over all blocks and the levels that the bucket's filter gives them;
-    n and v are the bucket's tokens and words in training."""
+    """Rows of kind `totals`, each block's words with their counts over all blocks, and of kind `word`, the
+    filter's segment of each bucket, with the bucket's tokens n, words v and sum of low counts in training."""
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
-        unzip, zstd, number, total = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1), {}, []
+        unzip, number, total = zstandard.ZstdDecompressor().decompress, {}, []
         lists = []
         for body, counts in zip(group.body, group.counts, strict=True):
             own = np.array([number.setdefault(w, len(number)) for w in unzip(body).split(b"\n")], np.int64)
@@ -195,20 +230,19 @@ def total_counts(packed: DataFrame) -> DataFrame:
         sums = np.zeros(len(number), np.int64)
         for x in total:
             sums[: len(x)] += x.astype(np.int64)
-        hashes = np.fromiter(map(end_or_word, number), np.uint64, len(number))
-        level = Levels(hashes[sums > 0], levels_for(sums[sums > 0])).read(hashes)
-        marks = [1] + [0] * (len(lists) - 1)
-        return pd.DataFrame({
-            "block": group.block, "bucket": group.bucket, "sizes": group.sizes, "totals": [squeeze(sums[x]) for x in lists], "levels": [zstd.compress(level[x].tobytes()) for x in lists],
-            "n": [m * int(sums.sum()) for m in marks], "v": [m * int((sums > 0).sum()) for m in marks],
-        })
+        learnt = sums > 0
+        hashes = hashes_of(number, len(number))[learnt]
+        segment = Levels(hashes, levels_for(sums[learnt]))
+        own = segment.row("word", int(group.bucket.iloc[0])) | {"block": -1, "sizes": None, "totals": None, "n": int(sums.sum()), "v": int(learnt.sum()), "mass": int(low(segment.read(hashes)).sum())}
+        rows = pd.DataFrame({"kind": "totals", "block": group.block, "bucket": group.bucket, "sizes": group.sizes, "totals": [squeeze(sums[x]) for x in lists], "bits": None})
+        return pd.concat([rows.assign(size=0, top=0, n=0, v=0, mass=0), pd.DataFrame([own])])
 
     words = packed.filter("kind = 'words'").select("block", "bucket", "body", "counts", "sizes")
-    return cut(words.groupBy("bucket").applyInPandas(add, "block long, bucket long, sizes binary, totals binary, levels binary, n long, v long"))
+    return cut(words.groupBy("bucket").applyInPandas(add, "kind string, block long, bucket long, sizes binary, totals binary, size long, top long, bits binary, n long, v long, mass long"))
 
 
-def levels_of_pairs(packed: DataFrame, bits: int, buckets: int) -> DataFrame:
-    """The levels that the bucket's filter over all training texts gives each block's pairs, in the order of their hashes."""
+def pair_lists(packed: DataFrame, bits: int, buckets: int) -> DataFrame:
+    """Each block's distinct pairs by bucket, as the steps between their hashes, with their counts in training."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -224,27 +258,50 @@ def levels_of_pairs(packed: DataFrame, bits: int, buckets: int) -> DataFrame:
                 columns = [pa.array([block] * len(some), pa.int64()), pa.array(some, pa.int64()), pa.array(steps, pa.binary()), pa.array([squeeze(counts[x]) for x in parts], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["block", "bucket", "steps", "counts"])
 
-    def add(group: pd.DataFrame) -> pd.DataFrame:
-        zstd = zstandard.ZstdCompressor(level=1)
-        lists = [np.cumsum(unsqueeze(x), dtype=np.uint64) for x in group.steps]
-        hashes, where = np.unique(np.concatenate(lists), return_inverse=True)
+    docs = packed.filter("kind = 'docs'").select("block", "body", F.col("counts").alias("hashes"), "sizes", "held")
+    return docs.mapInArrow(tidy(send), "block long, bucket long, steps binary, counts binary")
+
+
+def pair_segments(packed: DataFrame, bits: int, buckets: int) -> DataFrame:
+    """The filter's segments of the pairs in all training texts."""
+
+    def build(group: pd.DataFrame) -> pd.DataFrame:
+        hashes, where = np.unique(np.concatenate([np.cumsum(unsqueeze(x), dtype=np.uint64) for x in group.steps]), return_inverse=True)
         sums = np.bincount(where, np.concatenate([unsqueeze(x) for x in group.counts])).astype(np.int64)
         # hashes of few bits are spread before they choose places in the filter
-        level = Levels(mixed(hashes[sums > 0]), levels_for(sums[sums > 0])).read(mixed(hashes))[where]
-        ends = np.cumsum([len(x) for x in lists])
-        return pd.DataFrame({"block": group.block, "bucket": group.bucket, "levels": [zstd.compress(level[b - len(x) : b].tobytes()) for x, b in zip(lists, ends.tolist(), strict=True)]})
+        return pd.DataFrame([Levels(mixed(hashes[sums > 0]), levels_for(sums[sums > 0])).row("pair", int(group.bucket.iloc[0]))])
 
-    docs = packed.filter("kind = 'docs'").select("block", "body", F.col("counts").alias("hashes"), "sizes", "held")
-    pairs = docs.mapInArrow(tidy(send), "block long, bucket long, steps binary, counts binary")
-    return pairs.groupBy("bucket").applyInPandas(add, "block long, bucket long, levels binary")
+    lists = pair_lists(packed, bits, buckets).select("bucket", "steps", "counts")
+    return cut(lists.groupBy("bucket").applyInPandas(build, "kind string, bucket long, size long, top long, bits binary"))
+
+
+def probed(packed: DataFrame, segments: DataFrame, bits: int, buckets: int) -> DataFrame:
+    """The levels of each block's words and pairs, read where the segments are: (kind, block, bucket, levels)."""
+
+    def probe(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        unzip, zstd, out = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1), []
+        for body in asked.body if len(held) else ():
+            if held.kind.iloc[0] == "pair":
+                hashes = mixed(np.cumsum(unsqueeze(body), dtype=np.uint64))
+            else:
+                words = unzip(body).split(b"\n")
+                hashes = hashes_of(words, len(words))
+            out.append(zstd.compress(Segment(*held.iloc[0][["size", "top", "bits"]]).read(hashes).tobytes()))
+        return asked[["kind", "block", "bucket"]].assign(levels=out)
+
+    words = packed.filter("kind = 'words'").select(F.lit("word").alias("kind"), "block", "bucket", "body")
+    asked = words.unionByName(pair_lists(packed, bits, buckets).select(F.lit("pair").alias("kind"), "block", "bucket", F.col("steps").alias("body")))
+    by = ["kind", "bucket"]
+    return asked.groupBy(*by).cogroup(segments.groupBy(*by)).applyInPandas(probe, "kind string, block long, bucket long, levels binary")
 
 
-def score(docs: DataFrame, held, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score(docs: DataFrame, held, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, filter_bytes: int = FILTER_BYTES) -> DataFrame:
     """One row for each input row: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     `held` is a boolean column over the input; rows where it is true (null counts as false)
     teach nothing.  Tokens are words, with A-Z lower-cased, and one end per text; a null or empty
     text is its end alone.  Without training rows every count is 0 and each token has probability 1.
+    A filter of more than `filter_bytes` is not broadcast; the scores are the same.
     Repeated rows are scored one by one, null ids stay null; other columns are not read, whatever
     their names.
     """
@@ -253,23 +310,32 @@ def score(docs: DataFrame, held, id_col: str = "doc_id", text_col: str = "text",
     buckets, bits = max(8, chars // 6 // BUCKET_TOKENS), min(60, chars.bit_length() + PAIR_BITS)
     packed = pack(rows, buckets, block_bytes)
     totals = total_counts(packed)
-    n, v = totals.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    levels = totals.select("block", "bucket", "sizes", "totals", "levels").unionByName(levels_of_pairs(packed, bits, buckets), allowMissingColumns=True)
-    space = float(np.log10(n + DAMP * (v + 1)))
+    n, v, mass = totals.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "v", "mass"))).first()
+    segments = totals.filter("kind = 'word'").select("kind", "bucket", "size", "top", "bits").unionByName(pair_segments(packed, bits, buckets))
+    met, shared = totals.filter("kind = 'totals'").select("kind", "block", "bucket", "sizes", "totals"), None
+    if (segments.agg(F.sum("size")).first()[0] or 0) <= 8 * filter_bytes:
+        shared = docs.sparkSession.sparkContext.broadcast({(r.kind, r.bucket): (r.size, r.top, bytes(r.bits)) for r in segments.collect()})
+        met = met.withColumn("levels", F.lit(None).cast("binary"))
+    else:
+        met = met.unionByName(probed(packed, segments, bits, buckets), allowMissingColumns=True)
+    space, room = float(np.log10(n + DAMP * (v + 1))), mass + DAMP * (v + 1)
     names = [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def rate(own: pa.Table, met: pa.Table) -> pa.Table:
-        unzip = zstandard.ZstdDecompressor().decompress
-        lists = [x for x in met.to_pylist() if x["totals"] is not None]
-        pair_levels = [(x["bucket"], x["levels"]) for x in met.select(["bucket", "totals", "levels"]).to_pylist() if x["totals"] is None]
-        places = [unsqueeze(x["sizes"]).astype(np.int64) for x in lists]
-        size = 1 + max((int(x.max(initial=0)) for x in places), default=0)
-        exact, level = np.zeros(size, np.int64), np.zeros(size, np.uint8)
-        for at, x in zip(places, lists, strict=True):
-            exact[at] = unsqueeze(x["totals"])
-            level[at] = np.frombuffer(unzip(x["levels"]), np.uint8)
-        rough = count_at(level.astype(np.int64))
-        plain = (rough + DAMP) / (n + DAMP * (v + 1))
+        unzip, rows = zstandard.ZstdDecompressor().decompress, met.to_pylist()
+        sent = {(x["kind"], x["bucket"]): x["levels"] for x in rows if x["levels"] is not None}
+
+        def level_of(kind: str, bucket: int, hashes: np.ndarray) -> np.ndarray:
+            if shared is not None:
+                return Segment(*shared.value[kind, bucket]).read(hashes)
+            return np.frombuffer(unzip(sent[kind, bucket]), np.uint8)
+
+        lists = [(x["bucket"], unsqueeze(x["sizes"]).astype(np.int64), unsqueeze(x["totals"])) for x in rows if x["kind"] == "totals"]
+        size = 1 + max((int(at.max(initial=0)) for _, at, _ in lists), default=0)
+        exact, level, hashes = np.zeros(size, np.int64), np.zeros(size, np.uint8), np.frombuffer(own.column("counts")[0].as_py(), np.uint64)
+        for bucket, at, counts in lists:
+            exact[at], level[at] = counts, level_of("word", bucket, hashes[at])
+        plain, most = np.minimum(1.0, (low(level) + DAMP) / room), high(level)
         base = np.log10(exact + DAMP) - space
         out = []
         for k in range(own.num_rows):
@@ -278,11 +344,13 @@ def score(docs: DataFrame, held, id_col: str = "doc_id", text_col: str = "text",
             starts = np.cumsum(lengths) - lengths
             pairs = Pairs(w, np.frombuffer(hashes, np.uint64), lengths, bits, buckets)
             pair_level = np.zeros(len(pairs.hashes), np.int64)
-            for bucket, packed_levels in pair_levels:
-                pair_level[pairs.edges[bucket] : pairs.edges[bucket + 1]] = np.frombuffer(unzip(packed_levels), np.uint8)
-            p = np.minimum(1.0, plain[w])  # all that a text's first token has, as it has no history
-            seen, at = count_at(pair_level)[pairs.where], pairs.at
-            p[at] = (1 - PAIR) * p[at] + PAIR * np.minimum(1.0, seen / np.maximum(1.0, rough[w[at - 1]]))
+            for bucket in np.flatnonzero(np.diff(pairs.edges)).tolist():
+                part = slice(pairs.edges[bucket], pairs.edges[bucket + 1])
+                pair_level[part] = level_of("pair", bucket, mixed(pairs.hashes[part]))
+            p = plain[w]  # all that a text's first token has, as it has no history
+            at, history = pairs.at, most[w[pairs.at - 1]]
+            both = (1 - PAIR) * p[at] + PAIR * np.minimum(1.0, low(pair_level)[pairs.where] / np.maximum(1.0, history))
+            p[at] = np.where(history > 0, both, p[at])
             numbers = [lengths, np.add.reduceat((exact[w] > 0).astype(np.int64), starts), np.full(len(lengths), n), np.add.reduceat(base[w], starts), np.add.reduceat(np.log10(np.maximum(p, 1e-300)), starts)]
             out.append(pa.Table.from_arrays([own.column("ids")[k].values, own.column("held")[k].values, *map(pa.array, numbers)], names=names))
         return pa.concat_tables(out)
@@ -290,4 +358,4 @@ def score(docs: DataFrame, held, id_col: str = "doc_id", text_col: str = "text",
     blocks = packed.filter("kind = 'docs'").select("block", "body", "counts", "sizes", "ids", "held")
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return blocks.groupBy("block").cogroup(levels.groupBy("block")).applyInArrow(rate, schema)
+    return blocks.groupBy("block").cogroup(met.groupBy("block")).applyInArrow(rate, schema)
