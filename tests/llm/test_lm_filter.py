@@ -69,7 +69,9 @@ def test_score_is_that_of_exact_counts_in_bands(spark):
 def test_a_filter_that_is_not_broadcast_gives_the_same_scores(spark):
     rows = list(enumerate(texts()))
     held = F.col("doc_id") % 4 == 0
-    assert scores(spark, rows, held, filter_bytes=0) == scores(spark, rows, held)
+    want = scores(spark, rows, held)
+    for filter_bytes in (0, 2500):  # none is broadcast; that of words alone is
+        assert scores(spark, rows, held, filter_bytes=filter_bytes) == want
 
 
 @pytest.mark.parametrize("filter_bytes", [0, lm_score.FILTER_BYTES])

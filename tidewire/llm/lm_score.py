@@ -28,6 +28,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -61,33 +62,27 @@ def end_or_word(word: bytes) -> int:
 
 
 class Segment:
-    """Part of the filter: `bits` (8 to a byte) of `size` places, and the highest level set in it."""
+    """Part of the filter: `bits` (8 to a byte) of `size` places (less than 2 ** 32), and the highest level set in it."""
 
     def __init__(self, size: int, top: int, bits: bytes):
         self.size, self.top, self.bits = np.uint64(size), top, np.frombuffer(bits, np.uint8)
 
-    @staticmethod
-    def key(hashes: np.ndarray, level: int) -> np.ndarray:
-        return hashes ^ np.uint64((level * 0x9E3779B97F4A7C15) & (1 << 64) - 1)
-
-    def places(self, keys: np.ndarray) -> Iterator[np.ndarray]:
-        a, b = mixed(keys, 1), mixed(keys, 2) | np.uint64(1)
-        return (((a + np.uint64(k) * b) % self.size).astype(np.int64) for k in range(PROBES))
+    def place(self, first: np.ndarray, stride: np.ndarray, level: int, probe: int) -> np.ndarray:
+        """Places by double hashing, each level with probes of its own."""
+        at = first + np.uint64(level * PROBES + probe) * stride
+        return (((at >> np.uint64(32)) * self.size) >> np.uint64(32)).astype(np.int64)
 
     def at(self, places: np.ndarray) -> np.ndarray:
         return (self.bits[places >> 3] >> (places & 7).astype(np.uint8)) & 1 > 0
 
-    def has(self, keys: np.ndarray) -> np.ndarray:
-        found = np.ones(len(keys), bool)
-        for places in self.places(keys):
-            found &= self.at(places)
-        return found
-
     def read(self, hashes: np.ndarray) -> np.ndarray:
         """The level of each item, by probes of level 1, 2, ... until one is absent; none is over the highest set."""
-        level, open_ = np.zeros(len(hashes), np.uint8), np.arange(len(hashes))
+        level, open_, first, stride = np.zeros(len(hashes), np.uint8), np.arange(len(hashes)), mixed(hashes, 1), mixed(hashes, 2) | np.uint64(1)
         for step in range(1, self.top + 1):
-            open_ = open_[self.has(self.key(hashes[open_], step))]
+            for k in range(PROBES):
+                found = self.at(self.place(first, stride, step, k))
+                if not found.all():
+                    open_, first, stride = open_[found], first[found], stride[found]
             level[open_] = step
         return level
 
@@ -97,11 +92,13 @@ class Levels(Segment):
 
     def __init__(self, hashes: np.ndarray, levels: np.ndarray):
         self.top = int(levels.max(initial=0))
-        keys = np.concatenate([self.key(hashes[levels >= k], k) for k in range(1, self.top + 1)] or [np.zeros(0, np.uint64)])
-        self.size = np.uint64(max(64, BITS_PER_KEY * len(keys)))
+        self.size = np.uint64(max(64, BITS_PER_KEY * int(levels.sum())))
         self.bits = np.zeros(int(self.size), bool)
-        for places in self.places(keys):
-            self.bits[places] = True
+        first, stride = mixed(hashes, 1), mixed(hashes, 2) | np.uint64(1)
+        for step in range(1, self.top + 1):
+            own = levels >= step
+            for k in range(PROBES):
+                self.bits[self.place(first[own], stride[own], step, k)] = True
 
     def at(self, places: np.ndarray) -> np.ndarray:
         return self.bits[places]
@@ -275,24 +272,25 @@ def pair_segments(packed: DataFrame, bits: int, buckets: int) -> DataFrame:
     return cut(lists.groupBy("bucket").applyInPandas(build, "kind string, bucket long, size long, top long, bits binary"))
 
 
-def probed(packed: DataFrame, segments: DataFrame, bits: int, buckets: int) -> DataFrame:
-    """The levels of each block's words and pairs, read where the segments are: (kind, block, bucket, levels)."""
+def probed(packed: DataFrame, segments: DataFrame, bits: int, buckets: int, kinds: list[str]) -> DataFrame:
+    """The levels of each block's words or pairs or both, read where the segments are: (kind, block, bucket, levels)."""
 
     def probe(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         unzip, zstd, out = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1), []
-        for body in asked.body if len(held) else ():
-            if held.kind.iloc[0] == "pair":
-                hashes = mixed(np.cumsum(unsqueeze(body), dtype=np.uint64))
-            else:
-                words = unzip(body).split(b"\n")
-                hashes = hashes_of(words, len(words))
-            out.append(zstd.compress(Segment(*held.iloc[0][["size", "top", "bits"]]).read(hashes).tobytes()))
+        segment, pair = Segment(*held[["size", "top", "bits"]].iloc[0]), held.kind.iloc[0] == "pair"
+        for body in asked.body:
+            words = () if pair else unzip(body).split(b"\n")
+            hashes = mixed(np.cumsum(unsqueeze(body), dtype=np.uint64)) if pair else hashes_of(words, len(words))
+            out.append(zstd.compress(segment.read(hashes).tobytes()))
         return asked[["kind", "block", "bucket"]].assign(levels=out)
 
-    words = packed.filter("kind = 'words'").select(F.lit("word").alias("kind"), "block", "bucket", "body")
-    asked = words.unionByName(pair_lists(packed, bits, buckets).select(F.lit("pair").alias("kind"), "block", "bucket", F.col("steps").alias("body")))
-    by = ["kind", "bucket"]
-    return asked.groupBy(*by).cogroup(segments.groupBy(*by)).applyInPandas(probe, "kind string, block long, bucket long, levels binary")
+    lists = {
+        "word": lambda: packed.filter("kind = 'words'").select(F.lit("word").alias("kind"), "block", "bucket", "body"),
+        "pair": lambda: pair_lists(packed, bits, buckets).select(F.lit("pair").alias("kind"), "block", "bucket", F.col("steps").alias("body")),
+    }
+    asked, by = reduce(DataFrame.unionByName, (lists[k]() for k in kinds)), ["kind", "bucket"]
+    held = segments.filter(F.col("kind").isin(kinds))
+    return asked.groupBy(*by).cogroup(held.groupBy(*by)).applyInPandas(probe, "kind string, block long, bucket long, levels binary")
 
 
 def score(docs: DataFrame, held, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, filter_bytes: int = FILTER_BYTES) -> DataFrame:
@@ -312,23 +310,24 @@ def score(docs: DataFrame, held, id_col: str = "doc_id", text_col: str = "text",
     totals = total_counts(packed)
     n, v, mass = totals.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "v", "mass"))).first()
     segments = totals.filter("kind = 'word'").select("kind", "bucket", "size", "top", "bits").unionByName(pair_segments(packed, bits, buckets))
-    met, shared = totals.filter("kind = 'totals'").select("kind", "block", "bucket", "sizes", "totals"), None
-    if (segments.agg(F.sum("size")).first()[0] or 0) <= 8 * filter_bytes:
-        shared = docs.sparkSession.sparkContext.broadcast({(r.kind, r.bucket): (r.size, r.top, bytes(r.bits)) for r in segments.collect()})
-        met = met.withColumn("levels", F.lit(None).cast("binary"))
-    else:
-        met = met.unionByName(probed(packed, segments, bits, buckets), allowMissingColumns=True)
+    held = dict(segments.groupBy("kind").agg(F.sum("size") / 8).collect())
+    sent = [kind for kind, before in (("word", 0), ("pair", held.get("word", 0))) if before + held.get(kind, 0) <= filter_bytes]
+    shared = docs.sparkSession.sparkContext.broadcast({(r.kind, r.bucket): (r.size, r.top, bytes(r.bits)) for r in segments.filter(F.col("kind").isin(sent)).collect()})
+    met = totals.filter("kind = 'totals'").select("kind", "block", "bucket", "sizes", "totals", F.lit(None).cast("binary").alias("levels"))
+    asked = [kind for kind in ("word", "pair") if kind not in sent]
+    if asked:
+        met = met.unionByName(probed(packed, segments, bits, buckets, asked), allowMissingColumns=True)
     space, room = float(np.log10(n + DAMP * (v + 1))), mass + DAMP * (v + 1)
     names = [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def rate(own: pa.Table, met: pa.Table) -> pa.Table:
         unzip, rows = zstandard.ZstdDecompressor().decompress, met.to_pylist()
-        sent = {(x["kind"], x["bucket"]): x["levels"] for x in rows if x["levels"] is not None}
+        read = {(x["kind"], x["bucket"]): x["levels"] for x in rows if x["levels"] is not None}
 
         def level_of(kind: str, bucket: int, hashes: np.ndarray) -> np.ndarray:
-            if shared is not None:
+            if kind in sent:
                 return Segment(*shared.value[kind, bucket]).read(hashes)
-            return np.frombuffer(unzip(sent[kind, bucket]), np.uint8)
+            return np.frombuffer(unzip(read[kind, bucket]), np.uint8)
 
         lists = [(x["bucket"], unsqueeze(x["sizes"]).astype(np.int64), unsqueeze(x["totals"])) for x in rows if x["kind"] == "totals"]
         size = 1 + max((int(at.max(initial=0)) for _, at, _ in lists), default=0)
