@@ -48,8 +48,8 @@ BUCKET_TOKENS = 2_000_000
 #: Bits of a pair's hash over those that count the letters of all texts: of the pairs that training
 #: never met, one in 2 ** PAIR_BITS at most reads as another one.
 PAIR_BITS = 8
-#: A filter of at most so many bytes is broadcast; a larger one is probed where its segments are.
-FILTER_BYTES = 32 << 20
+#: Segments of at most so many bytes are broadcast (each executor keeps copies, on disk too); larger ones are probed where they are.
+FILTER_BYTES = 4 << 20
 BITS_PER_KEY = 16
 PROBES = 4
 PAIR = 0.25
@@ -310,6 +310,8 @@ def score(docs: DataFrame, held, id_col: str = "doc_id", text_col: str = "text",
     totals = total_counts(packed)
     n, v, mass = totals.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "v", "mass"))).first()
     segments = totals.filter("kind = 'word'").select("kind", "bucket", "size", "top", "bits").unionByName(pair_segments(packed, bits, buckets))
+    # the exchanges that counted are done with; Spark deletes their files once the driver has collected its garbage
+    docs.sparkSession.sparkContext._jvm.System.gc()
     held = dict(segments.groupBy("kind").agg(F.sum("size") / 8).collect())
     sent = [kind for kind, before in (("word", 0), ("pair", held.get("word", 0))) if before + held.get(kind, 0) <= filter_bytes]
     shared = docs.sparkSession.sparkContext.broadcast({(r.kind, r.bucket): (r.size, r.top, bytes(r.bits)) for r in segments.filter(F.col("kind").isin(sent)).collect()})
