@@ -25,6 +25,7 @@ words, comes back with their counts over all blocks, and meets its block again.
 
 from __future__ import annotations
 
+import gc
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -310,7 +311,8 @@ def score(docs: DataFrame, held, id_col: str = "doc_id", text_col: str = "text",
     totals = total_counts(packed)
     n, v, mass = totals.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "v", "mass"))).first()
     segments = totals.filter("kind = 'word'").select("kind", "bucket", "size", "top", "bits").unionByName(pair_segments(packed, bits, buckets))
-    # the exchanges that counted are done with; Spark deletes their files once the driver has collected its garbage
+    # the exchanges that counted are done with; Spark deletes their files once nothing on the driver holds their plans
+    gc.collect()
     docs.sparkSession.sparkContext._jvm.System.gc()
     held = dict(segments.groupBy("kind").agg(F.sum("size") / 8).collect())
     sent = [kind for kind, before in (("word", 0), ("pair", held.get("word", 0))) if before + held.get(kind, 0) <= filter_bytes]
