@@ -12,6 +12,7 @@ from tidewire.functions import texts as T
 from tidewire.functions.constants import ENTITY_SUFFIXES, FILING_SUFFIXES, MULTIPLIERS, ROUNDS, SOURCE_TIERS
 from tidewire.operators import digest, extraction, feeds, graph, lookups, matching, profiles, quality, resolution, scoring, tables
 from tidewire.plans.views import view, with_views
+from tidewire.sources import landed
 from tidewire.streaming import jobs
 
 AS_OF, SINCE = "2024-06-30", "1998-01-01"
@@ -618,6 +619,22 @@ def _(r):
     return digest.record(r, SINCE, AS_OF)
 
 
+@query("landed_articles", "articles", f"""
+, n AS (SELECT url, title, CASE WHEN id % 4 = 1 THEN content || ' In full.' ELSE content END AS content, substr(content, 1, 500) AS summary, CASE WHEN id % 7 <> 0 THEN published END AS published,
+ substr(sha256(url || '|' || title), 1, 32) AS content_hash, feed_priority, id FROM articles WHERE url NOT LIKE '%0')
+SELECT url, title, content, summary, published, content_hash FROM n WHERE published IS NULL OR published >= DATE '{SINCE}'
+QUALIFY row_number() OVER (PARTITION BY url ORDER BY feed_priority, id) = 1""")
+def _(a):
+    day = F.when(F.col("id") % 7 != 0, F.col("published").cast("timestamp"))
+    entries = a.select(
+        F.when(~F.col("url").endswith("0"), F.col("url")).alias("link"), "title", F.col("content").alias("summary"),
+        F.when(F.col("id") % 4 == 1, F.array(F.concat("content", F.lit(" In full.")))).alias("contents"),
+        F.when(F.col("id") % 2 == 0, day).alias("published"), day.alias("updated"), F.col("feed_priority").alias("feed_ord"), F.col("id").alias("entry_ord"),
+    )
+    rows = landed.merge_feeds(landed.normalize_entries(entries), SINCE)
+    return rows.select("url", "title", "content", "summary", F.col("published").cast("date").alias("published"), "content_hash")
+
+
 def _daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.daily_counts(spark.read.parquet(f"{sf_dir}/events.parquet")).withColumn("day", F.col("day").cast("date"))
 
