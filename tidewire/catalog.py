@@ -635,6 +635,22 @@ def _(a):
     return rows.select("url", "title", "content", "summary", F.col("published").cast("date").alias("published"), "content_hash")
 
 
+@query("landed_events", "articles", f"""
+, n AS (SELECT id, url || '/' || replace(title, ' ', '-') AS link, CASE WHEN id % 5 = 0 THEN 'soon' ELSE strftime(published, '%Y%m%d') || '120000' END AS day, 'ECON_' || CAST(id % 40 AS VARCHAR) || ',12; ;TAX_' || content AS themes, title || ',3;Acme Inc.,9' AS orgs FROM articles WHERE id % 6 <> 1),
+l AS (SELECT *, list_filter(list_transform(string_split(themes, ';'), lambda x: trim(split_part(x, ',', 1))), lambda x: x <> '')[1:10] AS t, list_filter(list_transform(string_split(orgs, ';'), lambda x: trim(split_part(x, ',', 1))), lambda x: x <> '')[1:10] AS o FROM n)
+SELECT link AS url, left(replace(string_split(link, '/')[-1], '-', ' '), 100) AS title, CASE WHEN day = 'soon' THEN DATE '{AS_OF}' ELSE strptime(left(day, 8), '%Y%m%d')::DATE END AS published, 'gdelt:news.example.com' AS source, sha256(link) AS content_hash,
+ 'Organizations: ' || array_to_string(o[1:3], ', ') || '. Themes: ' || array_to_string(t[1:3], ', ') AS summary FROM l WHERE len(list_filter(t, lambda x: contains(lower(x), 'econ_1') OR contains(lower(x), 'workforce'))) > 0""")
+def _(a):
+    rows = a.withColumn("k", (F.col("id") % 40).cast("string")).select(
+        F.when(F.col("id") % 6 != 1, F.concat("url", F.lit("/"), F.replace("title", F.lit(" "), F.lit("-")))).alias("DocumentIdentifier"),
+        F.when(F.col("id") % 5 == 0, "soon").otherwise(F.concat(F.date_format("published", "yyyyMMdd"), F.lit("120000"))).alias("DATE"),
+        F.concat(F.lit("ECON_"), "k", F.lit(",12; ;TAX_"), "content").alias("V2Themes"), F.concat("title", F.lit(",3;Acme Inc.,9")).alias("V2Organizations"),
+        F.lit(None).cast("string").alias("V2Persons"), F.lit("").alias("V2Locations"), F.lit("2.5,1,2").alias("V2Tone"), F.lit("news.example.com").alias("SourceCommonName"),
+    )
+    told = landed.gkg_articles(landed.with_themes(landed.parse_gkg(rows, AS_OF), ["Econ_1", "WORKFORCE"]))
+    return told.select("source", "url", "title", F.col("published").cast("date").alias("published"), "summary", "content_hash")
+
+
 def _daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.daily_counts(spark.read.parquet(f"{sf_dir}/events.parquet")).withColumn("day", F.col("day").cast("date"))
 
