@@ -658,7 +658,7 @@ def _daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 _REGISTER["daily_event_counts"] = (_daily_counts, "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
 
 
-from tidewire import catalog_jobs  # noqa: E402, F401  registers the queries of the composite jobs
+from tidewire import catalog_jobs, catalog_sources  # noqa: E402, F401  register their queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

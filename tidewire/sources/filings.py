@@ -32,15 +32,22 @@ def typed_edge(subject: Column, kind: Column, predicate: str, obj: Column, conte
 
 def filing_results(filings: DataFrame) -> DataFrame:
     """FN-18: cik, file_number and `result` of struct(entities, relationships): the company, the one behind a special
-    purpose vehicle, the officers, and the funding if an amount is told.  Landed officers have no role, so all are OFFICER_OF."""
+    purpose vehicle, the officers, and the funding if an amount is told.
+
+    `officer_roles`, where the filings have it, holds each officer's roles as one text: a director's edge is DIRECTOR_OF, an
+    executive's EXECUTIVE_OF, all others' OFFICER_OF."""
     company, kind = N.clean_filing_name(F.col("company_name")), lambda n: F.when(N.is_organisation(n), "company").otherwise("person")
     rows = filings.withColumn("company", company).withColumn("behind", N.underlying_company(F.col("company")))
-    rows = rows.withColumn("people", F.filter(F.transform("officers", N.clean_filing_name), lambda x: x != ""))
+    roles = F.col("officer_roles") if "officer_roles" in filings.columns else F.array().cast("array<string>")
+    people = F.transform("officers", lambda x, k: F.struct(N.clean_filing_name(x).alias("name"), F.coalesce(F.get(roles, k), F.lit("")).alias("role")))
+    rows = rows.withColumn("people", F.filter(people, lambda x: x["name"] != ""))
     c, behind = F.col("company"), F.col("behind")
     none_e, none_r = F.array().cast(f"array<{ENTITY}>"), F.array().cast(f"array<{EDGE}>")
     inferred = F.when(behind.isNotNull() & (behind != c), F.array(entity(behind, "company", 0.75))).otherwise(none_e)
-    entities = F.concat(F.array(entity(c, "company", 0.95)), inferred, F.transform("people", lambda x: entity(x, kind(x), 0.95)))
-    of = F.transform("people", lambda x: typed_edge(x, kind(x), "OFFICER_OF", c, F.concat(F.lit("SEC Form D filing "), F.col("file_number"))))
+    entities = F.concat(F.array(entity(c, "company", 0.95)), inferred, F.transform("people", lambda x: entity(x["name"], kind(x["name"]), 0.95)))
+    named = F.concat(F.lit("SEC Form D filing "), F.col("file_number"))
+    role = lambda x: F.when(x.contains("Director"), "DIRECTOR_OF").when(x.contains("Executive"), "EXECUTIVE_OF").otherwise("OFFICER_OF")
+    of = F.transform("people", lambda x: typed_edge(x["name"], kind(x["name"]), "OFFICER_OF", c, named).withField("predicate", role(x["role"])))
     told = F.concat(F.lit("$"), F.format_number("total_amount", 0), F.lit(" raised via SEC Form D ("), F.col("total_investors").cast("string"), F.lit(" investors)"))
     raised = F.array(edge(F.coalesce(behind, c), "RAISED_FUNDING", F.lit("Undisclosed Investors"), ("company", "investor"), 0.95, told))
     relationships = F.concat(of, F.when(F.col("total_amount") > 0, raised).otherwise(none_r))

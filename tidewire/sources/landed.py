@@ -11,10 +11,15 @@ from tidewire.operators.tables import first_wins
 FEEDS = "feeds array<struct<name:string,url:string,priority:int,enabled:boolean,fetch_interval_minutes:int,event_types:array<string>>>"
 
 
+def feed_rows(rows: DataFrame, *keep: str) -> DataFrame:
+    """SRC-01: column `feeds` (an array of FEEDS' structs) as rows in their order, with the defaults of what is missing."""
+    out = rows.select(*keep, F.posexplode("feeds").alias("ord", "f")).select(*keep, "ord", "f.*")
+    return out.withColumns({"priority": F.coalesce("priority", F.lit(1)), "enabled": F.coalesce("enabled", F.lit(True)), "fetch_interval_minutes": F.coalesce("fetch_interval_minutes", F.lit(60))})
+
+
 def load_feeds(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-01."""
-    rows = spark.read.schema(FEEDS).json(path, multiLine=True).select(F.posexplode("feeds").alias("ord", "f")).select("ord", "f.*")
-    return rows.withColumns({"priority": F.coalesce("priority", F.lit(1)), "enabled": F.coalesce("enabled", F.lit(True)), "fetch_interval_minutes": F.coalesce("fetch_interval_minutes", F.lit(60))})
+    """SRC-01: the feed list of a JSON file."""
+    return feed_rows(spark.read.schema(FEEDS).json(path, multiLine=True))
 
 
 def content_hash(url: Column, title: Column) -> Column:
