@@ -11,6 +11,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
+from pyspark.sql.window import Window as W
 
 #: Rows of one Arrow batch that Python handles together; bounds what is decoded at once.
 SLICE_ROWS = 256
@@ -95,3 +97,24 @@ def tidy(fn: Callable) -> Callable:
         give_back()
 
     return run
+
+
+def whole_numbers(docs: DataFrame, id_col: str) -> bool:
+    """Whether the ids are whole numbers, which the operators compare as they are."""
+    return isinstance(docs.schema[docs.columns.index(id_col)].dataType, IntegralType)
+
+
+def numbered(ids: DataFrame) -> DataFrame:
+    """The distinct values of column `key` with `number` (long), which rises with them from 0; nulls have none.
+
+    Ranges of keys lie in the checkpoint folder, so a task that runs again meets the same ones; the
+    driver holds one count for each range."""
+    ranges = cut(ids.filter("key is not null").distinct().repartitionByRange("key").withColumn("range", F.spark_partition_id()))
+    sizes = sorted(ranges.groupBy("range").count().collect())
+    starts, at = [], 0
+    for r in sizes:
+        starts.append((r["range"], at))
+        at += r["count"]
+    before = ids.sparkSession.createDataFrame(starts, "range int, before long")
+    place = F.row_number().over(W.partitionBy("range").orderBy("key"))
+    return ranges.withColumn("place", place).join(F.broadcast(before), "range").select("key", (F.col("before") + F.col("place") - 1).alias("number"))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.llm.bloom import bloom_of
-from tidewire.llm.common import cut, raw_texts, squeeze, tidy, unsqueeze
+from tidewire.llm.common import cut, numbered, raw_texts, squeeze, tidy, unsqueeze, whole_numbers
 
 #: One word in so many ends a logical line; three in four lines end a chunk.
 FOLD = 3
@@ -264,8 +264,17 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     a null id counts as the greatest.  Texts without words, null ones too, stay as they are.  Of
     equal rows each is treated alike.  A text can be left empty.  Added columns replace columns
     of the same name; any other column keeps its name and values.  An empty table stays empty.
+    Ids of any type that has an order; what are no whole numbers are numbered in their order first.
     """
     names = [f"column_{k}" for k in range(len(docs.columns))]
+    if not whole_numbers(docs, id_col):
+        key, text = names[docs.columns.index(id_col)], names[docs.columns.index(text_col)]
+        rows = docs.toDF(*names)
+        numbers = cut(numbered(rows.select(F.col(key).alias("key"))))
+        rows = rows.join(numbers, rows[key] == numbers["key"], "left").select(*names, "number")
+        kept = [k for k, name in enumerate(docs.columns) if name not in ADDED]
+        out = dedup_lines(rows, "number", text, min_words, min_lines, fold)
+        return out.select(*(names[k] for k in kept), *ADDED).toDF(*(docs.columns[k] for k in kept), *ADDED)
     own, key_of, at = docs.toDF(*names), names[docs.columns.index(id_col)], docs.columns.index(text_col)
     id_, text_ = F.coalesce(F.col(key_of).cast("long"), F.lit(_LAST)), F.col(names[at]).cast("string")
     rows = own.select(id_.alias("id"), text_.alias("text")).filter("text is not null")

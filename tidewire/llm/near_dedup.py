@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import SLICE_ROWS, cut, raw_texts, tidy
+from tidewire.llm.common import SLICE_ROWS, cut, numbered, raw_texts, tidy, whole_numbers
 
 TREES = 8
 TOKENS = 256
@@ -389,8 +389,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hundredths.  component_id is the least id that links lead to, itself included; kept marks
     that id.  Null, empty and blank texts have an empty set and are linked with nothing.  Rows
     with one id count as one document; a null id is linked with nothing, its component is null
-    and it is kept.  Other columns are not read.
+    and it is kept.  Ids of any type that has an order; what are no whole numbers are numbered in
+    their order first.  Other columns are not read.
     """
+    if not whole_numbers(docs, id_col):
+        return named_duplicates(docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")), size, percent).withColumnRenamed("key", id_col)
     threshold = percent / 100
     docs = docs.select(id_col, text_col)
     sets = cut(sketch(docs, id_col, text_col, size))
@@ -423,6 +426,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
 
 
+def named_duplicates(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """near_duplicates of (key, text), where the keys are no whole numbers."""
+    numbers = cut(numbered(docs.select("key")))
+    found = near_duplicates(docs.join(numbers, "key", "left").select("number", "text"), "number", "text", size, percent)
+    least = numbers.select(F.col("number").alias("component_id"), F.col("key").alias("component"))
+    out = found.join(numbers, "number", "left").join(least, "component_id", "left")
+    return out.select("key", "n_shingles", F.col("component").alias("component_id"), "kept")
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """The documents without the others of each near-duplicate group, with all their columns.
 
@@ -431,4 +443,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     gone = near_duplicates(docs, id_col, text_col, size, percent).filter("not kept").select(F.col(id_col).alias("gone")).distinct()
     names = [f"own_{k}" for k in range(len(docs.columns))]
     own, key = docs.toDF(*names), names[docs.columns.index(id_col)]
-    return own.join(gone, own[key].cast("long") == gone["gone"], "left_anti").toDF(*docs.columns)
+    return own.join(gone, own[key] == gone["gone"], "left_anti").toDF(*docs.columns)
