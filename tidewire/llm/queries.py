@@ -118,6 +118,25 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", "verified")
 
 
+def base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the contract of LM scoring defines by itself, with SQL."""
+    found = op2_lm_scoring(spark, sf_dir)
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path and the rule that decides, with SQL."""
+    host, path = url_filters.url_parts(F.col("url"))
+    parts = read_table(spark, sf_dir, "pages").select("page_id", host.alias("host"), path.alias("path"))
+    rule, verdict = url_filters.matched_rule(F.col("host"), F.col("path"))
+    return parts.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("rule_verdict"))
+
+
+def base_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns of the quality rules, with SQL."""
+    return op10_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -125,7 +144,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_html_extraction, op2_lm_scoring, op3_line_dedup, op4_decontamination, op5_toxicity, op6_byte_bpe, op7_url_filter, op8_near_dedup, op9_chat_formatting, op10_quality_rules, op11_substring_dedup, op12_embedding_whitening, op13_merkle_manifest, pipeline]
+    own = [op1_html_extraction, op2_lm_scoring, op3_line_dedup, op4_decontamination, op5_toxicity, op6_byte_bpe, op7_url_filter, op8_near_dedup, op9_chat_formatting, op10_quality_rules, op11_substring_dedup, op12_embedding_whitening, op13_merkle_manifest, base_scores, url_rules, base_quality, pipeline]
     return {f.__name__: f for f in own}
 
 
@@ -216,6 +235,40 @@ FROM b_up{_ROOT_LEVELS - 1} CROSS JOIN b{_ROOT_LEVELS} root
 """
 
 
+_ITEMS = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
+
+BASE_SCORES_SQL = f"""
+WITH docs AS (SELECT doc_id, {_CRC} % 10 = 0 AS held_out, {_ITEMS.format(_LOWER.format("coalesce(text, '')"))} AS w FROM (SELECT *, CAST(doc_id AS VARCHAR) AS s FROM documents)),
+tokens AS (SELECT doc_id, held_out, unnest(w || ['']) AS token FROM docs),
+counts AS (SELECT token, count(*) AS c FROM tokens WHERE NOT held_out GROUP BY token),
+sizes AS (SELECT sum(c) AS n, count(*) AS v FROM counts)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(c) AS n_known, CAST(any_value(n) AS BIGINT) AS train_tokens, round(sum(log10((coalesce(c, 0) + 0.1::DOUBLE) / (n + 0.1::DOUBLE * (v + 1)))), 4) AS base_score
+FROM tokens LEFT JOIN counts USING (token), sizes GROUP BY doc_id, held_out
+"""
+
+URL_RULES_SQL = r"""
+WITH parts AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+named AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts),
+ruled AS (SELECT *, '.' || host AS h FROM named)
+SELECT page_id, host, path, CASE WHEN ends_with(h, '.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/' WHEN ends_with(h, '.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+  WHEN ends_with(h, '.org') AND starts_with(path, '/fr/') THEN 'org/fr/' WHEN ends_with(h, '.net') AND starts_with(path, '/') THEN 'net/' END AS rule,
+ CASE WHEN ends_with(h, '.example.net') AND starts_with(path, '/en/') THEN 'allow' WHEN ends_with(h, '.example.com') AND starts_with(path, '/de/') THEN 'block' WHEN ends_with(h, '.org') AND starts_with(path, '/fr/') THEN 'allow'
+  WHEN ends_with(h, '.net') AND starts_with(path, '/') THEN 'block' END AS rule_verdict FROM ruled
+"""
+
+BASE_QUALITY_SQL = f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS t, {_ITEMS.format("coalesce(text, '')")} AS w FROM documents),
+grams AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM docs)),
+again AS (SELECT doc_id, i FROM grams QUALIFY count(*) OVER (PARTITION BY doc_id, k) > 1),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 3)) AS p FROM again) GROUP BY doc_id),
+lines AS (SELECT doc_id, line, count(*) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM docs) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY ALL),
+dups AS (SELECT doc_id, sum(n - 1) AS n FROM lines GROUP BY doc_id),
+found AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+ CAST(coalesce(dups.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words FROM docs d LEFT JOIN dups USING (doc_id) LEFT JOIN covered USING (doc_id))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM found
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """The operators that SQL can express; the others are held to brute force in tests/llm."""
     return {
@@ -223,4 +276,7 @@ def oracle_sql() -> dict[str, str]:
         "op9_chat_formatting": OP9_SQL,
         "op11_substring_dedup": OP11_SQL,
         "op13_merkle_manifest": OP13_SQL,
+        "base_scores": BASE_SCORES_SQL,
+        "url_rules": URL_RULES_SQL,
+        "base_quality": BASE_QUALITY_SQL,
     }
