@@ -20,7 +20,9 @@ _REGISTER: dict[str, tuple[Callable, str | None]] = {}
 
 
 def query(name: str, views: str, sql: str | None = None) -> Callable:
-    """Registers a function of the named views' DataFrames; `sql` reads the same views."""
+    """Registers a function of the named views' DataFrames; `sql` reads the same views.  A name is given once."""
+    if name in _REGISTER:
+        raise ValueError(f"{name} is registered already")
 
     def add(f: Callable) -> Callable:
         run = lambda spark, sf_dir: f(*(view(spark, sf_dir, v) for v in views.split()))

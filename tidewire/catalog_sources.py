@@ -322,7 +322,7 @@ def _(r, e, a):
     return listings.overview(r, e, a)
 
 
-@query("acquisition_listing", "relationships entities", f"""
+@query("newest_acquisitions", "relationships entities", f"""
 SELECT r.id, s.name AS subject, o.name AS object, CAST(round(r.confidence * 100) AS INT) AS per_cent, r.event_date, left(r.source_url, 50) AS source {_STAR} WHERE r.predicate = 'ACQUIRED' ORDER BY r.event_date DESC NULLS LAST, r.id DESC LIMIT 20""")
 def _(r, e):
     return listings.acquisitions(r, e)
