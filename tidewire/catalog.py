@@ -411,7 +411,7 @@ def _(r, e):
 @query("duplicate_merges", "names")
 def _(n):
     rows = n.select("id", "name", "entity_type", (F.col("id") % 19).alias("mention_count"))
-    return matching.greedy_merges(matching.duplicate_pairs(rows))
+    return matching.merges(rows)
 
 
 @query("company_facts", "relationships entities", f"""

@@ -30,7 +30,9 @@ def squeeze(c: Column) -> Column:
 
 def without_suffixes(c: Column, suffixes: list[str]) -> Column:
     """Each suffix in turn is cut once, if the text (without outer white space) then ends with it, with the white space before it."""
-    return reduce(lambda x, suffix: F.regexp_replace(x, r"(?U)\s*" + re.escape(suffix) + r"\z", ""), suffixes, c)
+    cut = reduce(lambda x, suffix: F.regexp_replace(x, r"(?U)\s*" + re.escape(suffix) + r"\z", ""), suffixes, c)
+    # most names end with none, which one look tells
+    return F.when(c.rlike("(?:" + "|".join(map(re.escape, suffixes)) + r")\z"), cut).otherwise(c)
 
 
 def normalize_name(c: Column, suffixes: list[str] = K.ENTITY_SUFFIXES) -> Column:
