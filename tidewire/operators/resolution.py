@@ -101,8 +101,7 @@ def resolve(tables: Tables, deny: list[str] = REMOVED_ENTITIES, threshold: float
     inferred = graph.infer_types(relationships, entities).filter("entity_type <> 'unknown'").select(F.col("entity_id").alias("id"), F.col("entity_type").alias("new_type"))
     entities = entities.join(inferred, "id", "left").withColumn("entity_type", F.coalesce("new_type", "entity_type")).select(*tables.entities.columns)
     entities = matching.kept(entities)
-    pairs = matching.kept(matching.duplicate_pairs(entities, threshold))
-    turns = matching.kept(in_turn(matching.greedy_merges(pairs), entities))
+    turns = matching.kept(in_turn(matching.merges(entities, threshold), entities))
     have = tables.aliases.select("entity_id", "normalized_alias")
     aliases = merge_aliases(entities, turns).join(have, ["entity_id", "normalized_alias"], "left_anti")
     after = Tables(
@@ -112,14 +111,15 @@ def resolve(tables: Tables, deny: list[str] = REMOVED_ENTITIES, threshold: float
         moved(tables.enrichment, turns, ["source"]),
         tables.aliases.unionByName(aliases.select(*tables.aliases.columns)),
     )
-    return after, summary(gone, inferred.withColumnRenamed("new_type", "entity_type"), pairs, turns)
+    return after, summary(gone, inferred.withColumnRenamed("new_type", "entity_type"), matching.count_duplicates(entities, threshold), turns)
 
 
-def summary(gone: DataFrame, inferred: DataFrame, pairs: DataFrame, merges: DataFrame) -> DataFrame:
-    """AGG-18: one row of counts of the steps' outputs; `inferred` is the result of `graph.infer_types`."""
-    steps = {"invalid_removed": gone, "types_fixed": inferred.filter("entity_type <> 'unknown'"), "duplicates_found": pairs, "duplicates_merged": merges}
+def summary(gone: DataFrame, inferred: DataFrame, found: DataFrame, merges: DataFrame) -> DataFrame:
+    """AGG-18: one row of counts of the steps' outputs; `inferred` is the result of `graph.infer_types`, `found` a row with `duplicates_found`."""
+    steps = {"invalid_removed": gone, "types_fixed": inferred.filter("entity_type <> 'unknown'"), "duplicates_merged": merges}
     counted = None
     for name, rows in steps.items():
         one = rows.select(F.lit(name).alias("step"))
         counted = one if counted is None else counted.unionByName(one)
-    return counted.agg(*(F.count_if(F.col("step") == name).alias(name) for name in steps))
+    counts = counted.agg(*(F.count_if(F.col("step") == name).alias(name) for name in steps)).crossJoin(found)
+    return counts.select("invalid_removed", "types_fixed", "duplicates_found", "duplicates_merged")
