@@ -108,3 +108,18 @@ def test_a_segment_reads_as_when_it_was_made():
     row = made.row("pair", 0)
     asked = np.concatenate([hashes, g.integers(0, 1 << 63, 5000).astype(np.uint64)])
     assert (lm_score.Segment(row["size"], row["top"], row["bits"]).read(asked) == made.read(asked)).all()
+
+
+def test_segments_hold_what_is_asked_of_them_once(spark):
+    """What blocks ask lies beside the segment, each item once, and is not exchanged a second time."""
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts())], "id long, text string").withColumn("held", F.lit(False))
+    packed = lm_score.pack(docs.select("id", "held", "text").repartition(4), 1500)
+    pairs = lm_score.pair_segments(packed, 60, 8)
+    lists = lm_score.pair_lists(packed, 60, 8).collect()
+    want = {(r.block, r.bucket): lm_score.risen(r.steps).tolist() for r in lists}
+    for r in pairs.collect():
+        asked = lm_score.risen(r.asked)
+        assert (np.diff(asked.astype(np.int64)) > 0).all()
+        for block, own in zip(r.blocks, r.own, strict=True):
+            assert asked[lm_score.risen(own).astype(np.int64)].tolist() == want[block, r.bucket]
+    assert "Exchange" not in lm_score.probed(pairs)._jdf.queryExecution().toString()

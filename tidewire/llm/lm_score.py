@@ -5,9 +5,10 @@ quantised count reaches (Talbot and Osborne, "Randomised Language Modelling"), o
 2 ** (level / 2), so that one occurrence is level 1.  A count is read back by probing level
 after level until one is absent.  The filter is in segments by hash, rows of their own, each
 sized by the items it holds, so it grows with the corpus and never fills; the counts it was
-made from are not kept.  While all segments fit FILTER_BYTES they are broadcast and the tasks
-that score probe them; a larger filter stays on the executors, and each block's words and pairs
-go to their segments, are probed there, and come back with their levels.  Both give the same scores.
+made from are not read again.  While all segments fit FILTER_BYTES they are broadcast and the tasks
+that score probe them; a larger filter stays on the executors: beside its segment lies what the
+blocks ask of it, each item once, and later tasks probe the segments and send the levels to the
+blocks.  Both give the same scores.
 
 With low(x) and high(x) the least and greatest count of x's level, M the sum of low over the
 training words, and V their number,
@@ -20,14 +21,15 @@ add up to no more than v's own count; what a probe wrongly finds present is the
 
 The exact counts of the base score fit no broadcast, so they meet the texts by blocks: texts
 are packed into blocks with their own lists of words, each list goes to the bucket of its
-words, comes back with their counts over all blocks, and meets its block again.
+words, comes back with their counts over all blocks, and meets its block again.  `base_score`
+does that much and no more.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -143,10 +145,10 @@ def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
 
 
 class Packer:
-    """Packs texts into blocks: documents as word numbers, and each bucket's part of the word list."""
+    """Packs texts into blocks: documents as word numbers, and the list of words."""
 
-    def __init__(self, buckets: int):
-        self.buckets, self.zstd = buckets, zstandard.ZstdCompressor(level=1)
+    def __init__(self):
+        self.zstd = zstandard.ZstdCompressor(level=3)
         self.clear()
 
     def clear(self) -> None:
@@ -163,39 +165,27 @@ class Packer:
         self.ids.append(np.array(ids, np.uint32))
         self.bytes += len(raw)
 
-    def rows(self, block: int) -> Iterator[tuple]:
-        ids, words = np.concatenate(self.ids), list(self.numbers)
-        train = np.repeat(~np.array(self.held, bool), self.sizes)
-        counts = np.bincount(ids[train], minlength=len(words))
-        hashes = np.fromiter(map(end_or_word, words), np.uint64, len(words))
-        yield ("docs", block, -1, squeeze(ids), hashes.tobytes(), squeeze(np.array(self.sizes)), self.keys, self.held)
-        bucket = np.fromiter((zlib.crc32(w) % self.buckets for w in words), np.int64, len(words))
-        order = np.argsort(bucket, kind="stable")
-        edges = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
-        for k in range(self.buckets):
-            own = order[edges[k] : edges[k + 1]]
-            if len(own):
-                text = b"\n".join([words[j] for j in own.tolist()])
-                yield ("words", block, k, self.zstd.compress(text), squeeze(counts[own]), squeeze(own), None, None)
+    def row(self, block: int) -> tuple:
+        row = (block, squeeze(np.concatenate(self.ids)), self.zstd.compress(b"\n".join(self.numbers)), squeeze(np.array(self.sizes)), self.keys, self.held)
         self.clear()
+        return row
 
 
-def pack(rows: DataFrame, buckets: int, block_bytes: int) -> DataFrame:
+def pack(rows: DataFrame, block_bytes: int) -> DataFrame:
     """Blocks of (id, held, text), named by what they hold."""
     kind = rows.schema["id"].dataType.simpleString()
-    names = ["kind", "block", "bucket", "body", "counts", "sizes", "ids", "held"]
+    names = ["block", "body", "words", "sizes", "ids", "held"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, seen, key_type = Packer(buckets), b"", None
+        packer, seen, key_type = Packer(), b"", None
 
         def flush() -> pa.RecordBatch:
             # a task's earlier blocks tell apart blocks of equal rows
             nonlocal seen
             part = xxhash.xxh3_64_intdigest(seen + repr(packer.keys).encode() + b"".join(x.tobytes() for x in packer.ids)) >> 1
             seen = struct.pack("<Q", part)
-            columns = zip(*packer.rows(part), strict=True)
-            kinds = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(key_type), pa.list_(pa.bool_())]
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=names)
+            kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(key_type), pa.list_(pa.bool_())]
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(packer.row(part), kinds, strict=True)], names=names)
 
         for whole in batches:
             key_type = whole.column(0).type
@@ -208,7 +198,7 @@ def pack(rows: DataFrame, buckets: int, block_bytes: int) -> DataFrame:
         if packer.keys:
             yield flush()
 
-    schema = f"kind string, block long, bucket long, body binary, counts binary, sizes binary, ids array<{kind}>, held array<boolean>"
+    schema = f"block long, body binary, words binary, sizes binary, ids array<{kind}>, held array<boolean>"
     return cut(rows.mapInArrow(tidy(run), schema))
 
 
@@ -216,83 +206,200 @@ def hashes_of(words: Iterable[bytes], n: int) -> np.ndarray:
     return np.fromiter(map(end_or_word, words), np.uint64, n)
 
 
-def total_counts(packed: DataFrame) -> DataFrame:
-    """Rows of kind `totals`, each block's words with their counts over all blocks, and of kind `word`, the
-    filter's segment of each bucket, with the bucket's tokens n, words v and sum of low counts in training."""
+def unzipped(body: bytes) -> list[bytes]:
+    return zstandard.ZstdDecompressor().decompress(body).split(b"\n")
 
-    def add(group: pd.DataFrame) -> pd.DataFrame:
-        unzip, number, total = zstandard.ZstdDecompressor().decompress, {}, []
-        lists = []
-        for body, counts in zip(group.body, group.counts, strict=True):
-            own = np.array([number.setdefault(w, len(number)) for w in unzip(body).split(b"\n")], np.int64)
-            lists.append(own)
-            total.append(np.bincount(own, unsqueeze(counts)))
-        sums = np.zeros(len(number), np.int64)
-        for x in total:
-            sums[: len(x)] += x.astype(np.int64)
-        learnt = sums > 0
-        hashes = hashes_of(number, len(number))[learnt]
-        segment = Levels(hashes, levels_for(sums[learnt]))
-        own = segment.row("word", int(group.bucket.iloc[0])) | {"block": -1, "sizes": None, "totals": None, "n": int(sums.sum()), "v": int(learnt.sum()), "mass": int(low(segment.read(hashes)).sum())}
-        rows = pd.DataFrame({"kind": "totals", "block": group.block, "bucket": group.bucket, "sizes": group.sizes, "totals": [squeeze(sums[x]) for x in lists], "bits": None})
-        return pd.concat([rows.assign(size=0, top=0, n=0, v=0, mass=0), pd.DataFrame([own])])
 
-    words = packed.filter("kind = 'words'").select("block", "bucket", "body", "counts", "sizes")
-    return cut(words.groupBy("bucket").applyInPandas(add, "kind string, block long, bucket long, sizes binary, totals binary, size long, top long, bits binary, n long, v long, mass long"))
+def rising(numbers: np.ndarray) -> bytes:
+    """Whole numbers that do not fall, as the steps between them."""
+    return squeeze(np.diff(numbers.astype(np.uint64), prepend=np.uint64(0)))
 
 
-def pair_lists(packed: DataFrame, bits: int, buckets: int) -> DataFrame:
-    """Each block's distinct pairs by bucket, as the steps between their hashes, with their counts in training."""
+def risen(packed: bytes) -> np.ndarray:
+    return np.cumsum(unsqueeze(packed), dtype=np.uint64)
+
+
+def training(sizes: np.ndarray, held: list[bool]) -> np.ndarray:
+    """Of a block's tokens, which are in training."""
+    return np.repeat(~np.array(held, bool), sizes)
+
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def sent(packed: DataFrame, columns: list[str], parts: Callable[..., Iterator[tuple]], schema: str) -> DataFrame:
+    """Rows that blocks send to buckets: (block, bucket, *what `parts` yields of the block's columns)."""
+    kinds = [pa.int64(), pa.int64(), *[pa.binary()] * (schema.count(",") - 1)]
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(whole.num_rows):
-                block, body, hashes, sizes, held = (x[k].as_py() for x in whole.columns)
-                sizes = unsqueeze(sizes).astype(np.int64)
-                pairs = Pairs(unsqueeze(body), np.frombuffer(hashes, np.uint64), sizes, bits, buckets)
-                learn = np.repeat(~np.array(held, bool), sizes)[pairs.at]
-                counts = np.bincount(pairs.where[learn], minlength=len(pairs.hashes))
-                some = np.flatnonzero(np.diff(pairs.edges)).tolist()
-                parts = [slice(pairs.edges[j], pairs.edges[j + 1]) for j in some]
-                steps = [squeeze(np.diff(pairs.hashes[x], prepend=np.uint64(0))) for x in parts]
-                columns = [pa.array([block] * len(some), pa.int64()), pa.array(some, pa.int64()), pa.array(steps, pa.binary()), pa.array([squeeze(counts[x]) for x in parts], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["block", "bucket", "steps", "counts"])
+                block, *own = (x[k].as_py() for x in whole.columns)
+                rows = [(block, *x) for x in parts(*own)]
+                if rows:  # texts of one token have no pairs
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    return packed.select("block", *columns).mapInArrow(tidy(run), schema)
+
+
+def word_lists(packed: DataFrame, buckets: int) -> DataFrame:
+    """Each block's words by bucket, with their counts in training and their numbers in the block."""
 
-    docs = packed.filter("kind = 'docs'").select("block", "body", F.col("counts").alias("hashes"), "sizes", "held")
-    return docs.mapInArrow(tidy(send), "block long, bucket long, steps binary, counts binary")
+    def parts(body: bytes, words: bytes, sizes: bytes, held: list[bool]) -> Iterator[tuple]:
+        words, zstd = unzipped(words), zstandard.ZstdCompressor(level=1)
+        counts = np.bincount(unsqueeze(body)[training(unsqueeze(sizes).astype(np.int64), held)].astype(np.int64), minlength=len(words))
+        bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
+        order = np.argsort(bucket, kind="stable")
+        edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        for k in np.flatnonzero(np.diff(edges)).tolist():
+            own = order[edges[k] : edges[k + 1]]
+            yield k, zstd.compress(b"\n".join([words[j] for j in own.tolist()])), squeeze(counts[own]), rising(own)
+
+    return sent(packed, ["body", "words", "sizes", "held"], parts, "block long, bucket long, body binary, counts binary, places binary")
+
+
+def pair_lists(packed: DataFrame, bits: int, buckets: int) -> DataFrame:
+    """Each block's distinct pairs by bucket, as the steps between their hashes, with their counts in training."""
+
+    def parts(body: bytes, words: bytes, sizes: bytes, held: list[bool]) -> Iterator[tuple]:
+        words, sizes = unzipped(words), unsqueeze(sizes).astype(np.int64)
+        pairs = Pairs(unsqueeze(body), hashes_of(words, len(words)), sizes, bits, buckets)
+        counts = np.bincount(pairs.where[training(sizes, held)[pairs.at]], minlength=len(pairs.hashes))
+        for k in np.flatnonzero(np.diff(pairs.edges)).tolist():
+            part = slice(pairs.edges[k], pairs.edges[k + 1])
+            yield k, rising(pairs.hashes[part]), squeeze(counts[part])
+
+    return sent(packed, ["body", "words", "sizes", "held"], parts, "block long, bucket long, steps binary, counts binary")
+
+
+#: The filter's segment of a bucket; what is asked of it, each item once, and for each block which of these it asks.
+SEGMENT = "kind string, bucket long, size long, top long, bits binary, asked binary, blocks array<long>, own array<binary>"
+
+
+def word_totals(packed: DataFrame, buckets: int, filtered: bool) -> DataFrame:
+    """A row for each bucket: its words, their counts over all blocks, each block's part of them, the bucket's tokens n, words v
+    and sum of low counts in training; and the filter's segment of the words, if `filtered`."""
+
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        number, lists = {}, []
+        for body in group.body:
+            lists.append(np.array([number.setdefault(w, len(number)) for w in unzipped(body)], np.int64))
+        sums = np.zeros(len(number), np.int64)
+        for own, counts in zip(lists, group.counts, strict=True):
+            sums[own] += unsqueeze(counts).astype(np.int64)  # a block has each word once
+        learnt = sums > 0
+        hashes = hashes_of(number, len(number))[learnt] if filtered else np.zeros(0, np.uint64)
+        segment = Levels(hashes, levels_for(sums[learnt]) if filtered else np.zeros(0, np.int64))
+        sizes = {"n": int(sums.sum()), "v": int(learnt.sum()), "mass": int(low(segment.read(hashes)).sum())}
+        asked = zstandard.ZstdCompressor(level=1).compress(b"\n".join(number))
+        own = {"asked": asked, "blocks": group.block.tolist(), "own": [squeeze(x) for x in lists], "places": group.places.tolist(), "counts": squeeze(sums)}
+        return pd.DataFrame([segment.row("word", int(group.bucket.iloc[0])) | sizes | own])
+
+    return cut(word_lists(packed, buckets).groupBy("bucket").applyInPandas(add, SEGMENT + ", places array<binary>, counts binary, n long, v long, mass long"))
 
 
 def pair_segments(packed: DataFrame, bits: int, buckets: int) -> DataFrame:
     """The filter's segments of the pairs in all training texts."""
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
-        hashes, where = np.unique(np.concatenate([np.cumsum(unsqueeze(x), dtype=np.uint64) for x in group.steps]), return_inverse=True)
+        lists = [risen(x) for x in group.steps]
+        hashes, where = np.unique(np.concatenate(lists), return_inverse=True)
         sums = np.bincount(where, np.concatenate([unsqueeze(x) for x in group.counts])).astype(np.int64)
         # hashes of few bits are spread before they choose places in the filter
-        return pd.DataFrame([Levels(mixed(hashes[sums > 0]), levels_for(sums[sums > 0])).row("pair", int(group.bucket.iloc[0]))])
+        segment = Levels(mixed(hashes[sums > 0]), levels_for(sums[sums > 0]))
+        own = [rising(x) for x in np.split(where, np.cumsum([len(x) for x in lists])[:-1])]
+        return pd.DataFrame([segment.row("pair", int(group.bucket.iloc[0])) | {"asked": rising(hashes), "blocks": group.block.tolist(), "own": own}])
+
+    return cut(pair_lists(packed, bits, buckets).groupBy("bucket").applyInPandas(build, SEGMENT))
+
 
-    lists = pair_lists(packed, bits, buckets).select("bucket", "steps", "counts")
-    return cut(lists.groupBy("bucket").applyInPandas(build, "kind string, bucket long, size long, top long, bits binary"))
+def answers(rows: DataFrame, columns: list[str], of: Callable[..., Iterator[tuple]], schema: str) -> DataFrame:
+    """What each bucket's row has for its blocks: `of` gives, from the row's columns, the answers in the order of its blocks."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    kinds = [pa.string(), pa.int64(), pa.int64(), *[pa.binary()] * (len(names) - 3)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(whole.num_rows):
+                bucket, blocks, *own = (x[k].as_py() for x in whole.columns)
+                found = [(kind, block, bucket, *x) for block, (kind, *x) in zip(blocks, of(*own), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found, strict=True), kinds, strict=True)], names=names)
 
+    return rows.select("bucket", "blocks", *columns).mapInArrow(tidy(run), schema)
 
-def probed(packed: DataFrame, segments: DataFrame, bits: int, buckets: int) -> DataFrame:
-    """The levels of each block's words and pairs, read where the segments are: (kind, block, bucket, levels)."""
 
-    def probe(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        unzip, zstd, out = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1), []
-        for body in asked.body if len(held) else ():
-            if held.kind.iloc[0] == "pair":
-                hashes = mixed(np.cumsum(unsqueeze(body), dtype=np.uint64))
-            else:
-                words = unzip(body).split(b"\n")
-                hashes = hashes_of(words, len(words))
-            out.append(zstd.compress(Segment(*held.iloc[0][["size", "top", "bits"]]).read(hashes).tobytes()))
-        return asked[["kind", "block", "bucket"]].assign(levels=out)
+def totals(words: DataFrame) -> DataFrame:
+    """Each block's words by bucket with their counts over all blocks."""
 
-    words = packed.filter("kind = 'words'").select(F.lit("word").alias("kind"), "block", "bucket", "body")
-    asked = words.unionByName(pair_lists(packed, bits, buckets).select(F.lit("pair").alias("kind"), "block", "bucket", F.col("steps").alias("body")))
-    by = ["kind", "bucket"]
-    return asked.groupBy(*by).cogroup(segments.groupBy(*by)).applyInPandas(probe, "kind string, block long, bucket long, levels binary")
+    def of(counts: bytes, places: list[bytes], own: list[bytes]) -> Iterator[tuple]:
+        sums = unsqueeze(counts)
+        return (("totals", at, squeeze(sums[unsqueeze(x).astype(np.int64)])) for at, x in zip(places, own, strict=True))
+
+    return answers(words, ["counts", "places", "own"], of, "kind string, block long, bucket long, places binary, totals binary")
+
+
+def probed(segments: DataFrame) -> DataFrame:
+    """The levels of each block's words and pairs, read from the segments."""
+
+    def of(kind: str, size: int, top: int, bits: bytes, asked: bytes, own: list[bytes]) -> Iterator[tuple]:
+        if kind == "pair":
+            hashes, numbers = mixed(risen(asked)), risen
+        else:
+            words = unzipped(asked)
+            hashes, numbers = hashes_of(words, len(words)), unsqueeze
+        levels, zstd = Segment(size, top, bits).read(hashes), zstandard.ZstdCompressor(level=1)
+        return ((kind, zstd.compress(levels[numbers(x).astype(np.int64)].tobytes())) for x in own)
+
+    return answers(segments, ["kind", "size", "top", "bits", "asked", "own"], of, "kind string, block long, bucket long, levels binary")
+
+
+def packed_texts(docs: DataFrame, held, id_col: str, text_col: str, block_bytes: int) -> tuple[DataFrame, int]:
+    """The texts in blocks, and their letters."""
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(held, F.lit(False)).alias("held"), F.col(text_col).cast("string").alias("text"))
+    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    return pack(rows, block_bytes), chars
+
+
+def buckets_for(chars: int) -> int:
+    return max(8, chars // 6 // BUCKET_TOKENS)
+
+
+def sizes_of(words: DataFrame) -> tuple[int, int, int]:
+    """Tokens, words and sum of low counts in training."""
+    return words.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "v", "mass"))).first()
+
+
+def rated(packed: DataFrame, met: DataFrame, n: int, v: int, docs: DataFrame, id_col: str, model: Callable | None = None) -> DataFrame:
+    """Each block's texts with the counts that came for it; `model` gives one more number for each token of a row of texts."""
+    space, names = float(np.log10(n + DAMP * (v + 1))), [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score"]
+    names += ["score"] if model else []
+
+    def rate(own: pa.Table, met: pa.Table) -> pa.Table:
+        rows, out = met.to_pylist(), []
+        lists = [(x["bucket"], risen(x["places"]).astype(np.int64), unsqueeze(x["totals"])) for x in rows if x["kind"] == "totals"]
+        exact = np.zeros(1 + max((int(at.max(initial=0)) for _, at, _ in lists), default=0), np.int64)
+        for _, at, counts in lists:
+            exact[at] = counts
+        base = np.log10(exact + DAMP) - space
+        for k in range(own.num_rows):
+            w, lengths = (unsqueeze(own.column(c)[k].as_py()).astype(np.int64) for c in ("body", "sizes"))
+            starts = np.cumsum(lengths) - lengths
+            numbers = [lengths, np.add.reduceat((exact[w] > 0).astype(np.int64), starts), np.full(len(lengths), n), np.add.reduceat(base[w], starts)]
+            if model:
+                numbers.append(np.add.reduceat(model(w, lengths, unzipped(own.column("words")[k].as_py()), lists, rows), starts))
+            out.append(pa.Table.from_arrays([own.column("ids")[k].values, own.column("held")[k].values, *map(pa.array, numbers)], names=names))
+        return pa.concat_tables(out)
+
+    blocks = packed.select("block", "body", *(["words"] if model else []), "sizes", "ids", "held")
+    kind = docs.schema[id_col].dataType.simpleString()
+    schema = f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double" + (", score double" if model else "")
+    return blocks.groupBy("block").cogroup(met.groupBy("block")).applyInArrow(rate, schema)
+
+
+def base_score(docs: DataFrame, held, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The columns of `score` but the last, from exact counts: neither pairs nor a filter are made."""
+    packed, chars = packed_texts(docs, held, id_col, text_col, block_bytes)
+    words = word_totals(packed, buckets_for(chars), filtered=False)
+    n, v, _ = sizes_of(words)
+    return rated(packed, totals(words), n, v, docs, id_col)
 
 
 def score(docs: DataFrame, held, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, filter_bytes: int = FILTER_BYTES) -> DataFrame:
@@ -305,24 +412,22 @@ def score(docs: DataFrame, held, id_col: str = "doc_id", text_col: str = "text",
     Repeated rows are scored one by one, null ids stay null; other columns are not read, whatever
     their names.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(held, F.lit(False)).alias("held"), F.col(text_col).cast("string").alias("text"))
-    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    buckets, bits = max(8, chars // 6 // BUCKET_TOKENS), min(60, chars.bit_length() + PAIR_BITS)
-    packed = pack(rows, buckets, block_bytes)
-    totals = total_counts(packed)
-    n, v, mass = totals.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "v", "mass"))).first()
-    segments = totals.filter("kind = 'word'").select("kind", "bucket", "size", "top", "bits").unionByName(pair_segments(packed, bits, buckets))
-    met, shared = totals.filter("kind = 'totals'").select("kind", "block", "bucket", "sizes", "totals"), None
+    packed, chars = packed_texts(docs, held, id_col, text_col, block_bytes)
+    buckets, bits = buckets_for(chars), min(60, chars.bit_length() + PAIR_BITS)
+    words = word_totals(packed, buckets, filtered=True)
+    n, v, mass = sizes_of(words)
+    pairs = pair_segments(packed, bits, buckets)
+    segments, met, shared = words.select(*pairs.columns).unionByName(pairs), totals(words), None
     if (segments.agg(F.sum("size")).first()[0] or 0) <= 8 * filter_bytes:
-        shared = docs.sparkSession.sparkContext.broadcast({(r.kind, r.bucket): (r.size, r.top, bytes(r.bits)) for r in segments.collect()})
+        rows = segments.select("kind", "bucket", "size", "top", "bits").collect()
+        shared = docs.sparkSession.sparkContext.broadcast({(r.kind, r.bucket): (r.size, r.top, bytes(r.bits)) for r in rows})
         met = met.withColumn("levels", F.lit(None).cast("binary"))
     else:
-        met = met.unionByName(probed(packed, segments, bits, buckets), allowMissingColumns=True)
-    space, room = float(np.log10(n + DAMP * (v + 1))), mass + DAMP * (v + 1)
-    names = [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+        met = met.unionByName(probed(segments), allowMissingColumns=True)
+    room = mass + DAMP * (v + 1)
 
-    def rate(own: pa.Table, met: pa.Table) -> pa.Table:
-        unzip, rows = zstandard.ZstdDecompressor().decompress, met.to_pylist()
+    def model(w: np.ndarray, lengths: np.ndarray, words: list[bytes], lists: list[tuple], rows: list[dict]) -> np.ndarray:
+        unzip = zstandard.ZstdDecompressor().decompress
         sent = {(x["kind"], x["bucket"]): x["levels"] for x in rows if x["levels"] is not None}
 
         def level_of(kind: str, bucket: int, hashes: np.ndarray) -> np.ndarray:
@@ -330,32 +435,20 @@ def score(docs: DataFrame, held, id_col: str = "doc_id", text_col: str = "text",
                 return Segment(*shared.value[kind, bucket]).read(hashes)
             return np.frombuffer(unzip(sent[kind, bucket]), np.uint8)
 
-        lists = [(x["bucket"], unsqueeze(x["sizes"]).astype(np.int64), unsqueeze(x["totals"])) for x in rows if x["kind"] == "totals"]
-        size = 1 + max((int(at.max(initial=0)) for _, at, _ in lists), default=0)
-        exact, level, hashes = np.zeros(size, np.int64), np.zeros(size, np.uint8), np.frombuffer(own.column("counts")[0].as_py(), np.uint64)
-        for bucket, at, counts in lists:
-            exact[at], level[at] = counts, level_of("word", bucket, hashes[at])
+        hashes = hashes_of(words, len(words))
+        level = np.zeros(len(words), np.uint8)
+        for bucket, at, _ in lists:
+            level[at] = level_of("word", bucket, hashes[at])
         plain, most = np.minimum(1.0, (low(level) + DAMP) / room), high(level)
-        base = np.log10(exact + DAMP) - space
-        out = []
-        for k in range(own.num_rows):
-            body, hashes, sizes = (own.column(c)[k].as_py() for c in ("body", "counts", "sizes"))
-            w, lengths = unsqueeze(body).astype(np.int64), unsqueeze(sizes).astype(np.int64)
-            starts = np.cumsum(lengths) - lengths
-            pairs = Pairs(w, np.frombuffer(hashes, np.uint64), lengths, bits, buckets)
-            pair_level = np.zeros(len(pairs.hashes), np.int64)
-            for bucket in np.flatnonzero(np.diff(pairs.edges)).tolist():
-                part = slice(pairs.edges[bucket], pairs.edges[bucket + 1])
-                pair_level[part] = level_of("pair", bucket, mixed(pairs.hashes[part]))
-            p = plain[w]  # all that a text's first token has, as it has no history
-            at, history = pairs.at, most[w[pairs.at - 1]]
-            both = (1 - PAIR) * p[at] + PAIR * np.minimum(1.0, low(pair_level)[pairs.where] / np.maximum(1.0, history))
-            p[at] = np.where(history > 0, both, p[at])
-            numbers = [lengths, np.add.reduceat((exact[w] > 0).astype(np.int64), starts), np.full(len(lengths), n), np.add.reduceat(base[w], starts), np.add.reduceat(np.log10(np.maximum(p, 1e-300)), starts)]
-            out.append(pa.Table.from_arrays([own.column("ids")[k].values, own.column("held")[k].values, *map(pa.array, numbers)], names=names))
-        return pa.concat_tables(out)
-
-    blocks = packed.filter("kind = 'docs'").select("block", "body", "counts", "sizes", "ids", "held")
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return blocks.groupBy("block").cogroup(met.groupBy("block")).applyInArrow(rate, schema)
+        pairs = Pairs(w, hashes, lengths, bits, buckets)
+        pair_level = np.zeros(len(pairs.hashes), np.int64)
+        for bucket in np.flatnonzero(np.diff(pairs.edges)).tolist():
+            part = slice(pairs.edges[bucket], pairs.edges[bucket + 1])
+            pair_level[part] = level_of("pair", bucket, mixed(pairs.hashes[part]))
+        p = plain[w]  # all that a text's first token has, as it has no history
+        at, history = pairs.at, most[w[pairs.at - 1]]
+        both = (1 - PAIR) * p[at] + PAIR * np.minimum(1.0, low(pair_level)[pairs.where] / np.maximum(1.0, history))
+        p[at] = np.where(history > 0, both, p[at])
+        return np.log10(np.maximum(p, 1e-300))
+
+    return rated(packed, met, n, v, docs, id_col, model)
