@@ -13,6 +13,8 @@ import numpy as np
 ROWS, COLUMNS, WORDS = 512, 8192, 4
 #: Pairs of names of one call to find their blocks.
 SOME = 20000
+#: Places of letters of one step, and patterns of pairs that are remembered, about.
+PLACES, PATTERNS = 1 << 22, 1 << 18
 #: From here on SequenceMatcher leaves out what is frequent.
 POPULAR = 200
 
@@ -115,6 +117,9 @@ def alike(a: Sequence[str], b: Sequence[str], threshold: float) -> Iterator[Alik
     every = lambda make: np.unique(np.concatenate([_numbered(make(x)).ravel() for side in raw for _, x in side.values()]))
     known = every(lambda x: x), every(_pairs)
     first, second = ([_Side(places, x, known, kind) for places, x in side.values()] for side in raw)
+    without = [(~y.singles, ~y.pairs) for y in second]
+    most = min(ROWS, max(len(x.places) for x in first)), min(COLUMNS, max(len(y.places) for y in second))
+    met, lacking = np.empty(most, dtype=np.uint64), np.empty(most, dtype=np.uint8)
     for x in first:
         m = x.m
         for start in range(0, len(x.places), ROWS):
@@ -124,18 +129,23 @@ def alike(a: Sequence[str], b: Sequence[str], threshold: float) -> Iterator[Alik
                 masks = np.zeros((own.shape[1], len(symbols)), dtype=np.uint64)
                 for k in range(m):
                     masks[np.arange(own.shape[1]), own[k]] |= np.uint64(1 << k)
-            for y in second:
+            for y, (no_singles, no_pairs) in zip(second, without, strict=True):
                 n = y.m
                 if min(m, n) < max(m, n) * (threshold / (2 - threshold)) - 1e-9:
                     continue
                 least = ceil((m + n) * (threshold / 2) - 1e-9)
                 for column in range(0, len(y.places), COLUMNS):
-                    lacking = np.bitwise_count(singles[:, None] & ~y.singles[None, column : column + COLUMNS])
-                    i, j = np.divmod(np.flatnonzero(lacking <= m - least), lacking.shape[1])
+                    others = no_singles[None, column : column + COLUMNS]
+                    own_met, own_lacking = (z[: len(singles), : others.shape[1]] for z in (met, lacking))
+                    np.bitwise_count(np.bitwise_and(singles[:, None], others, out=own_met), out=own_lacking)
+                    i, j = np.divmod(np.flatnonzero(own_lacking <= m - least), others.shape[1])
                     j += column
-                    lost = sum(np.bitwise_count(pairs[w].take(i) & ~y.pairs[w].take(j)) for w in range(WORDS))
-                    left = lost <= m - 1 - shared_pairs(m, n, threshold)
-                    i, j = i[left], j[left]
+                    lost = np.zeros(len(i), dtype=np.uint16)
+                    for w in range(WORDS):
+                        lost += np.bitwise_count(pairs[w].take(i) & no_pairs[w].take(j))
+                        if w % 2:
+                            left = np.flatnonzero(lost <= m - 1 - shared_pairs(m, n, threshold))
+                            i, j, lost = i.take(left), j.take(left), lost.take(left)
                     others = y.letters.take(j, axis=1)
                     if m < 64:
                         common = _lcs(masks, i, others, m)
@@ -157,6 +167,65 @@ def difflib_ratios(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 2.0 * np.concatenate([np.zeros(0), *done]) / (len(a) + len(b))
 
 
+def _patterns(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Columns of letters, b below a, each letter by the first place that has it."""
+    both = np.concatenate([a, b]).astype(np.int64)
+    symbols = int(both.max(initial=0)) + 1
+    out = np.empty(both.shape, dtype=np.int16)
+    some = max(1, PLACES // symbols)
+    for start in range(0, both.shape[1], some):
+        part = both[:, start : start + some]
+        first, at = np.empty(part.shape[1] * symbols, dtype=np.int16), part + np.arange(part.shape[1]) * symbols
+        for k in range(len(both) - 1, -1, -1):
+            first[at[k]] = k
+        out[:, start : start + some] = first[at]
+    return out
+
+
+class Ratios:
+    """difflib's ratios of pairs of names, a to b and b to a.  They depend on which letters are equal and on no more, so each
+    such pattern of a pair is compared once: names of one form with other numbers have few."""
+
+    def __init__(self):
+        self.known: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+    def __call__(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if max(len(a), len(b)) >= POPULAR:
+            return difflib_ratios(a, b), difflib_ratios(b, a)
+        done = [self._some(a[:, k : k + SOME], b[:, k : k + SOME]) for k in range(0, a.shape[1], SOME)]
+        both = np.concatenate([np.zeros((0, 2)), *done])
+        return both[:, 0], both[:, 1]
+
+    def _some(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        size, patterns = (len(a), len(b)), _patterns(a, b)
+        weights = np.random.default_rng(len(patterns)).integers(0, 1 << 63, len(patterns)).astype(np.uint64)
+        hashes, out = weights @ patterns.astype(np.uint64), np.empty((patterns.shape[1], 2))
+        ratios = lambda k: np.stack([difflib_ratios(patterns[: len(a), k], patterns[len(a) :, k]), difflib_ratios(patterns[len(a) :, k], patterns[: len(a), k])], axis=1)
+        left = self._look(size, hashes, patterns, np.arange(len(out)), out)
+        if len(left):
+            new = left[np.unique(hashes[left], return_index=True)[1]]
+            mine = hashes[new], np.ascontiguousarray(patterns[:, new].T), ratios(new)
+            old = self.known.get(size)
+            if old is not None and len(old[0]) < PATTERNS:
+                mine = [np.concatenate(x) for x in zip(old, mine, strict=True)]
+            order = np.argsort(mine[0], kind="stable")
+            self.known[size] = tuple(x[order] for x in mine)
+            left = self._look(size, hashes, patterns, left, out)
+            if len(left):  # patterns of one hash
+                out[left] = ratios(left)
+        return out
+
+    def _look(self, size: tuple[int, int], hashes: np.ndarray, patterns: np.ndarray, asked: np.ndarray, out: np.ndarray) -> np.ndarray:
+        """Writes what is known of the columns asked for, and returns the others."""
+        if size not in self.known:
+            return asked
+        known, rows, ratios = self.known[size]
+        at = np.minimum(np.searchsorted(known, hashes[asked]), len(known) - 1)
+        same = (rows[at] == patterns[:, asked].T).all(axis=1)
+        out[asked[same]] = ratios[at[same]]
+        return asked[~same]
+
+
 def _matching(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Letters in the blocks, of each pair."""
     total = np.zeros(a.shape[1])
