@@ -8,7 +8,7 @@ for a number they are sums of counts of numbers with given digits at given place
 
 from __future__ import annotations
 
-import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from typing import NamedTuple
@@ -24,13 +24,10 @@ COMPARED, COMPARED_MOST = 1 << 22, 1 << 28
 #: Numbers times forms of one step, about.
 STEP = 1 << 20
 
-_NUMBER = re.compile(rf"[0-9]{{1,{MOST}}}\Z")
-
-
 class Family(NamedTuple):
-    """Names of one stem: its length, and places in either list with the digits from there on."""
+    """Names of one stem: places in either list, and the digits that follow it."""
 
-    stem: int
+    stem: str
     a: np.ndarray
     b: np.ndarray
     a_numbers: list[str]
@@ -53,14 +50,11 @@ def comes_first(stem: str, most: int) -> bool:
 def families(a: Sequence[str], b: Sequence[str], threshold: float) -> list[Family]:
     """Stems that so many names of both lists have that counting their numbers takes less than comparing them."""
     stems: list[dict[str, list[int]]] = [{}, {}]
-    starts = []
     for names, found in zip((a, b), stems, strict=True):
-        starts.append([])
         for k, name in enumerate(names):
-            number = _NUMBER.search(name)
-            starts[-1].append(number.start() if number else len(name))
-            if number:
-                found.setdefault(name[: number.start()], []).append(k)
+            stem = name.rstrip("0123456789")
+            if len(stem) < len(name):
+                found.setdefault(stem if len(name) - len(stem) <= MOST else name[:-MOST], []).append(k)
     out = []
     for stem, mine in stems[0].items():
         theirs = stems[1].get(stem, [])
@@ -73,10 +67,21 @@ def families(a: Sequence[str], b: Sequence[str], threshold: float) -> list[Famil
             continue
         free = [n - k for m in lengths[0] for n in lengths[1] if n > FEW and (k := needed(len(stem), m, n, threshold)) is not None]
         if max(free, default=0) <= FREE:
-            out.append(Family(len(stem), np.array(mine), np.array(theirs), *numbers))
+            out.append(Family(stem, np.array(mine), np.array(theirs), *numbers))
     return out
 
 
+def near(family: Family, names: Sequence[str], places: np.ndarray, numbers: list[str], threshold: float) -> np.ndarray:
+    """Those of the places whose names may be similar to some of the stem: they share letters with it, and any with the numbers."""
+    letters, size, lengths = Counter(family.stem), len(family.stem), {len(x) for x in numbers}
+
+    def may(name: str) -> bool:
+        shared, n = sum(min(name.count(c), k) for c, k in letters.items()), len(name)
+        return any(2 * min(shared + m, n) >= threshold * (size + m + n) - 1e-9 for m in lengths)
+
+    return places[[may(names[k]) for k in places]] if len(places) else places
+
+
 class Forms(NamedTuple):
     """What numbers of n digits are similar to one of a form, by columns.
 
@@ -192,8 +197,10 @@ def similar(family: Family, threshold: float, mates: Sequence[tuple[np.ndarray,
             at = b_at[mate]
             known = _counts(b_codes[mate], n, b_sizes[at])
             codes, begin, size = np.unique(b_codes[mate], return_index=True, return_counts=True)
+            place = np.zeros(11**n, dtype=np.int32)
+            place[codes] = np.arange(len(codes))
             for m, a_places, a_digits in lists[0]:
-                least = needed(family.stem, m, n, threshold)
+                least = needed(len(family.stem), m, n, threshold)
                 use = np.flatnonzero(asked[a_places])
                 if least is None or not len(use):
                     continue
@@ -206,7 +213,7 @@ def similar(family: Family, threshold: float, mates: Sequence[tuple[np.ndarray,
                         yield int(a_sizes[a_at[part]] @ np.rint(met).astype(np.int64)), none, none, False
                         for terms, second in ((f.first, False), (f.second, True))[: 1 + turned]:
                             row, code = _met(own[part], others[part], terms, known)
-                            of = np.searchsorted(codes, code)
+                            of = place.take(code)
                             times = size[of]
                             run = np.repeat(np.arange(len(code)), times)
                             again = np.arange(len(run)) - np.repeat(np.cumsum(times) - times, times)
